@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, packing, tokens
+from . import exact_dedup, langid, packing, tokens, toxicity
+from .common import id_text
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -18,17 +19,31 @@ def op2_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.harmonic_pack(_documents(spark, sf_dir))
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir)
+    held = F.pmod(id_text(F.col("doc_id")), F.lit(3)) == 1
+    model = langid.fit(docs.filter(~held))
+    return langid.predict(docs, model).withColumn("held_out", held)
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = exact_dedup.exact_dedup(_documents(spark, sf_dir))
     return found.withColumn("text_sha256", F.lower(F.hex("digest"))).drop("digest")
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir)
+    held = F.pmod(id_text(F.col("doc_id")), F.lit(5)) == 0
+    model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet").filter(~held))
+    return toxicity.score(docs, model).withColumn("held_out", held)
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.count_tokens(_documents(spark, sf_dir))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_harmonic_packing, op7_exact_dedup, op10_token_counts)}
+    return {f.__name__: f for f in (op2_harmonic_packing, op4_language_id, op7_exact_dedup, op9_toxicity, op10_token_counts)}
 
 
 OP7_SQL = r"""
