@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, langid, packing, tokens, toxicity
+from . import exact_dedup, langid, packing, quality, tokens, toxicity
 from .common import id_text
 
 
@@ -15,6 +15,10 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality_rules(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op2_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.harmonic_pack(_documents(spark, sf_dir))
 
@@ -43,7 +47,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_harmonic_packing, op4_language_id, op7_exact_dedup, op9_toxicity, op10_token_counts)}
+    return {f.__name__: f for f in (op1_quality_rules, op2_harmonic_packing, op4_language_id, op7_exact_dedup, op9_toxicity, op10_token_counts)}
 
 
 OP7_SQL = r"""
