@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, langid, packing, quality, tokens, toxicity
+from . import exact_dedup, langid, packing, quality, secrets, tokens, toxicity
 from .common import id_text
 
 
@@ -30,6 +30,10 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs, model).withColumn("held_out", held)
 
 
+def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.secret_report(_documents(spark, sf_dir))
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = exact_dedup.exact_dedup(_documents(spark, sf_dir))
     return found.withColumn("text_sha256", F.lower(F.hex("digest"))).drop("digest")
@@ -47,7 +51,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_rules, op2_harmonic_packing, op4_language_id, op7_exact_dedup, op9_toxicity, op10_token_counts)}
+    return {f.__name__: f for f in (op1_quality_rules, op2_harmonic_packing, op4_language_id, op6_secret_scan, op7_exact_dedup, op9_toxicity, op10_token_counts)}
 
 
 OP7_SQL = r"""
