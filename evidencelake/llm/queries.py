@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, langid, packing, quality, secrets, tokens, toxicity
+from . import exact_dedup, langid, packing, quality, secrets, simhash, tokens, toxicity
 from .common import id_text
 
 
@@ -23,6 +23,11 @@ def op2_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.harmonic_pack(_documents(spark, sf_dir))
 
 
+def op3_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.simhash_groups(_documents(spark, sf_dir))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "n_links")
+
+
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _documents(spark, sf_dir)
     held = F.pmod(id_text(F.col("doc_id")), F.lit(3)) == 1
@@ -51,7 +56,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_rules, op2_harmonic_packing, op4_language_id, op6_secret_scan, op7_exact_dedup, op9_toxicity, op10_token_counts)}
+    return {f.__name__: f for f in (op1_quality_rules, op2_harmonic_packing, op3_simhash_dedup, op4_language_id, op6_secret_scan, op7_exact_dedup, op9_toxicity, op10_token_counts)}
 
 
 OP7_SQL = r"""
