@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, langid, packing, quality, secrets, simhash, tokens, toxicity
+from . import exact_dedup, langid, mixing, packing, quality, secrets, simhash, tokens, toxicity
 from .common import id_text
 
 
@@ -44,6 +44,10 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("text_sha256", F.lower(F.hex("digest"))).drop("digest")
 
 
+def op8_temperature_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_sources(_documents(spark, sf_dir))
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _documents(spark, sf_dir)
     held = F.pmod(id_text(F.col("doc_id")), F.lit(5)) == 0
@@ -56,7 +60,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_rules, op2_harmonic_packing, op3_simhash_dedup, op4_language_id, op6_secret_scan, op7_exact_dedup, op9_toxicity, op10_token_counts)}
+    return {f.__name__: f for f in (op1_quality_rules, op2_harmonic_packing, op3_simhash_dedup, op4_language_id, op6_secret_scan, op7_exact_dedup, op8_temperature_mixing, op9_toxicity, op10_token_counts)}
 
 
 OP7_SQL = r"""
