@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, langid, mixing, packing, quality, secrets, simhash, tokens, toxicity
+from . import exact_dedup, langid, mixing, packing, quality, secrets, simhash, suffix_dedup, tokens, toxicity
 from .common import id_text
 
 
@@ -35,6 +35,10 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs, model).withColumn("held_out", held)
 
 
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.repeated_spans(_documents(spark, sf_dir)).drop("spans")
+
+
 def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secret_report(_documents(spark, sf_dir))
 
@@ -60,7 +64,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_rules, op2_harmonic_packing, op3_simhash_dedup, op4_language_id, op6_secret_scan, op7_exact_dedup, op8_temperature_mixing, op9_toxicity, op10_token_counts)}
+    return {f.__name__: f for f in (op1_quality_rules, op2_harmonic_packing, op3_simhash_dedup, op4_language_id, op5_suffix_dedup, op6_secret_scan, op7_exact_dedup, op8_temperature_mixing, op9_toxicity, op10_token_counts)}
 
 
 OP7_SQL = r"""
