@@ -74,19 +74,30 @@ def _first_over(rows: DataFrame, order: list[str], keep: list[str]) -> DataFrame
     return run.select("source", (F.col("rest") - F.col("run") + F.col("t")).alias("rest"), "epochs", *keep)
 
 
-def mix_sources(docs: DataFrame, target_entropy: float | None = ENTROPY, most_repeats: float | None = MOST_REPEATS, budget_share: float = BUDGET_SHARE, seed: int = SEED, n_tokens: Column | None = None) -> DataFrame:
-    """doc_id, source, n_tokens, epoch, block, block_order, weight: one row for each time that a document is taken.
+def _cells(doc: Column, seed: int) -> list[Column]:
+    """Block and cell of a document."""
+    return [F.pmod(F.xxhash64(F.lit(seed + k), doc), F.lit(BLOCKS)).cast("int") for k in (1, 2)]
 
-    The budget is ``budget_share`` of all tokens; tokens are words unless ``n_tokens`` says
-    otherwise. A source's total stays within its quota and falls short by less than one document.
-    Null source is a source of its own. Null and empty texts have no tokens: they cost nothing and
-    are taken where the order comes to them; sources of such texts alone are taken once. Rows that
-    repeat a doc_id go together. One row a source reaches the driver; other columns are not read.
-    """
+
+def _doc() -> Column:
+    return F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63)))
+
+
+def _source() -> Column:
+    return F.coalesce(F.concat(F.lit("="), F.col("source").cast("string")), F.lit("null"))
+
+
+def _keys(seed: int) -> dict[str, Column]:
+    """Every epoch has its own order of blocks, of cells in a block and of documents in a cell."""
+    key = lambda k, *c: F.xxhash64(F.lit(seed), F.col("epochs"), F.lit(k), *map(F.col, c))
+    return {"k1": key(1, "source", "b1"), "k2": key(2, "source", "b1", "b2"), "k3": key(3, "doc_id")}
+
+
+def plan_mix(docs: DataFrame, target_entropy: float | None = ENTROPY, most_repeats: float | None = MOST_REPEATS, budget_share: float = BUDGET_SHARE, seed: int = SEED, n_tokens: Column | None = None) -> DataFrame:
+    """One row a source: source (tagged), weight, epochs (whole ones), partial, cut (where the partial one ends)."""
     count = F.regexp_count(F.coalesce(F.col("text").cast("string"), F.lit("")), F.lit(WORD)) if n_tokens is None else n_tokens
-    doc = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63)))
-    cell = lambda k: F.pmod(F.xxhash64(F.lit(seed + k), doc), F.lit(BLOCKS)).cast("int")
-    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.concat(F.lit("="), F.col("source").cast("string")), F.lit("null")).alias("source"), count.cast("long").alias("t"), cell(1).alias("b1"), cell(2).alias("b2"))
+    b1, b2 = _cells(_doc(), seed)
+    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _source().alias("source"), count.cast("long").alias("t"), b1.alias("b1"), b2.alias("b2"))
     base = materialize(base, "mix")
     found = base.groupBy("source").agg(F.sum("t").alias("tokens")).orderBy("source").collect()
     spark, tokens = docs.sparkSession, [r["tokens"] for r in found]
@@ -96,25 +107,47 @@ def mix_sources(docs: DataFrame, target_entropy: float | None = ENTROPY, most_re
     rows = [(r["source"], w, q // t if t else 0, q % t if t else 0, bool(t == 0 or q % t)) for r, w, q, t in zip(found, weight, quota, tokens)]
     plan = spark.createDataFrame(rows, "source string, weight double, epochs long, rest long, partial boolean")
     small = F.broadcast if len(rows) <= MOST_BROADCAST else lambda d: d
-    # every epoch has its own order of blocks, of cells in a block and of documents in a cell
-    key = lambda *c: F.xxhash64(F.lit(seed), F.col("epochs"), *c)
-    k1, k2, k3 = key(F.lit(1), F.col("source"), F.col("b1")), key(F.lit(2), F.col("source"), F.col("b1"), F.col("b2")), key(F.lit(3), F.col("doc_id"))
+    k1, k2, k3 = _keys(seed).values()
     blocks = base.groupBy("source", "b1").agg(F.sum("t").alias("t")).join(small(plan.filter("partial and rest > 0").drop("weight", "partial")), "source")
     cut1 = _first_over(blocks.withColumn("k1", k1), ["k1", "b1"], ["b1", "k1"])
     cells = base.join(small(cut1), ["source", "b1"]).groupBy("source", "b1", "b2", "rest", "epochs", "k1").agg(F.sum("t").alias("t"))
     cut2 = _first_over(cells.withColumn("k2", k2), ["k2", "b2"], ["b1", "k1", "b2", "k2"])
     last = base.join(small(cut2), ["source", "b1", "b2"]).withColumn("k3", k3)
-    order = lambda: F.struct("k1", "b1", "k2", "b2", "k3", doc.alias("doc"))
-    cut3 = _first_over(last.withColumn("order", order()), ["k3", "doc_id"], ["order"]).select("source", F.col("order").alias("cut"))
-    ends = materialize(plan.join(cut3, "source", "left"), "mix")
-    taken = base.join(small(ends), "source").withColumns({"k1": k1, "k2": k2, "k3": k3})
-    in_part = F.col("partial") & (F.col("cut").isNull() | (order() < F.col("cut")))
-    copies = F.col("epochs").cast("int") + in_part.cast("int")
-    each = taken.withColumn("copies", copies).filter("copies > 0").withColumn("epoch", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)))
+    cut3 = _first_over(last.withColumn("order", _order()), ["k3", "doc_id"], ["order"]).select("source", F.col("order").alias("cut"))
+    return materialize(plan.join(cut3, "source", "left"), "mix")
+
+
+def _order() -> Column:
+    return F.struct("k1", "b1", "k2", "b2", "k3", _doc().alias("doc"))
+
+
+def copies(docs: DataFrame, plan: DataFrame, seed: int = SEED) -> DataFrame:
+    """docs (doc_id, source and others) with b1, weight and copies, the number of epochs that take the document; no shuffle of docs where the plan is small."""
+    b1, b2 = _cells(_doc(), seed)
+    tagged = docs.withColumns({"source": _source(), "doc_id": F.col("doc_id").cast("long"), "b1": b1, "b2": b2})
+    small = plan.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST
+    met = tagged.join(F.broadcast(plan) if small else plan, "source").withColumns(_keys(seed))
+    in_part = F.col("partial") & (F.col("cut").isNull() | (_order() < F.col("cut")))
+    return met.withColumn("copies", F.col("epochs").cast("int") + in_part.cast("int")).drop("b2", "k1", "k2", "k3", "cut", "epochs", "partial", "rest")
+
+
+def mix_sources(docs: DataFrame, target_entropy: float | None = ENTROPY, most_repeats: float | None = MOST_REPEATS, budget_share: float = BUDGET_SHARE, seed: int = SEED, n_tokens: Column | None = None) -> DataFrame:
+    """doc_id, source, n_tokens, epoch, block, block_order, weight: one row for each time that a document is taken.
+
+    The budget is ``budget_share`` of all tokens; tokens are words unless ``n_tokens`` says
+    otherwise. A source's total stays within its quota and falls short by less than one document.
+    Null source is a source of its own. Null and empty texts have no tokens: they cost nothing and
+    are taken where the order comes to them; sources of such texts alone are taken once. Rows that
+    repeat a doc_id go together. One row a source reaches the driver; other columns are not read.
+    """
+    count = F.regexp_count(F.coalesce(F.col("text").cast("string"), F.lit("")), F.lit(WORD)) if n_tokens is None else n_tokens
+    plan = plan_mix(docs, target_entropy, most_repeats, budget_share, seed, n_tokens)
+    taken = copies(docs.select("doc_id", "source", count.cast("long").alias("n_tokens")), plan, seed).filter("copies > 0")
+    each = taken.withColumn("epoch", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)))
     return each.select(
         "doc_id",
         F.when(F.col("source") != "null", F.substring("source", 2, 2**31 - 1)).alias("source"),
-        F.col("t").alias("n_tokens"),
+        "n_tokens",
         "epoch",
         F.col("b1").alias("block"),
         F.xxhash64(F.lit(seed), F.col("epoch").cast("long"), F.lit(1), F.col("source"), F.col("b1")).alias("block_order"),

@@ -63,8 +63,29 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.count_tokens(_documents(spark, sf_dir))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
+QUERIES = (
+    op1_quality_rules,
+    op2_harmonic_packing,
+    op3_simhash_dedup,
+    op4_language_id,
+    op5_suffix_dedup,
+    op6_secret_scan,
+    op7_exact_dedup,
+    op8_temperature_mixing,
+    op9_toxicity,
+    op10_token_counts,
+    pipeline,
+)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_rules, op2_harmonic_packing, op3_simhash_dedup, op4_language_id, op5_suffix_dedup, op6_secret_scan, op7_exact_dedup, op8_temperature_mixing, op9_toxicity, op10_token_counts)}
+    return {f.__name__: f for f in QUERIES}
 
 
 OP7_SQL = r"""

@@ -22,7 +22,7 @@ from .common import documents
 from .langid import hash01
 
 #: Sampled training rows of each label.
-MOST_TOXIC, MOST_CLEAN = 3000, 5000
+MOST_TOXIC, MOST_CLEAN = 2500, 4000
 #: Features in the model; each must occur in so many sampled texts.
 MOST_FEATURES, LEAST_TEXTS = 1500, 4
 BUCKETS = 1 << 22
@@ -84,33 +84,38 @@ class ToxicityModel:
         return float(1 / (1 + np.exp(-np.clip(z, -500, 500))))
 
 
-def _sparse(rows: list[set[int]], of: dict[int, int]) -> np.ndarray:
-    x = np.zeros((len(rows), len(of)), np.float32)
+def _dense(rows: list[np.ndarray], of: np.ndarray, n: int) -> np.ndarray:
+    """Presence of the model's features in each row; ``of`` has a feature's column by its hash, or -1."""
+    x = np.zeros((len(rows), n), np.float32)
     for i, r in enumerate(rows):
-        x[i, [of[f] for f in r if f in of]] = 1
+        columns = of[r]
+        x[i, columns[columns >= 0]] = 1
     return x
 
 
-def _train(rows: list[set[int]], toxic: np.ndarray, pairs: list[tuple[set[int], set[int]]], shift: float) -> ToxicityModel:
+def _train(rows: list[np.ndarray], toxic: np.ndarray, pairs: list[tuple[np.ndarray, np.ndarray]], shift: float) -> ToxicityModel:
+    """rows: hashed features of each text, without repeats; pairs: features that a swap takes away, and adds."""
     n1, n0 = int(toxic.sum()), int(len(toxic) - toxic.sum())
     prior = float(np.log((n1 + 1) / (n0 + 1))) + shift
     if not n1 or not n0:
         return ToxicityModel({}, prior)
     with_, without = np.zeros(BUCKETS, np.int32), np.zeros(BUCKETS, np.int32)
     for r, t in zip(rows, toxic):
-        np.add.at(with_ if t else without, np.fromiter(r, np.int64, len(r)), 1)
-    # signed likelihood-ratio statistic of each feature against the labels
+        (with_ if t else without)[r] += 1
+    # likelihood-ratio statistic of each feature against the labels
     seen = np.flatnonzero(with_ + without >= LEAST_TEXTS)
     a, b = with_[seen].astype(float), without[seen].astype(float)
     tables = ((a, n1), (b, n0), (n1 - a, n1), (n0 - b, n0))
     total, rest = (a + b) / (n1 + n0), (n1 + n0 - a - b) / (n1 + n0)
     g2 = sum(2 * o * np.log(np.maximum(o, 1e-9) / np.maximum(n * p, 1e-9)) for (o, n), p in zip(tables, (total, total, rest, rest)))
     keep = seen[np.lexsort((seen, -g2))[:MOST_FEATURES]]
-    swapped = {f for x, y in pairs for f in x ^ y}  # what a swap changes is always in the model, to be held down
-    of = {int(f): i for i, f in enumerate(sorted({*map(int, keep), *swapped}))}
-    x, y = _sparse(rows, of), toxic.astype(np.float32)
-    change = _sparse([p[0] for p in pairs], of) - _sparse([p[1] for p in pairs], of)
-    w, bias = np.zeros(len(of), np.float32), prior - shift
+    # what a swap changes is always in the model, to be held down
+    features = np.unique(np.concatenate([keep, *(x for p in pairs for x in p)])).astype(np.int64)
+    of = np.full(BUCKETS, -1, np.int32)
+    of[features] = np.arange(len(features))
+    x, y = _dense(rows, of, len(features)), toxic.astype(np.float32)
+    change = _dense([p[0] for p in pairs], of, len(features)) - _dense([p[1] for p in pairs], of, len(features))
+    w, bias = np.zeros(len(features), np.float32), prior - shift
     moment, scale = np.zeros_like(w), np.zeros_like(w)
     for step in range(1, STEPS + 1):
         g = 1 / (1 + np.exp(-np.clip(x @ w + bias, -30, 30))) - y
@@ -120,7 +125,7 @@ def _train(rows: list[set[int]], toxic: np.ndarray, pairs: list[tuple[set[int],
         moment, scale = 0.9 * moment + 0.1 * grad, 0.999 * scale + 0.001 * grad**2
         w -= RATE * (moment / (1 - 0.9**step)) / (np.sqrt(scale / (1 - 0.999**step)) + 1e-8)
         bias -= RATE * float(g.mean()) * 5
-    return ToxicityModel({f: float(w[i]) for f, i in of.items()}, float(bias + shift))
+    return ToxicityModel(dict(zip(features.tolist(), w.tolist())), float(bias + shift))
 
 
 def _training_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -128,8 +133,9 @@ def _training_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         texts = b.column("text").to_pylist()
         pack = lambda s: np.array(sorted(s), "<i4").tobytes()
         own = [text_features(t) for t in texts]
-        pairs = [[pack(s ^ o) + pack(s & o) + np.array([len(s ^ o)], "<i4").tobytes() for s in swaps(t)] for t, o in zip(texts, own)]
-        yield pa.record_batch({"toxic": b.column("toxic"), "own": pa.array([pack(o) for o in own], pa.binary()), "pairs": pa.array(pairs, pa.list_(pa.binary()))})
+        pairs = [[{"gone": pack(o - s), "new": pack(s - o)} for s in swaps(t)] for t, o in zip(texts, own)]
+        kind = pa.list_(pa.struct([("gone", pa.binary()), ("new", pa.binary())]))
+        yield pa.record_batch({"toxic": b.column("toxic"), "own": pa.array([pack(o) for o in own], pa.binary()), "pairs": pa.array(pairs, kind)})
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> ToxicityModel:
@@ -142,15 +148,11 @@ def fit(docs: DataFrame, labels: DataFrame) -> ToxicityModel:
     sizes = {r["toxic"]: r["count"] for r in known.groupBy("toxic").count().collect()}
     rates = {t: min(1.0, most / max(1, sizes.get(t, 0))) for t, most in ((True, MOST_TOXIC), (False, MOST_CLEAN))}
     sample = known.filter(hash01(F.col("doc_id")) <= F.when(F.col("toxic"), rates[True]).otherwise(rates[False]))
-    got = documents(docs).join(F.broadcast(sample), "doc_id").select("text", F.col("toxic").cast("int").alias("toxic")).mapInArrow(_training_rows, "toxic int, own binary, pairs array<binary>").collect()
+    got = documents(docs).join(F.broadcast(sample), "doc_id").select("text", F.col("toxic").cast("int").alias("toxic")).mapInArrow(_training_rows, "toxic int, own binary, pairs array<struct<gone:binary,new:binary>>").collect()
     got.sort(key=lambda r: (r["toxic"], bytes(r["own"])))
-    unpack = lambda raw: set(np.frombuffer(raw, "<i4").tolist())
+    unpack = lambda raw: np.frombuffer(raw, "<i4")
     rows = [unpack(r["own"]) for r in got]
-    pairs = []
-    for r, own in zip(got, rows):
-        for raw in r["pairs"]:
-            n = int(np.frombuffer(raw[-4:], "<i4")[0])
-            pairs.append((own, own ^ unpack(raw[: 4 * n])))
+    pairs = [(unpack(p["gone"]), unpack(p["new"])) for r in got for p in r["pairs"]]
     # labels are sampled at different rates: the bias goes back to their true shares
     shift = float(np.log(rates[False] / rates[True]))
     return _train(rows, np.array([r["toxic"] for r in got], dtype=int), pairs, shift)
