@@ -1 +1,12 @@
+"""Registered queries, by area."""
 
+from __future__ import annotations
+
+from importlib import import_module
+
+AREAS = ("serp",)
+
+
+def registered() -> dict[str, tuple]:
+    """name: (query, SQL twin or None)."""
+    return {name: pair for area in AREAS for name, pair in import_module(f"{__name__}.{area}").QUERIES.items()}
