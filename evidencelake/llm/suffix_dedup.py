@@ -16,8 +16,10 @@ rewritten at most log2(batches) times. An index may be kept and added to later.
 
 *Exact ends.* Suffixes with a shared prefix form classes by the hash of all bytes that their starts
 cover. In a class of two or more, every start repeats. Where a prefix has several classes, a match
-begins or ends within them: there, each start of one member of each class is looked up by the hash
-of its ``LENGTH`` bytes. Hashes that decide have 128 bits.
+begins or ends within them: one member of each class is then cut into blocks of ``BLOCK`` starts,
+counted from the anchor, which form classes in the same way by the bytes common to all starts of a
+block and the bytes that they cover. Where these are several again, single starts are looked up by
+the hash of their ``LENGTH`` bytes. Hashes that decide have 128 bits.
 """
 
 from __future__ import annotations
@@ -35,6 +37,8 @@ from .common import documents, materialize, utf8_parts
 
 LENGTH, WINDOW, PREFIX, GRAM = 400, 320, 80, 16
 BATCHES = 4
+#: Starts in a block where the ends of matches are sought.
+BLOCK = 16
 
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -136,7 +140,7 @@ class IndexFamily:
         return found.distinct()
 
 
-def _with_text(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _pack(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Texts are packed before they are shuffled."""
     pack = zstandard.ZstdCompressor(level=1)
     for b in stream:
@@ -144,18 +148,54 @@ def _with_text(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch({"uid": b.column("uid"), "doc_id": b.column("doc_id"), "packed": pa.array([pack.compress(r) for r in raws], pa.binary())})
 
 
-LOOKUPS = "uid long, h1 long, h2 long, weight int, start int"
+def _settle(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts without a shared suffix are done: size and digest take the place of the text."""
+    unpack = zstandard.ZstdDecompressor()
+    for b in stream:
+        packed, found = b.column("packed").to_pylist(), b.column("found")
+        n, sha = [None] * len(packed), [None] * len(packed)
+        for i, (x, f) in enumerate(zip(packed, found.is_valid().to_pylist())):
+            if not f:
+                raw = unpack.decompress(x)
+                n[i], sha[i], packed[i] = len(raw), hashlib.sha256(raw).hexdigest(), None
+        yield pa.record_batch({"uid": b.column("uid"), "doc_id": b.column("doc_id"), "packed": pa.array(packed, pa.binary()), "found": found, "n_bytes": pa.array(n, pa.int64()), "kept_sha256": pa.array(sha, pa.string())})
 
 
-def _lookups(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Hashes of all starts of the members that stand for their class where a prefix has several classes."""
+BLOCKS = "uid long, key long, cover long, low int, high int, weight int"
+
+
+def _blocks(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Blocks of starts of the members that stand for their class where a prefix has several classes."""
     unpack = zstandard.ZstdDecompressor()
     for b in stream:
-        out: list[list] = [[], [], [], [], []]
+        out: list[list] = [[] for _ in range(6)]
         for uid, packed, rows in zip(b.column("uid").to_pylist(), b.column("packed").to_pylist(), b.column("found").to_pylist()):
             rows = [x for x in rows if x["asks"]]
             if not rows:
                 continue
+            one = Rolling(unpack.decompress(packed))
+            for x in rows:
+                first = x["at"] + BLOCK * np.arange((x["lo"] - x["at"]) // BLOCK, (x["hi"] - x["at"]) // BLOCK + 1)
+                low, high = np.maximum(first, x["lo"]), np.minimum(first + BLOCK - 1, x["hi"])
+                inside = (low - first).astype(np.uint64) * _M1 + (high - first).astype(np.uint64) * _M2
+                key, cover = one.at(first + BLOCK - 1, first + LENGTH), _mix(one.at(low, high + LENGTH) + inside)
+                for o, v in zip(out, (np.full(len(low), uid), key.view(np.int64), cover.view(np.int64), low, high, np.full(len(low), min(2, x["n"])))):
+                    o.append(v)
+            if sum(map(len, out[0])) > 200_000:
+                yield _columns(out, BLOCKS)
+                out = [[] for _ in range(6)]
+        yield _columns(out, BLOCKS)
+
+
+LOOKUPS = "uid long, h1 long, h2 long, weight int, start int"
+
+
+def _lookups(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Hashes of all starts of the blocks that stand for their class where classes are several."""
+    unpack = zstandard.ZstdDecompressor()
+    for b in stream:
+        out: list[list] = [[], [], [], [], []]
+        for uid, packed, rows in zip(b.column("uid").to_pylist(), b.column("packed").to_pylist(), b.column("asked").to_pylist()):
             raw = unpack.decompress(packed)
             one, two = Rolling(raw), Rolling(raw, 2)
             for x in rows:
@@ -165,15 +205,15 @@ def _lookups(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 for o, v in zip(out, (np.full(n, uid), one.runs(LENGTH, low, high).view(np.int64), two.runs(LENGTH, low, high).view(np.int64), np.full(n, min(2, x["n"])), start)):
                     o.append(v)
             if sum(map(len, out[0])) > 200_000:
-                yield _columns(out)
+                yield _columns(out, LOOKUPS)
                 out = [[], [], [], [], []]
-        yield _columns(out)
+        yield _columns(out, LOOKUPS)
 
 
-def _columns(out: list[list]) -> pa.RecordBatch:
-    kinds = (np.int64, np.int64, np.int64, np.int32, np.int32)
-    names = [x.split()[0] for x in LOOKUPS.split(", ")]
-    return pa.record_batch({n: pa.array(np.concatenate(o).astype(k) if o else np.empty(0, k)) for n, o, k in zip(names, out, kinds)})
+def _columns(out: list[list], ddl: str) -> pa.RecordBatch:
+    kinds = {"int": np.int32, "long": np.int64}
+    fields = [x.split() for x in ddl.split(", ")]
+    return pa.record_batch({n: pa.array(np.concatenate(o).astype(kinds[k]) if o else np.empty(0, kinds[k])) for (n, k), o in zip(fields, out)})
 
 
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -194,9 +234,9 @@ def _remove(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     unpack = zstandard.ZstdDecompressor()
     for b in stream:
         rows = []
-        for packed, found, starts in zip(b.column("packed").to_pylist(), b.column("found").to_pylist(), b.column("starts").to_pylist()):
+        for packed, found, blocks, starts in zip(*(b.column(c).to_pylist() for c in ("packed", "found", "blocks", "starts"))):
             raw = unpack.decompress(packed)
-            spans = [(x["lo"], x["hi"] + LENGTH) for x in found or () if x["n"] > 1]
+            spans = [(x["lo"], x["hi"] + LENGTH) for x in (*found, *(blocks or ())) if x["n"] > 1]
             starts = np.sort(np.array(starts or [], np.int64))
             if len(starts):
                 cut = np.flatnonzero(np.diff(starts) > LENGTH)
@@ -229,17 +269,28 @@ def repeated_spans(docs: DataFrame, batches: int = BATCHES, index: IndexFamily |
         keys = found if keys is None else keys.unionByName(found)
     # a key is found by every batch but the first that has it
     shared = materialize(suffixes.drop("batch").join(keys.distinct(), "key", "left_semi"), "shared")
-    member = F.struct("uid", "at")
-    classes = shared.groupBy("key", "cover").agg(F.count("*").alias("n"), F.min(member).alias("speaker"))
+    rows = _classed(shared.withColumn("weight", F.lit(1)), "at")
+    of_doc = rows.groupBy("uid").agg(F.collect_set(F.struct("at", "lo", "hi", F.least("n", F.lit(2)).alias("n"), "asks")).alias("found"))
+    texts = base.select("uid", "doc_id", "text").mapInArrow(_pack, "uid long, doc_id long, packed binary").join(of_doc, "uid", "left")
+    found_type = "array<struct<at:int,lo:int,hi:int,n:bigint,asks:boolean>>"
+    joined = materialize(texts.mapInArrow(_settle, f"uid long, doc_id long, packed binary, found {found_type}, n_bytes long, kept_sha256 string"), "texts")
+    touched = joined.filter("found is not null").select("uid", "doc_id", "packed", "found")
+    blocks = materialize(_classed(materialize(touched.mapInArrow(_blocks, BLOCKS), "blocks"), "low"), "blocks")
+    block = F.struct(F.col("low").alias("lo"), F.col("high").alias("hi"), F.least("n", F.lit(2)).alias("n"))
+    asked = blocks.filter("asks").groupBy("uid").agg(F.collect_set(block).alias("asked"))
+    looked = materialize(touched.select("uid", "packed").join(asked, "uid").mapInArrow(_lookups, LOOKUPS), "lookups")
+    twice = looked.groupBy("h1", "h2").agg(F.sum("weight").alias("w")).filter("w > 1").select("h1", "h2")
+    starts = looked.filter("start >= 0").join(twice, ["h1", "h2"], "left_semi").groupBy("uid").agg(F.collect_set("start").alias("starts"))
+    whole = blocks.filter("n > 1").groupBy("uid").agg(F.collect_set(block).alias("blocks"))
+    cut = touched.join(whole, "uid", "left").join(starts, "uid", "left").select("doc_id", "packed", "found", "blocks", "starts").mapInArrow(_remove, RESULT)
+    plain = joined.filter("found is null").select("doc_id", "n_bytes", F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), "kept_sha256", F.array().cast("array<struct<low:bigint,high:bigint>>").alias("spans"))
+    return plain.unionByName(cut)
+
+
+def _classed(rows: DataFrame, at: str) -> DataFrame:
+    """Rows (uid, key, cover, weight and ``at``) with n, the members of their class, and asks, whether they stand for it in further questions; rows of which neither matters are left out."""
+    member = F.struct("uid", at)
+    classes = rows.groupBy("key", "cover").agg(F.sum("weight").alias("n"), F.min(member).alias("speaker"))
     several = classes.groupBy("key").agg((F.count("*") > 1).alias("several"))
-    known = materialize(classes.join(several, "key"), "classes")
-    rows = shared.join(known, ["key", "cover"]).withColumn("asks", F.col("several") & (F.col("speaker") == member)).filter("asks or n > 1")
-    of_doc = rows.groupBy("uid").agg(F.collect_set(F.struct("lo", "hi", F.least("n", F.lit(2)).alias("n"), "asks")).alias("found"))
-    texts = base.select("uid", "doc_id", "text").mapInArrow(_with_text, "uid long, doc_id long, packed binary")
-    joined = materialize(texts.join(of_doc, "uid", "left"), "texts")
-    asked = materialize(joined.filter("found is not null").select("uid", "packed", "found").mapInArrow(_lookups, LOOKUPS), "lookups")
-    twice = asked.groupBy("h1", "h2").agg(F.sum("weight").alias("w")).filter("w > 1").select("h1", "h2")
-    starts = asked.filter("start >= 0").join(twice, ["h1", "h2"], "left_semi").groupBy("uid").agg(F.collect_set("start").alias("starts"))
-    plain = joined.filter("found is null").select("doc_id", "packed", F.lit(None).cast("array<struct<lo:int,hi:int,n:bigint,asks:boolean>>").alias("found"), F.lit(None).cast("array<int>").alias("starts"))
-    touched = joined.filter("found is not null").join(starts, "uid", "left").select("doc_id", "packed", "found", "starts")
-    return plain.unionByName(touched).mapInArrow(_remove, RESULT)
+    known = materialize(classes.join(several, "key").filter("several or n > 1"), "classes")
+    return rows.join(known, ["key", "cover"]).withColumn("asks", F.col("several") & (F.col("speaker") == member)).filter("asks or n > 1")
