@@ -17,6 +17,11 @@ def lines_of(text: Column) -> Column:
     return F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), "\r\n|" + BREAK), lambda x: F.regexp_replace(x, r"(?U)^\s+|\s+$", "")), lambda x: x != "")
 
 
+def let(value: Column, use) -> Column:
+    """use(value), with the value computed once, also inside of nested lambdas."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def count(text: Column, pattern: str, flags: str = "(?i)") -> Column:
     return F.regexp_count(text, F.lit(flags + pattern))
 
@@ -128,19 +133,25 @@ def js_signals(html: Column, text: Column) -> Column:
 def content_metrics(text: Column, html: Column | None = None) -> Column:
     """quality_score, text_len, line_count, short_line_ratio, nav_hits, js_signals, language_hint of a page text."""
     t = F.regexp_replace(F.coalesce(text, F.lit("")), r"(?U)^\s+|\s+$", "")
-    lang = language_class(t, html)
-    lines = lines_of(t)
-    plain = F.filter(lines, lambda x: ~x.startswith("#"))
-    scored = F.when(F.size(plain) > 0, plain).otherwise(lines)
-    short = F.size(F.filter(scored, lambda x: F.length(x) <= profile(lang, 0)))
-    long_ = F.size(F.filter(scored, lambda x: F.length(x) >= profile(lang, 1)))
-    ratio = F.when(t == "", 1.0).otherwise(short / F.greatest(F.size(scored), F.lit(1)))
-    nav = count(F.substring(t, 1, 4000), NAV)
-    score = F.greatest(F.lit(0), F.least(F.length(t), F.lit(20000)) + F.least(long_ * 120, F.lit(1200)) - F.floor(ratio * 1800) - F.least(nav * 120, F.lit(2400)))
-    return F.struct(
-        F.when(t == "", 0).otherwise(score).cast("int").alias("quality_score"), F.length(t).alias("text_len"), F.size(lines).alias("line_count"),
-        ratio.alias("short_line_ratio"), F.when(t == "", 0).otherwise(nav).alias("nav_hits"), js_signals(html if html is not None else F.lit(""), t).alias("js_signals"), lang.alias("language_hint"),
-    )
+    signals = js_signals(html if html is not None else F.lit(""), t)
+    base = F.struct(t.alias("t"), language_class(t, html).alias("lang"), lines_of(t).alias("lines"), F.when(t == "", 0).otherwise(count(F.substring(t, 1, 4000), NAV)).alias("nav"), signals.alias("js"))
+
+    def lines(b: Column) -> Column:
+        plain = F.filter(b["lines"], lambda x: ~x.startswith("#"))
+        scored = F.when(F.size(plain) > 0, plain).otherwise(b["lines"])
+        sizes = F.struct(F.transform(scored, lambda x: F.length(x)).alias("of"), profile(b["lang"], 0).alias("short"), profile(b["lang"], 1).alias("long"))
+        return let(sizes, lambda s: F.struct(b.alias("b"), (F.size(F.filter(s["of"], lambda n: n <= s["short"])) / F.greatest(F.size(s["of"]), F.lit(1))).alias("ratio"), F.size(F.filter(s["of"], lambda n: n >= s["long"])).alias("longs")))
+
+    def measured(m: Column) -> Column:
+        b = m["b"]
+        ratio = F.when(b["t"] == "", 1.0).otherwise(m["ratio"])
+        score = F.greatest(F.lit(0), F.least(F.length(b["t"]), F.lit(20000)) + F.least(m["longs"] * 120, F.lit(1200)) - F.floor(ratio * 1800) - F.least(b["nav"] * 120, F.lit(2400)))
+        return F.struct(
+            F.when(b["t"] == "", 0).otherwise(score).cast("int").alias("quality_score"), F.length(b["t"]).alias("text_len"), F.size(b["lines"]).alias("line_count"),
+            ratio.alias("short_line_ratio"), b["nav"].alias("nav_hits"), b["js"].alias("js_signals"), b["lang"].alias("language_hint"),
+        )
+
+    return let(let(base, lines), measured)
 
 
 def low_value_reason(text: Column) -> Column:
@@ -212,7 +223,12 @@ def html_to_text(html: Column) -> Column:
 def structural_text(html: Column) -> Column:
     """The longest text among the first three article, main and marked elements; earlier kinds win ties."""
     kinds = (("article", r"(?is)<article\b[^>]*>.*?</article\s*>"), ("main", r"(?is)<main\b[^>]*>.*?</main\s*>"), ("role_main", r"(?is)<(\w+)\b[^>]*role=['\"]main['\"][^>]*>.*?</\1\s*>"), ("article_body", r"(?is)<(\w+)\b[^>]*itemprop=['\"]articleBody['\"][^>]*>.*?</\1\s*>"))
-    found = [F.transform(F.slice(F.regexp_extract_all(F.coalesce(html, F.lit("")), F.lit(p), 0), 1, 3), lambda x, i, k=k, name=name: F.struct(F.length(html_to_text(x)).alias("n"), (-i - 10 * k).alias("first"), html_to_text(x).alias("text"), F.lit(f"html_{name}").alias("source"))) for k, (name, p) in enumerate(kinds)]
+
+    def candidates(k: int, name: str, pattern: str) -> Column:
+        parts = F.transform(F.slice(F.regexp_extract_all(F.coalesce(html, F.lit("")), F.lit(pattern), 0), 1, 3), html_to_text)
+        return F.transform(parts, lambda x, i: F.struct(F.length(x).alias("n"), (-i - 10 * k).alias("first"), x.alias("text"), F.lit(f"html_{name}").alias("source")))
+
+    found = [candidates(k, *kind) for k, kind in enumerate(kinds)]
     best = F.array_max(F.concat(*found))
     return F.struct(F.coalesce(best["text"], F.lit("")).alias("text"), F.coalesce(best["source"], F.lit("empty")).alias("source"))
 

@@ -130,7 +130,7 @@ def w4_top_up(spark, d):
 
 
 W4_SQL = f"""WITH {MERGED}, {PICKS}, n AS (SELECT research_id, query_ordinal, max(rank) AS n FROM merged GROUP BY ALL),
-v AS (SELECT research_id, group_index AS query_ordinal, result_index, min(pick_ordinal) AS o FROM p JOIN n ON p.research_id = n.research_id AND p.group_index = n.query_ordinal AND result_index >= 0 AND result_index < n.n GROUP BY ALL),
+v AS (SELECT p.research_id, group_index AS query_ordinal, result_index, min(pick_ordinal) AS o FROM p JOIN n ON p.research_id = n.research_id AND p.group_index = n.query_ordinal AND result_index >= 0 AND result_index < n.n GROUP BY ALL),
 kk AS (SELECT *, row_number() OVER (PARTITION BY research_id, query_ordinal ORDER BY o) AS i FROM v QUALIFY i <= 4),
 h AS (SELECT research_id, query_ordinal, count(*) AS have FROM kk GROUP BY ALL),
 r AS (SELECT m.research_id, m.query_ordinal, m.rank - 1 AS result_index, row_number() OVER (PARTITION BY m.research_id, m.query_ordinal ORDER BY m.rank) AS i, coalesce(have, 0) AS have
