@@ -14,28 +14,36 @@ from .selection import first_by, ordered
 def _fold(pieces: Column, most: int) -> Column:
     """Greedy groups of consecutive pieces, joined by a space, that stay within ``most`` characters; a longer piece stays whole.
 
-    The fold carries group numbers; texts are joined once.
+    The fold over lengths finds where groups start; texts are joined once.
     """
-    start = F.struct(F.lit(-1).alias("n"), F.lit(0).alias("size"), F.array().cast("array<int>").alias("of"))
 
-    def step(a: Column, p: Column) -> Column:
-        fits = (a["n"] >= 0) & (a["size"] + 1 + F.length(p) <= most)
-        n = F.when(fits, a["n"]).otherwise(a["n"] + 1)
-        return F.struct(n.alias("n"), F.when(fits, a["size"] + 1 + F.length(p)).otherwise(F.length(p)).alias("size"), F.concat(a["of"], F.array(n)).alias("of"))
+    def starts(p: Column) -> Column:
+        """0-based index of the first piece of each group."""
+        first = F.struct(F.lit(-1).alias("size"), F.array().cast("array<int>").alias("at"), F.lit(0).alias("i"))
 
-    of = F.aggregate(pieces, start, step)
-    paired = F.arrays_zip(pieces.alias("p"), of["of"].alias("g"))
-    return F.when(F.size(pieces) == 0, F.array().cast("array<string>")).otherwise(
-        F.transform(F.sequence(F.lit(0), of["n"]), lambda k: F.array_join(F.transform(F.filter(paired, lambda x: x["g"] == k), lambda x: x["p"]), " "))
-    )
+        def step(a: Column, n: Column) -> Column:
+            fits = (a["size"] >= 0) & (a["size"] + 1 + n <= most)
+            return F.struct(F.when(fits, a["size"] + 1 + n).otherwise(n).alias("size"), F.when(fits, a["at"]).otherwise(F.concat(a["at"], F.array(a["i"]))).alias("at"), (a["i"] + 1).alias("i"))
+
+        return F.aggregate(F.transform(p, lambda x: F.length(x)), first, step)["at"]
+
+    def groups(b: Column) -> Column:
+        ends = F.concat(F.slice(b["at"], F.lit(2), F.greatest(F.size(b["at"]) - 1, F.lit(0))), F.array(F.size(b["p"])))
+        return F.zip_with(b["at"], ends, lambda low, high: F.array_join(F.slice(b["p"], low + 1, high - low), " "))
+
+    found = T.let(pieces, lambda p: F.struct(p.alias("p"), starts(p).alias("at")))
+    return T.let(found, lambda b: F.when(F.size(b["p"]) == 0, F.array().cast("array<string>")).otherwise(groups(b)))
+
+
+def _trimmed(x: Column) -> Column:
+    return F.regexp_replace(x, r"(?U)^\s+|\s+$", "")
 
 
 def paragraphs(text: Column) -> Column:
     """Paragraphs between blank lines, or lines if there is one paragraph at most; squeezed, 80 characters or more."""
-    trim = lambda x: F.regexp_replace(x, r"(?U)^\s+|\s+$", "")
-    clean = lambda parts: F.filter(F.transform(parts, lambda x: trim(F.regexp_replace(x, "[ \t]+", " "))), lambda x: x != "")
-    blocks = clean(F.split(F.coalesce(text, F.lit("")), r"\n{2,}"))
-    chosen = F.when(F.size(blocks) > 1, blocks).otherwise(clean(F.split(F.coalesce(text, F.lit("")), T.BREAK)))
+    clean = lambda parts: F.filter(F.transform(parts, lambda x: _trimmed(F.regexp_replace(x, "[ \t]+", " "))), lambda x: x != "")
+    lines = clean(F.split(F.coalesce(text, F.lit("")), T.BREAK))
+    chosen = T.let(clean(F.split(F.coalesce(text, F.lit("")), r"\n{2,}")), lambda b: F.when(F.size(b) > 1, b).otherwise(lines))
     return F.filter(chosen, lambda x: F.length(x) >= C.CHUNK_MIN)
 
 
@@ -43,23 +51,26 @@ def pdf_paragraphs(text: Column) -> Column:
     """Lines of each page section packed to the target size; a short rest joins the paragraph before it."""
     sections = F.split(F.coalesce(text, F.lit("")), r"(?m)^##\s*第\s*\d+\s*頁\s*$")
     packed = F.flatten(F.transform(sections, lambda s: _fold(T.lines_of(s), C.CHUNK_TARGET)))
-    empty = F.array().cast("array<string>")
-    joined = F.aggregate(packed, empty, lambda a, p: F.when((F.length(p) < C.CHUNK_MIN) & (F.size(a) > 0), F.concat(F.slice(a, 1, F.greatest(F.size(a) - 1, F.lit(0))), F.array(F.concat_ws(" ", F.element_at(a, -1), p)))).otherwise(F.concat(a, F.array(p))))
+    start = F.array().cast("array<string>")
+    join = lambda a, p: F.concat(F.slice(a, 1, F.greatest(F.size(a) - 1, F.lit(0))), F.array(F.concat_ws(" ", F.element_at(a, -1), p)))
+    joined = F.aggregate(packed, start, lambda a, p: F.when((F.length(p) < C.CHUNK_MIN) & (F.size(a) > 0), join(a, p)).otherwise(F.concat(a, F.array(p))))
     return F.filter(joined, lambda x: F.length(x) >= C.CHUNK_MIN)
 
 
 def dedupe_paragraphs(paras: Column) -> Column:
     """First of the paragraphs that start with the same 220 characters in any case."""
     key = lambda x: F.replace(F.lower(F.substring(x, 1, 220)), F.lit("ß"), F.lit("ss"))
-    keys = F.transform(paras, lambda x: key(x))
-    return F.filter(paras, lambda x, i: F.array_position(keys, key(x)) == i + 1)
+    both = F.struct(paras.alias("p"), F.transform(paras, lambda x: key(x)).alias("k"))
+    alike = lambda b: F.filter(b["p"], lambda x, i: F.array_position(b["k"], F.get(b["k"], i)) == i + 1)
+    return T.let(both, lambda b: F.when(F.size(F.array_distinct(b["k"])) == F.size(b["p"]), b["p"]).otherwise(alike(b)))
 
 
 def split_long(paragraph: Column, most: int = C.CHUNK_MAX) -> Column:
     """A paragraph of over ``most`` characters by sentences and lines, packed again; slices if it is one sentence."""
     pieces = F.filter(F.transform(F.split(paragraph, r"(?<=[。！？.!?])\s+|\n+"), lambda x: F.trim(x)), lambda x: x != "")
     slices = F.transform(F.sequence(F.lit(0), F.floor((F.length(paragraph) - 1) / most).cast("int")), lambda k: F.trim(F.substr(paragraph, k * most + 1, F.lit(most))))
-    return F.when(F.length(paragraph) <= most, F.array(paragraph)).when(F.size(pieces) <= 1, slices).otherwise(_fold(pieces, most))
+    long_ = T.let(pieces, lambda p: F.when(F.size(p) <= 1, slices).otherwise(_fold(p, most)))
+    return F.when(F.length(paragraph) <= most, F.array(paragraph)).otherwise(long_)
 
 
 def chunk_pages(pages: DataFrame, round_: int = 1) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-AREAS = ("serp", "pages")
+AREAS = ("serp", "pages", "chunks")
 
 
 def registered() -> dict[str, tuple]:
