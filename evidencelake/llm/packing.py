@@ -7,7 +7,7 @@ bin. A document is cut into whole sequences and a rest; a rest that would waste
 
 Each task fills the bins of its own documents. What is left of a class when a task ends goes on,
 as rows of a few numbers, to the next level, where one task fills bins from ``FAN`` tasks' rests,
-and so on up to one last task. A level passes on fewer than k pieces of each class, so the last
+and so on up to one last task. Rests are dealt evenly. A level passes on fewer than k pieces of each class, so the last
 one reads a bounded number of rows whatever the corpus; it fills its last bins by size, largest
 pieces first.
 """
@@ -214,7 +214,7 @@ def harmonic_pack(docs: DataFrame, tokenizer: str = TOKENIZER, capacity: int = C
         done.append(now.filter("sequence_id is not null"))
         tasks = -(-tasks // FAN)
         level += 1
-        rests = now.filter("sequence_id is null").withColumn("task", F.floor(F.col("task") / FAN).cast("long"))
+        rests = now.filter("sequence_id is null").withColumn("task", F.pmod("task", F.lit(tasks)).cast("long"))
         now = rests.groupBy("task").applyInArrow(_next_level(level, tasks == 1, capacity), PLACED)
         if tasks <= 1:
             done.append(now)
