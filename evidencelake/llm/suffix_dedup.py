@@ -267,8 +267,8 @@ def repeated_spans(docs: DataFrame, batches: int = BATCHES, index: IndexFamily |
     for k in range(batches):
         found = materialize(family.add(suffixes.filter(F.col("batch") == k).select("key")), "keys")
         keys = found if keys is None else keys.unionByName(found)
-    # a key is found by every batch but the first that has it
-    shared = materialize(suffixes.drop("batch").join(keys.distinct(), "key", "left_semi"), "shared")
+    # a key is found by every batch but the first that has it. Both sides of the join are tables, so that AQE can split a prefix that very many suffixes share
+    shared = materialize(suffixes.drop("batch").join(materialize(keys.distinct(), "keys"), "key", "left_semi"), "shared")
     rows = _classed(shared.withColumn("weight", F.lit(1)), "at")
     of_doc = rows.groupBy("uid").agg(F.collect_set(F.struct("at", "lo", "hi", F.least("n", F.lit(2)).alias("n"), "asks")).alias("found"))
     texts = base.select("uid", "doc_id", "text").mapInArrow(_pack, "uid long, doc_id long, packed binary").join(of_doc, "uid", "left")
