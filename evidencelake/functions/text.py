@@ -164,14 +164,20 @@ def low_value_reason(text: Column) -> Column:
 
 def quality_gate(text: Column, m: Column) -> Column:
     """usable, acceptable, reason of a page text with its metrics."""
-    low, score, size, lang = low_value_reason(text), m["quality_score"], m["text_len"], m["language_hint"]
-    bad = (
-        F.when(low.isNotNull(), low).when(size < 40, "TEXT_TOO_SHORT").when((score <= 0) & (m["short_line_ratio"] >= 0.85), "LOW_SIGNAL_CONTENT")
-        .when((score < profile(lang, 4)) & (size < max(C.TEXT_FORCE_JS, C.SUCCESS_MIN)), "LOW_SIGNAL_CONTENT")
-        .when((m["nav_hits"] >= 12) & (score < 200), "NAV_HEAVY_CONTENT").when((size < C.SUCCESS_MIN) & (score < profile(lang, 3)), "LOW_VALUE_CONTENT")
-    )
-    fine = ((size >= C.TEXT_ACCEPT) & (score >= profile(lang, 2))) | ((size >= C.LONG_LENGTH) & (score >= C.LONG_SCORE) & (m["nav_hits"] <= C.LONG_NAV) & (m["short_line_ratio"] <= C.LONG_SHORT_RATIO))
-    return F.struct(bad.isNull().alias("usable"), (bad.isNull() & fine).alias("acceptable"), F.coalesce(bad, F.when(~fine, "BELOW_ACCEPT_THRESHOLD")).alias("reason"))
+
+    def judged(b: Column) -> Column:
+        m, low = b["m"], b["low"]
+        score, size, lang = m["quality_score"], m["text_len"], m["language_hint"]
+        bad = (
+            F.when(low.isNotNull(), low).when(size < 40, "TEXT_TOO_SHORT").when((score <= 0) & (m["short_line_ratio"] >= 0.85), "LOW_SIGNAL_CONTENT")
+            .when((score < profile(lang, 4)) & (size < max(C.TEXT_FORCE_JS, C.SUCCESS_MIN)), "LOW_SIGNAL_CONTENT")
+            .when((m["nav_hits"] >= 12) & (score < 200), "NAV_HEAVY_CONTENT").when((size < C.SUCCESS_MIN) & (score < profile(lang, 3)), "LOW_VALUE_CONTENT")
+        )
+        fine = ((size >= C.TEXT_ACCEPT) & (score >= profile(lang, 2))) | ((size >= C.LONG_LENGTH) & (score >= C.LONG_SCORE) & (m["nav_hits"] <= C.LONG_NAV) & (m["short_line_ratio"] <= C.LONG_SHORT_RATIO))
+        return F.struct(bad.isNull().alias("usable"), (bad.isNull() & fine).alias("acceptable"), F.coalesce(bad, F.when(~fine, "BELOW_ACCEPT_THRESHOLD")).alias("reason"))
+
+    # bound once: an optimizer that moves a filter on the result would otherwise repeat what it is made of
+    return let(F.struct(m.alias("m"), let(text, low_value_reason).alias("low")), judged)
 
 
 def content_scope(text: Column) -> Column:

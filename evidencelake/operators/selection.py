@@ -66,7 +66,8 @@ def exclude_seen(cands: DataFrame, seen: DataFrame, key: Column | None = None) -
 
 def resolve_picks(serp: DataFrame, picks: DataFrame, most: int) -> DataFrame:
     """Result rows of picks (group_index = query_ordinal, result_index = rank - 1); unknown indices vanish, a group has ``most``, a URL is taken once."""
-    found = picks.join(serp, (picks.research_id == serp.research_id) & (picks.group_index == serp.query_ordinal) & (picks.result_index == serp["rank"] - 1)).select(picks.research_id, "group_index", "pick_ordinal", "result_index", serp.url, serp.url_key, serp.title)
+    rows = serp.select("research_id", F.col("query_ordinal").alias("group_index"), (F.col("rank") - 1).alias("result_index"), "url", "url_key", "title")
+    found = picks.select("research_id", "group_index", "pick_ordinal", "result_index").join(rows, ["research_id", "group_index", "result_index"])
     return first_by(top_rows(found, ["research_id", "group_index"], ["pick_ordinal"], most), ["research_id", "url_key"], ["group_index", "pick_ordinal"])
 
 

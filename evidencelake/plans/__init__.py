@@ -11,7 +11,7 @@ from ..functions import text as T
 from ..operators import chunks as K
 from ..sources.tables import table
 
-AREAS = ("serp", "pages", "chunks", "conversations", "providers")
+AREAS = ("serp", "pages", "chunks", "conversations", "providers", "language", "jobs")
 
 
 def registered() -> dict[str, tuple]:
