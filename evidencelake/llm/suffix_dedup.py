@@ -290,7 +290,8 @@ def repeated_spans(docs: DataFrame, batches: int = BATCHES, index: IndexFamily |
 def _classed(rows: DataFrame, at: str) -> DataFrame:
     """Rows (uid, key, cover, weight and ``at``) with n, the members of their class, and asks, whether they stand for it in further questions; rows of which neither matters are left out."""
     member = F.struct("uid", at)
-    classes = rows.groupBy("key", "cover").agg(F.sum("weight").alias("n"), F.min(member).alias("speaker"))
-    several = classes.groupBy("key").agg((F.count("*") > 1).alias("several"))
+    classes = materialize(rows.groupBy("key", "cover").agg(F.sum("weight").alias("n"), F.min(member).alias("speaker")), "classes")
+    # tables again on both sides: a key of very many classes is then split
+    several = materialize(classes.groupBy("key").agg((F.count("*") > 1).alias("several")), "several")
     known = materialize(classes.join(several, "key").filter("several or n > 1"), "classes")
     return rows.join(known, ["key", "cover"]).withColumn("asks", F.col("several") & (F.col("speaker") == member)).filter("asks or n > 1")
