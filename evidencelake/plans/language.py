@@ -6,7 +6,9 @@ from pyspark.sql import functions as F
 
 from ..functions import cleanup as U
 from ..functions import querylang as L
+from ..functions import text as T
 from ..functions import urls
+from ..operators import trimming as M
 from ..sources.handlers import apply_handlers
 from ..sources.tables import QUESTIONS, table
 
@@ -68,7 +70,23 @@ def x2_handlers(spark, d):
     return apply_handlers(pages, [forum, plain], lambda df: df.withColumn("text", F.lit("default"))).select("page_id", "text")
 
 
+def _trimmed(spark, d):
+    pages = table(spark, d, "pages")
+    tail = F.when(F.col("page_id") % 2 == 0, "\nShort note\nRead more\nOther story").otherwise("")
+    return M.postprocess(pages.select("page_id", F.concat(F.lit("Sign in\n"), T.html_to_text(F.col("html")), tail).alias("text"), T.extract_title(F.col("html")).alias("title")))
+
+
+def f22_f23_trimmed(spark, d):
+    return _trimmed(spark, d).select("page_id", "text")
+
+
+def g16_step_stats(spark, d):
+    return M.clean_step_stats(_trimmed(spark, d))
+
+
 QUERIES = {
+    "f22_f23_trimmed": (f22_f23_trimmed, None),
+    "g16_step_stats": (g16_step_stats, None),
     "f10_f13_query_flags": (f10_f13_flags, F10_SQL),
     "f14_english_mirror": (f14_mirror, None),
     "g3_query_profile": (g3_profile, None),

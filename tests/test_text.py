@@ -1,6 +1,7 @@
 from evidencelake.functions import text as T
 from evidencelake.operators import chunks as K
 from evidencelake.operators import pages as P
+from evidencelake.operators import trimming as M
 from pyspark.sql import functions as F
 
 
@@ -43,3 +44,11 @@ def test_kwic_marks_cut_ends(spark):
 
 def test_chunk_ids_are_floored(spark):
     assert spark.range(1).select(T.chunk_id(F.lit(0), F.lit(0), F.lit(7))).first()[0] == "L1-S1-C007"
+
+
+def test_trimming_cuts_shells(spark):
+    body = "This is the first full sentence of the page. " * 3
+    text = f"Sign in\nHome > News\n{body}\nMiddle line of the text here.\nLast sentence stands here.\nShort note\nRead more\nOther"
+    assert one(spark, text, M.trim_leading).startswith("Home > News\nThis is")
+    assert one(spark, text, M.trim_trailing).endswith("Last sentence stands here.")
+    assert one(spark, "a line", lambda c: M.title_heading(c, F.lit("A title of some length"))) == "# A title of some length\n\na line"
