@@ -99,13 +99,13 @@ def is_interactive_url(url: Column) -> Column:
 
 def is_thread_url(url: Column) -> Column:
     """Pages of one discussion thread on the forum whose listings are archived as JSON."""
-    return F.coalesce(url, F.lit("")).rlike(r"(?i)^https?://(?:www\.|old\.)?reddit\.com/r/[^/]+/comments/")
+    return F.coalesce(url, F.lit("")).rlike(r"(?i)^https?://(?:www\.|old\.|new\.)?reddit\.com/r/[^/]+/comments/[^/]+")
 
 
 def thread_key(url: Column) -> Column:
     """The archive key of a thread: without query and fragment, ``.json`` once at the end."""
-    bare = F.regexp_replace(F.regexp_replace(_text(url), r"[?#].*$", ""), "/+$", "")
-    return F.when(bare.endswith(".json"), bare).otherwise(F.concat(bare, F.lit(".json")))
+    bare = F.regexp_replace(_text(url), r"[?#].*$", "")
+    return F.when(bare.endswith(".json"), bare).otherwise(F.concat(F.regexp_replace(bare, "/+$", ""), F.lit(".json")))
 
 
 def citation_id(url: Column) -> Column:
