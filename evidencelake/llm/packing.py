@@ -14,6 +14,7 @@ pieces first.
 
 from __future__ import annotations
 
+import contextlib
 import itertools
 import re
 import zlib
@@ -77,7 +78,12 @@ class WordMemo:
         ids = list(map(self.memo.get, found))
         if None not in ids:
             return b"".join(ids)
-        missing = {w for w, x in zip(found, ids) if x is None}
+        gaps, at = [], -1
+        with contextlib.suppress(ValueError):
+            while True:
+                at = ids.index(None, at + 1)
+                gaps.append(at)
+        missing = {found[i] for i in gaps}
         # a mark behind letters is a token of its own: both parts are looked up apart
         marked = {w: w[:-1] for w in missing if w[-1] in ".,|!?;:" and w[:-1].lower().isalpha()}
         parts = {*marked.values(), *(w[-1] for w in marked)}
@@ -86,7 +92,9 @@ class WordMemo:
         known |= {w: known[core] + known[w[-1]] for w, core in marked.items()}
         if len(self.memo) < self.most:
             self.memo |= known
-        return b"".join(known[w] if x is None else x for w, x in zip(found, ids))
+        for i in gaps:
+            ids[i] = known[found[i]]
+        return b"".join(ids)
 
 
 @cache
