@@ -12,7 +12,9 @@ are an interval [lo, hi].
 *Index family.* Documents come in batches. A batch's suffixes, ordered by the hash of their prefix,
 are a suffix array of its own; it is merge-scanned (a sort-merge join) against each existing level
 for prefixes that both have. When the next batch comes, levels of equal size merge, so a suffix is
-rewritten at most log2(batches) times. An index may be kept and added to later.
+rewritten at most log2(batches) times. The levels tell which prefixes recur. An index that is kept
+for later calls also holds the suffixes and packed texts of its documents, which then take part in
+all further steps.
 
 *Exact ends.* Suffixes with a shared prefix form classes by the hash of all bytes that their starts
 cover. In a class of two or more, every start repeats. Where a prefix has several classes, a match
@@ -114,10 +116,12 @@ def _suffixes(batches: int):
 
 
 class IndexFamily:
-    """Levels of (key, n): level i holds the suffix prefixes of 2**i batches, each ordered by key."""
+    """Levels of (key, n): level i holds the suffix prefixes of 2**i batches, each ordered by key; suffixes and packed texts of earlier calls beside them."""
 
     def __init__(self, levels: list[tuple[int, DataFrame]] | None = None):
         self.levels = levels or []
+        self.suffixes: list[DataFrame] = []
+        self.texts: list[DataFrame] = []
 
     def _settle(self) -> None:
         """Merge the last levels while they are of equal size."""
@@ -259,7 +263,8 @@ def repeated_spans(docs: DataFrame, batches: int = BATCHES, index: IndexFamily |
 
     Null counts as empty; texts of under LENGTH bytes keep all. Matches stay inside documents. Rows
     that are equal in doc_id and text repeat each other. A null doc_id stays null; other columns are
-    not read. An index that is passed in takes part in finding repeated prefixes and is added to.
+    not read. An index that is passed in is added to: what repeats
+    a document of an earlier call goes as if both came in one call; rows of earlier calls are not given again.
     """
     base = documents(docs).withColumn("text", F.coalesce("text", F.lit(""))).withColumn("uid", F.xxhash64("doc_id", "text").bitwiseAND(F.lit(2**63 - 1)))
     suffixes = materialize(base.select("uid", "text").mapInArrow(_suffixes(batches), SUFFIX), "suffixes")
@@ -268,13 +273,24 @@ def repeated_spans(docs: DataFrame, batches: int = BATCHES, index: IndexFamily |
         found = materialize(family.add(suffixes.filter(F.col("batch") == k).select("key")), "keys")
         keys = found if keys is None else keys.unionByName(found)
     # a key is found by every batch but the first that has it. Both sides of the join are tables, so that AQE can split a prefix that very many suffixes share
-    shared = materialize(suffixes.drop("batch").join(materialize(keys.distinct(), "keys"), "key", "left_semi"), "shared")
+    known = suffixes.drop("batch")
+    for earlier in family.suffixes:
+        known = known.unionByName(earlier)
+    shared = materialize(known.join(materialize(keys.distinct(), "keys"), "key", "left_semi"), "shared")
     rows = _classed(shared.withColumn("weight", F.lit(1)), "at")
     of_doc = rows.groupBy("uid").agg(F.collect_set(F.struct("at", "lo", "hi", F.least("n", F.lit(2)).alias("n"), "asks")).alias("found"))
-    texts = base.select("uid", "doc_id", "text").mapInArrow(_pack, "uid long, doc_id long, packed binary").join(of_doc, "uid", "left")
+    packed = base.select("uid", "doc_id", "text").mapInArrow(_pack, "uid long, doc_id long, packed binary")
+    if index is not None:
+        packed = materialize(packed, "packed")
+    texts = packed.join(of_doc, "uid", "left")
     found_type = "array<struct<at:int,lo:int,hi:int,n:bigint,asks:boolean>>"
     joined = materialize(texts.mapInArrow(_settle, f"uid long, doc_id long, packed binary, found {found_type}, n_bytes long, kept_sha256 string"), "texts")
-    touched = joined.filter("found is not null").select("uid", "doc_id", "packed", "found")
+    own = touched = joined.filter("found is not null").select("uid", "doc_id", "packed", "found")
+    for earlier in family.texts:
+        touched = touched.unionByName(earlier.join(of_doc, "uid").select("uid", "doc_id", "packed", "found"))
+    if index is not None:
+        family.suffixes.append(suffixes.drop("batch"))
+        family.texts.append(packed)
     blocks = materialize(_classed(materialize(touched.mapInArrow(_blocks, BLOCKS), "blocks"), "low"), "blocks")
     block = F.struct(F.col("low").alias("lo"), F.col("high").alias("hi"), F.least("n", F.lit(2)).alias("n"))
     asked = blocks.filter("asks").groupBy("uid").agg(F.collect_set(block).alias("asked"))
@@ -282,7 +298,7 @@ def repeated_spans(docs: DataFrame, batches: int = BATCHES, index: IndexFamily |
     twice = looked.groupBy("h1", "h2").agg(F.sum("weight").alias("w")).filter("w > 1").select("h1", "h2")
     starts = looked.filter("start >= 0").join(twice, ["h1", "h2"], "left_semi").groupBy("uid").agg(F.collect_set("start").alias("starts"))
     whole = blocks.filter("n > 1").groupBy("uid").agg(F.collect_set(block).alias("blocks"))
-    cut = touched.join(whole, "uid", "left").join(starts, "uid", "left").select("doc_id", "packed", "found", "blocks", "starts").mapInArrow(_remove, RESULT)
+    cut = own.join(whole, "uid", "left").join(starts, "uid", "left").select("doc_id", "packed", "found", "blocks", "starts").mapInArrow(_remove, RESULT)
     plain = joined.filter("found is null").select("doc_id", "n_bytes", F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), "kept_sha256", F.array().cast("array<struct<low:bigint,high:bigint>>").alias("spans"))
     return plain.unionByName(cut)
 
