@@ -100,23 +100,30 @@ def site_map(pages: DataFrame, n: int) -> DataFrame:
 
 def keyword_probe(pages: DataFrame, keywords: DataFrame) -> DataFrame:
     """Pages with each keyword that their text has, in any case; keywords (a short list) are carried as an array, so pages are not multiplied before the test."""
-    words = F.array(*(F.lit(r["keyword"]) for r in keywords.select("keyword").distinct().orderBy("keyword").limit(100).collect()))
-    hits = F.filter(words, lambda w: F.contains(F.lower("text"), F.lower(w)))
-    return pages.withColumn("keyword", F.explode(hits))
+    words = keywords.agg(F.sort_array(F.collect_set("keyword")).alias("_words"))
+    hits = F.filter("_words", lambda w: F.contains(F.lower("text"), F.lower(w)))
+    return pages.crossJoin(F.broadcast(words)).withColumn("keyword", F.explode(hits)).drop("_words")
 
 
 def kwic(text: Column, keyword: Column, context: int = 40, most: int = 3) -> Column:
     """Up to ``most`` distinct snippets around the keyword's occurrences from left to right, ends marked by dots."""
     lowered, word = F.lower(text), F.lower(keyword)
     gaps = F.transform(F.split(lowered, F.concat(F.lit("\\Q"), word, F.lit("\\E"))), F.length)
-    starts = F.transform(F.sequence(F.lit(1), F.greatest(F.least(F.size(gaps) - 1, F.lit(50 * most)), F.lit(1))), lambda k: F.aggregate(F.slice(gaps, F.lit(1), k), F.lit(0), lambda a, x: a + x) + (k - 1) * F.length(word))
 
     def snippet(p: Column) -> Column:
         left = F.greatest(p - context, F.lit(0))
         right = F.least(p + F.length(word) + context, F.length(text))
         return F.concat(F.when(left > 0, "...").otherwise(""), F.substr(text, left + 1, right - left), F.when(right < F.length(text), "...").otherwise(""))
 
-    return F.when(F.size(gaps) > 1, F.slice(F.array_distinct(F.transform(starts, snippet)), 1, most)).otherwise(F.array().cast("array<string>"))
+    def step(a: Column, gap: Column) -> Column:
+        start = a["p"] + gap
+        new = F.array(snippet(start))
+        out = F.when(F.size(a["out"]) >= most, a["out"]).otherwise(F.array_union(a["out"], new))
+        return F.struct((start + F.length(word)).alias("p"), out.alias("out"))
+
+    none = F.array().cast("array<string>")
+    before = F.slice(gaps, F.lit(1), F.greatest(F.size(gaps) - 1, F.lit(0)))  # the text after the last occurrence starts none
+    return F.when(F.size(gaps) > 1, F.aggregate(before, F.struct(F.lit(0).alias("p"), none.alias("out")), step, lambda a: a["out"])).otherwise(none)
 
 
 def crawl_stats(log: DataFrame) -> DataFrame:
