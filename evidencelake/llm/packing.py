@@ -14,8 +14,8 @@ pieces first.
 
 from __future__ import annotations
 
-import contextlib
 import itertools
+import os
 import re
 import zlib
 from array import array
@@ -23,22 +23,27 @@ from collections import defaultdict
 from collections.abc import Iterator
 from functools import cache
 
-import numpy as np
-import public_tokenizers
-import pyarrow as pa
-from pyspark import TaskContext
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-from tokenizers import Tokenizer
+#: A task has one core; threads of the tokenizer would only wait for each other.
+os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
-from .common import documents, materialize
+import numpy as np  # noqa: E402
+import public_tokenizers  # noqa: E402
+import pyarrow as pa  # noqa: E402
+from pyspark import TaskContext  # noqa: E402
+from pyspark.sql import DataFrame  # noqa: E402
+from pyspark.sql import functions as F  # noqa: E402
+from tokenizers import Tokenizer  # noqa: E402
+
+from .common import documents, materialize  # noqa: E402
 
 TOKENIZER = "word_bpe_49k.json"
 CAPACITY, END_ID = 4096, 2
 #: Most of a slot that an uncut rest may leave empty.
 WASTE = 1 / 32
-#: Word encodings a task remembers.
+#: Word encodings a task remembers, and those of one more call.
 MEMO = 700_000
+#: Characters of texts whose unknown words are encoded in one call, and one text more.
+GATHER = 1 << 22
 #: Latin letters up to U+024F become lower case one by one, but for the dotted capital I.
 NOT_LATIN = re.compile("[^\x00-\u012f\u0131-\u024f]")
 #: Tasks whose rests one task of the next level takes.
@@ -58,43 +63,54 @@ class WordMemo:
 
     The tokenizer drops white space and encodes no two words together, so a text's ids are those of
     its white-space-separated words. Texts for which that can't be said are encoded whole: those with
-    special strings, and with separators that only Python counts as white space.
+    special strings, and with separators that only Python counts as white space. The memo has two
+    halves: when the young one is full it becomes the old one, so words that still occur stay.
     """
 
     def __init__(self, name: str, most: int = MEMO):
-        self.tokenizer, self.most, self.memo = _tokenizer(name), most, {}
+        self.tokenizer, self.most, self.memo, self.old = _tokenizer(name), max(2, most), {}, {}
         self.special = [*(t.content for t in self.tokenizer.get_added_tokens_decoder().values()), *"\x1c\x1d\x1e\x1f"]
 
     def _ids(self, asked: list[str]) -> dict[str, bytes]:
         found = self.tokenizer.encode_batch_fast(asked, add_special_tokens=False)
         return {w: array("I", e.ids).tobytes() for w, e in zip(asked, found)}
 
-    def encode(self, text: str) -> bytes:
-        if any(s in text for s in self.special):
-            return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
-        if not NOT_LATIN.search(text):
-            text = text.lower()  # as the tokenizer will, character by character
-        found = text.split()
-        ids = list(map(self.memo.get, found))
-        if None not in ids:
-            return b"".join(ids)
-        gaps, at = [], -1
-        with contextlib.suppress(ValueError):
-            while True:
-                at = ids.index(None, at + 1)
-                gaps.append(at)
-        missing = {found[i] for i in gaps}
+    def _learn(self, missing: set[str]) -> None:
+        """The young half gets these words, from the old one if it has them."""
+        at_hand = lambda words: {w: ids for w in words if (ids := self.memo.get(w) or self.old.get(w))}
+        known = at_hand(missing)
+        missing = missing - known.keys()
         # a mark behind letters is a token of its own: both parts are looked up apart
         marked = {w: w[:-1] for w in missing if w[-1] in ".,|!?;:" and w[:-1].lower().isalpha()}
         parts = {*marked.values(), *(w[-1] for w in marked)}
-        known = {w: self.memo[w] for w in parts if w in self.memo}
+        known |= at_hand(parts)
         known |= self._ids([w for w in (missing - marked.keys()) | parts if w not in known])
         known |= {w: known[core] + known[w[-1]] for w, core in marked.items()}
-        if len(self.memo) < self.most:
-            self.memo |= known
-        for i in gaps:
-            ids[i] = known[found[i]]
-        return b"".join(ids)
+        self.memo |= known
+
+    def encode_all(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text; unknown words of all texts are encoded in one call."""
+        out, split, missing = [b""] * len(texts), {}, set()
+        for i, text in enumerate(texts):
+            if any(s in text for s in self.special):
+                out[i] = array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+                continue
+            if not NOT_LATIN.search(text):
+                text = text.lower()  # as the tokenizer will, character by character
+            split[i] = text.split()
+            missing.update(split[i])
+        missing -= self.memo.keys()
+        if missing:
+            self._learn(missing)
+        get = self.memo.__getitem__
+        for i, words in split.items():
+            out[i] = b"".join(map(get, words))
+        if len(self.memo) > self.most // 2:
+            self.memo, self.old = {}, self.memo
+        return out
+
+    def encode(self, text: str) -> bytes:
+        return self.encode_all([text])[0]
 
 
 @cache
@@ -175,16 +191,27 @@ def _rows(rows: list[tuple]) -> pa.RecordBatch:
     return pa.record_batch({n: pa.array(c, pa.int64()) for n, c in zip(_KINDS, columns)})
 
 
+def _gathered(doc_ids: list, texts: list) -> Iterator[tuple[list, list[str]]]:
+    """The rows in runs of about GATHER characters."""
+    first, size = 0, 0
+    for i, text in enumerate(texts):
+        size += len(text or "")
+        if size >= GATHER or i + 1 == len(texts):
+            yield doc_ids[first : i + 1], [t or "" for t in texts[first : i + 1]]
+            first, size = i + 1, 0
+
+
 def _first_level(tokenizer: str, capacity: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo, end = word_memo(tokenizer), np.array([END_ID], "<u4").tobytes()
         task = TaskContext.get().partitionId()
         bins = Bins(task, 0, capacity)
         for b in batches:
-            for doc_id, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist()):
-                ids = memo.encode(text or "") + end
-                for start, length, crc in pieces_of(ids, capacity):
-                    bins.add((doc_id, start, length, crc, len(ids) // 4))
+            for doc_ids, texts in _gathered(b.column("doc_id").to_pylist(), b.column("text").to_pylist()):
+                for doc_id, ids in zip(doc_ids, memo.encode_all(texts)):
+                    ids += end
+                    for start, length, crc in pieces_of(ids, capacity):
+                        bins.add((doc_id, start, length, crc, len(ids) // 4))
                 if len(bins.out) > 20_000:
                     yield _rows(bins.out)
                     bins.out.clear()
