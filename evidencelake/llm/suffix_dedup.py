@@ -1,33 +1,39 @@
 """Removal of long repeated passages with a logarithmic family of sparse suffix arrays.
 
-A byte goes if it lies in a ``LENGTH``-byte string that starts at two or more places of the corpus.
+A byte goes if it lies in a 400-byte string that starts at two or more places of the corpus. Beside
+that, a document is marked if a passage of ``WORDS.length`` words or more stands in another document
+too, however few bytes it has.
 
-*Sparse suffixes.* The anchor of a start s is the position of the least 16-byte hash among the
-``WINDOW`` positions from s on, the leftmost of equals. It depends on the bytes of the string at s
-alone, so equal strings have their anchors at the same offset, and the ``PREFIX`` bytes from the
-anchor on lie inside the string: a string can only occur twice if the suffix at its anchor shares
-its prefix with another indexed suffix. One suffix in about 160 is indexed. The starts of one anchor
-are an interval [lo, hi].
+*Sparse suffixes.* The anchor of a start s is the position of the least hash of a gram among the
+``window`` positions from s on, the leftmost of equals. It depends on the string at s alone, so
+equal strings have their anchors at the same offset, and the ``prefix`` units from the anchor on
+lie inside the string: a string can only occur twice if the suffix at its anchor shares its prefix
+with another indexed suffix. One suffix in about 160 bytes is indexed, and one in about 20 words.
+The starts of one anchor are an interval [lo, hi].
 
 *Index family.* Documents come in batches. A batch's suffixes, ordered by the hash of their prefix,
 are a suffix array of its own; it is merge-scanned (a sort-merge join) against each existing level
 for prefixes that both have. When the next batch comes, levels of equal size merge, so a suffix is
-rewritten at most log2(batches) times. The levels tell which prefixes recur. An index that is kept
-for later calls also holds the suffixes and packed texts of its documents, which then take part in
-all further steps.
+rewritten at most log2(batches) times. What the levels hold of the prefixes found goes into the
+steps below, so a batch meets all documents before it, those of earlier calls included.
 
-*Exact ends.* Suffixes with a shared prefix form classes by the hash of all bytes that their starts
+*Exact ends.* Suffixes with a shared prefix form classes by the hash of all that their starts
 cover. In a class of two or more, every start repeats. Where a prefix has several classes, a match
 begins or ends within them: one member of each class is then cut into blocks of ``BLOCK`` starts,
 counted from the anchor, which form classes in the same way by the bytes common to all starts of a
 block and the bytes that they cover. Where these are several again, single starts are looked up by
-the hash of their ``LENGTH`` bytes. Hashes that decide have 128 bits.
+the hash of their 400 bytes. A prefix and what it covers are two 64-bit hashes, a single start is
+128 bits; bytes themselves are not compared.
+
+A text is worked through in pieces of ``PIECE`` bytes, so memory does not follow its length. An
+anchor's interval is cut where a piece ends, which makes a class of its own there and no other end.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -37,10 +43,25 @@ from pyspark.sql import functions as F
 
 from .common import documents, materialize, utf8_parts
 
-LENGTH, WINDOW, PREFIX, GRAM = 400, 320, 80, 16
+
+@dataclass(frozen=True)
+class Unit:
+    """Strings of ``length`` bytes or words; window + prefix is at most length + 1."""
+
+    code: int
+    length: int
+    window: int
+    prefix: int
+    gram: int
+
+
+BYTES, WORDS = Unit(0, 400, 320, 80, 16), Unit(1, 50, 38, 12, 12)
+LENGTH = BYTES.length
 BATCHES = 4
 #: Starts in a block where the ends of matches are sought.
 BLOCK = 16
+#: Bytes of a text whose starts are hashed at once.
+PIECE = 1 << 20
 
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -53,39 +74,46 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 
 class Rolling:
-    """Hashes of all substrings of a text, as differences of prefix sums of byte codes times powers modulo 2**64."""
+    """Hashes of all runs of a sequence of codes, as differences of prefix sums of codes times powers modulo 2**64; equal runs have equal hashes wherever they stand."""
 
     _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
-    def __init__(self, raw: bytes, seed: int = 1):
-        base = 0x9E3779B97F4A7C15 * (2 * seed + 1) & (2**64 - 1) | 1
-        n = len(raw)
+    def __init__(self, codes: np.ndarray, seed: int = 1):
+        n = len(codes)
         power, inverse = self._powers.get(seed, (np.empty(0, np.uint64), np.empty(0, np.uint64)))
         if len(power) < n + 1:
-            size = max(2 * n, 1 << 16)
+            base, size = self._base(seed), max(2 * n, 1 << 16)
             fill = lambda b: np.concatenate([np.ones(1, np.uint64), np.cumprod(np.full(size, b, np.uint64))])
             power, inverse = self._powers[seed] = fill(base), fill(pow(base, -1, 2**64))
-        codes = _mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(base))
         self.inverse = inverse
         self.sums = np.zeros(n + 1, np.uint64)
-        np.cumsum(codes[np.frombuffer(raw, np.uint8)] * power[:n], out=self.sums[1:])
+        np.cumsum(codes * power[:n], out=self.sums[1:])
+
+    @staticmethod
+    def _base(seed: int) -> int:
+        return 0x9E3779B97F4A7C15 * (2 * seed + 1) & (2**64 - 1) | 1
+
+    @classmethod
+    def of(cls, raw: bytes, seed: int = 1) -> Rolling:
+        codes = _mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(cls._base(seed)))
+        return cls(codes[np.frombuffer(raw, np.uint8)], seed)
 
     def at(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         return _mix((self.sums[end] - self.sums[start]) * self.inverse[start])
 
     def runs(self, length: int, low: int, high: int) -> np.ndarray:
-        """Hashes of the strings of one length that start at low, ..., high - 1."""
+        """Hashes of the runs of one length that start at low, ..., high - 1."""
         return _mix((self.sums[low + length : high + length] - self.sums[low:high]) * self.inverse[low:high])
 
 
-def anchors(rolling: Rolling, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Anchor positions of a text of n >= LENGTH bytes, and the first and last start that each has."""
-    starts = n - LENGTH + 1
-    many = starts + WINDOW - 1
-    least = (rolling.runs(GRAM, 0, many) & np.uint64(0xFFFFFFFF00000000)) | np.arange(many, dtype=np.uint64)
+def anchors(rolling: Rolling, n: int, unit: Unit = BYTES) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Anchor positions of a sequence of n >= unit.length, and the first and last start that each has."""
+    starts = n - unit.length + 1
+    many = starts + unit.window - 1
+    least = (rolling.runs(unit.gram, 0, many) & np.uint64(0xFFFFFFFF00000000)) | np.arange(many, dtype=np.uint64)
     size = 1
-    while size < WINDOW:
-        step = min(size, WINDOW - size)
+    while size < unit.window:
+        step = min(size, unit.window - size)
         least = np.minimum(least[:-step], least[step:])
         size += step
     at = (least & np.uint64(0xFFFFFFFF)).astype(np.int64)
@@ -94,55 +122,96 @@ def anchors(rolling: Rolling, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarra
     return at[lo], lo, hi
 
 
-SUFFIX = "batch int, key long, cover long, uid long, at int, lo int, hi int"
+def word_bounds(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Where each word begins and ends; words are parted by ASCII white space."""
+    a = np.frombuffer(raw, np.uint8)
+    edge = np.diff(np.concatenate([[0], ((a != 32) & ((a < 9) | (a > 13))).view(np.int8), [0]]).astype(np.int8))
+    return np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+
+
+def word_hashes(raw: bytes, whole: Rolling | None = None) -> np.ndarray:
+    """The hash of each word; ``whole`` is that of all bytes where it is at hand. A word of over PIECE bytes has its digest's."""
+    start, end = word_bounds(raw)
+    if whole is not None or not len(start):
+        return whole.at(start, end) if len(start) else np.empty(0, np.uint64)
+    out, i = [], 0
+    while i < len(start):
+        j = max(i + 1, int(np.searchsorted(end, start[i] + PIECE, "right")))
+        low, high = int(start[i]), int(end[j - 1])
+        if high - low > PIECE:
+            out.append(np.frombuffer(hashlib.sha256(raw[low:high]).digest()[:8], np.uint64))
+        else:
+            out.append(Rolling.of(raw[low:high]).at(start[i:j] - low, end[i:j] - low))
+        i = j
+    return np.concatenate(out)
+
+
+SUFFIX = "batch int, unit int, key long, cover long, uid long, at int, lo int, hi int"
+
+
+def _entries(r: Rolling, n: int, unit: Unit, shift: int = 0) -> tuple[np.ndarray, ...]:
+    """unit, key, cover, at, lo, hi of the suffixes that stand for all starts of a sequence of n codes."""
+    at, lo, hi = anchors(r, n, unit)
+    cover = _mix(r.at(lo, hi + unit.length) + (at - lo).astype(np.uint64) * _M2 + (hi - lo).astype(np.uint64) * _M1)
+    return np.full(len(at), unit.code), r.at(at, at + unit.prefix).view(np.int64), cover.view(np.int64), at + shift, lo + shift, hi + shift
+
+
+def suffixes_of(raw: bytes) -> Iterator[tuple[np.ndarray, ...]]:
+    """Entries of a text, in bytes and then in words."""
+    whole = None
+    for first in range(0, len(raw) - LENGTH + 1, PIECE):
+        piece = raw[first : first + PIECE + LENGTH - 1]
+        whole = Rolling.of(piece)
+        yield _entries(whole, len(piece), BYTES, first)
+    words = word_hashes(raw, (whole or Rolling.of(raw)) if len(raw) <= PIECE else None)
+    if len(words) >= WORDS.length:
+        yield _entries(Rolling(words), len(words), WORDS)
 
 
 def _suffixes(batches: int):
     def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in stream:
-            parts: dict[str, list] = {x.split()[0]: [] for x in SUFFIX.split(", ")}
+            out: list[list] = [[] for _ in SUFFIX.split(", ")]
             for uid, raw in zip(b.column("uid").to_pylist(), utf8_parts(b.column("text"))):
-                if len(raw) < LENGTH:
-                    continue
-                r = Rolling(raw)
-                at, lo, hi = anchors(r, len(raw))
-                cover = _mix(r.at(lo, hi + LENGTH) + (at - lo).astype(np.uint64) * _M2 + (hi - lo).astype(np.uint64) * _M1)
-                for name, x in zip(parts, (np.full(len(at), uid % batches), r.at(at, at + PREFIX).view(np.int64), cover.view(np.int64), np.full(len(at), uid), at, lo, hi)):
-                    parts[name].append(x)
-            kinds = {"int": np.int32, "long": np.int64}
-            yield pa.record_batch({n: pa.array(np.concatenate(parts[n]).astype(kinds[k]) if parts[n] else np.empty(0, kinds[k])) for n, k in (x.split() for x in SUFFIX.split(", "))})
+                for unit, key, cover, at, lo, hi in suffixes_of(raw):
+                    for o, x in zip(out, (np.full(len(at), uid % batches), unit, key, cover, np.full(len(at), uid), at, lo, hi)):
+                        o.append(x)
+            yield _columns(out, SUFFIX)
 
     return run
 
 
 class IndexFamily:
-    """Levels of (key, n): level i holds the suffix prefixes of 2**i batches, each ordered by key; suffixes and packed texts of earlier calls beside them."""
+    """Levels of suffixes (unit, key, cover, uid, at, lo, hi), each ordered by key: level i holds those of 2**i batches. Packed texts of earlier calls stand beside them."""
 
-    def __init__(self, levels: list[tuple[int, DataFrame]] | None = None):
-        self.levels = levels or []
-        self.suffixes: list[DataFrame] = []
+    def __init__(self) -> None:
+        self.levels: list[tuple[int, DataFrame]] = []
         self.texts: list[DataFrame] = []
 
     def _settle(self) -> None:
         """Merge the last levels while they are of equal size."""
         while len(self.levels) > 1 and self.levels[-1][0] == self.levels[-2][0]:
             (size, a), (_, b) = self.levels.pop(), self.levels.pop()
-            self.levels.append((2 * size, self._write(a.unionByName(b).groupBy("key").agg(F.sum("n").alias("n")))))
-
-    @staticmethod
-    def _write(level: DataFrame) -> DataFrame:
-        return materialize(level.sortWithinPartitions("key"), "level")
+            self.levels.append((2 * size, materialize(a.unionByName(b).sortWithinPartitions("key"), "level")))
 
-    def add(self, suffixes: DataFrame) -> DataFrame:
-        """Index a batch of suffixes (key) and give the keys that it repeats: within itself, or of any level."""
+    def add(self, batch: DataFrame) -> DataFrame:
+        """Index a batch, a written table of suffixes, and give the keys that it repeats: within itself, or of any level."""
         self._settle()
-        batch = self._write(suffixes.groupBy("key").agg(F.count("*").alias("n")))
-        found = batch.filter("n > 1").select("key")
+        counted = materialize(batch.groupBy("key").agg(F.count("*").alias("n")), "keys")
+        found = counted.filter("n > 1").select("key")
         for _, level in self.levels:
-            found = found.unionByName(batch.select("key").join(level.select("key"), "key", "left_semi"))
+            found = found.unionByName(counted.select("key").join(level.select("key").distinct(), "key", "left_semi"))
         self.levels.append((1, batch))
         return found.distinct()
 
+    def matches(self, keys: DataFrame) -> DataFrame:
+        """The suffixes of all levels that have one of these keys."""
+        levels = [level for _, level in self.levels]
+        rows = levels[0]
+        for level in levels[1:]:
+            rows = rows.unionByName(level)
+        return rows.join(keys, "key", "left_semi")
+
 
 def _pack(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Texts are packed before they are shuffled."""
@@ -153,16 +222,29 @@ def _pack(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _settle(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Texts without a shared suffix are done: size and digest take the place of the text."""
+    """Texts of which no more is asked are done: size and digest take the place of the text."""
     unpack = zstandard.ZstdDecompressor()
     for b in stream:
-        packed, found = b.column("packed").to_pylist(), b.column("found")
+        packed, found, words = b.column("packed").to_pylist(), b.column("found"), b.column("words")
         n, sha = [None] * len(packed), [None] * len(packed)
-        for i, (x, f) in enumerate(zip(packed, found.is_valid().to_pylist())):
-            if not f:
+        for i, (x, f, w) in enumerate(zip(packed, found.is_valid().to_pylist(), words.is_valid().to_pylist())):
+            if not f and not w:
                 raw = unpack.decompress(x)
                 n[i], sha[i], packed[i] = len(raw), hashlib.sha256(raw).hexdigest(), None
-        yield pa.record_batch({"uid": b.column("uid"), "doc_id": b.column("doc_id"), "packed": pa.array(packed, pa.binary()), "found": found, "n_bytes": pa.array(n, pa.int64()), "kept_sha256": pa.array(sha, pa.string())})
+        yield pa.record_batch({"uid": b.column("uid"), "doc_id": b.column("doc_id"), "packed": pa.array(packed, pa.binary()), "found": found, "words": words, "n_bytes": pa.array(n, pa.int64()), "kept_sha256": pa.array(sha, pa.string())})
+
+
+def _near(raw: bytes, rows: list, reach: int) -> Iterator[tuple[int, bytes, list]]:
+    """Rows in order of lo, a few together with the part of the text that their starts cover: where it begins, and its bytes."""
+    rows = sorted(rows, key=lambda x: x["lo"])
+    i = 0
+    while i < len(rows):
+        low, high, j = max(0, min(rows[i]["lo"], rows[i].get("at", rows[i]["lo"])) - reach), 0, i
+        while j < len(rows) and rows[j]["lo"] <= low + PIECE:
+            high = max(high, rows[j]["hi"] + LENGTH + reach)
+            j += 1
+        yield low, raw[low:high], rows[i:j]
+        i = j
 
 
 BLOCKS = "uid long, key long, cover long, low int, high int, weight int"
@@ -174,17 +256,18 @@ def _blocks(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in stream:
         out: list[list] = [[] for _ in range(6)]
         for uid, packed, rows in zip(b.column("uid").to_pylist(), b.column("packed").to_pylist(), b.column("found").to_pylist()):
-            rows = [x for x in rows if x["asks"]]
+            rows = [x for x in rows or () if x["asks"]]
             if not rows:
                 continue
-            one = Rolling(unpack.decompress(packed))
-            for x in rows:
-                first = x["at"] + BLOCK * np.arange((x["lo"] - x["at"]) // BLOCK, (x["hi"] - x["at"]) // BLOCK + 1)
-                low, high = np.maximum(first, x["lo"]), np.minimum(first + BLOCK - 1, x["hi"])
-                inside = (low - first).astype(np.uint64) * _M1 + (high - first).astype(np.uint64) * _M2
-                key, cover = one.at(first + BLOCK - 1, first + LENGTH), _mix(one.at(low, high + LENGTH) + inside)
-                for o, v in zip(out, (np.full(len(low), uid), key.view(np.int64), cover.view(np.int64), low, high, np.full(len(low), min(2, x["n"])))):
-                    o.append(v)
+            for shift, part, some in _near(unpack.decompress(packed), rows, BYTES.window + BLOCK):
+                one = Rolling.of(part)
+                for x in some:
+                    first = x["at"] + BLOCK * np.arange((x["lo"] - x["at"]) // BLOCK, (x["hi"] - x["at"]) // BLOCK + 1)
+                    low, high = np.maximum(first, x["lo"]), np.minimum(first + BLOCK - 1, x["hi"])
+                    inside = (low - first).astype(np.uint64) * _M1 + (high - first).astype(np.uint64) * _M2
+                    key, cover = one.at(first + BLOCK - 1 - shift, first + LENGTH - shift), _mix(one.at(low - shift, high + LENGTH - shift) + inside)
+                    for o, v in zip(out, (np.full(len(low), uid), key.view(np.int64), cover.view(np.int64), low, high, np.full(len(low), min(2, x["n"])))):
+                        o.append(v)
             if sum(map(len, out[0])) > 200_000:
                 yield _columns(out, BLOCKS)
                 out = [[] for _ in range(6)]
@@ -200,18 +283,40 @@ def _lookups(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in stream:
         out: list[list] = [[], [], [], [], []]
         for uid, packed, rows in zip(b.column("uid").to_pylist(), b.column("packed").to_pylist(), b.column("asked").to_pylist()):
+            for shift, part, some in _near(unpack.decompress(packed), rows, 0):
+                one, two = Rolling.of(part), Rolling.of(part, 2)
+                for x in some:
+                    low, high = x["lo"], x["hi"] + 1
+                    n = high - low
+                    start = np.full(n, -1) if x["n"] > 1 else np.arange(low, high)
+                    for o, v in zip(out, (np.full(n, uid), *(r.runs(LENGTH, low - shift, high - shift).view(np.int64) for r in (one, two)), np.full(n, min(2, x["n"])), start)):
+                        o.append(v)
+            if sum(map(len, out[0])) > 200_000:
+                yield _columns(out, LOOKUPS)
+                out = [[], [], [], [], []]
+        yield _columns(out, LOOKUPS)
+
+
+PASSAGES = "uid long, h1 long, h2 long"
+
+
+def _passages(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Hashes of the passages of WORDS.length words from each start that is asked for."""
+    unpack = zstandard.ZstdDecompressor()
+    for b in stream:
+        out: list[list] = [[], [], []]
+        for uid, packed, rows in zip(b.column("uid").to_pylist(), b.column("packed").to_pylist(), b.column("words").to_pylist()):
             raw = unpack.decompress(packed)
-            one, two = Rolling(raw), Rolling(raw, 2)
+            codes = word_hashes(raw, Rolling.of(raw) if len(raw) <= PIECE else None)
+            one, two = Rolling(codes), Rolling(codes, 2)
             for x in rows:
                 low, high = x["lo"], x["hi"] + 1
-                n = high - low
-                start = np.full(n, -1) if x["n"] > 1 else np.arange(low, high)
-                for o, v in zip(out, (np.full(n, uid), one.runs(LENGTH, low, high).view(np.int64), two.runs(LENGTH, low, high).view(np.int64), np.full(n, min(2, x["n"])), start)):
+                for o, v in zip(out, (np.full(high - low, uid), *(r.runs(WORDS.length, low, high).view(np.int64) for r in (one, two)))):
                     o.append(v)
             if sum(map(len, out[0])) > 200_000:
-                yield _columns(out, LOOKUPS)
-                out = [[], [], [], [], []]
-        yield _columns(out, LOOKUPS)
+                yield _columns(out, PASSAGES)
+                out = [[], [], []]
+        yield _columns(out, PASSAGES)
 
 
 def _columns(out: list[list], ddl: str) -> pa.RecordBatch:
@@ -231,7 +336,7 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
-RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<low:long,high:long>>"
+RESULT = "uid long, doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<low:long,high:long>>"
 
 
 def _remove(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -240,7 +345,7 @@ def _remove(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = []
         for packed, found, blocks, starts in zip(*(b.column(c).to_pylist() for c in ("packed", "found", "blocks", "starts"))):
             raw = unpack.decompress(packed)
-            spans = [(x["lo"], x["hi"] + LENGTH) for x in (*found, *(blocks or ())) if x["n"] > 1]
+            spans = [(x["lo"], x["hi"] + LENGTH) for x in (*(found or ()), *(blocks or ())) if x["n"] > 1]
             starts = np.sort(np.array(starts or [], np.int64))
             if len(starts):
                 cut = np.flatnonzero(np.diff(starts) > LENGTH)
@@ -255,52 +360,67 @@ def _remove(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             rows.append((len(raw), sum(h - s for s, h in spans), len(spans), digest.hexdigest(), [{"low": s, "high": h} for s, h in spans]))
         n, gone, many, sha, spans = zip(*rows) if rows else ([],) * 5
         kind = pa.list_(pa.struct([("low", pa.int64()), ("high", pa.int64())]))
-        yield pa.record_batch({"doc_id": b.column("doc_id"), "n_bytes": pa.array(n, pa.int64()), "n_removed": pa.array(gone, pa.int64()), "n_spans": pa.array(many, pa.int64()), "kept_sha256": pa.array(sha, pa.string()), "spans": pa.array(spans, kind)})
+        yield pa.record_batch({"uid": b.column("uid"), "doc_id": b.column("doc_id"), "n_bytes": pa.array(n, pa.int64()), "n_removed": pa.array(gone, pa.int64()), "n_spans": pa.array(many, pa.int64()), "kept_sha256": pa.array(sha, pa.string()), "spans": pa.array(spans, kind)})
 
 
 def repeated_spans(docs: DataFrame, batches: int = BATCHES, index: IndexFamily | None = None) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and spans (removed byte ranges) of every row of ``docs``.
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, shares_passage and spans (removed byte ranges) of every row of ``docs``.
 
-    Null counts as empty; texts of under LENGTH bytes keep all. Matches stay inside documents. Rows
-    that are equal in doc_id and text repeat each other. A null doc_id stays null; other columns are
-    not read. An index that is passed in is added to: what repeats
+    shares_passage says whether a passage of WORDS.length words or more, white space aside, stands
+    in another document too; such a passage may have too few bytes to be removed. Null counts as
+    empty; texts of under LENGTH bytes keep all. Matches stay inside documents. Rows
+    that are equal in doc_id and text repeat each other, but are one document to shares_passage. A null doc_id stays null;
+    other columns are not read. An index that is passed in is added to: what repeats
     a document of an earlier call goes as if both came in one call; rows of earlier calls are not given again.
     """
     base = documents(docs).withColumn("text", F.coalesce("text", F.lit(""))).withColumn("uid", F.xxhash64("doc_id", "text").bitwiseAND(F.lit(2**63 - 1)))
-    suffixes = materialize(base.select("uid", "text").mapInArrow(_suffixes(batches), SUFFIX), "suffixes")
+    suffixes = materialize(base.select("uid", "text").mapInArrow(_suffixes(batches), SUFFIX).sortWithinPartitions("batch", "key"), "level", "batch")
     family, keys = index or IndexFamily(), None
     for k in range(batches):
-        found = materialize(family.add(suffixes.filter(F.col("batch") == k).select("key")), "keys")
+        found = materialize(family.add(suffixes.filter(F.col("batch") == k).drop("batch")), "keys")
         keys = found if keys is None else keys.unionByName(found)
     # a key is found by every batch but the first that has it. Both sides of the join are tables, so that AQE can split a prefix that very many suffixes share
-    known = suffixes.drop("batch")
-    for earlier in family.suffixes:
-        known = known.unionByName(earlier)
-    shared = materialize(known.join(materialize(keys.distinct(), "keys"), "key", "left_semi"), "shared")
-    rows = _classed(shared.withColumn("weight", F.lit(1)), "at")
+    shared = materialize(family.matches(materialize(keys.distinct(), "keys")), "shared")
+    rows = _classed(shared.filter(F.col("unit") == BYTES.code).withColumn("weight", F.lit(1)), "at")
+    marked, asked = _marked(shared.filter(F.col("unit") == WORDS.code))
     of_doc = rows.groupBy("uid").agg(F.collect_set(F.struct("at", "lo", "hi", F.least("n", F.lit(2)).alias("n"), "asks")).alias("found"))
+    of_doc = of_doc.join(asked, "uid", "full")
     packed = base.select("uid", "doc_id", "text").mapInArrow(_pack, "uid long, doc_id long, packed binary")
     if index is not None:
         packed = materialize(packed, "packed")
     texts = packed.join(of_doc, "uid", "left")
     found_type = "array<struct<at:int,lo:int,hi:int,n:bigint,asks:boolean>>"
-    joined = materialize(texts.mapInArrow(_settle, f"uid long, doc_id long, packed binary, found {found_type}, n_bytes long, kept_sha256 string"), "texts")
-    own = touched = joined.filter("found is not null").select("uid", "doc_id", "packed", "found")
+    joined = materialize(texts.mapInArrow(_settle, f"uid long, doc_id long, packed binary, found {found_type}, words array<struct<lo:int,hi:int>>, n_bytes long, kept_sha256 string"), "texts")
+    own = touched = joined.filter("n_bytes is null").select("uid", "doc_id", "packed", "found", "words")
     for earlier in family.texts:
-        touched = touched.unionByName(earlier.join(of_doc, "uid").select("uid", "doc_id", "packed", "found"))
+        touched = touched.unionByName(earlier.join(of_doc, "uid").select("uid", "doc_id", "packed", "found", "words"))
     if index is not None:
-        family.suffixes.append(suffixes.drop("batch"))
         family.texts.append(packed)
-    blocks = materialize(_classed(materialize(touched.mapInArrow(_blocks, BLOCKS), "blocks"), "low"), "blocks")
+    blocks = materialize(_classed(materialize(touched.filter("found is not null").mapInArrow(_blocks, BLOCKS), "blocks"), "low"), "blocks")
     block = F.struct(F.col("low").alias("lo"), F.col("high").alias("hi"), F.least("n", F.lit(2)).alias("n"))
     asked = blocks.filter("asks").groupBy("uid").agg(F.collect_set(block).alias("asked"))
     looked = materialize(touched.select("uid", "packed").join(asked, "uid").mapInArrow(_lookups, LOOKUPS), "lookups")
     twice = looked.groupBy("h1", "h2").agg(F.sum("weight").alias("w")).filter("w > 1").select("h1", "h2")
     starts = looked.filter("start >= 0").join(twice, ["h1", "h2"], "left_semi").groupBy("uid").agg(F.collect_set("start").alias("starts"))
     whole = blocks.filter("n > 1").groupBy("uid").agg(F.collect_set(block).alias("blocks"))
-    cut = own.join(whole, "uid", "left").join(starts, "uid", "left").select("doc_id", "packed", "found", "blocks", "starts").mapInArrow(_remove, RESULT)
-    plain = joined.filter("found is null").select("doc_id", "n_bytes", F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), "kept_sha256", F.array().cast("array<struct<low:bigint,high:bigint>>").alias("spans"))
-    return plain.unionByName(cut)
+    passages = materialize(touched.filter("words is not null").mapInArrow(_passages, PASSAGES), "passages")
+    both = passages.groupBy("h1", "h2").agg(F.min("uid").alias("u"), F.max("uid").alias("v")).filter("u <> v").select("h1", "h2")
+    marked = materialize(marked.unionByName(passages.join(both, ["h1", "h2"], "left_semi").select("uid")).distinct(), "marked")
+    cut = own.join(whole, "uid", "left").join(starts, "uid", "left").select("uid", "doc_id", "packed", "found", "blocks", "starts").mapInArrow(_remove, RESULT)
+    none = F.lit(0).cast("long")
+    plain = joined.filter("n_bytes is not null").select("uid", "doc_id", "n_bytes", none.alias("n_removed"), none.alias("n_spans"), "kept_sha256", F.array().cast("array<struct<low:bigint,high:bigint>>").alias("spans"))
+    found = plain.unionByName(cut).join(marked.withColumn("shares_passage", F.lit(True)), "uid", "left")
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", F.coalesce("shares_passage", F.lit(False)).alias("shares_passage"), "spans")
+
+
+def _marked(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Of word suffixes with shared prefixes: uid of the documents that are in a class with another one, and uid, words (lo, hi) of the starts to look up."""
+    member = F.struct("uid", "lo", "hi")
+    classes = materialize(rows.groupBy("key", "cover").agg(F.min(member).alias("speaker"), F.max("uid").alias("last")), "classes")
+    several = materialize(classes.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key"), "several")
+    shared = materialize(classes.filter(F.col("speaker.uid") != F.col("last")).select("key", "cover"), "classes")
+    asked = classes.join(several, "key", "left_semi").groupBy(F.col("speaker.uid").alias("uid")).agg(F.collect_set(F.struct("speaker.lo", "speaker.hi")).alias("words"))
+    return rows.join(shared, ["key", "cover"], "left_semi").select("uid"), asked
 
 
 def _classed(rows: DataFrame, at: str) -> DataFrame:

@@ -144,10 +144,51 @@ def test_repeated_spans_by_brute_force(spark, none, batches):
 
 def test_levels_merge_geometrically(spark):
     family = suffix_dedup.IndexFamily()
+    level = lambda *keys: spark.createDataFrame([(0, k, k, 1, 0, 0, 0) for k in keys], "unit int, key long, cover long, uid long, at int, lo int, hi int")
     sizes = []
     for k in range(5):
-        family.add(spark.createDataFrame([(k,), (100,)], "key long"))
+        family.add(level(k, 100))
         sizes.append([s for s, _ in family.levels])
     assert sizes == [[1], [1, 1], [2, 1], [2, 1, 1], [4, 1]]
-    assert family.levels[0][1].filter("key = 100").first()["n"] == 4
-    assert [r[0] for r in family.add(spark.createDataFrame([(100,), (7,)], "key long")).select(F.col("key")).collect()] == [100]
+    assert family.levels[0][1].filter("key = 100").count() == 4
+    found = family.add(level(100, 7, 8, 8))
+    assert sorted(r[0] for r in found.collect()) == [8, 100]
+    assert family.matches(found).count() == 8
+
+
+def brute_passages(rows, length):
+    where = defaultdict(set)
+    for i, t in rows:
+        w = (t or "").encode().split()
+        for k in range(len(w) - length + 1):
+            where[b" ".join(w[k : k + length])].add((i, t))
+    shared = {x for docs in where.values() if len(docs) > 1 for x in docs}
+    return {str(i): (i, t) in shared for i, t in rows}
+
+
+def test_shared_passages_by_brute_force(spark):
+    rng = random.Random(11)
+    words = ["a", "of", "it", "漢", "den", "é"]
+    make = lambda n: [rng.choice(words) + rng.choice(["", "", "x", "y"]) for _ in range(n)]
+    base = [make(160) for _ in range(4)]
+    rows = [(0, None), (1, ""), (2, "a " * 300), (3, " ".join(make(49)))]
+    for i in range(4, 60):
+        b, p, n = rng.choice(base), rng.randint(0, 90), rng.choice([20, 40, 48, 49, 50, 51, 60, 90])
+        space = "\n" if i % 3 else "  "
+        rows.append((i, space.join(make(rng.randint(0, 80)) + b[p : p + n] + make(rng.randint(0, 80)))))
+    rows += [(60, rows[30][1]), rows[31]]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {str(r["doc_id"]): r["shares_passage"] for r in suffix_dedup.repeated_spans(df).collect()}
+    want = brute_passages(rows, suffix_dedup.WORDS.length)
+    assert got == want and 5 < sum(want.values()) < 55
+
+
+def test_very_long_text_is_worked_through_in_pieces(spark):
+    rng = random.Random(3)
+    prose = lambda n: "".join(rng.choices("abcdefgh     ", k=n))
+    long = prose(suffix_dedup.PIECE + 200_000)
+    across = long[suffix_dedup.PIECE - 700 : suffix_dedup.PIECE + 800]
+    rows = [(1, long), (2, prose(500) + "Q" + across + "R" + prose(300)), (3, "x" * 3000), (4, prose(1000))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: (r["n_removed"], r["n_spans"], r["shares_passage"]) for r in suffix_dedup.repeated_spans(df, 1).collect()}
+    assert got == {1: (1500, 1, True), 2: (1500, 1, True), 3: (3000, 1, False), 4: (0, 0, False)}
