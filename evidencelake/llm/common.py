@@ -38,13 +38,25 @@ def materialize(df: DataFrame, tag: str, *by: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release_scratch(spark: SparkSession) -> None:
-    """Delete the written tables of this application; call it once their readers are done."""
-    path = f"{scratch_dir(spark)}/{spark.sparkContext.applicationId}"
+def _delete(spark: SparkSession, path: str) -> None:
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
+def discard(*tables: DataFrame) -> None:
+    """Delete the files of written tables below the shared folder; call it once all that was made of them is written itself."""
+    for table in tables:
+        spark = table.sparkSession
+        own = f"{scratch_dir(spark)}/{spark.sparkContext.applicationId}/".removeprefix("file://")
+        for folder in {f.rpartition("/")[0] for f in table.inputFiles() if own in f}:
+            _delete(spark, folder)
+
+
+def release_scratch(spark: SparkSession) -> None:
+    """Delete the written tables of this application; call it once their readers are done."""
+    _delete(spark, f"{scratch_dir(spark)}/{spark.sparkContext.applicationId}")
+
+
 def words(text: Column) -> Column:
     """Words of a text as an array; empty for null and blank texts."""
     return F.filter(F.split(F.coalesce(text, F.lit("")), SPACE), lambda w: w != "")

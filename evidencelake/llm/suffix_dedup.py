@@ -41,7 +41,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents, materialize, utf8_parts
+from .common import discard, documents, materialize, utf8_parts
 
 
 @dataclass(frozen=True)
@@ -153,7 +153,8 @@ def _entries(r: Rolling, n: int, unit: Unit, shift: int = 0) -> tuple[np.ndarray
     """unit, key, cover, at, lo, hi of the suffixes that stand for all starts of a sequence of n codes."""
     at, lo, hi = anchors(r, n, unit)
     cover = _mix(r.at(lo, hi + unit.length) + (at - lo).astype(np.uint64) * _M2 + (hi - lo).astype(np.uint64) * _M1)
-    return np.full(len(at), unit.code), r.at(at, at + unit.prefix).view(np.int64), cover.view(np.int64), at + shift, lo + shift, hi + shift
+    # where the anchor lies is a matter of bytes alone
+    return np.full(len(at), unit.code), r.at(at, at + unit.prefix).view(np.int64), cover.view(np.int64), at + shift if unit is BYTES else 0 * at, lo + shift, hi + shift
 
 
 def suffixes_of(raw: bytes) -> Iterator[tuple[np.ndarray, ...]]:
@@ -194,6 +195,10 @@ class IndexFamily:
             (size, a), (_, b) = self.levels.pop(), self.levels.pop()
             self.levels.append((2 * size, materialize(a.unionByName(b).sortWithinPartitions("key"), "level")))
 
+    def close(self) -> None:
+        """Delete the tables of an index that is not kept."""
+        discard(*(level for _, level in self.levels), *self.texts)
+
     def add(self, batch: DataFrame) -> DataFrame:
         """Index a batch, a written table of suffixes, and give the keys that it repeats: within itself, or of any level."""
         self._settle()
@@ -234,44 +239,73 @@ def _settle(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch({"uid": b.column("uid"), "doc_id": b.column("doc_id"), "packed": pa.array(packed, pa.binary()), "found": found, "words": words, "n_bytes": pa.array(n, pa.int64()), "kept_sha256": pa.array(sha, pa.string())})
 
 
-def _near(raw: bytes, rows: list, reach: int) -> Iterator[tuple[int, bytes, list]]:
-    """Rows in order of lo, a few together with the part of the text that their starts cover: where it begins, and its bytes."""
-    rows = sorted(rows, key=lambda x: x["lo"])
+def _asked(column: pa.Array) -> Iterator[dict[str, np.ndarray]]:
+    """The fields of each row's list of structs."""
+    flat, ends = column.flatten(), np.cumsum(column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
+    fields = {f.name: flat.field(f.name).to_numpy(zero_copy_only=False) for f in flat.type}
+    for low, high in zip([0, *ends[:-1]], ends):
+        yield {k: v[low:high] for k, v in fields.items()}
+
+
+def _each(count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each of count[i] members of i: i, and its number among them."""
+    return np.repeat(np.arange(len(count)), count), np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+
+
+def _near(raw: bytes, rows: dict[str, np.ndarray], reach: int) -> Iterator[tuple[int, bytes, dict[str, np.ndarray]]]:
+    """Rows (lo, hi), those that are near each other together, with the part of the text that their starts cover: where it begins, and its bytes."""
+    if len(raw) <= PIECE:
+        yield 0, raw, rows
+        return
+    order = np.argsort(rows["lo"], kind="stable")
+    rows = {k: v[order] for k, v in rows.items()}
     i = 0
-    while i < len(rows):
-        low, high, j = max(0, min(rows[i]["lo"], rows[i].get("at", rows[i]["lo"])) - reach), 0, i
-        while j < len(rows) and rows[j]["lo"] <= low + PIECE:
-            high = max(high, rows[j]["hi"] + LENGTH + reach)
-            j += 1
-        yield low, raw[low:high], rows[i:j]
+    while i < len(order):
+        low = max(0, int(rows["lo"][i]) - reach)
+        j = int(np.searchsorted(rows["lo"], low + PIECE, "right"))
+        yield low, raw[low : int(rows["hi"][i:j].max()) + LENGTH + reach], {k: v[i:j] for k, v in rows.items()}
         i = j
 
 
+def _answered(stream: Iterator[pa.RecordBatch], asked: str, ddl: str, answer) -> Iterator[pa.RecordBatch]:
+    """What ``answer`` makes of each text and its rows of the column ``asked``, as rows of uid and others."""
+    unpack, kinds = zstandard.ZstdDecompressor(), len(ddl.split(", "))
+    for b in stream:
+        out: list[list] = [[] for _ in range(kinds)]
+        held = 0
+        for uid, packed, rows in zip(b.column("uid").to_pylist(), b.column("packed"), _asked(b.column(asked))):
+            if "asks" in rows:
+                rows = {k: v[rows["asks"].astype(bool)] for k, v in rows.items()}
+            if not len(rows["lo"]):
+                continue
+            for found in answer(unpack.decompress(packed.as_py()), rows):
+                held += len(found[0])
+                for o, v in zip(out, (np.full(len(found[0]), uid), *found)):
+                    o.append(v)
+            if held > 200_000:
+                yield _columns(out, ddl)
+                out, held = [[] for _ in range(kinds)], 0
+        yield _columns(out, ddl)
+
+
 BLOCKS = "uid long, key long, cover long, low int, high int, weight int"
 
 
 def _blocks(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Blocks of starts of the members that stand for their class where a prefix has several classes."""
-    unpack = zstandard.ZstdDecompressor()
-    for b in stream:
-        out: list[list] = [[] for _ in range(6)]
-        for uid, packed, rows in zip(b.column("uid").to_pylist(), b.column("packed").to_pylist(), b.column("found").to_pylist()):
-            rows = [x for x in rows or () if x["asks"]]
-            if not rows:
-                continue
-            for shift, part, some in _near(unpack.decompress(packed), rows, BYTES.window + BLOCK):
-                one = Rolling.of(part)
-                for x in some:
-                    first = x["at"] + BLOCK * np.arange((x["lo"] - x["at"]) // BLOCK, (x["hi"] - x["at"]) // BLOCK + 1)
-                    low, high = np.maximum(first, x["lo"]), np.minimum(first + BLOCK - 1, x["hi"])
-                    inside = (low - first).astype(np.uint64) * _M1 + (high - first).astype(np.uint64) * _M2
-                    key, cover = one.at(first + BLOCK - 1 - shift, first + LENGTH - shift), _mix(one.at(low - shift, high + LENGTH - shift) + inside)
-                    for o, v in zip(out, (np.full(len(low), uid), key.view(np.int64), cover.view(np.int64), low, high, np.full(len(low), min(2, x["n"])))):
-                        o.append(v)
-            if sum(map(len, out[0])) > 200_000:
-                yield _columns(out, BLOCKS)
-                out = [[] for _ in range(6)]
-        yield _columns(out, BLOCKS)
+
+    def answer(raw: bytes, rows: dict[str, np.ndarray]) -> Iterator[tuple[np.ndarray, ...]]:
+        for shift, part, x in _near(raw, rows, BYTES.window + BLOCK):
+            one = Rolling.of(part)
+            begin, stop = (x["lo"] - x["at"]) // BLOCK, (x["hi"] - x["at"]) // BLOCK
+            i, k = _each(stop - begin + 1)
+            first = x["at"][i] + BLOCK * (begin[i] + k)
+            low, high = np.maximum(first, x["lo"][i]), np.minimum(first + BLOCK - 1, x["hi"][i])
+            inside = (low - first).astype(np.uint64) * _M1 + (high - first).astype(np.uint64) * _M2
+            key, cover = one.at(first + BLOCK - 1 - shift, first + LENGTH - shift), _mix(one.at(low - shift, high + LENGTH - shift) + inside)
+            yield key.view(np.int64), cover.view(np.int64), low, high, np.minimum(x["n"][i], 2)
+
+    return _answered(stream, "found", BLOCKS, answer)
 
 
 LOOKUPS = "uid long, h1 long, h2 long, weight int, start int"
@@ -279,22 +313,15 @@ LOOKUPS = "uid long, h1 long, h2 long, weight int, start int"
 
 def _lookups(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Hashes of all starts of the blocks that stand for their class where classes are several."""
-    unpack = zstandard.ZstdDecompressor()
-    for b in stream:
-        out: list[list] = [[], [], [], [], []]
-        for uid, packed, rows in zip(b.column("uid").to_pylist(), b.column("packed").to_pylist(), b.column("asked").to_pylist()):
-            for shift, part, some in _near(unpack.decompress(packed), rows, 0):
-                one, two = Rolling.of(part), Rolling.of(part, 2)
-                for x in some:
-                    low, high = x["lo"], x["hi"] + 1
-                    n = high - low
-                    start = np.full(n, -1) if x["n"] > 1 else np.arange(low, high)
-                    for o, v in zip(out, (np.full(n, uid), *(r.runs(LENGTH, low - shift, high - shift).view(np.int64) for r in (one, two)), np.full(n, min(2, x["n"])), start)):
-                        o.append(v)
-            if sum(map(len, out[0])) > 200_000:
-                yield _columns(out, LOOKUPS)
-                out = [[], [], [], [], []]
-        yield _columns(out, LOOKUPS)
+
+    def answer(raw: bytes, rows: dict[str, np.ndarray]) -> Iterator[tuple[np.ndarray, ...]]:
+        for shift, part, x in _near(raw, rows, 0):
+            i, k = _each(x["hi"] - x["lo"] + 1)
+            start, n = x["lo"][i] + k, x["n"][i]
+            h1, h2 = (Rolling.of(part, seed).at(start - shift, start - shift + LENGTH).view(np.int64) for seed in (1, 2))
+            yield h1, h2, np.minimum(n, 2), np.where(n > 1, -1, start)
+
+    return _answered(stream, "asked", LOOKUPS, answer)
 
 
 PASSAGES = "uid long, h1 long, h2 long"
@@ -302,21 +329,14 @@ PASSAGES = "uid long, h1 long, h2 long"
 
 def _passages(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Hashes of the passages of WORDS.length words from each start that is asked for."""
-    unpack = zstandard.ZstdDecompressor()
-    for b in stream:
-        out: list[list] = [[], [], []]
-        for uid, packed, rows in zip(b.column("uid").to_pylist(), b.column("packed").to_pylist(), b.column("words").to_pylist()):
-            raw = unpack.decompress(packed)
-            codes = word_hashes(raw, Rolling.of(raw) if len(raw) <= PIECE else None)
-            one, two = Rolling(codes), Rolling(codes, 2)
-            for x in rows:
-                low, high = x["lo"], x["hi"] + 1
-                for o, v in zip(out, (np.full(high - low, uid), *(r.runs(WORDS.length, low, high).view(np.int64) for r in (one, two)))):
-                    o.append(v)
-            if sum(map(len, out[0])) > 200_000:
-                yield _columns(out, PASSAGES)
-                out = [[], [], []]
-        yield _columns(out, PASSAGES)
+
+    def answer(raw: bytes, x: dict[str, np.ndarray]) -> Iterator[tuple[np.ndarray, ...]]:
+        codes = word_hashes(raw, Rolling.of(raw) if len(raw) <= PIECE else None)
+        i, k = _each(x["hi"] - x["lo"] + 1)
+        start = x["lo"][i] + k
+        yield tuple(Rolling(codes, seed).at(start, start + WORDS.length).view(np.int64) for seed in (1, 2))
+
+    return _answered(stream, "words", PASSAGES, answer)
 
 
 def _columns(out: list[list], ddl: str) -> pa.RecordBatch:
@@ -380,7 +400,10 @@ def repeated_spans(docs: DataFrame, batches: int = BATCHES, index: IndexFamily |
         found = materialize(family.add(suffixes.filter(F.col("batch") == k).drop("batch")), "keys")
         keys = found if keys is None else keys.unionByName(found)
     # a key is found by every batch but the first that has it. Both sides of the join are tables, so that AQE can split a prefix that very many suffixes share
-    shared = materialize(family.matches(materialize(keys.distinct(), "keys")), "shared")
+    keys = materialize(keys.distinct(), "keys")
+    shared = materialize(family.matches(keys), "shared")
+    if index is None:
+        family.close()
     rows = _classed(shared.filter(F.col("unit") == BYTES.code).withColumn("weight", F.lit(1)), "at")
     marked, asked = _marked(shared.filter(F.col("unit") == WORDS.code))
     of_doc = rows.groupBy("uid").agg(F.collect_set(F.struct("at", "lo", "hi", F.least("n", F.lit(2)).alias("n"), "asks")).alias("found"))
@@ -400,11 +423,11 @@ def repeated_spans(docs: DataFrame, batches: int = BATCHES, index: IndexFamily |
     block = F.struct(F.col("low").alias("lo"), F.col("high").alias("hi"), F.least("n", F.lit(2)).alias("n"))
     asked = blocks.filter("asks").groupBy("uid").agg(F.collect_set(block).alias("asked"))
     looked = materialize(touched.select("uid", "packed").join(asked, "uid").mapInArrow(_lookups, LOOKUPS), "lookups")
-    twice = looked.groupBy("h1", "h2").agg(F.sum("weight").alias("w")).filter("w > 1").select("h1", "h2")
+    twice = materialize(looked.groupBy("h1", "h2").agg(F.sum("weight").alias("w")).filter("w > 1").select("h1", "h2"), "twice")
     starts = looked.filter("start >= 0").join(twice, ["h1", "h2"], "left_semi").groupBy("uid").agg(F.collect_set("start").alias("starts"))
     whole = blocks.filter("n > 1").groupBy("uid").agg(F.collect_set(block).alias("blocks"))
     passages = materialize(touched.filter("words is not null").mapInArrow(_passages, PASSAGES), "passages")
-    both = passages.groupBy("h1", "h2").agg(F.min("uid").alias("u"), F.max("uid").alias("v")).filter("u <> v").select("h1", "h2")
+    both = materialize(passages.groupBy("h1", "h2").agg(F.min("uid").alias("u"), F.max("uid").alias("v")).filter("u <> v").select("h1", "h2"), "both")
     marked = materialize(marked.unionByName(passages.join(both, ["h1", "h2"], "left_semi").select("uid")).distinct(), "marked")
     cut = own.join(whole, "uid", "left").join(starts, "uid", "left").select("uid", "doc_id", "packed", "found", "blocks", "starts").mapInArrow(_remove, RESULT)
     none = F.lit(0).cast("long")
@@ -417,10 +440,15 @@ def _marked(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Of word suffixes with shared prefixes: uid of the documents that are in a class with another one, and uid, words (lo, hi) of the starts to look up."""
     member = F.struct("uid", "lo", "hi")
     classes = materialize(rows.groupBy("key", "cover").agg(F.min(member).alias("speaker"), F.max("uid").alias("last")), "classes")
-    several = materialize(classes.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key"), "several")
     shared = materialize(classes.filter(F.col("speaker.uid") != F.col("last")).select("key", "cover"), "classes")
-    asked = classes.join(several, "key", "left_semi").groupBy(F.col("speaker.uid").alias("uid")).agg(F.collect_set(F.struct("speaker.lo", "speaker.hi")).alias("words"))
-    return rows.join(shared, ["key", "cover"], "left_semi").select("uid"), asked
+    marked = materialize(rows.join(shared, ["key", "cover"], "left_semi").select("uid").distinct(), "marked")
+    # a prefix is asked for if it has several classes, one of them of a document that is not marked yet
+    single = classes.filter(F.col("speaker.uid") == F.col("last")).select("key", F.col("last").alias("uid"))
+    open_keys = single.join(marked, "uid", "left_anti").select("key").distinct()
+    several = classes.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key")
+    asks = materialize(several.join(open_keys, "key", "left_semi"), "several")
+    asked = classes.join(asks, "key", "left_semi").groupBy(F.col("speaker.uid").alias("uid")).agg(F.collect_set(F.struct("speaker.lo", "speaker.hi")).alias("words"))
+    return marked, asked
 
 
 def _classed(rows: DataFrame, at: str) -> DataFrame:
