@@ -6,13 +6,14 @@ source would be repeated more often than allowed. The weights are realised over
 block permutations: a source's documents fall into blocks by hash, every epoch takes the blocks in
 an order of its own, and the last, partial epoch ends at the document with which the source's quota
 would be exceeded. The cut is found from sums of blocks, then of the cells of one block, then among
-the documents of one cell, so no task orders the documents of a source.
+the documents of one cell, so no task orders the documents of a source. Sources are rows of a table
+throughout: each step of the bisection is an aggregate over them for ``GRID`` exponents at once.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -25,46 +26,47 @@ SEED = 42
 #: Tables of one row a source are broadcast up to so many sources; beyond, Spark chooses.
 MOST_BROADCAST = 10_000
 ENTROPY, MOST_REPEATS, BUDGET_SHARE = 0.97, 4.0, 1.0
+#: Exponents of one step of the bisection, and steps: the interval shrinks to 64 ** -9.
+GRID, ROUNDS = 64, 9
 
 
-def weights_at(tokens: Sequence[int], exponent: float) -> list[float]:
-    total = sum(tokens)
-    raised = [(t / total) ** exponent if t else 0.0 for t in tokens]
-    return [r / sum(raised) for r in raised] if total else [0.0] * len(tokens)
+def moments(sources: DataFrame, exponents: list[float]) -> list[tuple[float, float, float]]:
+    """Of ``sources`` (t: tokens of a source, share: of all) at each exponent: the norm of the raised shares, the entropy as a share of the most that so many sources can have, and the largest weight for a token."""
+    live = sources.filter("t > 0").select("t", "share", F.explode(F.lit(exponents)).alias("a"))
+    raised = F.pow("share", "a")
+    found = live.groupBy("a").agg(F.count("*").alias("n"), F.sum(raised).alias("s"), F.sum(raised * F.log("share")).alias("l"), F.max(raised / F.col("t")).alias("most"))
+    of = {r["a"]: r for r in found.collect()}
+    entropy = lambda r, a: (math.log(r["s"]) - a * r["l"] / r["s"]) / math.log(r["n"]) if r["n"] > 1 else 1.0
+    return [(of[a]["s"], entropy(of[a], a), of[a]["most"] / of[a]["s"]) if a in of else (1.0, 1.0, 0.0) for a in exponents]
 
 
-def entropy(weights: Sequence[float]) -> float:
-    """Entropy as a share of the most that so many sources can have."""
-    live = [w for w in weights if w > 0]
-    return -sum(w * math.log(w) for w in live) / math.log(len(live)) if len(live) > 1 else 1.0
-
-
-def bisect_exponent(tokens: Sequence[int], budget: float, target_entropy: float | None, most_repeats: float | None) -> float:
+def bisect_exponent(at: Callable[[list[float]], list[tuple[float, float, float]]], budget: float, target_entropy: float | None, most_repeats: float | None) -> float:
     """The exponent in [0, 1]: the largest whose entropy reaches the target, or the least that keeps the repetition limit if that is larger.
 
-    Without a target it is the least that keeps the limit; where even 1 does not reach the target or
-    keep the limit, it is 0 or 1.
+    ``at`` gives moments at exponents. Without a target it is the least that keeps the limit; where
+    even 1 does not reach the target or keep the limit, it is 0 or 1.
     """
 
     def least(holds) -> float:
         """Least exponent from which on the monotone condition holds; 1 if nowhere."""
         low, high = 0.0, 1.0
-        if holds(low):
-            return low
-        for _ in range(60):
-            mid = (low + high) / 2
-            low, high = (low, mid) if holds(mid) else (mid, high)
+        for _ in range(ROUNDS):
+            grid = [low + (high - low) * k / GRID for k in range(GRID + 1)]
+            first = next((k for k, x in enumerate(at(grid)) if holds(x)), None)
+            if first is None or first == 0:
+                return grid[first or 0] if first == 0 else 1.0
+            low, high = grid[first - 1], grid[first]
+            if not low < high:
+                break
         return high
 
-    most = lambda a: max((w * budget / t for w, t in zip(weights_at(tokens, a), tokens) if t), default=0.0)
-    limited = least(lambda a: most(a) <= most_repeats * (1 + 1e-12)) if most_repeats is not None else 0.0
+    limited = least(lambda x: x[2] * budget <= most_repeats * (1 + 1e-12)) if most_repeats is not None else 0.0
     if target_entropy is None:
         return limited
-    if entropy(weights_at(tokens, 1.0)) >= target_entropy:
+    if at([1.0])[0][1] >= target_entropy:
         return 1.0
     # entropy falls with the exponent: the last exponent before it is too low
-    reached = least(lambda a: entropy(weights_at(tokens, a)) < target_entropy)
-    return max(limited, reached)
+    return max(limited, least(lambda x: x[1] < target_entropy))
 
 
 def _first_over(rows: DataFrame, order: list[str], keep: list[str]) -> DataFrame:
@@ -99,14 +101,23 @@ def plan_mix(docs: DataFrame, target_entropy: float | None = ENTROPY, most_repea
     b1, b2 = _cells(_doc(), seed)
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _source().alias("source"), count.cast("long").alias("t"), b1.alias("b1"), b2.alias("b2"))
     base = materialize(base, "mix")
-    found = base.groupBy("source").agg(F.sum("t").alias("tokens")).orderBy("source").collect()
-    spark, tokens = docs.sparkSession, [r["tokens"] for r in found]
-    budget = budget_share * sum(tokens)
-    weight = weights_at(tokens, bisect_exponent(tokens, budget, target_entropy, most_repeats))
-    quota = [int(w * budget + 1e-6) for w in weight]
-    rows = [(r["source"], w, q // t if t else 0, q % t if t else 0, bool(t == 0 or q % t)) for r, w, q, t in zip(found, weight, quota, tokens)]
-    plan = spark.createDataFrame(rows, "source string, weight double, epochs long, rest long, partial boolean")
-    small = F.broadcast if len(rows) <= MOST_BROADCAST else lambda d: d
+    sources = materialize(base.groupBy("source").agg(F.sum("t").alias("t")), "sources")
+    n, total = sources.agg(F.count("*"), F.coalesce(F.sum("t"), F.lit(0))).first()
+    sources = sources.withColumn("share", F.col("t") / F.lit(max(1, total)).cast("double"))
+    budget = budget_share * total
+    exponent = bisect_exponent(lambda grid: moments(sources, grid), budget, target_entropy, most_repeats)
+    weight = F.when(F.col("t") > 0, F.pow("share", F.lit(exponent)) / F.lit(moments(sources, [exponent])[0][0])).otherwise(0.0)
+    quota = F.floor(F.col("weight") * F.lit(budget) + 1e-6).cast("long")
+    planned = sources.withColumn("weight", weight).withColumn("quota", quota)
+    planned = planned.select(
+        "source",
+        "weight",
+        F.when(F.col("t") > 0, F.expr("quota div t")).otherwise(0).cast("long").alias("epochs"),
+        F.when(F.col("t") > 0, F.col("quota") % F.col("t")).otherwise(0).cast("long").alias("rest"),
+        ((F.col("t") == 0) | (F.col("quota") % F.col("t") != 0)).alias("partial"),
+    )
+    plan = materialize(planned, "plan")
+    small = F.broadcast if n <= MOST_BROADCAST else lambda d: d
     k1, k2, k3 = _keys(seed).values()
     blocks = base.groupBy("source", "b1").agg(F.sum("t").alias("t")).join(small(plan.filter("partial and rest > 0").drop("weight", "partial")), "source")
     cut1 = _first_over(blocks.withColumn("k1", k1), ["k1", "b1"], ["b1", "k1"])
@@ -138,7 +149,7 @@ def mix_sources(docs: DataFrame, target_entropy: float | None = ENTROPY, most_re
     otherwise. A source's total stays within its quota and falls short by less than one document.
     Null source is a source of its own. Null and empty texts have no tokens: they cost nothing and
     are taken where the order comes to them; sources of such texts alone are taken once. Rows that
-    repeat a doc_id go together. One row a source reaches the driver; other columns are not read.
+    repeat a doc_id go together. Other columns are not read.
     """
     count = F.regexp_count(F.coalesce(F.col("text").cast("string"), F.lit("")), F.lit(WORD)) if n_tokens is None else n_tokens
     plan = plan_mix(docs, target_entropy, most_repeats, budget_share, seed, n_tokens)
