@@ -13,13 +13,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import documents
 
-#: Training rows: at most so many of a language and of all; sampled by a hash of doc_id.
-PER_LANG, MOST_ROWS = 400, 6000
+#: Training rows: at most so many of a language and of all, by a hash of doc_id and text; languages that are learned, the most frequent.
+PER_LANG, MOST_ROWS, MOST_LANGS = 400, 6000, 1500
 BUCKETS = 4096
 STEPS, RATE, L2 = 150, 0.5, 1e-4
 #: Texts whose best language leads by less than this probability are ambiguous.
@@ -93,7 +93,7 @@ def _train(x: np.ndarray, lang: np.ndarray, langs: tuple[str, ...]) -> LanguageM
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         rows = [ngram_counts((t or "").lower().encode()).astype("<f4").tobytes() for t in b.column("text").to_pylist()]
-        yield pa.record_batch({"lang": b.column("lang"), "counts": pa.array(rows, pa.binary())})
+        yield pa.record_batch({"h": b.column("h"), "lang": b.column("lang"), "counts": pa.array(rows, pa.binary())})
 
 
 def hash01(column: Column) -> Column:
@@ -104,16 +104,18 @@ def hash01(column: Column) -> Column:
 def fit(labelled: DataFrame) -> LanguageModel | None:
     """Model from doc_id, text, lang; rows without lang or text are left out. None if there is no row.
 
-    At most PER_LANG rows of a language, and about MOST_ROWS in all, are gathered on the driver, as
-    n-gram counts of fixed size.
+    The MOST_LANGS most frequent languages are learned. At most PER_LANG rows of each, and MOST_ROWS in all, equal rows once, are
+    gathered on the driver, as n-gram counts of fixed size.
     """
-    rows = labelled.filter("lang is not null and text is not null").select("doc_id", "text", "lang")
-    sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
+    rows = labelled.filter("lang is not null and text is not null").select(F.xxhash64("doc_id", "text").alias("h"), "text", F.col("lang").cast("string").alias("lang"))
+    sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGS).collect()}
     if not sizes:
         return None
     each = max(1, min(PER_LANG, MOST_ROWS // len(sizes)))
-    rate = F.create_map(*(F.lit(x) for lang, n in sizes.items() for x in (lang, min(1.0, each / n))))
-    got = rows.filter(hash01(F.col("doc_id")) <= rate[F.col("lang")]).select("text", "lang").mapInArrow(_features, "lang string, counts binary").collect()
+    rate = F.create_map(*(F.lit(x) for lang, n in sizes.items() for x in (lang, min(1.0, 4 * each / n))))
+    some = rows.filter(hash01(F.col("h")) <= rate[F.col("lang")]).mapInArrow(_features, "h long, lang string, counts binary").dropDuplicates(["h", "lang"])
+    first = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
+    got = some.withColumn("at", first).filter(F.col("at") <= each).select("lang", "counts").collect()
     if not got:
         return None
     got.sort(key=lambda r: (r["lang"], bytes(r["counts"])))  # the model depends on the rows, not on their order

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import exact_dedup, langid, mixing, packing, quality, secrets, simhash, suffix_dedup, tokens, toxicity
@@ -28,9 +28,14 @@ def op3_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "n_links")
 
 
+def _held_out(folds: int, fold: int) -> Column:
+    """Whether a document is in the fold; one without a doc_id is in none."""
+    return F.coalesce(F.pmod(id_text(F.col("doc_id")), F.lit(folds)) == fold, F.lit(False))
+
+
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _documents(spark, sf_dir)
-    held = F.pmod(id_text(F.col("doc_id")), F.lit(3)) == 1
+    held = _held_out(3, 1)
     model = langid.fit(docs.filter(~held))
     return langid.predict(docs, model).withColumn("held_out", held)
 
@@ -54,7 +59,7 @@ def op8_temperature_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _documents(spark, sf_dir)
-    held = F.pmod(id_text(F.col("doc_id")), F.lit(5)) == 0
+    held = _held_out(5, 0)
     model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet").filter(~held))
     return toxicity.score(docs, model).withColumn("held_out", held)
 

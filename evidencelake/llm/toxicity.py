@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents
+from .common import documents, materialize
 from .langid import hash01
 
 #: Sampled training rows of each label.
@@ -41,6 +41,8 @@ IDENTITY = (
     ("immigrants", "natives", "foreigners", "refugees"),
     ("old", "young", "disabled", "blind", "deaf"),
 )
+#: Different changes of features by a swap that training looks at.
+MOST_PAIRS = 20_000
 #: Word memo of a task.
 MEMO = 300_000
 
@@ -93,8 +95,8 @@ def _dense(rows: list[np.ndarray], of: np.ndarray, n: int) -> np.ndarray:
     return x
 
 
-def _train(rows: list[np.ndarray], toxic: np.ndarray, pairs: list[tuple[np.ndarray, np.ndarray]], shift: float) -> ToxicityModel:
-    """rows: hashed features of each text, without repeats; pairs: features that a swap takes away, and adds."""
+def _train(rows: list[np.ndarray], toxic: np.ndarray, pairs: list[tuple[np.ndarray, np.ndarray]], times: np.ndarray, shift: float) -> ToxicityModel:
+    """rows: hashed features of each text, without repeats; pairs: features that a swap takes away, and adds, and how often it does."""
     n1, n0 = int(toxic.sum()), int(len(toxic) - toxic.sum())
     prior = float(np.log((n1 + 1) / (n0 + 1))) + shift
     if not n1 or not n0:
@@ -114,14 +116,19 @@ def _train(rows: list[np.ndarray], toxic: np.ndarray, pairs: list[tuple[np.ndarr
     of = np.full(BUCKETS, -1, np.int32)
     of[features] = np.arange(len(features))
     x, y = _dense(rows, of, len(features)), toxic.astype(np.float32)
-    change = _dense([p[0] for p in pairs], of, len(features)) - _dense([p[1] for p in pairs], of, len(features))
+    # the change of a pair is sparse: its features, and 1 or -1 for each
+    column = of[np.concatenate([np.empty(0, np.int64), *(x for p in pairs for x in p)]).astype(np.int64)]
+    sign = np.repeat(np.tile([1.0, -1.0], len(pairs)), [len(x) for p in pairs for x in p])
+    pair = np.repeat(np.arange(len(pairs)), [len(p[0]) + len(p[1]) for p in pairs])
+    share = times / max(1, times.sum())
     w, bias = np.zeros(len(features), np.float32), prior - shift
     moment, scale = np.zeros_like(w), np.zeros_like(w)
     for step in range(1, STEPS + 1):
         g = 1 / (1 + np.exp(-np.clip(x @ w + bias, -30, 30))) - y
         grad = x.T @ g / len(y) + L2 * w
-        if len(change):
-            grad += SWAP * change.T @ (change @ w) / len(change)
+        if len(pairs):
+            change = np.bincount(pair, sign * w[column], len(pairs)) * share
+            grad += (SWAP * np.bincount(column, sign * change[pair], len(w))).astype(np.float32)
         moment, scale = 0.9 * moment + 0.1 * grad, 0.999 * scale + 0.001 * grad**2
         w -= RATE * (moment / (1 - 0.9**step)) / (np.sqrt(scale / (1 - 0.999**step)) + 1e-8)
         bias -= RATE * float(g.mean()) * 5
@@ -135,27 +142,31 @@ def _training_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         own = [text_features(t) for t in texts]
         pairs = [[{"gone": pack(o - s), "new": pack(s - o)} for s in swaps(t)] for t, o in zip(texts, own)]
         kind = pa.list_(pa.struct([("gone", pa.binary()), ("new", pa.binary())]))
-        yield pa.record_batch({"toxic": b.column("toxic"), "own": pa.array([pack(o) for o in own], pa.binary()), "pairs": pa.array(pairs, kind)})
+        yield pa.record_batch({"h": b.column("h"), "toxic": b.column("toxic"), "own": pa.array([pack(o) for o in own], pa.binary()), "pairs": pa.array(pairs, kind)})
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> ToxicityModel:
     """Model from the texts of ``docs`` and doc_id, toxic of ``labels``.
 
-    At most about MOST_TOXIC and MOST_CLEAN rows, chosen by a hash of doc_id, are broadcast as ids
-    and gathered on the driver as features. A doc_id with several labels counts as toxic if one is.
+    Of each label the MOST_TOXIC or MOST_CLEAN rows with the least hash of doc_id and text are
+    gathered on the driver as features, equal rows once; about as many ids are broadcast. Swaps that change the same
+    features are one pair with a count, at most MOST_PAIRS of them, the most frequent. A doc_id with several labels counts as toxic if one is.
     """
     known = labels.filter("toxic is not null and doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg((F.max("toxic") > 0).alias("toxic"))
     sizes = {r["toxic"]: r["count"] for r in known.groupBy("toxic").count().collect()}
-    rates = {t: min(1.0, most / max(1, sizes.get(t, 0))) for t, most in ((True, MOST_TOXIC), (False, MOST_CLEAN))}
+    most = {True: MOST_TOXIC, False: MOST_CLEAN}
+    rates = {t: min(1.0, n / max(1, sizes.get(t, 0))) for t, n in most.items()}
     sample = known.filter(hash01(F.col("doc_id")) <= F.when(F.col("toxic"), rates[True]).otherwise(rates[False]))
-    got = documents(docs).join(F.broadcast(sample), "doc_id").select("text", F.col("toxic").cast("int").alias("toxic")).mapInArrow(_training_rows, "toxic int, own binary, pairs array<struct<gone:binary,new:binary>>").collect()
+    met = documents(docs).join(F.broadcast(sample), "doc_id").select(F.xxhash64("doc_id", "text").alias("h"), "text", F.col("toxic").cast("int").alias("toxic"))
+    found = materialize(met.mapInArrow(_training_rows, "h long, toxic int, own binary, pairs array<struct<gone:binary,new:binary>>").dropDuplicates(["h", "toxic"]), "toxic")
+    chosen = found.filter("toxic = 1").orderBy("h").limit(MOST_TOXIC).unionByName(found.filter("toxic = 0").orderBy("h").limit(MOST_CLEAN))
+    got = chosen.select("toxic", "own").collect()
     got.sort(key=lambda r: (r["toxic"], bytes(r["own"])))
+    swapped = chosen.select(F.explode("pairs").alias("p")).groupBy("p.gone", "p.new").count().orderBy(F.desc("count"), "gone", "new").limit(MOST_PAIRS).collect()
     unpack = lambda raw: np.frombuffer(raw, "<i4")
-    rows = [unpack(r["own"]) for r in got]
-    pairs = [(unpack(p["gone"]), unpack(p["new"])) for r in got for p in r["pairs"]]
     # labels are sampled at different rates: the bias goes back to their true shares
     shift = float(np.log(rates[False] / rates[True]))
-    return _train(rows, np.array([r["toxic"] for r in got], dtype=int), pairs, shift)
+    return _train([unpack(r["own"]) for r in got], np.array([r["toxic"] for r in got], dtype=int), [(unpack(r["gone"]), unpack(r["new"])) for r in swapped], np.array([r["count"] for r in swapped], float), shift)
 
 
 def _scorer(model: ToxicityModel):
