@@ -1,4 +1,8 @@
-"""Near copies by the Jaccard similarity of their word shingles.
+"""Near copies beyond the reach of fingerprints: Jaccard similarity of word shingles, beside SimHash links.
+
+SimHash fingerprints of texts with a similarity of 0.8 differ in about ten of 64 bits, too many for
+any keys. So texts whose fingerprints differ in at most 2 bits are linked by the Golay keys of
+SimHash dedup, and those beyond are found by minimum hashes as follows.
 
 Each set of shingles is filed under ``BANDS`` keys of ``ROWS`` minimum hashes. Sets that meet under
 a key are compared exactly. Within a key the comparison goes from linked set to linked set and
@@ -20,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import documents, materialize, utf8_parts
-from .simhash import components
+from .simhash import components, links, majority
 
 SHINGLE, LEAST, SEED = 5, 0.8, 42
 #: A pair of similarity s shares a band with probability 1 - (1 - s**ROWS)**BANDS: 0.9996 at 0.8.
@@ -51,7 +55,7 @@ def bands(h: np.ndarray) -> list[int]:
     return [xxhash.xxh64_intdigest(x.tobytes(), seed=i) - 2**63 for i, x in enumerate(least)]
 
 
-SKETCH = "uid long, doc_id long, set_id long, n long, bands array<long>"
+SKETCH = "uid long, doc_id long, set_id long, fp long, n long, bands array<long>"
 
 
 def _sketches(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -59,7 +63,7 @@ def _sketches(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sets = [shingles(x) for x in utf8_parts(b.column("text"))]
         ids = [xxhash.xxh64_intdigest(h.tobytes(), seed=SEED) - 2**63 for h in sets]
         keys = pa.array([bands(h) for h in sets], pa.list_(pa.int64()))
-        yield pa.record_batch({"uid": b.column("uid"), "doc_id": b.column("doc_id"), "set_id": pa.array(ids, pa.int64()), "n": pa.array([len(h) for h in sets], pa.int64()), "bands": keys})
+        yield pa.record_batch({"uid": b.column("uid"), "doc_id": b.column("doc_id"), "set_id": pa.array(ids, pa.int64()), "fp": pa.array(np.array([majority(h) for h in sets], np.uint64).view(np.int64)), "n": pa.array([len(h) for h in sets], pa.int64()), "bands": keys})
 
 
 def _sets(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -116,16 +120,26 @@ def _edges(least: float):
     return run
 
 
-def jaccard_groups(docs: DataFrame, least: float = LEAST, most: int = MOST) -> DataFrame:
+def fingerprint_edges(nodes: DataFrame) -> DataFrame:
+    """Edges a, b between sets (set_id, fp) that connect whatever has fingerprints of at most 2 differing bits."""
+    least = materialize(nodes.groupBy("fp").agg(F.min("set_id").alias("least")), "least")
+    equal = nodes.select("fp", "set_id").join(least, "fp").select(F.col("set_id").alias("a"), F.col("least").alias("b")).filter("a <> b")
+    of = lambda c: least.select(F.col("fp").alias(c), F.col("least").alias(f"of_{c}"))
+    close = materialize(links(least), "links").join(of("a"), "a").join(of("b"), "b").select(F.col("of_a").alias("a"), F.col("of_b").alias("b"))
+    return equal.unionByName(close)
+
+
+def near_groups(docs: DataFrame, least: float = LEAST, most: int = MOST) -> DataFrame:
     """doc_id and component_id of every row of ``docs``.
 
-    Texts are lower-cased (A-Z) and split at ASCII white space; those without words are one group.
-    component_id is the smallest doc_id that is reachable over pairs of at least this similarity,
+    Links are SimHash fingerprints of at most 2 differing bits, and a Jaccard similarity of ``least`` or more, over shingles of
+    SHINGLE words, repeats left out. Texts are lower-cased (A-Z) and split at ASCII white space; those without words are one group.
+    component_id is the smallest doc_id that is reachable over links,
     null only if all of them are null.
     """
     base = documents(docs).withColumn("uid", F.xxhash64("doc_id", "text"))
     own = materialize(base.mapInArrow(_sketches, SKETCH), "sketches")
-    nodes = materialize(own.groupBy("set_id").agg(F.min("doc_id").alias("first"), F.min("uid").alias("uid"), F.first("n").alias("n"), F.first("bands").alias("bands")), "sets")
+    nodes = materialize(own.groupBy("set_id").agg(F.min("doc_id").alias("first"), F.min("uid").alias("uid"), F.first("fp").alias("fp"), F.first("n").alias("n"), F.first("bands").alias("bands")), "sets")
     filed = nodes.select("set_id", "n", F.explode("bands").alias("key"))
     # keys of equal members are asked once
     members = filed.groupBy("key").agg(F.count("*").alias("members"), F.sum("n").alias("total"), F.bit_xor(F.xxhash64("set_id")).alias("x"), F.bit_xor(F.xxhash64("set_id", F.lit(1))).alias("y")).filter("members > 1")
@@ -140,7 +154,7 @@ def jaccard_groups(docs: DataFrame, least: float = LEAST, most: int = MOST) -> D
     sets = materialize(texts.mapInArrow(_sets, "set_id long, hashes binary"), "hashes").dropDuplicates(["set_id"])
     dealt = units.join(sets, "set_id").select("key", "i", "j", "set_id", "hashes").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
     edges = dealt.mapInArrow(_edges(least), "a long, b long")
-    root = components(edges).withColumnRenamed("node", "set_id")
+    root = components(edges.unionByName(fingerprint_edges(nodes))).withColumnRenamed("node", "set_id")
     rooted = nodes.select("set_id", "first").join(root, "set_id", "left").withColumn("root", F.coalesce("root", "set_id"))
     ids = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
     # written, so that AQE can split a set with very many copies

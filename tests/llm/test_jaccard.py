@@ -56,7 +56,7 @@ def test_near_stage_finds_edited_copies(spark):
     assert len(pairs) > 200
     docs = docs_of(spark, [(i, t, "en", "a") for i, t in texts.items()]).repartition(3)
     for most in (jaccard.MOST, 700):  # the second cuts keys into blocks
-        got = {r["doc_id"]: r["component_id"] for r in jaccard.jaccard_groups(docs, most=most).collect()}
+        got = {r["doc_id"]: r["component_id"] for r in jaccard.near_groups(docs, most=most).collect()}
         found = sum(got[a] == got[b] for a, b in pairs)
         assert found == len(pairs), f"recall {found / len(pairs)}"
         assert got == brute_groups(texts)
@@ -67,14 +67,14 @@ def test_near_stage_finds_edited_copies(spark):
 def test_groups_by_brute_force_on_tables(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     texts = {r["doc_id"]: r["text"] for r in docs.select("doc_id", "text").collect()}
-    got = {r["doc_id"]: r["component_id"] for r in jaccard.jaccard_groups(docs).collect()}
+    got = {r["doc_id"]: r["component_id"] for r in jaccard.near_groups(docs).collect()}
     want = brute_groups(texts)
     assert len(set(want.values())) < len(want)
     assert got == want
 
 
 def test_odd_rows(odd, odd_rows):
-    rows = jaccard.jaccard_groups(odd).collect()
+    rows = jaccard.near_groups(odd).collect()
     assert len(rows) == len(odd_rows)
     of = {r["doc_id"]: r["component_id"] for r in rows}
     assert of[1] == of[2] == of[3] == 1 and of[4] == of[5] == of[6] == of[7] == 4 and of[8] == of[None] == 8 and of[9] == 9

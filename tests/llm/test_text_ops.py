@@ -200,9 +200,51 @@ def test_mix_meets_quotas(odd, odd_rows, none, kw):
     assert mixing.mix_sources(none).count() == 0
 
 
-def test_exponent_is_bisected():
-    tokens_ = [900, 50, 50]
-    a = mixing.bisect_exponent(tokens_, 1000, 0.8, None)
-    assert mixing.entropy(mixing.weights_at(tokens_, a)) == pytest.approx(0.8, abs=1e-6)
-    b = mixing.bisect_exponent(tokens_, 1000, None, 2.0)
-    assert max(w * 1000 / t for w, t in zip(mixing.weights_at(tokens_, b), tokens_)) == pytest.approx(2.0, abs=1e-6)
+def test_exponent_is_bisected(spark):
+    sizes = [900, 50, 50]
+    table = spark.createDataFrame([(t, t / 1000) for t in sizes], "t long, share double")
+    at = lambda grid: mixing.moments(table, grid)
+    a = mixing.bisect_exponent(at, 1000, 0.8, None)
+    assert at([a])[0][1] == pytest.approx(0.8, abs=1e-6)
+    b = mixing.bisect_exponent(at, 1000, None, 2.0)
+    raised = [(t / 1000) ** b for t in sizes]
+    assert max(r / sum(raised) * 1000 / t for r, t in zip(raised, sizes)) == pytest.approx(2.0, abs=1e-6)
+    assert mixing.bisect_exponent(at, 1000, 0.1, None) == 1.0 and mixing.bisect_exponent(at, 1000, None, 0.5) == 1.0
+
+
+def test_very_many_sources(spark):
+    docs = spark.range(100_000).select(F.col("id").alias("doc_id"), F.expr("repeat('w ', cast(1 + id % 7 as int))").alias("text"), F.concat(F.lit("s"), "id").alias("source"))
+    plan = mixing.plan_mix(docs, 0.999, 4.0)
+    assert plan.count() == 100_000 and plan.agg(F.sum("weight")).first()[0] == pytest.approx(1.0)
+    got = mixing.mix_sources(docs, None, 1.0, 0.5).agg(F.sum("n_tokens"), F.count("*")).first()
+    assert 0 < got[0] <= 0.5 * 400_000
+
+
+def test_ledger_forgets_what_older_rules_found(spark):
+    hexes = {1: "x " + "a" * 26, 2: "y " + "b" * 44 + " password=hunter22"}
+    docs = docs_of(spark, [(i, t, "en", "a") for i, t in hexes.items()])
+    now = lambda ledger, rules: {r["doc_id"]: r["spans"] for r in secrets.secret_report(docs, ledger, rules).collect()}
+    one, two = secrets.Rule("hex", "[0-9a-f]{24,}"), secrets.Rule("hex", "[0-9a-f]{40,}", version=2)
+    assign = secrets.BASE[0]
+    ledger = materialize(secrets.scan(docs, None, (one, assign)), "t")
+    assert now(ledger, (one, assign)) == {1: "hex:2:28", 2: "hex:2:46,assign:47:64"}
+    assert now(ledger, (two, assign)) == {1: "", 2: "hex:2:46,assign:47:64"}  # a changed rule
+    assert now(ledger, (assign,)) == {1: "", 2: "assign:47:64"}  # a dropped one
+    again = secrets.findings(docs, ledger, (assign, one)).collect()  # in another order, without a new scan
+    assert {r["doc_id"]: [f["rank"] for f in r["findings"]] for r in again} == {1: [1], 2: [1, 0]}
+    assert secrets.scan(docs, ledger, (assign, one)).count() == 0
+
+
+def test_fits_are_bounded_in_rows(spark, monkeypatch):
+    monkeypatch.setattr(langid, "PER_LANG", 20)
+    monkeypatch.setattr(toxicity, "MOST_CLEAN", 30)
+    rows = [(None if i % 2 else 5, f"{'the fox' if i % 3 else 'der hund'} {i % 400}", "en" if i % 3 else "de", "a") for i in range(2000)]
+    seen = []
+    monkeypatch.setattr(langid, "_train", lambda x, lang, langs: seen.append(np.bincount(lang).tolist()))
+    langid.fit(docs_of(spark, rows))
+    assert seen == [[20, 20]]
+    monkeypatch.setattr(toxicity, "_train", lambda rows, toxic, pairs, times, shift: seen.append((len(rows), len(pairs))))
+    terms = "women muslims gay black immigrants old"
+    labels = spark.createDataFrame([(5, 1, 0), (None, 1, 1)], "doc_id long, quality int, toxic int")
+    toxicity.fit(docs_of(spark, [(i, f"{t} {terms}", lang, src) for i, t, lang, src in rows]), labels)
+    assert seen[1][0] == 30 and 15 < seen[1][1] < 40
