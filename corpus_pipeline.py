@@ -49,8 +49,8 @@ def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies (Jaccard similarity of 5-word shingles of 0.8 or more, linked) the document with the smallest doc_id."""
-    groups = jaccard.jaccard_groups(docs).filter("doc_id is not null").groupBy("doc_id").agg(F.max(F.col("doc_id") == F.col("component_id")).alias("stays"))
+    """Of each group of near copies (5-word shingles: fingerprints within 2 bits, or Jaccard similarity of 0.8 or more) the document with the smallest doc_id."""
+    groups = jaccard.near_groups(docs).filter("doc_id is not null").groupBy("doc_id").agg(F.max(F.col("doc_id") == F.col("component_id")).alias("stays"))
     copies = groups.filter("not stays").select(F.col("doc_id").alias("copy_id"))
     met = _beside(docs)
     return met.join(copies, met["doc_id"] == copies["copy_id"], "left_anti").select("doc.*")
