@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -67,6 +68,13 @@ def id_text(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary"))
 
 
+def slices(stream: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
+    """The batches in parts of a few rows, so that what is made of them stays small."""
+    for b in stream:
+        for at in range(0, max(1, b.num_rows), rows):
+            yield b.slice(at, rows)
+
+
 def utf8_parts(column: pa.Array) -> list[bytes]:
     """Texts of an Arrow string or binary column as bytes; null counts as empty."""
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]

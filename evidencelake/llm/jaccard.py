@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents, materialize, utf8_parts
+from .common import documents, materialize, slices, utf8_parts
 from .simhash import components, links, majority
 
 SHINGLE, LEAST, SEED = 5, 0.8, 42
@@ -32,7 +32,7 @@ BANDS, ROWS = 20, 5
 #: Shingle hashes that are permuted at once.
 BLOCK = 1 << 12
 #: Shingles of one block of the sets under a key, about.
-MOST = 1 << 21
+MOST = 1 << 20
 
 _A, _B = np.random.default_rng(SEED).integers(0, 2**63, (2, BANDS * ROWS, 1), np.uint64)
 _A = _A * np.uint64(2) + np.uint64(1)
@@ -59,7 +59,7 @@ SKETCH = "uid long, doc_id long, set_id long, fp long, n long, bands array<long>
 
 
 def _sketches(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in stream:
+    for b in slices(stream):
         sets = [shingles(x) for x in utf8_parts(b.column("text"))]
         ids = [xxhash.xxh64_intdigest(h.tobytes(), seed=SEED) - 2**63 for h in sets]
         keys = pa.array([bands(h) for h in sets], pa.list_(pa.int64()))
@@ -67,7 +67,7 @@ def _sketches(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _sets(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in stream:
+    for b in slices(stream):
         yield pa.record_batch({"set_id": b.column("set_id"), "hashes": pa.array([shingles(x).tobytes() for x in utf8_parts(b.column("text"))], pa.binary())})
 
 

@@ -34,16 +34,14 @@ from pyspark.sql import DataFrame  # noqa: E402
 from pyspark.sql import functions as F  # noqa: E402
 from tokenizers import Tokenizer  # noqa: E402
 
-from .common import documents, materialize  # noqa: E402
+from .common import documents, materialize, slices  # noqa: E402
 
 TOKENIZER = "word_bpe_49k.json"
 CAPACITY, END_ID = 4096, 2
 #: Most of a slot that an uncut rest may leave empty.
 WASTE = 1 / 32
 #: Word encodings a task remembers, and those of one more call.
-MEMO = 700_000
-#: Characters of texts whose unknown words are encoded in one call, and one text more.
-GATHER = 1 << 22
+MEMO = 500_000
 #: Latin letters up to U+024F become lower case one by one, but for the dotted capital I.
 NOT_LATIN = re.compile("[^\x00-\u012f\u0131-\u024f]")
 #: Tasks whose rests one task of the next level takes.
@@ -191,30 +189,19 @@ def _rows(rows: list[tuple]) -> pa.RecordBatch:
     return pa.record_batch({n: pa.array(c, pa.int64()) for n, c in zip(_KINDS, columns)})
 
 
-def _gathered(doc_ids: list, texts: list) -> Iterator[tuple[list, list[str]]]:
-    """The rows in runs of about GATHER characters."""
-    first, size = 0, 0
-    for i, text in enumerate(texts):
-        size += len(text or "")
-        if size >= GATHER or i + 1 == len(texts):
-            yield doc_ids[first : i + 1], [t or "" for t in texts[first : i + 1]]
-            first, size = i + 1, 0
-
-
 def _first_level(tokenizer: str, capacity: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo, end = word_memo(tokenizer), np.array([END_ID], "<u4").tobytes()
         task = TaskContext.get().partitionId()
         bins = Bins(task, 0, capacity)
-        for b in batches:
-            for doc_ids, texts in _gathered(b.column("doc_id").to_pylist(), b.column("text").to_pylist()):
-                for doc_id, ids in zip(doc_ids, memo.encode_all(texts)):
-                    ids += end
-                    for start, length, crc in pieces_of(ids, capacity):
-                        bins.add((doc_id, start, length, crc, len(ids) // 4))
-                if len(bins.out) > 20_000:
-                    yield _rows(bins.out)
-                    bins.out.clear()
+        for b in slices(batches):
+            for doc_id, ids in zip(b.column("doc_id").to_pylist(), memo.encode_all([t or "" for t in b.column("text").to_pylist()])):
+                ids += end
+                for start, length, crc in pieces_of(ids, capacity):
+                    bins.add((doc_id, start, length, crc, len(ids) // 4))
+            if len(bins.out) > 20_000:
+                yield _rows(bins.out)
+                bins.out.clear()
         yield _rows(bins.out + [(*p, task, None, None) for p in bins.rest()])
 
     return run
