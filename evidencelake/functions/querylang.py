@@ -24,6 +24,11 @@ TRADITIONAL = "體臺網頁資處這為與發應從點請設啟總層價門會
 SIMPLIFIED = "体台网页资处这为与发应从点请设启总层价门会学术业实机"
 REGION_LANG = {"TW": "zh-hant", "HK": "zh-hant", "MO": "zh-hant", "CN": "zh-hans", "SG": "zh-hans"}
 TAVILY_COUNTRY = {"TW": "taiwan", "CN": "china", "US": "united states", "JP": "japan", "KR": "south korea", "GB": "united kingdom", "CA": "canada", "AU": "australia", "SG": "singapore", "HK": "hong kong"}
+BRAVE_LANGS = (
+    "ar", "eu", "bn", "bg", "ca", "zh-hans", "zh-hant", "hr", "cs", "da", "nl", "en", "en-gb", "et", "fi", "fr", "gl", "de", "el", "gu", "he", "hi", "hu", "is", "it", "jp", "kn",
+    "ko", "lv", "lt", "ms", "ml", "mr", "nb", "pl", "pt-br", "pt-pt", "pa", "ro", "ru", "sr", "sk", "sl", "es", "sv", "ta", "te", "th", "tr", "uk", "vi",
+)
+BRAVE_ALIASES = {"ja": "jp", "ja-jp": "jp", "jp-jp": "jp", "ko-kr": "ko", "zh": "zh-hans", "zh-cn": "zh-hans", "zh-sg": "zh-hans", "zh-tw": "zh-hant", "zh-hk": "zh-hant", "zh-mo": "zh-hant"}
 GOOGLE_HL = {"zh-hant": "zh-TW", "zh-hans": "zh-CN", "ja": "ja", "ko": "ko", "en": "en"}
 COUNTRY_HL = {"TW": "zh-TW", "HK": "zh-TW", "MO": "zh-TW", "CN": "zh-CN", "JP": "ja", "KR": "ko", "US": "en", "GB": "en", "CA": "en", "AU": "en"}
 MIRROR = (
@@ -52,6 +57,13 @@ def _n(text: Column, pattern: str) -> Column:
     return F.regexp_count(text, F.lit(pattern))
 
 
+def brave_lang(lang: Column) -> Column:
+    """The language code that Brave's API takes, or null if it knows none: an alias, the code itself, or its first part."""
+    code = F.replace(F.lower(F.trim(lang)), F.lit("_"), F.lit("-"))
+    base = F.split_part(code, F.lit("-"), F.lit(1))
+    return F.coalesce(_map(BRAVE_ALIASES, code), F.when(code.isin(*BRAVE_LANGS), code), F.when(base.isin(*BRAVE_LANGS), base))
+
+
 def script_flags(text: Column) -> Column:
     t = F.coalesce(text, F.lit(""))
     return F.struct(t.rlike(HAN).alias("han"), t.rlike(KANA).alias("kana"), t.rlike(HANGUL).alias("hangul"), t.rlike(BOPOMOFO).alias("bopomofo"), _n(t, HAN).alias("n_han"))
@@ -124,7 +136,7 @@ def plan_queries(queries: DataFrame, profiles: DataFrame, sources: list[dict], s
     api, c, lang = F.col("s.api"), F.col("country"), F.col("search_lang")
     hl = F.coalesce(_map(GOOGLE_HL, lang), _map(COUNTRY_HL, c))
     params = F.to_json(F.struct(
-        F.when(api == "brave", c).when((api == "tavily") & ~F.col("s.depth").isin("fast", "ultra-fast"), _map(TAVILY_COUNTRY, c)).alias("country"), F.when(api == "brave", lang).alias("search_lang"),
+        F.when(api == "brave", c).when((api == "tavily") & ~F.col("s.depth").isin("fast", "ultra-fast"), _map(TAVILY_COUNTRY, c)).alias("country"), F.when(api == "brave", brave_lang(lang)).alias("search_lang"),
         F.when(api.isin("serpapi_google", "serpapi_google_forums"), F.lower(c)).alias("gl"), F.when(api.startswith("serpapi_google"), hl).alias("hl"), F.when(api == "exa", c).alias("user_location"),
     ))
     effective = F.concat_ws(" ", F.when(api == "exa", mirrored), q, F.nullif(F.col("s.suffix"), F.lit("")))

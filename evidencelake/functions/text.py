@@ -2,19 +2,30 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .. import config as C
 
-NAV = r"(?:首頁|首页|關於|关于|聯絡|联系|登入|登录|註冊|注册|訂閱|订阅|隱私|隐私|條款|条款|搜尋|搜索|回到頂部|回到顶部|下一頁|上一页|上一頁|上一页|ホーム|お問い合わせ|ログイン|会員登録|利用規約|検索|홈|소개|문의|로그인|회원가입|약관|검색|หน้าแรก|ติดต่อ|เข้าสู่ระบบ|สมัครสมาชิก|นโยบาย|ค้นหา|\bhome\b|\babout\b|\bcontact\b|\blogin\b|\bsign\s*in\b|\bsubscribe\b|\bprivacy\b|\bterms\b|\bcookies?\b|\bmenu\b|\bsearch\b)"
+NAV = f"(?:{'|'.join((*C.NAV_MARKS, *(rf'\b{w}\b' for w in C.NAV_WORDS)))})"
+#: The same matches; the first character is looked at before the alternatives are.
+NAV_SCAN = f"(?:(?=[{''.join(dict.fromkeys(m[0] for m in C.NAV_MARKS))}])(?:{'|'.join(C.NAV_MARKS)})|\\b(?:{'|'.join(C.NAV_WORDS)})\\b)"
 BREAK = "[\\n\\r\\x0b\\x0c\\x1c-\\x1e\\x85\\u2028\\u2029]"
 HAN = "[㐀-鿿]"
+#: White space of Unicode.
+BLANK = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+
+
+def stripped(text: Column) -> Column:
+    """The text without white space at its ends."""
+    return F.btrim(text, F.lit(BLANK))
 
 
 def lines_of(text: Column) -> Column:
     """Trimmed lines with something in them."""
-    return F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), "\r\n|" + BREAK), lambda x: F.regexp_replace(x, r"(?U)^\s+|\s+$", "")), lambda x: x != "")
+    return F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), "\r\n|" + BREAK), stripped), lambda x: x != "")
 
 
 def let(value: Column, use) -> Column:
@@ -132,9 +143,11 @@ def js_signals(html: Column, text: Column) -> Column:
 
 def content_metrics(text: Column, html: Column | None = None) -> Column:
     """quality_score, text_len, line_count, short_line_ratio, nav_hits, js_signals, language_hint of a page text."""
-    t = F.regexp_replace(F.coalesce(text, F.lit("")), r"(?U)^\s+|\s+$", "")
-    signals = js_signals(html if html is not None else F.lit(""), t)
-    base = F.struct(t.alias("t"), language_class(t, html).alias("lang"), lines_of(t).alias("lines"), F.when(t == "", 0).otherwise(count(F.substring(t, 1, 4000), NAV)).alias("nav"), signals.alias("js"))
+    page = html if html is not None else F.lit("")
+
+    def base(t: Column) -> Column:
+        nav = F.when(t == "", 0).otherwise(count(F.substring(t, 1, 4000), NAV_SCAN))
+        return F.struct(t.alias("t"), language_class(t, html).alias("lang"), lines_of(t).alias("lines"), nav.alias("nav"), js_signals(page, t).alias("js"))
 
     def lines(b: Column) -> Column:
         plain = F.filter(b["lines"], lambda x: ~x.startswith("#"))
@@ -151,15 +164,20 @@ def content_metrics(text: Column, html: Column | None = None) -> Column:
             ratio.alias("short_line_ratio"), b["nav"].alias("nav_hits"), b["js"].alias("js_signals"), b["lang"].alias("language_hint"),
         )
 
-    return let(let(base, lines), measured)
+    return let(let(let(stripped(F.coalesce(text, F.lit(""))), base), lines), measured)
 
 
 def low_value_reason(text: Column) -> Column:
-    sample = F.regexp_replace(F.coalesce(text, F.lit("")), r"(?U)^\s+|\s+$", "")
-    out = F.when(sample == "", "EMPTY_CONTENT")
-    for pattern, reason in C.LOW_VALUE:
-        out = out.when(sample.rlike(f"(?i){pattern}"), reason)
-    return out.when((F.length(sample) <= 20) & (F.regexp_count(sample, F.lit(r"(?U)\S+")) <= 3), "LOW_INFO_CONTENT")
+    def judged(b: Column) -> Column:
+        sample = b["t"]
+        out = F.when(sample == "", "EMPTY_CONTENT")
+        for pattern, reason in C.LOW_VALUE:
+            # the last word of a pattern is plain, and a plain search is cheap
+            word = re.findall("[a-z]+", pattern)[-1]
+            out = out.when(F.contains(b["lowered"], F.lit(word)) & sample.rlike(f"(?i){pattern}"), reason)
+        return out.when((F.length(sample) <= 20) & (F.regexp_count(sample, F.lit(r"(?U)\S+")) <= 3), "LOW_INFO_CONTENT")
+
+    return let(let(stripped(F.coalesce(text, F.lit(""))), lambda t: F.struct(t.alias("t"), F.lower(t).alias("lowered"))), judged)
 
 
 def quality_gate(text: Column, m: Column) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -107,31 +109,47 @@ def clean_evidence(evidence: Column, turn_id: Column | None = None) -> Column:
 def pack_tokens(chunks: DataFrame, group: list[str], budget: int) -> DataFrame:
     """Chunks (group, source_rank, chunk_rank, chunk_id, text) that fit a token budget, taken in turns over sources; one that is too large is cut, and skipped if it is still too large.
 
-    Rows that come after the budget is certainly spent, by a running sum of their least costs, never reach the per-group step.
+    A skipped row costs nothing, so any later row may still fit: all rows are looked at. They come in order of their
+    group, and what is kept of a group is the tokens used and the slots filled, however many rows it has.
     """
     order = ["chunk_rank", "source_rank"]
-    least = F.least(T.est_tokens(F.col("text")), F.lit(60))
-    before = F.coalesce(F.sum(least).over(Window.partitionBy(*group).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    near = chunks.withColumn("_before", before).filter(F.col("_before") <= 4 * budget).drop("_before")
-
-    def pack(g: pd.DataFrame) -> pd.DataFrame:
-        used, out = 0, []
-        for x in g.sort_values(order).to_dict("records"):
-            text, left = (x["text"] or "").strip(), budget - used
-            if left <= 0:
-                break
-            if _est(text) > left:
-                text = _cut(text, max(240, left * 3))
-            if text and _est(text) <= left:
-                used += _est(text)
-                out.append({**x, "text": text, "slot": len(out), "tokens": _est(text)})
-        return pd.DataFrame(out, columns=[*g.columns, "slot", "tokens"])
-
-    return near.groupBy(*group).applyInPandas(pack, ", ".join(f"{n} {t}" for n, t in near.dtypes) + ", slot long, tokens long")
+    columns = [*chunks.columns, "slot", "tokens"]
+
+    def pack(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, used, slot = None, 0, 0
+        for frame in frames:
+            out = []
+            for x in frame.to_dict("records"):
+                if (key := tuple(x[c] for c in group)) != now:
+                    now, used, slot = key, 0, 0
+                text, left = (x["text"] or "").strip(), budget - used
+                if left <= 0:
+                    continue
+                if _est(text) > left:
+                    text = _cut(text, max(240, left * 3))
+                if text and _est(text) <= left:
+                    used += _est(text)
+                    out.append({**x, "text": text, "slot": slot, "tokens": _est(text)})
+                    slot += 1
+            yield pd.DataFrame(out, columns=columns)
+
+    dealt = chunks.repartition(*group).sortWithinPartitions(*group, *order)
+    return dealt.mapInPandas(pack, ", ".join(f"{n} {t}" for n, t in chunks.dtypes) + ", slot long, tokens long")
+
+
+def pack_capsules(capsules: DataFrame, budget: int = C.CAPSULE_TOKENS) -> DataFrame:
+    """Capsules (turn_id, evidence, ...) whose chunks, taken in turns over sources, fit the budget; sources and chunks stay in order, and sources without a chunk go."""
+    each = capsules.select("turn_id", F.posexplode(clean_evidence(F.col("evidence"), F.col("turn_id"))).alias("source_rank", "s"))
+    rows = each.select("turn_id", "source_rank", "s.title", "s.url", F.posexplode("s.chunks").alias("chunk_rank", "c")).select("turn_id", "source_rank", "title", "url", "chunk_rank", "c.chunk_id", "c.text")
+    taken = pack_tokens(rows, ["turn_id"], budget)
+    sources = taken.groupBy("turn_id", "source_rank").agg(F.first("title").alias("title"), F.first("url").alias("url"), ordered(F.struct("chunk_id", "text"), ["chunk_rank"]).alias("chunks"))
+    packed = sources.groupBy("turn_id").agg(ordered(F.struct("title", "url", "chunks"), ["source_rank"]).alias("evidence"))
+    return capsules.drop("evidence").join(packed, "turn_id", "left").withColumn("evidence", F.coalesce("evidence", F.array().cast(EVIDENCE)))
 
 
 def seal_capsules(capsules: DataFrame, key: str) -> DataFrame:
-    """turn_id, token: capsules (turn_id, standalone_question, queries, evidence) as authenticated ciphertext."""
+    """turn_id, token: capsules (turn_id, standalone_question, queries, evidence), packed to CAPSULE_TOKENS, as authenticated ciphertext."""
+    capsules = pack_capsules(capsules)
     body = F.struct(
         F.lit(C.CAPSULE_VERSION).alias("version"), "turn_id", T.cut(F.col("standalone_question"), 4000).alias("standalone_question"),
         F.slice(F.transform(F.filter("queries", lambda q: F.trim(q) != ""), lambda q: T.cut(q, 600)), 1, 3).alias("queries"), clean_evidence(F.col("evidence"), F.col("turn_id")).alias("evidence"),

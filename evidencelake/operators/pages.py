@@ -26,8 +26,8 @@ def extract_pages(pages: DataFrame) -> DataFrame:
     return best.select("page_id", "url", "title", "source", "text", "metrics", "quality", T.content_scope(F.col("text")).alias("scope"), F.length("html").alias("html_len"))
 
 
-LEADING_UI = r"(?:\bedition\b|\bsign\s*(?:in|out)\b|\bshare\b|\btext\s*size\b|\btoday'?s\s+epaper\b|\bget\s+app\b|\bdownload\s+app\b|\bnewsletter(?:s)?\b|\bsaved\s+articles\b|\bfollowing\b|\bmy\s+reads\b|\bweather(?:\s+today)?\b|\bprivacy\s+policy\b|\bterms\s+of\s+use\b|\bcontact\s+us\b|\babout\s+us\b|\bprint\s+ad\s+rates\b|\bcode\s+of\s+ethics\b|\bsitemap\b|\brss\s+feeds\b|\bimage\s+source\b|\bphoto\s+credit\b|\bcomments?\b|隱私政策|隐私政策|使用條款|使用条款|聯絡我們|联系我们|關於我們|关于我们|分享|字體大小|字体大小|下載App|下载App|訂閱電子報|订阅电子报|ホーム|シェア|ログイン|利用規約|お問い合わせ|공유|로그인|문의하기|이용약관|แชร์|เข้าสู่ระบบ|ข้อกำหนดการใช้งาน|ติดต่อเรา)"
-TRAILING = r"(?:\bfollow\s+us\b|\balso\s+read\b|\bread\s+more\b|\brecommended\b|\brelated\s+(?:articles?|stories|news)\b|\byou\s+may\s+also\s+like\b|\blatest\s+updates\b|\blive\s+updates\b|\btop\s+stories\b|\bmost\s+read\b|\btrending\b|\bnewsletter(?:s)?\b|\ball\s+rights\s+reserved\b|延伸閱讀|延伸阅读|相關文章|相关文章|更多報導|更多报道|最新更新|即時更新|热门|最受歡迎|最受欢迎|関連記事|おすすめ|続きを読む|最新情報|人気記事|관련 기사|추천 기사|더 읽기|실시간 업데이트|อ่านเพิ่มเติม|บทความที่เกี่ยวข้อง|อัปเดตล่าสุด|กำลังมาแรง)"
+LEADING_UI = C.LEADING_UI
+TRAILING = C.TRAILING
 
 
 def noise_penalty(text: Column, title: Column) -> Column:

@@ -79,7 +79,8 @@ J7_SQL = f"WITH {CHUNKS}, n AS (SELECT research_id, format('L1-S{{}}-C{{:03d}}',
 def _evidence(spark, d):
     picked = K.topk_chunks(_chunks(spark, d), 40)
     pages = table(spark, d, "pages").select((F.col("page_id") % 20).alias("research_id"), F.col("page_id").alias("page_order"), F.col("page_id"), "url", T.extract_title(F.col("html")).alias("title"))
-    chunks = picked.join(pages.select("page_id", F.col("url").alias("source_url")), F.col("source_ordinal") % 250 == F.col("page_id"))
+    # a document stands for the page of its number, round and round the page table
+    chunks = picked.join(pages.select("page_id", F.col("url").alias("source_url")), F.col("source_ordinal") % max(1, pages.count()) == F.col("page_id"))
     return K.evidence_join(pages.drop("page_id"), chunks.drop("page_id"))
 
 
@@ -88,7 +89,7 @@ def j4_f27_evidence(spark, d):
 
 
 J4_SQL = f"""WITH {CHUNKS}, c AS (SELECT *, row_number() OVER (PARTITION BY research_id ORDER BY score DESC, source_ordinal, chunk_ordinal) AS pick FROM chunks QUALIFY pick <= 40),
-pg AS (SELECT page_id, page_id % 20 AS research_id, url, {canon('url')} AS url_key FROM pages), k AS (SELECT c.research_id, c.chunk_id, pg.url_key FROM c JOIN pg ON c.source_ordinal % 250 = pg.page_id),
+pg AS (SELECT page_id, page_id % 20 AS research_id, url, {canon('url')} AS url_key FROM pages), k AS (SELECT c.research_id, c.chunk_id, pg.url_key FROM c JOIN pg ON c.source_ordinal % (SELECT count(*) FROM pages) = pg.page_id),
 u AS (SELECT * FROM pg QUALIFY row_number() OVER (PARTITION BY research_id, url_key ORDER BY page_id) = 1), v AS (SELECT * FROM u SEMI JOIN k ON u.research_id = k.research_id AND u.url_key = k.url_key), n AS (SELECT *, row_number() OVER (PARTITION BY research_id ORDER BY page_id) AS source_index FROM v)
 SELECT k.research_id, source_index, chunk_id, '[citation](' || source_index || ':' || regexp_replace(n.url_key, '^https?:', '') || ')' AS citation_marker, n.url FROM k JOIN n ON k.research_id = n.research_id AND k.url_key = n.url_key"""
 

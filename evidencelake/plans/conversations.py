@@ -9,7 +9,7 @@ from ..functions import text as T
 from ..functions.urls import canonical_url
 from ..operators import conversations as V
 from ..operators import selection as S
-from ..sources.tables import MESSAGES, TRACE, table
+from ..sources.tables import MESSAGES, TRACE, shared_folder, table, trace_stream
 from ..streaming import trace as R
 from .serp import canon
 
@@ -62,8 +62,8 @@ def w18_recent(spark, d):
 
 
 def _sources(spark, d):
-    """Evidence sources: a document of every conversation's number, its lines as chunks."""
-    docs = table(spark, d, "documents").select((F.col("doc_id") % 50).alias("conv_id"), "doc_id", F.concat(F.lit("Doc "), "doc_id").alias("title"), F.concat(F.lit("https://D.example/"), F.col("doc_id") % 300, F.lit("/")).alias("url"), F.split("text", "\n").alias("lines"))
+    """Evidence sources: each conversation has the next 20 documents, their lines as chunks; five URLs stand twice."""
+    docs = table(spark, d, "documents").select(F.floor(F.col("doc_id") / 20).alias("conv_id"), "doc_id", F.concat(F.lit("Doc "), "doc_id").alias("title"), F.concat(F.lit("https://D.example/"), F.col("doc_id") % 15, F.lit("/")).alias("url"), F.split("text", "\n").alias("lines"))
     chunk = F.transform("lines", lambda t, i: F.struct(F.concat(F.lit("C"), (i + 1).cast("string")).alias("chunk_id"), t.alias("text")))
     return docs.select("conv_id", F.col("doc_id").alias("source_order"), "title", "url", chunk.alias("chunks"))
 
@@ -80,17 +80,14 @@ def g18_clean_evidence(spark, d):
 
 
 G18_SQL = r"""WITH l AS (SELECT doc_id, generate_subscripts(string_split(text, chr(10)), 1) AS i, trim(unnest(string_split(text, chr(10)))) AS t FROM documents), k AS (SELECT * FROM l WHERE t <> '')
-SELECT doc_id % 50 AS conv_id, doc_id % 4 AS at, 'Doc ' || doc_id AS title, 'https://D.example/' || doc_id % 300 || '/' AS url, count(*) AS n_chunks, 't' || doc_id % 4 || ':C' || min(i) AS first_id FROM k GROUP BY doc_id"""
+SELECT doc_id // 20 AS conv_id, doc_id % 4 AS at, 'Doc ' || doc_id AS title, 'https://D.example/' || doc_id % 15 || '/' AS url, count(*) AS n_chunks, 't' || doc_id % 4 || ':C' || min(i) AS first_id FROM k GROUP BY doc_id"""
 
 
 def s15_s16_capsules(spark, d):
     sealed = V.seal_capsules(_capsules(spark, d).withColumn("turn_id", F.concat_ws("-", "conv_id", "turn_id")), KEY)
     at = F.regexp_extract("turn_id", "t([0-9]+)$", 1).cast("long")
     tokens = sealed.select(F.split("turn_id", "-")[0].cast("long").alias("conv_id"), at.alias("at"), F.when(at == 3, F.concat(F.lit("x"), "token")).otherwise(F.col("token")).alias("token"))
-    return V.unseal_capsules(tokens, KEY).select("conv_id", "at", "turn_id", F.size("evidence").alias("n_sources"), F.size("queries").alias("n_queries"))
-
-
-S16_SQL = "SELECT doc_id % 50 AS conv_id, doc_id % 4 AS at, (doc_id % 50) || '-t' || doc_id % 4 AS turn_id, count(*) AS n_sources, 2 AS n_queries FROM documents WHERE doc_id % 4 < 3 AND regexp_replace(text, '\\s', '', 'g') <> '' GROUP BY ALL"
+    return V.unseal_capsules(tokens, KEY).select("conv_id", "at", "turn_id", F.size("evidence").alias("n_sources"), F.size("queries").alias("n_queries"), F.aggregate("evidence", F.lit(0), lambda a, s: a + F.size(s["chunks"])).alias("n_chunks"))
 
 
 def g12_ledger(spark, d):
@@ -104,11 +101,11 @@ def _ledger_rows(spark, d):
 
 
 def j8_refreshable(spark, d):
-    refs = table(spark, d, "documents").select((F.col("doc_id") % 50).alias("conv_id")).distinct().withColumn("r", F.explode(F.array(*(F.struct(F.lit(i).alias("ordinal"), F.lit(x).alias("source_ref")) for i, x in enumerate(("t1:S2", "t0:S1", "t9:S1", "t2:S1", "t1:S1"))))))
+    refs = table(spark, d, "documents").select(F.floor(F.col("doc_id") / 20).alias("conv_id")).distinct().withColumn("r", F.explode(F.array(*(F.struct(F.lit(i).alias("ordinal"), F.lit(x).alias("source_ref")) for i, x in enumerate(("t1:S2", "t0:S1", "t9:S1", "t2:S1", "t1:S1"))))))
     return V.refreshable_sources(_ledger_rows(spark, d), refs.select("conv_id", "r.*")).select("conv_id", "source_ref", "url")
 
 
-J8_SQL = """WITH s AS (SELECT doc_id % 50 AS conv_id, 't' || doc_id % 4 || ':S' || row_number() OVER (PARTITION BY doc_id % 50, doc_id % 4 ORDER BY doc_id) AS source_ref, 'https://D.example/' || doc_id % 300 || '/' AS url FROM documents),
+J8_SQL = """WITH s AS (SELECT doc_id // 20 AS conv_id, 't' || doc_id % 4 || ':S' || row_number() OVER (PARTITION BY doc_id // 20, doc_id % 4 ORDER BY doc_id) AS source_ref, 'https://D.example/' || doc_id % 15 || '/' AS url FROM documents),
 f AS (SELECT s.*, ordinal FROM s JOIN (VALUES (0, 't1:S2'), (1, 't0:S1'), (2, 't9:S1'), (3, 't2:S1'), (4, 't1:S1')) r(ordinal, ref) ON source_ref = ref), o AS (SELECT * FROM f QUALIFY row_number() OVER (PARTITION BY conv_id, url ORDER BY ordinal) = 1)
 SELECT conv_id, source_ref, url FROM o QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY ordinal) <= 2"""
 
@@ -119,7 +116,7 @@ def j9_exclude_sources(spark, d):
     return V.exclude_sources(s, again).select("conv_id", "source_order")
 
 
-J9_SQL = "WITH s AS (SELECT doc_id % 50 AS conv_id, doc_id AS source_order, doc_id % 300 AS k FROM documents) SELECT conv_id, source_order FROM s WHERE NOT EXISTS (SELECT 1 FROM s r WHERE r.source_order % 7 = 0 AND r.conv_id = s.conv_id AND r.k = s.k)"
+J9_SQL = "WITH s AS (SELECT doc_id // 20 AS conv_id, doc_id AS source_order, doc_id % 15 AS k FROM documents) SELECT conv_id, source_order FROM s WHERE NOT EXISTS (SELECT 1 FROM s r WHERE r.source_order % 7 = 0 AND r.conv_id = s.conv_id AND r.k = s.k)"
 
 
 def j11_merge_refreshed(spark, d):
@@ -138,8 +135,8 @@ def g17_merge_evidence(spark, d):
     return m.select("conv_id", "source_index", "title", "citation_marker", F.size("chunks").alias("n_chunks"))
 
 
-G17_SQL = """WITH l AS (SELECT doc_id, generate_subscripts(string_split(text, chr(10)), 1) AS i, unnest(string_split(text, chr(10))) AS t FROM documents), s AS (SELECT doc_id % 50 AS c, doc_id % 300 AS k, min((doc_id % 2, doc_id)) AS f FROM documents GROUP BY ALL),
-n AS (SELECT doc_id % 50 AS c, doc_id % 300 AS k, count(DISTINCT (i, t)) AS n_chunks FROM l GROUP BY ALL), o AS (SELECT *, row_number() OVER (PARTITION BY c ORDER BY f) AS source_index FROM s)
+G17_SQL = """WITH l AS (SELECT doc_id, generate_subscripts(string_split(text, chr(10)), 1) AS i, unnest(string_split(text, chr(10))) AS t FROM documents), s AS (SELECT doc_id // 20 AS c, doc_id % 15 AS k, min((doc_id % 2, doc_id)) AS f FROM documents GROUP BY ALL),
+n AS (SELECT doc_id // 20 AS c, doc_id % 15 AS k, count(DISTINCT (i, t)) AS n_chunks FROM l GROUP BY ALL), o AS (SELECT *, row_number() OVER (PARTITION BY c ORDER BY f) AS source_index FROM s)
 SELECT o.c AS conv_id, source_index, 'Doc ' || f[2] AS title, '[citation](' || source_index || '://D.example/' || o.k || '/)' AS citation_marker, n_chunks FROM o JOIN n ON o.c = n.c AND o.k = n.k"""
 
 
@@ -158,8 +155,13 @@ def r2_trace_state(spark, d):
     return R.trace_state(table(spark, d, "trace"))
 
 
-R2_SQL = f"""WITH e AS ({TRACE}), s AS (SELECT *, CASE type WHEN 'plan' THEN 'searching' WHEN 'search_results' THEN 'url_judge' WHEN 'url_selection' THEN 'crawling' WHEN 'final_evidence' THEN 'evidence' END AS st FROM e)
-SELECT turn_id, coalesce(arg_max(st, seq) FILTER (st IS NOT NULL), 'planning') AS stage, count(*) AS n_events, count(DISTINCT query) FILTER (type <> 'stage') AS n_queries, count(DISTINCT (query, url)) FILTER (type = 'search_results') AS n_sources, count(DISTINCT (query, url)) FILTER (type = 'url_selection') AS n_selected, count(DISTINCT (query, chunk_id)) FILTER (type = 'final_evidence') AS n_chunks FROM s GROUP BY turn_id"""
+R2_SQL = f"""WITH e AS ({TRACE}), s AS (SELECT *, CASE type WHEN 'plan' THEN 'searching' WHEN 'search_results' THEN 'url_judge' WHEN 'url_selection' THEN 'crawling' WHEN 'final_evidence' THEN 'evidence' WHEN 'direct_sources' THEN 'direct_crawl' WHEN 'refresh_sources' THEN 'direct_crawl' WHEN 'direct_evidence' THEN 'chunk_judge' END AS st FROM e)
+SELECT turn_id, coalesce(arg_max(st, seq) FILTER (st IS NOT NULL), 'planning') AS stage, count(*) AS n_events, count(DISTINCT query) FILTER (type IN ('plan', 'search_results', 'url_selection', 'final_evidence')) AS n_queries, count(DISTINCT (query, url)) FILTER (type = 'search_results') AS n_sources, count(DISTINCT (query, url)) FILTER (type = 'url_selection') AS n_selected, count(DISTINCT (query, chunk_id)) FILTER (type = 'final_evidence') AS n_chunks,
+ count(DISTINCT url) FILTER (type IN ('direct_sources', 'refresh_sources')) AS n_direct_sources, count(DISTINCT chunk_id) FILTER (type = 'direct_evidence') AS n_direct_chunks FROM s GROUP BY turn_id"""
+
+
+def r1_trace_stream(spark, d):
+    return R.run_trace_stream(trace_stream(spark, d), shared_folder(spark, "trace"))
 
 
 def r2_trace_items(spark, d):
@@ -182,7 +184,7 @@ QUERIES = {
     "f25_excerpt": (f25_excerpt, None),
     "w18_recent": (w18_recent, "SELECT conv_id, max(turn) * 1000 + count(*) AS updated_at FROM conversations GROUP BY conv_id ORDER BY updated_at DESC, conv_id LIMIT 24"),
     "g18_clean_evidence": (g18_clean_evidence, G18_SQL),
-    "s15_s16_capsules": (s15_s16_capsules, S16_SQL),
+    "s15_s16_capsules": (s15_s16_capsules, None),
     "g12_research_ledger": (g12_ledger, None),
     "j8_refreshable": (j8_refreshable, J8_SQL),
     "j9_exclude_sources": (j9_exclude_sources, J9_SQL),
@@ -191,6 +193,7 @@ QUERIES = {
     "w11_pack_tokens": (w11_pack, None),
     "w12_relevant_prior": (w12_relevant, None),
     "r2_trace_state": (r2_trace_state, R2_SQL),
+    "r1_trace_stream": (r1_trace_stream, R2_SQL),
     "r2_trace_items": (r2_trace_items, R2I_SQL),
     "r3_trace_events": (r3_trace_events, f"SELECT turn_id, seq, row_number() OVER (PARTITION BY turn_id ORDER BY seq) AS at, type FROM ({TRACE})"),
 }

@@ -5,6 +5,9 @@ The view texts run unchanged on Spark and DuckDB.
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 SERP = r"""WITH lanes AS (SELECT 0 AS source_ordinal, 'general' AS search_lane UNION ALL SELECT 1, 'academic'),
@@ -24,7 +27,8 @@ QUESTIONS = r"""SELECT r.research_id, b.text AS question FROM (SELECT DISTINCT p
 MESSAGES = r"""SELECT conv_id, turn, role, CASE WHEN turn % 3 = 0 THEN concat(text, ' see (https://example.com/a?x=', CAST(conv_id AS VARCHAR(20)), '). and https://EXAMPLE.com/a?x=', CAST(conv_id AS VARCHAR(20))) ELSE text END AS text FROM conversations"""
 CRAWL_LOG = r"""SELECT page_id, page_id % 20 AS research_id, url, CASE page_id % 5 WHEN 3 THEN 403 WHEN 4 THEN 503 ELSE 200 END AS status_code, CASE WHEN page_id % 7 = 0 THEN 'js' ELSE 'http' END AS used_render, CASE WHEN page_id % 11 = 0 THEN 'pdf' ELSE 'html' END AS resource_type, page_id % 5 < 3 AS success FROM pages"""
 TRACE = r"""SELECT user_id AS turn_id, event_id AS seq,
- CASE event_type WHEN 'signup' THEN 'plan' WHEN 'view' THEN 'search_results' WHEN 'click' THEN 'url_selection' WHEN 'purchase' THEN 'final_evidence' ELSE 'stage' END AS type,
+ CASE event_type WHEN 'signup' THEN 'plan' WHEN 'view' THEN 'search_results' WHEN 'click' THEN 'url_selection' WHEN 'purchase' THEN 'final_evidence'
+  WHEN 'error' THEN CASE event_id % 4 WHEN 0 THEN 'direct_sources' WHEN 1 THEN 'refresh_sources' WHEN 2 THEN 'direct_evidence' ELSE 'stage' END ELSE 'stage' END AS type,
  concat('q', CAST(event_id % 3 AS VARCHAR(2))) AS query, concat('https://src.example/', regexp_extract(props, '([0-9]+)', 1)) AS url,
  concat('L1-S1-C', lpad(regexp_extract(props, '([0-9]+)', 1), 3, '0')) AS chunk_id FROM events"""
 
@@ -41,6 +45,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.sql(text)
 
 
+def trace_stream(spark: SparkSession, sf_dir: str, files_a_batch: int = 1) -> DataFrame:
+    """The trace view over the events as a stream of files."""
+    path = f"{sf_dir}/events.parquet"
+    schema = spark.read.parquet(path).schema
+    spark.readStream.schema(schema).option("maxFilesPerTrigger", files_a_batch).parquet(path).createOrReplaceTempView("events")
+    return spark.sql(TRACE)
+
+
+def shared_folder(spark: SparkSession, tag: str) -> str:
+    """A new folder below spark.checkpoint.dir, which all executors share; a local session without one gets a folder of its own."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        root = f"file://{tempfile.mkdtemp(prefix='evidencelake-')}"
+    return f"{root.rstrip('/')}/{tag}-{uuid.uuid4().hex}"
+
+
 def read_pages(spark: SparkSession, path: str) -> DataFrame:
     """Raw pages as they were archived: page_id, url, html."""
     return spark.read.parquet(path).select("page_id", "url", "html")

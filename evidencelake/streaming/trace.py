@@ -15,26 +15,32 @@ from ..functions.urls import canonical_url
 EVENT = "turn_id long, seq long, type string, query string, url string, chunk_id string"
 #: What an event of a type adds to, and the stage that it sets.
 FIELDS = {"search_results": "sources", "url_selection": "selected_sources", "final_evidence": "final_chunks"}
-STAGES = {"plan": "searching", "search_results": "url_judge", "url_selection": "crawling", "final_evidence": "evidence"}
-STATE = "turn_id long, stage string, n_events long, n_queries long, n_sources long, n_selected long, n_chunks long"
+#: The same for what belongs to no query.
+DIRECT = {"direct_sources": "direct_sources", "refresh_sources": "direct_sources", "direct_evidence": "direct_chunks"}
+STAGES = {"plan": "searching", "search_results": "url_judge", "url_selection": "crawling", "final_evidence": "evidence", "direct_sources": "direct_crawl", "refresh_sources": "direct_crawl", "direct_evidence": "chunk_judge"}
+CHUNKS = ("final_evidence", "direct_evidence")
+COUNTS = ("n_queries", "n_sources", "n_selected", "n_chunks", "n_direct_sources", "n_direct_chunks")
+STATE = f"turn_id long, stage string, n_events long, {', '.join(f'{c} long' for c in COUNTS)}"
+#: A turn without events for so long is forgotten, if events carry their time.
+IDLE_S = 3600
 
 
 def _item():
-    return F.when(F.col("type") == "final_evidence", F.col("chunk_id")).otherwise(F.col("url"))
+    return F.when(F.col("type").isin(*CHUNKS), F.col("chunk_id")).otherwise(F.col("url"))
 
 
 def trace_state(events: DataFrame) -> DataFrame:
-    """State of each turn from all of its events: last stage, and how many distinct queries, sources, selected sources and chunks it has."""
+    """State of each turn from all of its events: the stage that its latest event set, and how many distinct queries, sources, selected sources and chunks it has."""
     stage = F.coalesce(F.create_map(*(F.lit(x) for p in STAGES.items() for x in p))[F.col("type")], F.lit(None))
     last = events.groupBy("turn_id").agg(F.coalesce(F.max_by(stage, F.when(stage.isNotNull(), F.col("seq"))), F.lit("planning")).alias("stage"), F.count("*").alias("n_events"))
-    known = events.filter(F.col("type").isin("plan", *FIELDS))
+    field = F.create_map(*(F.lit(x) for p in (FIELDS | DIRECT).items() for x in p))[F.col("type")]
+    known = events.filter(F.col("type").isin("plan", *FIELDS, *DIRECT))
     # one row a distinct item first: the counts then combine before the shuffle
-    items = known.select("turn_id", "type", "query", F.when(F.col("type") != "plan", _item()).alias("item")).distinct()
-    of = lambda kind: F.count_if((F.col("type") == kind) & F.col("item").isNotNull())
-    counts = items.groupBy("turn_id", "query").agg(*(of(k).alias(k) for k in FIELDS))
-    sums = counts.groupBy("turn_id").agg(F.count("*").alias("n_queries"), F.sum("search_results").alias("n_sources"), F.sum("url_selection").alias("n_selected"), F.sum("final_evidence").alias("n_chunks"))
-    zero = {c: F.coalesce(c, F.lit(0)) for c in ("n_queries", "n_sources", "n_selected", "n_chunks")}
-    return last.join(sums, "turn_id", "left").withColumns(zero)
+    items = known.select("turn_id", field.alias("field"), F.when(~F.col("type").isin(*DIRECT), F.struct("query")).alias("query"), F.when(F.col("type") != "plan", _item()).alias("item")).distinct()
+    of = lambda kind: F.count_if((F.col("field") == kind) & F.col("item").isNotNull())
+    counts = items.groupBy("turn_id", "query").agg(*(of(k).alias(k) for k in dict.fromkeys([*FIELDS.values(), *DIRECT.values()])))
+    sums = counts.groupBy("turn_id").agg(F.count("query").alias("n_queries"), *(F.sum(k).alias(n) for k, n in zip(dict.fromkeys([*FIELDS.values(), *DIRECT.values()]), COUNTS[1:])))
+    return last.join(sums, "turn_id", "left").withColumns({c: F.coalesce(c, F.lit(0)) for c in COUNTS})
 
 
 def trace_items(events: DataFrame) -> DataFrame:
@@ -48,24 +54,52 @@ def _fold(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iter
     if state.hasTimedOut:
         state.remove()
         return
-    stage, n, queries = (lambda s: (s["stage"], s["n"], s["queries"]))(json.loads(state.get[0])) if state.exists else ("planning", 0, {})
-    rows = pd.concat(list(frames)).sort_values("seq")
-    for r in rows.itertuples():
-        n += 1
-        stage = STAGES.get(r.type, stage)
-        if r.type == "plan" or r.type in FIELDS:
-            own = queries.setdefault(r.query, {f: {} for f in FIELDS.values()})
-            if r.type in FIELDS:
-                own[FIELDS[r.type]].setdefault(r.chunk_id if r.type == "final_evidence" else r.url, 1)
-    state.update((json.dumps({"stage": stage, "n": n, "queries": queries}),))
-    state.setTimeoutDuration(3_600_000)
+    stage, at, n, latest, queries, direct = json.loads(state.get[0]) if state.exists else ("planning", None, 0, 0, {}, {})
+    for rows in frames:
+        for r in rows.itertuples():
+            n += 1
+            if r.type in STAGES and (at is None or r.seq > at):  # what comes late does not set the stage back
+                stage, at = STAGES[r.type], r.seq
+            item = r.chunk_id if r.type in CHUNKS else r.url
+            if r.type in DIRECT:
+                direct.setdefault(DIRECT[r.type], {})[item] = 1
+            elif r.type == "plan" or r.type in FIELDS:
+                own = queries.setdefault(json.dumps(r.query), {f: {} for f in FIELDS.values()})
+                if r.type in FIELDS and item is not None:
+                    own[FIELDS[r.type]][item] = 1
+        if "event_time" in rows and len(rows):
+            latest = max(latest, int(rows["event_time"].max().timestamp() * 1000))
+    state.update((json.dumps((stage, at, n, latest, queries, direct)),))
+    if latest:
+        state.setTimeoutTimestamp(max(latest, state.getCurrentWatermarkMs()) + IDLE_S * 1000)
     total = lambda f: sum(len(q[f]) for q in queries.values())
-    yield pd.DataFrame({"turn_id": [key[0]], "stage": [stage], "n_events": [n], "n_queries": [len(queries)], "n_sources": [total("sources")], "n_selected": [total("selected_sources")], "n_chunks": [total("final_chunks")]})
+    counts = (len(queries), *map(total, FIELDS.values()), *(len([x for x in direct.get(f, {}) if x is not None]) for f in dict.fromkeys(DIRECT.values())))
+    yield pd.DataFrame({"turn_id": [key[0]], "stage": [stage], "n_events": [n]} | {c: [x] for c, x in zip(COUNTS, counts)})
 
 
 def trace_state_stream(events: DataFrame) -> DataFrame:
-    """The same state as a stream: the whole state of each turn that got events, one row a micro-batch; idle turns expire after an hour."""
-    return events.groupBy("turn_id").applyInPandasWithState(_fold, STATE, "state string", "update", GroupStateTimeout.ProcessingTimeTimeout)
+    """The same state as a stream: the whole state of each turn that got events, one row a micro-batch.
+
+    Events with a column event_time expire: a turn is forgotten when the watermark, which is as long behind,
+    passes IDLE_S after its latest event. Without it turns are kept.
+    """
+    timed = "event_time" in events.columns
+    rows = events.withWatermark("event_time", f"{IDLE_S} seconds") if timed else events
+    return rows.groupBy("turn_id").applyInPandasWithState(_fold, STATE, "state string", "update", GroupStateTimeout.EventTimeTimeout if timed else GroupStateTimeout.NoTimeout)
+
+
+def run_trace_stream(events: DataFrame, folder: str) -> DataFrame:
+    """Fold what the stream has now, and give the last state of each turn. Batches are written below ``folder``, which all executors share."""
+    spark = events.sparkSession
+
+    def keep(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{folder}/out/batch={number}")
+
+    query = trace_state_stream(events).writeStream.outputMode("update").trigger(availableNow=True).option("checkpointLocation", f"{folder}/checkpoint").foreachBatch(keep).start()
+    query.awaitTermination()
+    names = [x.split()[0] for x in STATE.split(", ")]
+    found = spark.read.schema(f"{STATE}, batch int").parquet(f"{folder}/out")
+    return found.groupBy("turn_id").agg(F.max_by(F.struct(*names[1:]), "batch").alias("s")).select("turn_id", "s.*")
 
 
 def serp_stream(spark: SparkSession, path: str, schema: str) -> DataFrame:

@@ -7,21 +7,45 @@ from pyspark.sql import functions as F
 SF = "/root/testdata/sf0.001"
 
 
+def events_of(spark):
+    return table(spark, SF, "trace").select(F.col("turn_id").cast("long"), F.col("seq").cast("long"), "type", "query", "url", "chunk_id").filter("turn_id < 12")
+
+
 def test_stream_ends_in_the_batch_state(spark, tmp_path):
-    events = table(spark, SF, "trace").select(F.col("turn_id").cast("long"), F.col("seq").cast("long"), "type", "query", "url", "chunk_id").filter("turn_id < 12")
-    events.repartitionByRange(2, "seq").write.parquet(str(tmp_path / "in"))
+    events = events_of(spark)
+    # later events come first
+    events.repartitionByRange(3, F.desc("seq")).write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(R.EVENT).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-    q = R.trace_state_stream(stream).writeStream.outputMode("update").format("memory").queryName("trace_out").option("checkpointLocation", str(tmp_path / "cp")).start()
-    try:
-        q.processAllAvailable()
-    finally:
-        q.stop()
-    last = {}
-    for r in spark.table("trace_out").collect():
-        if r["n_events"] >= last.get(r["turn_id"], r)["n_events"]:
-            last[r["turn_id"]] = r
-    want = {r["turn_id"]: r for r in R.trace_state(events).collect()}
-    assert {k: (v["n_events"], v["n_queries"], v["n_sources"], v["n_selected"], v["n_chunks"]) for k, v in last.items()} == {k: (v["n_events"], v["n_queries"], v["n_sources"], v["n_selected"], v["n_chunks"]) for k, v in want.items()}
+    got = {r["turn_id"]: tuple(r) for r in R.run_trace_stream(stream, str(tmp_path / "state")).select(*R.trace_state(events).columns).collect()}
+    want = {r["turn_id"]: tuple(r) for r in R.trace_state(events).collect()}
+    assert got == want and {r[1] for r in want.values()} - {"planning", "evidence"}
+
+
+def test_state_by_plain_fold(spark):
+    states = {}
+    for r in events_of(spark).orderBy("turn_id", "seq").collect():
+        s = states.setdefault(r["turn_id"], {"stage": "planning", "n": 0, "queries": set(), "items": set()})
+        s["n"] += 1
+        s["stage"] = R.STAGES.get(r["type"], s["stage"])
+        if r["type"] in ("plan", *R.FIELDS):
+            s["queries"].add(r["query"])
+        field = (R.FIELDS | R.DIRECT).get(r["type"])
+        if field:
+            s["items"].add((field, r["query"] if r["type"] in R.FIELDS else None, r["chunk_id"] if r["type"] in R.CHUNKS else r["url"]))
+    fields = ("sources", "selected_sources", "final_chunks", "direct_sources", "direct_chunks")
+    want = {k: (s["stage"], s["n"], len(s["queries"]), *(sum(x[0] == f for x in s["items"]) for f in fields)) for k, s in states.items()}
+    got = {r["turn_id"]: (r["stage"], r["n_events"], *(r[c] for c in R.COUNTS)) for r in R.trace_state(events_of(spark)).collect()}
+    assert got == want
+
+
+def test_idle_turns_are_forgotten(spark, tmp_path):
+    rows = [("2024-01-01 00:00:00", 1), ("2024-01-01 09:00:00", 2), ("2024-01-01 09:00:01", 2), ("2024-01-01 18:00:00", 1)]
+    for i, (t, turn) in enumerate(rows):
+        one = spark.createDataFrame([(t, turn, i, "plan", "q", None, None)], f"t string, {R.EVENT}").withColumn("event_time", F.col("t").cast("timestamp")).drop("t")
+        one.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(f"{R.EVENT}, event_time timestamp").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    got = {r["turn_id"]: r["n_events"] for r in R.run_trace_stream(stream, str(tmp_path / "state")).collect()}
+    assert got == {1: 1, 2: 2}
 
 
 def test_ingest_drops_repeats_across_batches(spark, tmp_path):
