@@ -47,8 +47,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def trace_stream(spark: SparkSession, sf_dir: str, files_a_batch: int = 1) -> DataFrame:
     """The trace view over the events as a stream of files."""
-    path = f"{sf_dir}/events.parquet"
-    schema = spark.read.parquet(path).schema
+    schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
+    path = f"{sf_dir}/event[s].parquet"  # a pattern may be a single file; a plain path may not
     spark.readStream.schema(schema).option("maxFilesPerTrigger", files_a_batch).parquet(path).createOrReplaceTempView("events")
     return spark.sql(TRACE)
 
