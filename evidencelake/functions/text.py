@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -123,11 +124,13 @@ def language_class(text: Column, html: Column | None = None) -> Column:
     html = F.lit("") if html is None else F.coalesce(html, F.lit(""))
     named = F.lower(F.regexp_extract(F.substring(html, 1, 3000), r"(?i)<html[^>]+lang=['\"]([a-zA-Z-]+)['\"]", 1))
     sample = F.substring(F.coalesce(text, F.lit("")), 1, 2000)
-    cjk = F.regexp_count(sample, F.lit("[㐀-䶿一-鿿぀-ヿ가-힯]"))
-    thai, latin = F.regexp_count(sample, F.lit("[฀-๿]")), F.regexp_count(sample, F.lit("[A-Za-z]"))
+    # counting makes an array of all matches: only where there is one, and Latin letters only where they decide
+    some = lambda pattern: F.when(sample.rlike(pattern), F.regexp_count(sample, F.lit(pattern))).otherwise(0)
+    cjk, thai = some("[㐀-䶿一-鿿぀-ヿ가-힯]"), some("[฀-๿]")
+    many = (cjk >= 16) | ((cjk > 8) & (cjk > F.floor(F.regexp_count(sample, F.lit("[A-Za-z]")) / 2)))
     return (
         F.when(named.rlike("^(zh|ja|ko)"), "cjk").when(named.startswith("th"), "thai").when(named != "", "latin")
-        .when(sample == "", "latin").when((cjk >= 16) | (cjk > F.greatest(F.floor(latin / 2), F.lit(8))), "cjk").when(thai >= 16, "thai").otherwise("latin")
+        .when(sample == "", "latin").when(many, "cjk").when(thai >= 16, "thai").otherwise("latin")
     )
 
 
@@ -141,12 +144,23 @@ def js_signals(html: Column, text: Column) -> Column:
     return sum(sample.rlike(f"(?i){p}").cast("int") for p in C.JS_SIGNALS)
 
 
+def nav_hits(text: Column) -> Column:
+    """How many navigation marks and words the start of a text has; most texts have none of them anywhere, which plain searches tell sooner."""
+    plain = [*C.NAV_MARKS, *(re.match("[a-z]+?(?=s?$|s?[^a-z])", w)[0] for w in C.NAV_WORDS)]
+
+    def counted(start: Column) -> Column:
+        any_of = let(F.lower(start), lambda low: reduce(lambda a, b: a | b, (F.contains(low, F.lit(w)) for w in plain)))
+        return F.when(any_of, count(start, NAV_SCAN)).otherwise(0)
+
+    return let(F.substring(text, 1, 4000), counted)
+
+
 def content_metrics(text: Column, html: Column | None = None) -> Column:
     """quality_score, text_len, line_count, short_line_ratio, nav_hits, js_signals, language_hint of a page text."""
     page = html if html is not None else F.lit("")
 
     def base(t: Column) -> Column:
-        nav = F.when(t == "", 0).otherwise(count(F.substring(t, 1, 4000), NAV_SCAN))
+        nav = F.when(t == "", 0).otherwise(nav_hits(t))
         return F.struct(t.alias("t"), language_class(t, html).alias("lang"), lines_of(t).alias("lines"), nav.alias("nav"), js_signals(page, t).alias("js"))
 
     def lines(b: Column) -> Column:

@@ -52,3 +52,17 @@ def test_trimming_cuts_shells(spark):
     assert one(spark, text, M.trim_leading).startswith("Home > News\nThis is")
     assert one(spark, text, M.trim_trailing).endswith("Last sentence stands here.")
     assert one(spark, "a line", lambda c: M.title_heading(c, F.lit("A title of some length"))) == "# A title of some length\n\na line"
+
+
+def test_navigation_marks_are_counted(spark):
+    import re
+
+    texts = ["Home | About us | SIGN  IN\nresearch homes searching", "首頁 關於 Cookies cookie terms term", "nothing of that", "", "x" * 3998 + " home", "ſign in Ⓗome MENU-menu"]
+    plain = [len(re.findall(T.NAV.replace(r"\b", r"(?:(?<![0-9A-Za-z_])(?=[0-9A-Za-z_])|(?<=[0-9A-Za-z_])(?![0-9A-Za-z_]))"), t[:4000], re.I | re.A)) for t in texts]
+    got = [r[0] for r in spark.createDataFrame(list(enumerate(texts)), "i int, t string").orderBy("i").select(T.nav_hits(F.col("t"))).collect()]
+    assert got[:5] == plain[:5] == [3, 5, 0, 0, 0] and got[5] == 2
+
+
+def test_language_class_by_counts(spark):
+    texts = ["", "abc", "漢" * 16, "漢" * 15 + "a" * 28, "漢" * 15 + "a" * 30, "漢" * 9 + "a" * 2, "漢" * 8, "ก" * 16, "ก" * 15, "ก" * 20 + "あ" * 16]
+    assert [one(spark, t, T.language_class) for t in texts] == ["latin", "latin", "cjk", "cjk", "latin", "cjk", "latin", "thai", "latin", "cjk"]
