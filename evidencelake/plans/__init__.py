@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import chunks as K
-from ..sources.tables import table
+from ..sources.tables import sessions, table
 
 AREAS = ("serp", "pages", "chunks", "conversations", "providers", "language", "jobs")
 
@@ -21,7 +21,7 @@ def registered() -> dict[str, tuple]:
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages to evidence: text, quality gate, chunks scored for the session's question, selection, citation marks."""
-    pages = table(spark, sf_dir, "pages").select((F.col("page_id") % 20).alias("research_id"), F.col("page_id").alias("source_ordinal"), "url", "html")
+    pages = table(spark, sf_dir, "pages").select((F.col("page_id") % sessions(spark, sf_dir)).alias("research_id"), F.col("page_id").alias("source_ordinal"), "url", "html")
     read = pages.withColumns({"text": T.html_to_text(F.col("html")), "title": T.extract_title(F.col("html"))})
     judged = read.withColumn("quality", T.quality_gate(F.col("text"), T.content_metrics(F.col("text"), F.col("html")))).drop("html").filter("quality.usable")
     asked = judged.withColumns({"from_query": F.lit(""), "resource_type": F.lit("html")}).join(table(spark, sf_dir, "questions"), "research_id")

@@ -10,7 +10,7 @@ from ..functions import text as T
 from ..operators import chunks as K
 from ..operators import reports as R
 from ..operators import selection as S
-from ..sources.tables import CRAWL_LOG, QUESTIONS, table
+from ..sources.tables import CRAWL_LOG, QUESTIONS, SESSIONS, sessions, table
 from .serp import canon
 
 WS = "' ' || chr(9) || chr(10) || chr(13)"
@@ -19,8 +19,8 @@ l1 AS (SELECT doc_id, i, trim(regexp_replace(line, '[ \\t]+', ' ', 'g'), {WS}) A
 l3 AS (SELECT * FROM l2 QUALIFY row_number() OVER (PARTITION BY doc_id, replace(lower(substring(t, 1, 220)), 'ß', 'ss') ORDER BY i) = 1),
 paras AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS k, t AS text FROM l3)"""
 TERMS = f"""q0 AS ({QUESTIONS}), terms AS (SELECT research_id, question, list_filter(x, lambda w, i: list_position(x, w) = i)[1:24] AS terms FROM (SELECT research_id, question, regexp_extract_all(lower(question), '[A-Za-z0-9_+-]{{3,}}|[一-鿿]{{2,}}') AS x FROM q0))"""
-CHUNKS = f"""{PARAS}, {TERMS}, chunks AS (SELECT doc_id % 20 AS research_id, doc_id AS source_ordinal, k AS chunk_ordinal, format('L1-S{{}}-C{{:03d}}', greatest(doc_id, 1), k) AS chunk_id, text,
- round(CASE k WHEN 1 THEN 2.0 WHEN 2 THEN 1.0 ELSE 0.0 END + 1.25 * len(list_filter(terms, lambda w: contains(lower(text), w))) + least(length(text), 900) / 900.0::DOUBLE, 9) AS score FROM paras JOIN terms ON doc_id % 20 = research_id)"""
+CHUNKS = f"""{PARAS}, {TERMS}, chunks AS (SELECT doc_id % {SESSIONS} AS research_id, doc_id AS source_ordinal, k AS chunk_ordinal, format('L1-S{{}}-C{{:03d}}', greatest(doc_id, 1), k) AS chunk_id, text,
+ round(CASE k WHEN 1 THEN 2.0 WHEN 2 THEN 1.0 ELSE 0.0 END + 1.25 * len(list_filter(terms, lambda w: contains(lower(text), w))) + least(length(text), 900) / 900.0::DOUBLE, 9) AS score FROM paras JOIN terms ON doc_id % {SESSIONS} = research_id)"""
 
 
 def _paras(spark, d):
@@ -30,7 +30,7 @@ def _paras(spark, d):
 
 def _chunks(spark, d):
     terms = table(spark, d, "questions").select("research_id", T.review_terms(F.col("question")).alias("terms"))
-    rows = _paras(spark, d).withColumn("research_id", F.col("doc_id") % 20).join(terms, "research_id")
+    rows = _paras(spark, d).withColumn("research_id", F.col("doc_id") % sessions(spark, d)).join(terms, "research_id")
     return rows.select("research_id", F.col("doc_id").alias("source_ordinal"), (F.col("at") + 1).alias("chunk_ordinal"), F.concat(F.lit("L1-S"), "doc_id").alias("source_ref"), T.chunk_id(F.lit(1), F.col("doc_id"), F.col("at") + 1).alias("chunk_id"), "text", F.round(T.chunk_score(F.col("text"), F.col("at"), F.col("terms")), 9).alias("score"))
 
 
@@ -68,17 +68,18 @@ T3_SQL = f"WITH {CHUNKS} SELECT research_id, chunk_id, source_ordinal, row_numbe
 
 
 def j7_valid_ids(spark, d):
-    ids = F.array(*(F.format_string("L1-S%d-C%03d", (F.col("research_id") + 20 * (k % 3)).cast("long"), F.lit(k % 4)) for k in (1, 2, 3, 5, 1, 9)))
+    n = sessions(spark, d)
+    ids = F.array(*(F.format_string("L1-S%d-C%03d", (F.col("research_id") + n * (k % 3)).cast("long"), F.lit(k % 4)) for k in (1, 2, 3, 5, 1, 9)))
     reviews = table(spark, d, "questions").select("research_id", ids.alias("selected_chunk_ids"))
     return K.valid_selected_ids(reviews, _chunks(spark, d))
 
 
-J7_SQL = f"WITH {CHUNKS}, n AS (SELECT research_id, format('L1-S{{}}-C{{:03d}}', research_id + 20 * (k % 3), k % 4) AS chunk_id, pos FROM q0, (VALUES (1, 0), (2, 1), (3, 2), (5, 3), (1, 4), (9, 5)) v(k, pos)), f AS (SELECT research_id, chunk_id, min(pos) AS pos FROM n SEMI JOIN chunks USING (research_id, chunk_id) GROUP BY ALL) SELECT research_id, chunk_id, row_number() OVER (PARTITION BY research_id ORDER BY pos) AS pick FROM f"
+J7_SQL = f"WITH {CHUNKS}, n AS (SELECT research_id, format('L1-S{{}}-C{{:03d}}', research_id + {SESSIONS} * (k % 3), k % 4) AS chunk_id, pos FROM q0, (VALUES (1, 0), (2, 1), (3, 2), (5, 3), (1, 4), (9, 5)) v(k, pos)), f AS (SELECT research_id, chunk_id, min(pos) AS pos FROM n SEMI JOIN chunks USING (research_id, chunk_id) GROUP BY ALL) SELECT research_id, chunk_id, row_number() OVER (PARTITION BY research_id ORDER BY pos) AS pick FROM f"
 
 
 def _evidence(spark, d):
     picked = K.topk_chunks(_chunks(spark, d), 40)
-    pages = table(spark, d, "pages").select((F.col("page_id") % 20).alias("research_id"), F.col("page_id").alias("page_order"), F.col("page_id"), "url", T.extract_title(F.col("html")).alias("title"))
+    pages = table(spark, d, "pages").select((F.col("page_id") % sessions(spark, d)).alias("research_id"), F.col("page_id").alias("page_order"), F.col("page_id"), "url", T.extract_title(F.col("html")).alias("title"))
     # a document stands for the page of its number, round and round the page table
     chunks = picked.join(pages.select("page_id", F.col("url").alias("source_url")), F.col("source_ordinal") % max(1, pages.count()) == F.col("page_id"))
     return K.evidence_join(pages.drop("page_id"), chunks.drop("page_id"))
@@ -89,7 +90,7 @@ def j4_f27_evidence(spark, d):
 
 
 J4_SQL = f"""WITH {CHUNKS}, c AS (SELECT *, row_number() OVER (PARTITION BY research_id ORDER BY score DESC, source_ordinal, chunk_ordinal) AS pick FROM chunks QUALIFY pick <= 40),
-pg AS (SELECT page_id, page_id % 20 AS research_id, url, {canon('url')} AS url_key FROM pages), k AS (SELECT c.research_id, c.chunk_id, pg.url_key FROM c JOIN pg ON c.source_ordinal % (SELECT count(*) FROM pages) = pg.page_id),
+pg AS (SELECT page_id, page_id % {SESSIONS} AS research_id, url, {canon('url')} AS url_key FROM pages), k AS (SELECT c.research_id, c.chunk_id, pg.url_key FROM c JOIN pg ON c.source_ordinal % (SELECT count(*) FROM pages) = pg.page_id),
 u AS (SELECT * FROM pg QUALIFY row_number() OVER (PARTITION BY research_id, url_key ORDER BY page_id) = 1), v AS (SELECT * FROM u SEMI JOIN k ON u.research_id = k.research_id AND u.url_key = k.url_key), n AS (SELECT *, row_number() OVER (PARTITION BY research_id ORDER BY page_id) AS source_index FROM v)
 SELECT k.research_id, source_index, chunk_id, '[citation](' || source_index || ':' || regexp_replace(n.url_key, '^https?:', '') || ')' AS citation_marker, n.url FROM k JOIN n ON k.research_id = n.research_id AND k.url_key = n.url_key"""
 
@@ -114,7 +115,7 @@ U3_SQL = f"WITH {CHUNKS}, r AS (SELECT c.*, k AS round, row_number() OVER (PARTI
 
 def _chunked(spark, d):
     q = table(spark, d, "questions")
-    docs = table(spark, d, "documents").select((F.col("doc_id") % 20).alias("research_id"), F.col("doc_id").alias("source_ordinal"), F.concat(F.lit("https://d.example/"), "doc_id").alias("url"), F.lit("").alias("title"), F.lit("").alias("from_query"), F.lit("html").alias("resource_type"), "text")
+    docs = table(spark, d, "documents").select((F.col("doc_id") % sessions(spark, d)).alias("research_id"), F.col("doc_id").alias("source_ordinal"), F.concat(F.lit("https://d.example/"), "doc_id").alias("url"), F.lit("").alias("title"), F.lit("").alias("from_query"), F.lit("html").alias("resource_type"), "text")
     return docs.join(q, "research_id")
 
 
@@ -128,11 +129,11 @@ def f8_pdf_chunks(spark, d):
 
 def g19_retention(spark, d):
     pages = _chunked(spark, d)
-    return K.chunk_retention(pages, _paras(spark, d).select((F.col("doc_id") % 20).alias("research_id"), F.col("doc_id").alias("source_ordinal"), "text")).withColumn("retention", F.round("retention", 6))
+    return K.chunk_retention(pages, _paras(spark, d).select((F.col("doc_id") % sessions(spark, d)).alias("research_id"), F.col("doc_id").alias("source_ordinal"), "text")).withColumn("retention", F.round("retention", 6))
 
 
-G19_SQL = f"""WITH {CHUNKS}, g AS (SELECT research_id, source_ordinal, sum(length(text))::BIGINT AS c, count(*) AS n FROM chunks GROUP BY ALL), b AS (SELECT doc_id % 20 AS research_id, doc_id AS source_ordinal, length(text) AS extracted_chars,
- list_sort(list_transform(list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x, {WS})), lambda x: x <> ''), lambda x: length(x))) AS s FROM documents WHERE doc_id % 20 IN (SELECT research_id FROM q0))
+G19_SQL = f"""WITH {CHUNKS}, g AS (SELECT research_id, source_ordinal, sum(length(text))::BIGINT AS c, count(*) AS n FROM chunks GROUP BY ALL), b AS (SELECT doc_id % {SESSIONS} AS research_id, doc_id AS source_ordinal, length(text) AS extracted_chars,
+ list_sort(list_transform(list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x, {WS})), lambda x: x <> ''), lambda x: length(x))) AS s FROM documents WHERE doc_id % {SESSIONS} IN (SELECT research_id FROM q0))
 SELECT b.research_id, b.source_ordinal, extracted_chars, coalesce(c, 0) AS chunk_chars, coalesce(n, 0) AS n_chunks, s[(len(s) + 1) // 2] AS median_line, round(coalesce(c, 0) / greatest(extracted_chars, 1)::DOUBLE, 6) AS retention, coalesce(c, 0) / greatest(extracted_chars, 1)::DOUBLE >= 0.2 AS passes FROM b LEFT JOIN g ON b.research_id = g.research_id AND b.source_ordinal = g.source_ordinal"""
 
 
@@ -194,7 +195,7 @@ def g9_group_sources(spark, d):
 
 
 def g15_content_map(spark, d):
-    p = table(spark, d, "pages").select((F.col("page_id") % 20).alias("research_id"), F.col("page_id").alias("source_ordinal"), "url", T.extract_title(F.col("html")).alias("title"))
+    p = table(spark, d, "pages").select((F.col("page_id") % sessions(spark, d)).alias("research_id"), F.col("page_id").alias("source_ordinal"), "url", T.extract_title(F.col("html")).alias("title"))
     return R.content_map(p).select("research_id", "page_count", F.array_join(F.transform("page_guide", lambda g: g["url"]), " ").alias("urls"))
 
 
@@ -245,7 +246,7 @@ QUERIES = {
     "g4_merge_attempts": (g4_merge_attempts, f"WITH {ROUNDS} SELECT research_id, sum(total)::BIGINT AS total, sum(selected)::BIGINT AS selected, string_agg(verdict, ',' ORDER BY round) AS errors, bool_or(verdict = 'sufficient') AS success, CASE WHEN NOT bool_or(verdict = 'sufficient') THEN 'E' || min(round) END AS error FROM r GROUP BY research_id"),
     "p19_completion": (p19_completion, f"WITH {ROUNDS}, a AS (SELECT research_id, (sum(selected) - 9)::BIGINT AS evidence, arg_max(verdict, round) AS verdict FROM r GROUP BY research_id) SELECT *, CASE WHEN evidence <= 0 THEN 'failed' WHEN verdict = 'sufficient' THEN 'complete' ELSE 'partial' END AS state FROM a"),
     "g9_group_sources": (g9_group_sources, None),
-    "g15_content_map": (g15_content_map, "SELECT page_id % 20 AS research_id, count(*) AS page_count, string_agg(url, ' ' ORDER BY page_id) AS urls FROM pages GROUP BY ALL"),
+    "g15_content_map": (g15_content_map, f"SELECT page_id % {SESSIONS} AS research_id, count(*) AS page_count, string_agg(url, ' ' ORDER BY page_id) AS urls FROM pages GROUP BY ALL"),
     "p20_normalize_request": (p20_normalize, f"SELECT research_id, CASE WHEN research_id % 2 = 0 THEN 'academic' ELSE 'web' END AS search_mode, CASE WHEN research_id % 3 = 0 THEN 'full' ELSE 'fast' END AS mode FROM ({QUESTIONS})"),
     "p21_validate_requests": (p21_validate, f"SELECT research_id, CASE WHEN research_id % 7 = 0 THEN 'question is empty' WHEN research_id % 5 = 1 THEN 'wrong number of queries' WHEN research_id % 3 = 1 THEN 'a query is empty' WHEN research_id % 4 < 1 THEN 'not positive' WHEN research_id % 4 > 2 THEN 'min over max' END AS error FROM ({QUESTIONS})"),
     "p18_route_turns": (p18_route, f"SELECT research_id, CASE WHEN s = 'research' AND research_id % 4 > 0 THEN 'hybrid' ELSE s END AS route FROM (SELECT research_id, CASE WHEN research_id % 6 = 5 THEN 'research' WHEN research_id % 3 = 1 AND research_id % 2 > 0 AND research_id % 4 < 2 THEN 'direct' WHEN research_id % 3 = 0 AND research_id % 5 > 0 THEN 'reuse' ELSE 'research' END AS s FROM ({QUESTIONS}))"),

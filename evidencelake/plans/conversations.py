@@ -9,7 +9,7 @@ from ..functions import text as T
 from ..functions.urls import canonical_url
 from ..operators import conversations as V
 from ..operators import selection as S
-from ..sources.tables import MESSAGES, TRACE, shared_folder, table, trace_stream
+from ..sources.tables import MESSAGES, SESSIONS, TRACE, sessions, shared_folder, table, trace_stream
 from ..streaming import trace as R
 from .serp import canon
 
@@ -120,12 +120,12 @@ J9_SQL = "WITH s AS (SELECT doc_id // 20 AS conv_id, doc_id AS source_order, doc
 
 
 def j11_merge_refreshed(spark, d):
-    p = table(spark, d, "pages").select((F.col("page_id") % 20).alias("research_id"), "url", F.col("page_id").alias("page_order"))
+    p = table(spark, d, "pages").select((F.col("page_id") % sessions(spark, d)).alias("research_id"), "url", F.col("page_id").alias("page_order"))
     old, new = p.filter("page_order % 3 > 0"), p.filter("page_order % 2 = 0")
     return V.merge_refreshed(old, new)
 
 
-J11_SQL = f"""WITH p AS (SELECT page_id % 20 AS research_id, url, page_id AS o, {canon('url')} AS k FROM pages), a AS (SELECT * FROM p WHERE o % 3 > 0), b AS (SELECT * FROM p WHERE o % 2 = 0 AND NOT EXISTS (SELECT 1 FROM a WHERE a.research_id = p.research_id AND a.k = p.k)),
+J11_SQL = f"""WITH p AS (SELECT page_id % {SESSIONS} AS research_id, url, page_id AS o, {canon('url')} AS k FROM pages), a AS (SELECT * FROM p WHERE o % 3 > 0), b AS (SELECT * FROM p WHERE o % 2 = 0 AND NOT EXISTS (SELECT 1 FROM a WHERE a.research_id = p.research_id AND a.k = p.k)),
 u AS (SELECT *, 0 AS n FROM b UNION ALL SELECT *, 1 FROM a) SELECT research_id, url, row_number() OVER (PARTITION BY research_id ORDER BY n, o) AS page_order FROM u"""
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..operators import conversations as V
 from ..operators import jobs
 from ..operators import reports as R
-from ..sources.tables import table
+from ..sources.tables import sessions, table
 from .chunks import _chunks
 from .conversations import _sources
 from .providers import _replies
@@ -36,13 +36,13 @@ def c2_url_selection(spark, d):
 
 
 def c5_select_evidence(spark, d):
-    reply = F.concat(F.lit('{"chunk_ids": ["L1-S'), F.col("research_id") + 20, F.lit('-C001"], "verdict": "yes"}'))
+    reply = F.concat(F.lit('{"chunk_ids": ["L1-S'), F.col("research_id") + sessions(spark, d), F.lit('-C001"], "verdict": "yes"}'))
     replies = table(spark, d, "questions").select("research_id", F.when(F.col("research_id") % 2 == 0, reply).alias("reply"))
     return jobs.select_evidence(_chunks(spark, d), replies).select("research_id", "chunk_id", "pick", "verdict")
 
 
 def _research(spark, d, mode):
-    pages = table(spark, d, "pages").select((F.col("page_id") % 20).alias("research_id"), "url", "html")
+    pages = table(spark, d, "pages").select((F.col("page_id") % sessions(spark, d)).alias("research_id"), "url", "html")
     replies = table(spark, d, "questions").select("research_id", F.when(F.col("research_id") % 2 == 0, '{"verdict": "sufficient", "chunk_ids": ["L1-S1-C001", "L1-S2-C001"]}').alias("reply"))
     questions = table(spark, d, "questions")
     return jobs.research(table(spark, d, "serp"), jobs.page_texts(pages), questions, mode, chunk_replies=replies, keep=_keep(spark)), questions

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import urls
 from ..operators import selection as S
-from ..sources.tables import SERP, table
+from ..sources.tables import QUESTIONS, SERP, SESSIONS, sessions, table
 
 #: DuckDB text of the canonical URL, for URLs without encoded characters.
 def canon(u: str) -> str:
@@ -152,7 +152,7 @@ SELECT research_id, group_index, result_index, url_key FROM t QUALIFY row_number
 
 
 def j1_provenance(spark, d):
-    pages = table(spark, d, "pages").select("page_id", F.col("url"), F.when(F.col("page_id") % 2 == 0, "").otherwise("own").alias("title"), (F.col("page_id") % 20).alias("research_id"))
+    pages = table(spark, d, "pages").select("page_id", F.col("url"), F.when(F.col("page_id") % 2 == 0, "").otherwise("own").alias("title"), (F.col("page_id") % sessions(spark, d)).alias("research_id"))
     picks = _merged(spark, d).select("research_id", "url_key", F.col("query_ordinal").alias("group_index"), F.col("title").alias("pick_title"))
     picks = S.first_by(picks, ["research_id", "url_key"], ["group_index"])
     joined = pages.withColumn("url_key", urls.canonical_url(F.col("url"))).join(picks, ["research_id", "url_key"], "left")
@@ -160,7 +160,7 @@ def j1_provenance(spark, d):
 
 
 J1_SQL = f"""WITH {MERGED}, f AS (SELECT research_id, url_key, query_ordinal AS group_index, title FROM merged QUALIFY row_number() OVER (PARTITION BY research_id, url_key ORDER BY query_ordinal) = 1)
-SELECT p.page_id, f.group_index, coalesce(CASE WHEN p.page_id % 2 = 0 THEN NULL ELSE 'own' END, f.title) AS title FROM pages p LEFT JOIN f ON p.page_id % 20 = f.research_id AND {canon('p.url')} = f.url_key"""
+SELECT p.page_id, f.group_index, coalesce(CASE WHEN p.page_id % 2 = 0 THEN NULL ELSE 'own' END, f.title) AS title FROM pages p LEFT JOIN f ON p.page_id % {SESSIONS} = f.research_id AND {canon('p.url')} = f.url_key"""
 
 
 def w5_crawl_budget(spark, d):
@@ -192,7 +192,7 @@ def w8_u_order(spark, d):
     return S.u_order(pages, "importance", "page_id").select("research_id", "page_id", "slot")
 
 
-W8_SQL = """WITH a AS (SELECT page_id % 20 AS research_id, page_id, CASE WHEN page_id % 4 <> 0 THEN (page_id * 7) % 13 END AS imp FROM pages WHERE page_id % 5 < 3),
+W8_SQL = f"""WITH a AS (SELECT page_id % {SESSIONS} AS research_id, page_id, CASE WHEN page_id % 4 <> 0 THEN (page_id * 7) % 13 END AS imp FROM pages WHERE page_id % 5 < 3),
 b AS (SELECT *, count(*) OVER w AS n, count(imp) OVER w AS k, row_number() OVER (PARTITION BY research_id ORDER BY imp ASC NULLS LAST, page_id) - 1 AS i, row_number() OVER (PARTITION BY research_id ORDER BY page_id) - 1 AS own FROM a WINDOW w AS (PARTITION BY research_id))
 SELECT research_id, page_id, CASE WHEN n <= 2 OR k = 0 THEN own WHEN i % 2 = 0 THEN i // 2 ELSE n - 1 - (i - 1) // 2 END AS slot FROM b"""
 
@@ -229,7 +229,7 @@ def u5_missing_focus(spark, d):
     return S.missing_focus(r).withColumn("focus", F.array_join("focus", "|"))
 
 
-U5_SQL = """SELECT research_id, CASE WHEN research_id % 3 > 0 THEN array_to_string(string_split(text, ' ')[1:6], '|') ELSE 'gap' END AS focus FROM (SELECT DISTINCT page_id % 20 AS research_id FROM pages) r JOIN benchmark b ON b.item_id = r.research_id"""
+U5_SQL = f"SELECT research_id, CASE WHEN research_id % 3 > 0 THEN array_to_string(string_split(question, ' ')[1:6], '|') ELSE 'gap' END AS focus FROM ({QUESTIONS})"
 
 QUERIES = {
     "s9_u1_serp": (s9_serp, SERP),

@@ -10,8 +10,11 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-SERP = r"""WITH lanes AS (SELECT 0 AS source_ordinal, 'general' AS search_lane UNION ALL SELECT 1, 'academic'),
-b AS (SELECT p.page_id % 20 AS research_id, CAST(floor(p.page_id / 20.0) AS BIGINT) % 3 AS query_ordinal,
+#: How many research sessions there are: one for twelve pages.
+SESSIONS = "(SELECT CAST(greatest(floor(count(*) / 12.0), 1) AS BIGINT) FROM pages)"
+
+SERP = rf"""WITH lanes AS (SELECT 0 AS source_ordinal, 'general' AS search_lane UNION ALL SELECT 1, 'academic'),
+b AS (SELECT p.page_id % {SESSIONS} AS research_id, CAST(floor(p.page_id / CAST({SESSIONS} AS DOUBLE)) AS BIGINT) % 3 AS query_ordinal,
  l.source_ordinal, l.search_lane, p.page_id,
  CASE WHEN l.source_ordinal = 0 THEN p.url
       ELSE concat(regexp_replace(p.url, '#.*$', ''), CASE WHEN p.url LIKE '%?%' THEN '&' ELSE '?' END, 'utm_medium=b') END AS url,
@@ -23,9 +26,9 @@ SELECT research_id, query_ordinal, source_ordinal, search_lane,
  CASE page_id % 4 WHEN 0 THEN 'brave' WHEN 1 THEN 'tavily' WHEN 2 THEN 'exa' ELSE 'searxng' END AS engine,
  CASE WHEN source_ordinal = 1 THEN CAST(2000 + page_id % 25 AS VARCHAR(4)) END AS published_date
 FROM b"""
-QUESTIONS = r"""SELECT r.research_id, b.text AS question FROM (SELECT DISTINCT page_id % 20 AS research_id FROM pages) r JOIN benchmark b ON b.item_id = r.research_id"""
+QUESTIONS = f"""SELECT r.research_id, b.text AS question FROM (SELECT research_id, research_id % nullif((SELECT count(*) FROM benchmark), 0) AS item_id FROM (SELECT DISTINCT page_id % {SESSIONS} AS research_id FROM pages) d) r JOIN benchmark b ON b.item_id = r.item_id"""
 MESSAGES = r"""SELECT conv_id, turn, role, CASE WHEN turn % 3 = 0 THEN concat(text, ' see (https://example.com/a?x=', CAST(conv_id AS VARCHAR(20)), '). and https://EXAMPLE.com/a?x=', CAST(conv_id AS VARCHAR(20))) ELSE text END AS text FROM conversations"""
-CRAWL_LOG = r"""SELECT page_id, page_id % 20 AS research_id, url, CASE page_id % 5 WHEN 3 THEN 403 WHEN 4 THEN 503 ELSE 200 END AS status_code, CASE WHEN page_id % 7 = 0 THEN 'js' ELSE 'http' END AS used_render, CASE WHEN page_id % 11 = 0 THEN 'pdf' ELSE 'html' END AS resource_type, page_id % 5 < 3 AS success FROM pages"""
+CRAWL_LOG = f"""SELECT page_id, page_id % {SESSIONS} AS research_id, url, CASE page_id % 5 WHEN 3 THEN 403 WHEN 4 THEN 503 ELSE 200 END AS status_code, CASE WHEN page_id % 7 = 0 THEN 'js' ELSE 'http' END AS used_render, CASE WHEN page_id % 11 = 0 THEN 'pdf' ELSE 'html' END AS resource_type, page_id % 5 < 3 AS success FROM pages"""
 TRACE = r"""SELECT user_id AS turn_id, event_id AS seq,
  CASE event_type WHEN 'signup' THEN 'plan' WHEN 'view' THEN 'search_results' WHEN 'click' THEN 'url_selection' WHEN 'purchase' THEN 'final_evidence'
   WHEN 'error' THEN CASE event_id % 4 WHEN 0 THEN 'direct_sources' WHEN 1 THEN 'refresh_sources' WHEN 2 THEN 'direct_evidence' ELSE 'stage' END ELSE 'stage' END AS type,
@@ -45,6 +48,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.sql(text)
 
 
+def sessions(spark: SparkSession, sf_dir: str) -> int:
+    """How many research sessions there are, by the rows that the page table's footers state."""
+    return max(1, spark.read.parquet(f"{sf_dir}/pages.parquet").count() // 12)
+
+
 def trace_stream(spark: SparkSession, sf_dir: str, files_a_batch: int = 1) -> DataFrame:
     """The trace view over the events as a stream of files."""
     schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
