@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .. import config as C
 from ..functions import text as T
 from ..functions.urls import PARTS_ALL, canonical_url
-from .selection import top_rows
+from .selection import first_by, ordered, top_rows
 
 
 def extract_pages(pages: DataFrame) -> DataFrame:
@@ -126,6 +126,33 @@ def kwic(text: Column, keyword: Column, context: int = 40, most: int = 3) -> Col
     return F.when(F.size(gaps) > 1, F.aggregate(before, F.struct(F.lit(0).alias("p"), none.alias("out")), step, lambda a: a["out"])).otherwise(none)
 
 
+def site_probe(pages: DataFrame, seeds: DataFrame, keywords: DataFrame, n: int = 20) -> DataFrame:
+    """Keyword contexts on each seed page and on the first pages of its site that it links to, ``n`` pages a seed.
+
+    pages: page_id, url, html of the archive; seeds: page_id; keywords: ordinal, keyword. One row a seed and page:
+    seed_id, ordinal (0: the seed), url_key, page_id (null: not archived), ok (its text is usable) and snippets, at
+    most four distinct ones, keywords in order. A page that many seeds link to is read once.
+    """
+    own = pages.join(seeds.select("page_id").distinct(), "page_id", "left_semi")
+    linked = site_map(own, 2 * n).select(F.col("page_id").alias("seed_id"), "ordinal", F.col("link").alias("url"))
+    first = own.select(F.col("page_id").alias("seed_id"), F.lit(0).alias("ordinal"), "url").unionByName(linked)
+    keyed = first.select("seed_id", "ordinal", canonical_url(F.col("url")).alias("url_key")).filter("url_key <> ''")
+    wanted = first_by(keyed, ["seed_id", "url_key"], ["ordinal"], n, ["seed_id"])
+    archive = first_by(pages.withColumn("url_key", canonical_url(F.col("url"))), ["url_key"], ["page_id"])
+    read = extract_pages(archive.join(wanted.select("url_key").distinct(), "url_key", "left_semi").select("page_id", "url", "html"))
+    texts = read.select("page_id", F.coalesce("text", F.lit("")).alias("text"), F.col("quality.usable").alias("usable"))
+    hits = keyword_probe(texts.filter("usable").select("page_id", "text"), keywords).join(keywords, "keyword")
+    found = hits.groupBy("page_id").agg(F.slice(F.array_distinct(F.flatten(ordered(kwic(F.col("text"), F.col("keyword"), 45, 2), ["ordinal", "keyword"]))), 1, 4).alias("snippets"))
+    known = archive.select("url_key", "page_id").join(texts.select("page_id", "usable"), "page_id")
+    rows = wanted.join(known, "url_key", "left").join(found, "page_id", "left")
+    return rows.select("seed_id", "ordinal", "url_key", "page_id", F.coalesce("usable", F.lit(False)).alias("ok"), F.coalesce("snippets", F.array().cast("array<string>")).alias("snippets"))
+
+
+def probe_stats(probe: DataFrame) -> DataFrame:
+    """Per seed of a site probe: pages read, pages that could not be, and pages with a snippet."""
+    return probe.groupBy("seed_id").agg(F.count_if("ok").alias("pages_scanned"), F.count_if(~F.col("ok")).alias("pages_failed"), F.count_if(F.size("snippets") > 0).alias("matches_found"))
+
+
 def crawl_stats(log: DataFrame) -> DataFrame:
     ok = F.col("success")
     return log.groupBy("research_id").agg(F.count("*").alias("total"), F.count_if(ok).alias("ok"), F.count_if(~ok).alias("failed"), F.count_if(ok & (F.col("used_render") == "js")).alias("used_js"), F.count_if(ok & (F.col("resource_type") == "pdf")).alias("used_pdf"))

@@ -102,15 +102,18 @@ def allocate_budget(cands: DataFrame, least: int, target: int, most: int) -> Dat
     """Crawl list of each (research_id, round) from candidates in ``ordinal`` order.
 
     One of each query group first, then in order with at most DOMAIN_CAP of a domain, then in order.
+    A column ``spent`` in cands is what the research has used of this budget already.
     The passes depend on each other, so each group of some hundred candidates is worked in one call.
     """
-    keyed = cands.select("research_id", "round", "ordinal", "group_index", "url", canonical_url(F.col("url")).alias("url_key"), url_domain(F.col("url")).alias("domain"))
+    spent = F.coalesce("spent", F.lit(0)).cast("long") if "spent" in cands.columns else F.lit(0).cast("long")
+    keyed = cands.select(spent.alias("spent"), "research_id", "round", "ordinal", "group_index", "url", canonical_url(F.col("url")).alias("url_key"), url_domain(F.col("url")).alias("domain"))
 
     def pick(rows: pd.DataFrame) -> pd.DataFrame:
         items = rows.sort_values("ordinal").to_dict("records")
-        wanted = min(len(items), most)
-        if len(items) >= least:
-            wanted = min(wanted, max(least, target))
+        floor, middle, ceiling = (max(0, n - int(items[0]["spent"])) for n in (least, target, most))
+        wanted = min(len(items), ceiling)
+        if len(items) >= floor:
+            wanted = min(wanted, max(floor, middle))
         groups = len({x["group_index"] for x in items if pd.notna(x["group_index"])})
         urls: set = set()
         covered: set = set()
@@ -136,7 +139,7 @@ def allocate_budget(cands: DataFrame, least: int, target: int, most: int) -> Dat
                 take(x, "fill")
         return pd.DataFrame(out, columns=[*rows.columns, "slot", "pass"])
 
-    return keyed.groupBy("research_id", "round").applyInPandas(pick, f"{', '.join(f'{n} {t}' for n, t in keyed.dtypes)}, slot long, pass string")
+    return keyed.groupBy("research_id", "round").applyInPandas(pick, f"{', '.join(f'{n} {t}' for n, t in keyed.dtypes)}, slot long, pass string").drop("spent")
 
 
 def diversity_quota(results: DataFrame, limit: int, engine_quota: int | None, domain_quota: int | None) -> DataFrame:

@@ -5,16 +5,16 @@ from __future__ import annotations
 import os
 import uuid
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import conversations as V
 from ..operators import jobs
-from ..operators import reports as R
 from ..sources.tables import sessions, table
 from .chunks import _chunks
-from .conversations import _sources
+from .conversations import KEY, _capsules, _sources
 from .providers import _replies
-from .serp import _merged, _seen
+from .serp import _merged, _queries, _seen
 
 
 def _keep(spark):
@@ -41,29 +41,43 @@ def c5_select_evidence(spark, d):
     return jobs.select_evidence(_chunks(spark, d), replies).select("research_id", "chunk_id", "pick", "verdict")
 
 
-def _research(spark, d, mode):
+def _research(spark, d, mode, search_mode="web"):
     pages = table(spark, d, "pages").select((F.col("page_id") % sessions(spark, d)).alias("research_id"), "url", "html")
-    replies = table(spark, d, "questions").select("research_id", F.when(F.col("research_id") % 2 == 0, '{"verdict": "sufficient", "chunk_ids": ["L1-S1-C001", "L1-S2-C001"]}').alias("reply"))
-    questions = table(spark, d, "questions")
-    return jobs.research(table(spark, d, "serp"), jobs.page_texts(pages), questions, mode, chunk_replies=replies, keep=_keep(spark)), questions
+    replies = table(spark, d, "questions").select("research_id", F.when(F.col("research_id") % 2 == 0, '{"verdict": "sufficient", "chunk_ids": ["L1-S1-C001", "L1-S2-C001"]}').otherwise('{"verdict": "insufficient", "chunk_ids": ["L1-S1-C001"], "next_search_queries": ["more"], "coverage": {"missing": ["numbers"]}}').alias("reply"))
+    questions, asked = table(spark, d, "questions"), _queries(spark, d)
+    every = table(spark, d, "serp")
+    wants = F.when(F.col("position") % 2 == 0, "more").otherwise(F.concat(F.col("query"), F.lit(" (site:reddit.com OR site:news.ycombinator.com OR site:lemmy.world OR site:mastodon.social)")))
+    later = every.join(asked, ["research_id", "query_ordinal"]).withColumn("query", wants).drop("query_ordinal")
+    refresh = every.filter("position = 1 and source_ordinal = 0").select("research_id", "url")
+    return jobs.research(every, jobs.page_texts(pages), questions, mode, chunk_replies=replies, keep=_keep(spark), queries=asked, later=later, search_mode=search_mode, refresh=refresh), questions
 
 
 def c6_research_fast(spark, d):
-    return _research(spark, d, "fast")[0].select("research_id", "round", "source_index", "chunk_id", "citation_marker", "verdict")
+    return _research(spark, d, "fast")[0].select("research_id", "round", "source_index", "chunk_id", "citation_marker", "verdict", F.array_join("focus", "|").alias("focus"))
 
 
 def c6_research_full(spark, d):
     return jobs.research_summary(*_research(spark, d, "full"))
 
 
+def c6_research_social(spark, d):
+    return jobs.research_summary(*_research(spark, d, "fast", "social"))
+
+
 def c9_followup(spark, d):
-    """Turns with their route, and how much earlier evidence a reuse turn gets."""
-    s = _sources(spark, d).withColumn("recency", F.col("source_order") % 4)
-    q = table(spark, d, "benchmark").select(F.col("item_id").alias("conv_id"), F.col("text").alias("question"))
-    prior = V.relevant_prior(s, q).groupBy("conv_id").agg(F.count("*").alias("prior_evidence"), F.sum("tokens").alias("tokens"))
+    """Follow-up turns of all conversations over documents: route, sources by origin, and a capsule for the turns after."""
+    capsules = _capsules(spark, d)
+    conv = capsules.select("conv_id").distinct()
     n = F.col("conv_id")
-    turns = q.join(prior, "conv_id", "left").select("conv_id", F.coalesce("prior_evidence", F.lit(0)).alias("prior_evidence"), F.coalesce("tokens", F.lit(0)).alias("tokens"), (n % 9 == 8).alias("force_research"), F.when(n % 2 == 0, "reuse").otherwise("research").alias("strategy"), F.lit(0).alias("pages_read"), F.lit("").alias("verdict"), F.lit(0).alias("explicit_urls"), F.lit(0).alias("direct_evidence"), (n % 5 == 1).cast("int").alias("refresh_urls"))
-    return R.route_turns(turns).select("conv_id", "route", "prior_evidence", "tokens")
+    turns = conv.join(table(spark, d, "benchmark").withColumn("n", F.count("*").over(Window.partitionBy())).select("item_id", "n", "text"), n % F.col("n") == F.col("item_id"))
+    turns = turns.select("conv_id", F.concat(F.lit("t9-"), "conv_id").alias("turn_id"), F.col("text").alias("question"), F.array(F.lit("q")).alias("queries"), (n % 9 == 8).alias("force_research"), F.when(n % 3 == 0, "reuse").when(n % 3 == 1, "direct").otherwise("research").alias("strategy"), (n % 3 == 1).cast("int").alias("pages_read"), F.when(n % 2 == 0, "sufficient").otherwise("insufficient").alias("verdict"), (n % 3 == 1).cast("int").alias("explicit_urls"))
+    refs = conv.filter(n % 5 == 1).select("conv_id", F.lit(0).alias("ordinal"), F.lit("t1:S2").alias("source_ref"))
+    s = _sources(spark, d)
+    direct, found = s.filter((n % 3 == 1) & (F.col("source_order") % 20 == 3)), s.filter(F.col("source_order") % 20 < 2)
+    evidence = jobs.followup(turns, capsules, refs, direct, found)
+    sealed = V.unseal_capsules(jobs.seal_turns(evidence, turns, KEY).select(F.regexp_extract("turn_id", "([0-9]+)$", 1).cast("long").alias("conv_id"), F.lit(0).alias("at"), "token"), KEY)
+    shown = evidence.groupBy("conv_id", "route").agg(F.count("source_index").alias("n_sources"), F.sum(F.size("chunks")).alias("n_chunks"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("source_index", "url"))), lambda x: x["url"]), " ").alias("urls"))
+    return shown.join(sealed.select("conv_id", F.size("evidence").alias("sealed")), "conv_id", "left")
 
 
 QUERIES = {
@@ -71,5 +85,6 @@ QUERIES = {
     "c5_select_evidence": (c5_select_evidence, None),
     "c6_research_fast": (c6_research_fast, None),
     "c6_research_full": (c6_research_full, None),
+    "c6_research_social": (c6_research_social, None),
     "c9_followup": (c9_followup, None),
 }

@@ -196,6 +196,17 @@ G8_SQL = f"""WITH {PAGE_T}, h AS (SELECT id, count(*) AS n FROM t, (VALUES ('tio
 SELECT research_id, count(*) FILTER (success) AS pages_scanned, count(*) FILTER (NOT success) AS pages_failed, coalesce(sum(n) FILTER (success), 0)::BIGINT AS matches_found FROM c LEFT JOIN h ON page_id = id GROUP BY research_id"""
 
 
+def c8_site_probe(spark, d):
+    """Every page as a seed."""
+    pages = table(spark, d, "pages")
+    words = spark.createDataFrame([(0, "tion"), (1, "ing"), (2, "ent")], "ordinal int, keyword string")
+    return P.site_probe(pages, pages, words).withColumn("snippets", F.array_join("snippets", "|"))
+
+
+def c8_probe_stats(spark, d):
+    return P.probe_stats(c8_site_probe(spark, d).withColumn("snippets", F.filter(F.split("snippets", r"\|"), lambda x: x != "")))
+
+
 def c3_extract_pages(spark, d):
     p = P.extract_pages(table(spark, d, "pages"))
     return p.select("page_id", "title", "source", "text", "scope", "metrics.quality_score", "quality.reason")
@@ -252,6 +263,8 @@ QUERIES = {
     "j5_keyword_probe": (j5_keyword_probe, f"WITH {PAGE_T} SELECT id, keyword FROM t, (VALUES ('tion'), ('ing'), ('ent')) v(keyword) WHERE contains(lower(text), keyword)"),
     "f26_kwic": (f26_kwic, F26_SQL),
     "g8_c8_probe_stats": (g8_probe_stats, G8_SQL),
+    "c8_site_probe": (c8_site_probe, None),
+    "c8_probe_stats": (c8_probe_stats, None),
     "c3_w17_extract_pages": (c3_extract_pages, None),
     "c10_page_report": (c10_page_report, None),
     "w16_summary": (w16_summary, None),
