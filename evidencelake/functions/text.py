@@ -52,8 +52,7 @@ def review_terms(*texts: Column) -> Column:
 
 
 def term_hits(text: Column, terms: Column) -> Column:
-    lowered = F.lower(F.coalesce(text, F.lit("")))
-    return F.size(F.filter(terms, lambda t: F.contains(lowered, t))).cast("long")
+    return let(F.lower(F.coalesce(text, F.lit(""))), lambda lowered: F.size(F.filter(terms, lambda t: F.contains(lowered, t)))).cast("long")
 
 
 def chunk_score(text: Column, position: Column, terms: Column) -> Column:

@@ -35,16 +35,22 @@ def _fold(pieces: Column, most: int) -> Column:
     return T.let(found, lambda b: F.when(F.size(b["p"]) == 0, F.array().cast("array<string>")).otherwise(groups(b)))
 
 
-def _trimmed(x: Column) -> Column:
-    return F.regexp_replace(x, r"(?U)^\s+|\s+$", "")
+def _squeezed(x: Column) -> Column:
+    """Runs of spaces and tabs as one space, ends trimmed; only where there is such a run does a pattern run."""
+    one = F.when(F.contains(x, F.lit("  ")) | F.contains(x, F.lit("\t")), F.regexp_replace(x, "[ \t]+", " ")).otherwise(x)
+    return T.stripped(one)
 
 
 def paragraphs(text: Column) -> Column:
     """Paragraphs between blank lines, or lines if there is one paragraph at most; squeezed, 80 characters or more."""
-    clean = lambda parts: F.filter(F.transform(parts, lambda x: _trimmed(F.regexp_replace(x, "[ \t]+", " "))), lambda x: x != "")
-    lines = clean(F.split(F.coalesce(text, F.lit("")), T.BREAK))
-    chosen = T.let(clean(F.split(F.coalesce(text, F.lit("")), r"\n{2,}")), lambda b: F.when(F.size(b) > 1, b).otherwise(lines))
-    return F.filter(chosen, lambda x: F.length(x) >= C.CHUNK_MIN)
+    clean = lambda parts: F.filter(F.transform(parts, _squeezed), lambda x: x != "")
+
+    def chosen(t: Column) -> Column:
+        lines = clean(F.split(t, T.BREAK))
+        blocks = T.let(clean(F.split(t, r"\n{2,}")), lambda b: F.when(F.size(b) > 1, b).otherwise(lines))
+        return F.when(F.contains(t, F.lit("\n\n")), blocks).otherwise(lines)
+
+    return F.filter(T.let(F.coalesce(text, F.lit("")), chosen), lambda x: F.length(x) >= C.CHUNK_MIN)
 
 
 def pdf_paragraphs(text: Column) -> Column:
@@ -60,7 +66,7 @@ def pdf_paragraphs(text: Column) -> Column:
 def dedupe_paragraphs(paras: Column) -> Column:
     """First of the paragraphs that start with the same 220 characters in any case."""
     key = lambda x: F.replace(F.lower(F.substring(x, 1, 220)), F.lit("ß"), F.lit("ss"))
-    both = F.struct(paras.alias("p"), F.transform(paras, lambda x: key(x)).alias("k"))
+    both = T.let(paras, lambda p: F.struct(p.alias("p"), F.transform(p, lambda x: key(x)).alias("k")))
     alike = lambda b: F.filter(b["p"], lambda x, i: F.array_position(b["k"], F.get(b["k"], i)) == i + 1)
     return T.let(both, lambda b: F.when(F.size(F.array_distinct(b["k"])) == F.size(b["p"]), b["p"]).otherwise(alike(b)))
 

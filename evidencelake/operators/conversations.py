@@ -209,8 +209,8 @@ def merge_evidence(current: DataFrame, prior: DataFrame) -> DataFrame:
 def relevant_prior(sources: DataFrame, questions: DataFrame, budget: int = C.REUSE_TOKENS) -> DataFrame:
     """Chunks of earlier sources (conv_id, recency, source_order, title, url, chunks) for a question, by how many of its keywords a source has, newer first, within the budget."""
     searchable = F.lower(F.concat_ws("\n", F.coalesce("title", F.lit("")), F.transform("chunks", lambda c: c["text"])))
-    hits = F.size(F.filter(keywords(F.col("question")), lambda w: F.contains(F.col("_s"), w)))
-    scored = sources.join(questions, "conv_id").withColumn("_s", searchable).withColumn("score", hits).drop("_s")
+    hits = T.let(searchable, lambda s: F.size(F.filter(keywords(F.col("question")), lambda w: F.contains(s, w))))
+    scored = sources.join(questions, "conv_id").withColumn("score", hits)
     order = [F.desc("score"), "recency", "source_order"]
     once = first_by(scored.withColumn("_k", conversation_url_key(F.col("url"))).filter("_k <> ''"), ["conv_id", "_k"], order)
     ranked = once.withColumn("source_rank", F.row_number().over(Window.partitionBy("conv_id").orderBy(*order)))

@@ -101,7 +101,7 @@ def site_map(pages: DataFrame, n: int) -> DataFrame:
 def keyword_probe(pages: DataFrame, keywords: DataFrame) -> DataFrame:
     """Pages with each keyword that their text has, in any case; keywords (a short list) are carried as an array, so pages are not multiplied before the test."""
     words = keywords.agg(F.sort_array(F.collect_set("keyword")).alias("_words"))
-    hits = F.filter("_words", lambda w: F.contains(F.lower("text"), F.lower(w)))
+    hits = T.let(F.lower("text"), lambda t: F.filter("_words", lambda w: F.contains(t, F.lower(w))))
     return pages.crossJoin(F.broadcast(words)).withColumn("keyword", F.explode(hits)).drop("_words")
 
 
