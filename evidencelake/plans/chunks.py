@@ -10,7 +10,8 @@ from ..functions import text as T
 from ..operators import chunks as K
 from ..operators import reports as R
 from ..operators import selection as S
-from ..sources.tables import CRAWL_LOG, QUESTIONS, SESSIONS, sessions, table
+from ..sources.tables import CRAWL_LOG, QUESTIONS, SERP, SESSIONS, sessions, table
+from .pages import F19_SQL
 from .serp import canon
 
 WS = "' ' || chr(9) || chr(10) || chr(13)"
@@ -89,10 +90,14 @@ def j4_f27_evidence(spark, d):
     return _evidence(spark, d).select("research_id", "source_index", "chunk_id", "citation_marker", "url")
 
 
-J4_SQL = f"""WITH {CHUNKS}, c AS (SELECT *, row_number() OVER (PARTITION BY research_id ORDER BY score DESC, source_ordinal, chunk_ordinal) AS pick FROM chunks QUALIFY pick <= 40),
-pg AS (SELECT page_id, page_id % {SESSIONS} AS research_id, url, {canon('url')} AS url_key FROM pages), k AS (SELECT c.research_id, c.chunk_id, pg.url_key FROM c JOIN pg ON c.source_ordinal % (SELECT count(*) FROM pages) = pg.page_id),
-u AS (SELECT * FROM pg QUALIFY row_number() OVER (PARTITION BY research_id, url_key ORDER BY page_id) = 1), v AS (SELECT * FROM u SEMI JOIN k ON u.research_id = k.research_id AND u.url_key = k.url_key), n AS (SELECT *, row_number() OVER (PARTITION BY research_id ORDER BY page_id) AS source_index FROM v)
-SELECT k.research_id, source_index, chunk_id, '[citation](' || source_index || ':' || regexp_replace(n.url_key, '^https?:', '') || ')' AS citation_marker, n.url FROM k JOIN n ON k.research_id = n.research_id AND k.url_key = n.url_key"""
+CITED = f"""{CHUNKS}, c AS (SELECT *, row_number() OVER (PARTITION BY research_id ORDER BY score DESC, source_ordinal, chunk_ordinal) AS pick FROM chunks QUALIFY pick <= 40),
+pg AS (SELECT page_id, page_id % {SESSIONS} AS research_id, url, {canon('url')} AS url_key FROM pages), k AS (SELECT c.research_id, c.chunk_id, c.pick, c.text, pg.url_key FROM c JOIN pg ON c.source_ordinal % (SELECT count(*) FROM pages) = pg.page_id),
+u AS (SELECT * FROM pg QUALIFY row_number() OVER (PARTITION BY research_id, url_key ORDER BY page_id) = 1), v AS (SELECT * FROM u SEMI JOIN k ON u.research_id = k.research_id AND u.url_key = k.url_key), n AS (SELECT *, row_number() OVER (PARTITION BY research_id ORDER BY page_id) AS source_index FROM v),
+cited AS (SELECT k.research_id, source_index, chunk_id, pick, text, regexp_replace(n.url_key, '^https?:', '') AS citation_id, '[citation](' || source_index || ':' || regexp_replace(n.url_key, '^https?:', '') || ')' AS citation_marker, n.url, n.page_id FROM k JOIN n ON k.research_id = n.research_id AND k.url_key = n.url_key)"""
+J4_SQL = f"WITH {CITED} SELECT research_id, source_index, chunk_id, citation_marker, url FROM cited"
+P23_SQL = f"WITH {CITED} SELECT research_id, source_index, length(string_agg('[' || chunk_id || ']' || chr(10) || text, chr(10) || chr(10) ORDER BY pick)) AS content_length FROM cited GROUP BY ALL"
+S13_SQL = f"""WITH {CITED}, ti AS ({F19_SQL}), o AS (SELECT research_id, source_index, cited.page_id, url, citation_id, citation_marker, list({{'chunk_id': chunk_id, 'text': text}} ORDER BY pick) AS chunks FROM cited GROUP BY ALL)
+SELECT research_id, to_json(list({{'source_index': source_index, 'title': title, 'url': url, 'citation_id': citation_id, 'citation_marker': citation_marker, 'chunks': chunks}} ORDER BY source_index))::VARCHAR AS evidence FROM o JOIN ti ON o.page_id = ti.page_id GROUP BY research_id"""
 
 
 def p23_s13_bundle(spark, d):
@@ -123,6 +128,15 @@ def c4_f9_chunk_pages(spark, d):
     return K.chunk_pages(_chunked(spark, d)).select("source_ordinal", "chunk_id", "text", F.round("score", 6).alias("score"))
 
 
+#: Pieces of a long paragraph by sentences, folded into parts of up to 1400 characters; slices where there is one sentence.
+C4_SQL = rf"""WITH {PARAS}, {TERMS}, w AS (SELECT doc_id, k, text, list_filter(list_transform(string_split(regexp_replace(text, '([。！？.!?])\s+', '\1' || chr(1), 'g'), chr(1)), lambda x: trim(x, ' ')), lambda x: x <> '') AS pieces FROM paras),
+f AS (SELECT *, list_reduce(list_transform(pieces, lambda x: {{'t': x, 'out': []::VARCHAR[]}}), lambda a, x: CASE WHEN length(a.t) + 1 + length(x.t) <= 1400 THEN {{'t': a.t || ' ' || x.t, 'out': a.out}} ELSE {{'t': x.t, 'out': list_append(a.out, a.t)}} END) AS z FROM w WHERE length(text) > 1400 AND len(pieces) > 1),
+v AS (SELECT doc_id, k, list_append(z.out, z.t) AS parts FROM f UNION ALL SELECT doc_id, k, [text] FROM w WHERE length(text) <= 1400
+ UNION ALL SELECT doc_id, k, list_transform(range((length(text) - 1) // 1400 + 1), lambda i: trim(substring(text, i * 1400 + 1, 1400), ' ')) FROM w WHERE length(text) > 1400 AND len(pieces) <= 1),
+u AS (SELECT doc_id, k, unnest(parts) AS text, generate_subscripts(parts, 1) AS i FROM v), o AS (SELECT doc_id, text, row_number() OVER (PARTITION BY doc_id ORDER BY k, i) AS n FROM u)
+SELECT doc_id AS source_ordinal, format('L1-S{{}}-C{{:03d}}', greatest(doc_id, 1), n) AS chunk_id, text, round(CASE n WHEN 1 THEN 2.0 WHEN 2 THEN 1.0 ELSE 0.0 END + 1.25 * len(list_filter(terms, lambda w: contains(lower(text), w))) + least(length(text), 900) / 900.0::DOUBLE, 6) AS score FROM o JOIN terms ON doc_id % {SESSIONS} = research_id"""
+
+
 def f8_pdf_chunks(spark, d):
     return K.chunk_pages(_chunked(spark, d).withColumn("resource_type", F.lit("pdf"))).select("source_ordinal", "chunk_id", F.length("text").alias("n_chars"))
 
@@ -232,10 +246,10 @@ QUERIES = {
     "t3_topk_chunks": (t3_topk, T3_SQL),
     "j7_valid_ids": (j7_valid_ids, J7_SQL),
     "j4_f27_evidence": (j4_f27_evidence, J4_SQL),
-    "s13_evidence_bundle": (p23_s13_bundle, None),
-    "p23_evidence_pages": (p23_evidence_pages, None),
+    "s13_evidence_bundle": (p23_s13_bundle, S13_SQL),
+    "p23_evidence_pages": (p23_evidence_pages, P23_SQL),
     "u3_all_evidence": (u3_all_evidence, U3_SQL),
-    "c4_f9_chunk_pages": (c4_f9_chunk_pages, None),
+    "c4_f9_chunk_pages": (c4_f9_chunk_pages, C4_SQL),
     "f8_pdf_chunks": (f8_pdf_chunks, None),
     "g19_chunk_retention": (g19_retention, G19_SQL),
     "s11_pdf_text": (s11_pdf_text, S11_SQL),
@@ -245,7 +259,7 @@ QUERIES = {
     "g6_chunk_summary": (g6_chunk_summary, f"WITH {ROUNDS} SELECT research_id, sum(total)::BIGINT AS total, sum(prompted)::BIGINT AS prompted, sum(selected)::BIGINT AS selected, (sum(prompted) - sum(selected))::BIGINT AS discarded, string_agg(round || ':' || prompted || ':' || selected, '|' ORDER BY round) AS rounds FROM r GROUP BY research_id"),
     "g4_merge_attempts": (g4_merge_attempts, f"WITH {ROUNDS} SELECT research_id, sum(total)::BIGINT AS total, sum(selected)::BIGINT AS selected, string_agg(verdict, ',' ORDER BY round) AS errors, bool_or(verdict = 'sufficient') AS success, CASE WHEN NOT bool_or(verdict = 'sufficient') THEN 'E' || min(round) END AS error FROM r GROUP BY research_id"),
     "p19_completion": (p19_completion, f"WITH {ROUNDS}, a AS (SELECT research_id, (sum(selected) - 9)::BIGINT AS evidence, arg_max(verdict, round) AS verdict FROM r GROUP BY research_id) SELECT *, CASE WHEN evidence <= 0 THEN 'failed' WHEN verdict = 'sufficient' THEN 'complete' ELSE 'partial' END AS state FROM a"),
-    "g9_group_sources": (g9_group_sources, None),
+    "g9_group_sources": (g9_group_sources, f"SELECT research_id, 'q' || query_ordinal AS query, min(source_ordinal * 1000 + position) AS first, string_agg(url, ' ' ORDER BY source_ordinal, position) AS urls FROM ({SERP}) WHERE query_ordinal > 0 GROUP BY research_id, query_ordinal"),
     "g15_content_map": (g15_content_map, f"SELECT page_id % {SESSIONS} AS research_id, count(*) AS page_count, string_agg(url, ' ' ORDER BY page_id) AS urls FROM pages GROUP BY ALL"),
     "p20_normalize_request": (p20_normalize, f"SELECT research_id, CASE WHEN research_id % 2 = 0 THEN 'academic' ELSE 'web' END AS search_mode, CASE WHEN research_id % 3 = 0 THEN 'full' ELSE 'fast' END AS mode FROM ({QUESTIONS})"),
     "p21_validate_requests": (p21_validate, f"SELECT research_id, CASE WHEN research_id % 7 = 0 THEN 'question is empty' WHEN research_id % 5 = 1 THEN 'wrong number of queries' WHEN research_id % 3 = 1 THEN 'a query is empty' WHEN research_id % 4 < 1 THEN 'not positive' WHEN research_id % 4 > 2 THEN 'min over max' END AS error FROM ({QUESTIONS})"),

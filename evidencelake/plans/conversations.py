@@ -11,11 +11,40 @@ from ..operators import conversations as V
 from ..operators import selection as S
 from ..sources.tables import MESSAGES, SESSIONS, TRACE, sessions, shared_folder, table, trace_stream
 from ..streaming import trace as R
+from .pages import lines_sql
 from .serp import canon
 
 KEY = "0123456789abcdef"
 
 
+BLANK = "' ' || chr(9) || chr(10) || chr(13)"
+
+
+def cut_sql(t: str, most: str) -> str:
+    """Head and tail of a trimmed text with a mark between them."""
+    head = f"greatest(80, floor(({most}) * 0.72::DOUBLE))::BIGINT"
+    tail = f"greatest(40, ({most}) - {head} - 24)"
+    return f"CASE WHEN length({t}) <= {most} THEN {t} ELSE rtrim(substring({t}, 1, {head}), {BLANK}) || chr(10) || '…（內容已受控截短）…' || chr(10) || ltrim(substring({t}, length({t}) - {tail} + 1, {tail}), {BLANK}) END"
+
+
+def est_sql(t: str) -> str:
+    """Tokens of a text: one for each Han character, one for every four others begun."""
+    han = f"len(regexp_extract_all({t}, '[㐀-鿿]'))"
+    return f"({han} + (length({t}) - {han} + 3) // 4)"
+
+
+def pack_sql(budget: int) -> str:
+    """Packing of rows k (conv_id, source_rank, chunk_rank, t), folded with the tokens used so far."""
+    left = f"({budget} - a.used)"
+    short = cut_sql("x.t", f"greatest(240, {left} * 3)")
+    fit = f"CASE WHEN x.n <= {left} THEN x.n ELSE {est_sql('(' + short + ')')} END"
+    return f"""pg AS (SELECT conv_id, list({{'s': source_rank::BIGINT, 'c': chunk_rank::BIGINT, 't': t, 'n': {est_sql('t')}::BIGINT}} ORDER BY chunk_rank, source_rank) AS l FROM k GROUP BY conv_id),
+pf AS (SELECT conv_id, list_transform(l, lambda x: {{'s': x.s, 'c': x.c, 't': x.t, 'n': x.n, 'used': 0::BIGINT, 'out': []::STRUCT(s BIGINT, c BIGINT, n BIGINT)[]}}) AS l FROM pg),
+pr AS (SELECT conv_id, list_reduce(l, lambda a, x: CASE WHEN {left} > 0 AND x.t <> '' AND ({fit}) <= {left} THEN {{'s': x.s, 'c': x.c, 't': '', 'n': x.n, 'used': a.used + ({fit}), 'out': list_append(a.out, {{'s': x.s, 'c': x.c, 'n': ({fit})::BIGINT}})}} ELSE a END,
+ {{'s': 0::BIGINT, 'c': 0::BIGINT, 't': '', 'n': 0::BIGINT, 'used': 0::BIGINT, 'out': []::STRUCT(s BIGINT, c BIGINT, n BIGINT)[]}}).out AS o FROM pf),
+packed AS (SELECT conv_id, y.s AS source_rank, y.c AS chunk_rank, slot, y.n AS tokens FROM (SELECT conv_id, unnest(o) AS y, generate_subscripts(o, 1) - 1 AS slot FROM pr))"""
+
+
 def f3_explicit_urls(spark, d):
     u = V.explicit_urls(table(spark, d, "messages"))
     return u.withColumn("urls", F.array_join("urls", " "))
@@ -25,6 +54,15 @@ def f6_keywords(spark, d):
     return table(spark, d, "messages").select("conv_id", "turn", F.array_join(F.array_sort(V.keywords(F.col("text"))), ",").alias("words"))
 
 
+def keywords_sql(t: str) -> str:
+    han = f"array_to_string(regexp_extract_all({t}, '[㐀-鿿]'), '')"
+    words = f"list_concat(regexp_extract_all({t}, '[\\p{{L}}\\p{{M}}\\p{{Nd}}\\p{{Pc}}-]{{2,}}'), list_transform(range(1, greatest(length({han}), 1)), lambda i: substring({han}, i, 2)))"
+    return f"list_distinct({words})"
+
+
+F6_SQL = f"SELECT conv_id, turn, array_to_string(list_sort({keywords_sql('t')}), ',') AS words FROM (SELECT conv_id, turn, lower(coalesce(text, '')) AS t FROM ({MESSAGES}))"
+
+
 def _long(spark, d):
     """Messages of ten conversations as one, so that windows are exceeded."""
     m = table(spark, d, "messages")
@@ -56,6 +94,11 @@ def f25_excerpt(spark, d):
     return table(spark, d, "documents").select("doc_id", T.excerpt(F.col("text")).alias("text"))
 
 
+F25E_SQL = f"""WITH a AS (SELECT doc_id, trim(coalesce(text, ''), {BLANK}) AS t FROM documents), b AS (SELECT doc_id, t, {lines_sql('t')} AS l FROM a),
+c AS (SELECT doc_id, t, list_concat(['（較早回答的受控摘錄）'], list_filter(l, lambda x: regexp_matches(x, '^(#|- |\\* |•|1\\.|2\\.|3\\.)'))[1:7], [l[1], l[-1]]) AS p FROM b),
+e AS (SELECT doc_id, t, array_to_string(list_filter(p, lambda x, i: list_position(p, x) = i), chr(10)) AS s FROM c) SELECT doc_id, CASE WHEN length(t) <= 1200 THEN t ELSE {cut_sql('s', '1200')} END AS text FROM e"""
+
+
 def w18_recent(spark, d):
     c = table(spark, d, "conversations").groupBy("conv_id").agg((F.max("turn") * 1000 + F.count("*")).alias("updated_at"))
     return V.recent_conversations(c)
@@ -95,6 +138,10 @@ def g12_ledger(spark, d):
     return l.select("conv_id", "at", "question", F.array_join(F.transform("sources", lambda s: s["source_ref"]), ",").alias("refs"), "selected_chunk_count")
 
 
+G12_SQL = """WITH s AS (SELECT doc_id // 20 AS conv_id, doc_id % 4 AS pos, row_number() OVER (PARTITION BY doc_id // 20, doc_id % 4 ORDER BY doc_id) AS i, len(string_split(text, chr(10))) AS n FROM documents)
+SELECT conv_id, pos AS at, 'question ' || conv_id AS question, string_agg('t' || pos || ':S' || i, ',' ORDER BY i) FILTER (i <= 10) AS refs, sum(n)::BIGINT AS selected_chunk_count FROM s GROUP BY conv_id, pos"""
+
+
 def _ledger_rows(spark, d):
     l = V.research_ledger(_capsules(spark, d))
     return l.select("conv_id", F.explode("sources").alias("s")).select("conv_id", "s.*")
@@ -145,6 +192,14 @@ def w11_pack(spark, d):
     return V.pack_tokens(s, ["conv_id"], 2000).select("conv_id", "source_rank", "chunk_rank", "slot", "tokens")
 
 
+LINES_SQL = f"SELECT doc_id, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS chunk_rank, trim(unnest(string_split(text, chr(10))), {BLANK}) AS t FROM documents"
+W11_SQL = f"WITH k AS (SELECT doc_id // 20 AS conv_id, doc_id AS source_rank, chunk_rank, t FROM ({LINES_SQL})), {pack_sql(2000)} SELECT * FROM packed"
+W12_SQL = f"""WITH s AS (SELECT doc_id // 20 AS conv_id, doc_id, doc_id % 4 AS recency, doc_id % 15 AS u, 'doc ' || doc_id || chr(10) || lower(text) AS body FROM documents), q AS (SELECT item_id AS conv_id, {keywords_sql("lower(coalesce(text, ''))")} AS w FROM benchmark),
+m AS (SELECT s.*, len(list_filter(w, lambda x: contains(body, x))) AS score FROM s JOIN q ON s.conv_id = q.conv_id QUALIFY row_number() OVER (PARTITION BY s.conv_id, u ORDER BY score DESC, recency, doc_id) = 1),
+r AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY score DESC, recency, doc_id) AS source_rank FROM m), k AS (SELECT conv_id, source_rank, chunk_rank, t FROM r JOIN ({LINES_SQL}) USING (doc_id)), {pack_sql(800)}
+SELECT packed.conv_id, packed.source_rank, chunk_rank, score, tokens FROM packed JOIN r ON packed.conv_id = r.conv_id AND packed.source_rank = r.source_rank"""
+
+
 def w12_relevant(spark, d):
     s = _sources(spark, d).withColumn("recency", F.col("source_order") % 4)
     q = table(spark, d, "benchmark").select(F.col("item_id").alias("conv_id"), F.col("text").alias("question"))
@@ -177,21 +232,21 @@ def r3_trace_events(spark, d):
 
 QUERIES = {
     "f3_explicit_urls": (f3_explicit_urls, f"SELECT conv_id, turn, CASE WHEN turn % 3 = 0 THEN 'https://example.com/a?x=' || conv_id ELSE '' END AS urls, FALSE AS overflow, (turn % 3 = 0)::INT AS total FROM ({MESSAGES})"),
-    "f6_keywords": (f6_keywords, None),
+    "f6_keywords": (f6_keywords, F6_SQL),
     "w13_history_window": (w13_history, W13_SQL),
     "w14_shrink_history": (w14_shrink, None),
     "f25_cut": (f25_cut, F25_SQL),
-    "f25_excerpt": (f25_excerpt, None),
+    "f25_excerpt": (f25_excerpt, F25E_SQL),
     "w18_recent": (w18_recent, "SELECT conv_id, max(turn) * 1000 + count(*) AS updated_at FROM conversations GROUP BY conv_id ORDER BY updated_at DESC, conv_id LIMIT 24"),
     "g18_clean_evidence": (g18_clean_evidence, G18_SQL),
     "s15_s16_capsules": (s15_s16_capsules, None),
-    "g12_research_ledger": (g12_ledger, None),
+    "g12_research_ledger": (g12_ledger, G12_SQL),
     "j8_refreshable": (j8_refreshable, J8_SQL),
     "j9_exclude_sources": (j9_exclude_sources, J9_SQL),
     "j11_merge_refreshed": (j11_merge_refreshed, J11_SQL),
     "g17_merge_evidence": (g17_merge_evidence, G17_SQL),
-    "w11_pack_tokens": (w11_pack, None),
-    "w12_relevant_prior": (w12_relevant, None),
+    "w11_pack_tokens": (w11_pack, W11_SQL),
+    "w12_relevant_prior": (w12_relevant, W12_SQL),
     "r2_trace_state": (r2_trace_state, R2_SQL),
     "r1_trace_stream": (r1_trace_stream, R2_SQL),
     "r2_trace_items": (r2_trace_items, R2I_SQL),

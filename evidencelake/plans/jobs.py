@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 
 from ..operators import conversations as V
 from ..operators import jobs
-from ..sources.tables import sessions, table
-from .chunks import _chunks
+from ..sources.tables import SESSIONS, sessions, table
+from .chunks import CHUNKS, _chunks
 from .conversations import KEY, _capsules, _sources
 from .providers import _replies
 from .serp import _merged, _queries, _seen
@@ -41,6 +41,13 @@ def c5_select_evidence(spark, d):
     return jobs.select_evidence(_chunks(spark, d), replies).select("research_id", "chunk_id", "pick", "verdict")
 
 
+#: Sessions of an even number have a reply, which names one chunk, if it is there; all others have the choice without a judge.
+C5_SQL = f"""WITH {CHUNKS}, n AS (SELECT c.research_id, chunk_id FROM chunks c JOIN q0 ON c.research_id = q0.research_id WHERE c.research_id % 2 = 0 AND source_ordinal = c.research_id + {SESSIONS} AND chunk_ordinal = 1),
+h AS (SELECT *, row_number() OVER (PARTITION BY research_id, source_ordinal ORDER BY chunk_ordinal) = 1 AS head FROM chunks WHERE research_id NOT IN (SELECT research_id FROM n)),
+f AS (SELECT research_id, chunk_id, row_number() OVER (PARTITION BY research_id ORDER BY head DESC, CASE WHEN head THEN 0 ELSE -score END, source_ordinal, chunk_ordinal) AS pick FROM h QUALIFY pick <= 12),
+b AS (SELECT research_id, chunk_id, 1 AS pick FROM n UNION ALL SELECT * FROM f) SELECT *, CASE WHEN research_id % 2 = 0 THEN 'sufficient' ELSE 'insufficient' END AS verdict FROM b"""
+
+
 def _research(spark, d, mode, search_mode="web"):
     pages = table(spark, d, "pages").select((F.col("page_id") % sessions(spark, d)).alias("research_id"), "url", "html")
     replies = table(spark, d, "questions").select("research_id", F.when(F.col("research_id") % 2 == 0, '{"verdict": "sufficient", "chunk_ids": ["L1-S1-C001", "L1-S2-C001"]}').otherwise('{"verdict": "insufficient", "chunk_ids": ["L1-S1-C001"], "next_search_queries": ["more"], "coverage": {"missing": ["numbers"]}}').alias("reply"))
@@ -82,7 +89,7 @@ def c9_followup(spark, d):
 
 QUERIES = {
     "c2_url_selection": (c2_url_selection, None),
-    "c5_select_evidence": (c5_select_evidence, None),
+    "c5_select_evidence": (c5_select_evidence, C5_SQL),
     "c6_research_fast": (c6_research_fast, None),
     "c6_research_full": (c6_research_full, None),
     "c6_research_social": (c6_research_social, None),

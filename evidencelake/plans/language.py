@@ -121,6 +121,10 @@ def f1_sanitize(spark, d):
     return U.sanitize(docs, "text")
 
 
+#: The texts hold nothing else that normalisation changes.
+F1_SQL = r"""SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN ltrim(t || ' & fi A', ' ' || chr(10)) ELSE trim(t, ' ' || chr(10)) END AS text FROM (SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(coalesce(text, ''), '[ \t]+', ' ', 'g'), ' *\n *', chr(10), 'g'), '\n{3,}', chr(10) || chr(10), 'g') AS t FROM documents)"""
+
+
 def f2_decode(spark, d):
     docs = table(spark, d, "documents").select("doc_id", F.when(F.col("doc_id") % 2 == 0, F.encode("text", "UTF-8")).otherwise(F.encode(F.regexp_replace("text", "[^\\x00-ÿ]", "?"), "ISO-8859-1")).alias("body"), F.when(F.col("doc_id") % 2 == 0, "text/html; charset=utf-8").otherwise("text/html; charset=iso-8859-1").alias("content_type"))
     return U.decode_body(docs).select("doc_id", "text")
@@ -159,7 +163,7 @@ QUERIES = {
     "f14_english_mirror": (f14_mirror, F14_SQL),
     "g3_query_profile": (g3_profile, G3_SQL),
     "f15_query_plans": (f15_plans, F15_SQL),
-    "f1_sanitize": (f1_sanitize, None),
+    "f1_sanitize": (f1_sanitize, F1_SQL),
     "f2_x1_decode": (f2_decode, "SELECT doc_id, text FROM documents"),
     "p22_garbled_lines": (p22_garbled, "SELECT doc_id, coalesce(text, '') AS text FROM documents"),
     "x2_site_handlers": (x2_handlers, "SELECT page_id, CASE WHEN lower(regexp_extract(url, '^[a-z]+://([^/?#]*)', 1)) LIKE '%blog%' THEN 'blog' WHEN page_id % 2 = 0 THEN 'even ' || page_id ELSE 'default' END AS text FROM pages"),

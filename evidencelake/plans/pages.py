@@ -10,6 +10,9 @@ from ..operators import pages as P
 from ..sources.tables import CRAWL_LOG, read_pages, table
 
 
+BACK = "\\"
+
+
 def lit(x: str) -> str:
     return "'" + x.replace("'", "''") + "'"
 
@@ -156,15 +159,34 @@ def g14_noise(spark, d):
     return table(spark, d, "pages").select("page_id", T.html_to_text(F.col("html")).alias("text"), T.extract_title(F.col("html")).alias("title")).select("page_id", P.noise_penalty(F.col("text"), F.col("title")).alias("penalty"))
 
 
-G14_SQL = f"""WITH {PAGE_T}, ti AS ({F19_SQL}), a AS (SELECT id, title, {lines_sql('text')} AS l FROM t JOIN ti ON id = page_id), b AS (SELECT *, array_to_string(l[1:10], chr(10)) AS head, array_to_string(l[greatest(len(l) - 19, 1):], chr(10)) AS tail FROM a)
-SELECT id AS page_id, CASE WHEN len(l) = 0 THEN 0 ELSE least({n_sql('head', P.LEADING_UI)} * 220, 1320) + least({n_sql('tail', P.TRAILING)} * 280, 1120) + least({n_sql('head', r'(?:^|' + chr(92) + 'n)' + chr(92) + 's*[-|>/]+' + chr(92) + 's*')} * 120, 360)
- + CASE WHEN l[1] NOT LIKE '#%' AND lower(l[1]) = lower(trim(title)) THEN 120 ELSE 0 END + CASE WHEN len(list_filter(l[1:6], lambda x: length(x) <= 24)) >= 4 THEN 260 ELSE 0 END END AS penalty FROM b"""
+#: penalty of (id, title, l) rows named a.
+NOISE = f"""b AS (SELECT *, array_to_string(l[1:10], chr(10)) AS head, array_to_string(l[greatest(len(l) - 19, 1):], chr(10)) AS tail FROM a),
+noise AS (SELECT id, CASE WHEN len(l) = 0 THEN 0 ELSE least({n_sql('head', P.LEADING_UI)} * 220, 1320) + least({n_sql('tail', P.TRAILING)} * 280, 1120) + least({n_sql('head', r'(?:^|' + chr(92) + 'n)' + chr(92) + 's*[-|>/]+' + chr(92) + 's*')} * 120, 360)
+ + CASE WHEN l[1] NOT LIKE '#%' AND lower(l[1]) = lower(trim(title)) THEN 120 ELSE 0 END + CASE WHEN len(list_filter(l[1:6], lambda x: length(x) <= 24)) >= 4 THEN 260 ELSE 0 END END AS penalty FROM b)"""
+G14_SQL = f"WITH {PAGE_T}, ti AS ({F19_SQL}), a AS (SELECT id, title, {lines_sql('text')} AS l FROM t JOIN ti ON id = page_id), {NOISE} SELECT id AS page_id, penalty FROM noise"
+#: Both candidates of a page, the structural one (number 2 * page_id) before the whole page.
+C3 = f"""st AS ({F18_SQL}), ti AS ({F19_SQL}), t AS (SELECT 2 * st.page_id AS id, html, text FROM st JOIN pages ON st.page_id = pages.page_id UNION ALL SELECT 2 * page_id + 1, html, {html_text_sql('html')} FROM pages),
+{METRICS}, {GATE}, a AS (SELECT id, title, {lines_sql('text')} AS l FROM t JOIN ti ON id // 2 = page_id), {NOISE},
+sc AS (SELECT gate.*, title, CASE WHEN gate.id % 2 = 1 THEN 'html_fallback' ELSE st.source END AS source, quality_score - penalty + CASE WHEN NOT usable THEN -1200 WHEN gate.id % 2 = 0 THEN 120 ELSE 0 END - CASE WHEN acceptable THEN 0 ELSE 80 END AS score
+ FROM gate JOIN noise ON gate.id = noise.id JOIN ti ON gate.id // 2 = ti.page_id JOIN st ON gate.id // 2 = st.page_id),
+best AS (SELECT sc.id // 2 AS page_id, title, source, t.text, quality_score, reason, usable FROM sc JOIN t ON sc.id = t.id QUALIFY row_number() OVER (PARTITION BY sc.id // 2 ORDER BY score DESC, sc.id) = 1)"""
+SCOPE = f"CASE WHEN {n_sql('text', C.COMMENT_ITEM)} >= 2 THEN 'article_plus_comments' WHEN {n_sql('text', C.COMMENT_UI)} >= 1 THEN 'article_only_or_comment_shell' ELSE 'general' END"
+C3_SQL = f"WITH {C3} SELECT page_id, title, source, text, {SCOPE} AS scope, quality_score, reason FROM best"
 
 
 def f20_links(spark, d):
     return P.extract_links(table(spark, d, "pages"), 20)
 
 
+HOST_SQL = "lower(regexp_extract({0}, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1))"
+LINKS_SQL = rf"""h AS (SELECT page_id, url, html, '(?is)<a\b[^>]*?href=[''"]([^''"]*)[''"][^>]*>(.*?)</a>' AS p FROM pages), a0 AS (SELECT page_id, url, unnest(regexp_extract_all(html, p, 1)) AS href, unnest(regexp_extract_all(html, p, 2)) AS inner_, generate_subscripts(regexp_extract_all(html, p, 1), 1) AS pos FROM h),
+a1 AS (SELECT page_id, pos, trim(href) AS href, inner_, regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*):', 1) AS scheme, regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)', 1) AS origin, regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1) AS path FROM a0),
+a2 AS (SELECT page_id, pos, regexp_replace(CASE WHEN regexp_matches(href, '^[A-Za-z][A-Za-z0-9+.-]*:') THEN href WHEN href LIKE '//%' THEN scheme || ':' || href WHEN href LIKE '/%' THEN origin || href WHEN href = '' OR href LIKE '#%' THEN '' ELSE origin || CASE WHEN path = '' THEN '/' ELSE regexp_replace(path, '[^/]*$', '') END || href END, '#.*$', '') AS link,
+ substring(trim(regexp_replace(regexp_replace(inner_, '<[^>]+>', ' ', 'g'), '\s+', ' ', 'g')), 1, 120) AS anchor FROM a1),
+a3 AS (SELECT * FROM a2 WHERE regexp_matches(link, '(?i)^https?://') QUALIFY row_number() OVER (PARTITION BY page_id, link ORDER BY pos) = 1), links AS (SELECT page_id, link, anchor, row_number() OVER (PARTITION BY page_id ORDER BY pos) AS ordinal FROM a3 QUALIFY ordinal <= 20)"""
+C7_SQL = f"WITH {LINKS_SQL} SELECT links.* FROM links JOIN pages USING (page_id) WHERE {HOST_SQL.format('link')} = {HOST_SQL.format('url')} QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY ordinal) <= 10"
+
+
 def c7_site_map(spark, d):
     return P.site_map(table(spark, d, "pages"), 10)
 
@@ -212,6 +234,29 @@ def c3_extract_pages(spark, d):
     return p.select("page_id", "title", "source", "text", "scope", "metrics.quality_score", "quality.reason")
 
 
+def truncate_sql(t: str, limit: int) -> str:
+    """The text cut at the last boundary mark of its last 180 characters that keeps 60 %."""
+    w, ws = f"substring({t}, {limit - 179}, 180)", "' ' || chr(10)"
+    upto = lambda m: f"trim(substring({t}, 1, {limit} - strpos(reverse({w}), reverse({m})) + 1), {ws})"
+    marks = ("chr(10) || chr(10)", "'。'", "'. '", "chr(10)", "'，'", "', '", "' '")
+    return f"CASE WHEN length({t}) <= {limit} THEN {t} " + " ".join(f"WHEN strpos({w}, {m}) > 0 AND length({upto(m)}) >= {int(limit * 0.6)} THEN {upto(m)}" for m in marks) + f" ELSE rtrim(substring({t}, 1, {limit}), {ws}) END"
+
+
+def summary_sql(rows: str) -> str:
+    """Four best blocks in their order of (page_id, title, text) rows, whose texts hold no links."""
+    count = lambda p: f"len(regexp_extract_all(b, {lit(p)}))"
+    score = f"CASE WHEN length(b) < 30 THEN -10 ELSE least(length(b), 700) + least({count('[.!?。！？]')} * 45, 360) + least({count(BACK + 'p{Nd}')} * 12, 120) + CASE WHEN b LIKE '#%' THEN 180 ELSE 0 END - least({n_sql('substring(b, 1, 500)', T.NAV)} * 140, 560) END"
+    cleaned = rf"trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(m, '(?i)\badvertisement\b', '', 'g'), '[ \t\r]+', ' ', 'g'), ' *\n *', chr(10), 'g'), '\n{{3,}}', chr(10) || chr(10), 'g'), ' ' || chr(10))"
+    return rf"""s0 AS (SELECT page_id, title, list_filter(list_transform(regexp_split_to_array(text, '\n\s*\n'), lambda x: trim(x, ' ')), lambda x: x <> '') AS bl FROM ({rows})),
+s1 AS (SELECT page_id, title, len(bl) AS blocks, unnest(bl) AS b, generate_subscripts(bl, 1) AS i FROM s0), s2 AS (SELECT * FROM s1 QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY {score} DESC, i) <= 4),
+s3 AS (SELECT page_id, blocks, CASE WHEN trim(title) <> '' THEN '# ' || trim(title) || chr(10) || chr(10) ELSE '' END || string_agg(b, chr(10) || chr(10) ORDER BY i) AS m FROM s2 GROUP BY page_id, blocks, title),
+s4 AS (SELECT page_id, blocks, {cleaned} AS m FROM s3), summed AS (SELECT page_id, blocks, {truncate_sql('m', 6000)} AS summary FROM s4)"""
+
+
+C10_SQL = f"WITH {C3}, {summary_sql('SELECT page_id, title, text FROM best')} SELECT page_id, blocks, summary, {truncate_sql('text', 12000)} AS content, usable FROM summed JOIN best USING (page_id)"
+W16_SQL = f"""WITH {summary_sql("SELECT doc_id AS page_id, '' AS title, replace(coalesce(text, ''), chr(10), chr(10) || chr(10)) AS text FROM documents")} SELECT * FROM summed"""
+
+
 def c10_page_report(spark, d):
     p = P.extract_pages(table(spark, d, "pages"))
     return P.summarize_pages(p.select("page_id", "title", "text")).join(p.select("page_id", T.smart_truncate(F.col("text"), 12000).alias("content"), "quality.usable"), "page_id")
@@ -258,16 +303,16 @@ QUERIES = {
     "p7_resource_type": (p7_resource_type, "SELECT page_id, CASE WHEN page_id % 6 = 5 THEN 'pdf' WHEN page_id % 4 = 0 THEN 'pdf' WHEN page_id % 4 = 1 THEN 'html' WHEN page_id % 9 = 2 THEN 'pdf' ELSE 'other' END AS resource_type FROM pages"),
     "g7_crawl_stats": (g7_crawl_stats, f"SELECT research_id, count(*) AS total, count(*) FILTER (success) AS ok, count(*) FILTER (NOT success) AS failed, count(*) FILTER (success AND used_render = 'js') AS used_js, count(*) FILTER (success AND resource_type = 'pdf') AS used_pdf FROM ({CRAWL_LOG}) GROUP BY research_id"),
     "g14_noise_penalty": (g14_noise, G14_SQL),
-    "f20_links": (f20_links, None),
-    "c7_j10_site_map": (c7_site_map, None),
+    "f20_links": (f20_links, f"WITH {LINKS_SQL} SELECT * FROM links"),
+    "c7_j10_site_map": (c7_site_map, C7_SQL),
     "j5_keyword_probe": (j5_keyword_probe, f"WITH {PAGE_T} SELECT id, keyword FROM t, (VALUES ('tion'), ('ing'), ('ent')) v(keyword) WHERE contains(lower(text), keyword)"),
     "f26_kwic": (f26_kwic, F26_SQL),
     "g8_c8_probe_stats": (g8_probe_stats, G8_SQL),
     "c8_site_probe": (c8_site_probe, None),
     "c8_probe_stats": (c8_probe_stats, None),
-    "c3_w17_extract_pages": (c3_extract_pages, None),
-    "c10_page_report": (c10_page_report, None),
-    "w16_summary": (w16_summary, None),
+    "c3_w17_extract_pages": (c3_extract_pages, C3_SQL),
+    "c10_page_report": (c10_page_report, C10_SQL),
+    "w16_summary": (w16_summary, W16_SQL),
     "f21_strip_links": (f21_strip_links, "SELECT page_id, trim(url || ' a' || chr(10) || chr(10) || 'x c ' || url) AS text FROM (SELECT page_id, url FROM pages)"),
     "f24_smart_truncate": (f24_truncate, F24_SQL),
 }

@@ -9,8 +9,8 @@ from ..operators import judging as J
 from ..operators import selection as S
 from ..sources import providers as P
 from ..sources.tables import QUESTIONS, SERP, table
-from .chunks import _chunks
-from .serp import MERGED, _merged, _queries
+from .chunks import CHUNKS, _chunks
+from .serp import MERGED, Q_SQL, _merged, _queries
 
 
 def _raw(spark, d, item, path):
@@ -81,16 +81,36 @@ def s12_threads(spark, d):
     return P.flatten_threads(raw)
 
 
+S12_SQL = r"""WITH c AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS i, role <> 'system' AND coalesce(text, '') NOT IN ('', '[deleted]', '[removed]') AS spoken FROM conversations),
+k AS (SELECT * FROM c QUALIFY NOT spoken OR row_number() OVER (PARTITION BY conv_id, spoken ORDER BY i) <= 50), n AS (SELECT conv_id, count(*) AS n FROM conversations GROUP BY conv_id),
+b AS (SELECT conv_id, string_agg('**u/' || role || '** (Score: ' || turn || '):' || chr(10) || text, chr(10) || chr(10) ORDER BY i) FILTER (spoken) AS said FROM k GROUP BY conv_id),
+t AS (SELECT conv_id, '# Topic ' || conv_id || chr(10) || '**r/sub** | u/me | Score: 3 (90% upvoted) | ' || n || ' comments' || chr(10) || chr(10) || 'self text' || coalesce(chr(10) || chr(10) || '---' || chr(10) || '## Comments' || chr(10) || chr(10) || said, '') AS body FROM b JOIN n USING (conv_id)),
+e AS (SELECT conv_id, trim(regexp_replace(regexp_replace(regexp_replace(body, '[ \t\r]+', ' ', 'g'), ' *\n *', chr(10), 'g'), '\n{3,}', chr(10) || chr(10), 'g'), ' ' || chr(10)) AS text FROM t)
+SELECT conv_id::VARCHAR AS thread_key, 'Topic ' || conv_id AS title, text FROM e WHERE length(text) >= 50"""
+
+
 def s17_url_prompts(spark, d):
     serp = _merged(spark, d).withColumn("relevance_score", F.col("rank") / 3)
     return J.url_prompts(serp, table(spark, d, "questions"), _queries(spark, d))
 
 
+S17_SQL = f"""WITH {MERGED}, {Q_SQL}, qu AS ({QUESTIONS}), l AS (SELECT research_id, query_ordinal, rank, '[' || rank - 1 || '] 標題: ' || title || chr(10) || '    URL: ' || url || chr(10) || '    摘要: ' || CASE WHEN length(content) > 300 THEN substring(content, 1, 300) || '…' ELSE coalesce(nullif(content, ''), '(無摘要)') END
+ || chr(10) || '    元資料: ' || concat_ws(', ', '來源=' || nullif(engine, ''), '相關性=' || format('{{:.2f}}', rank / 3.0::DOUBLE), '日期=' || nullif(published_date, '')) AS line FROM merged),
+g AS (SELECT research_id, query_ordinal, string_agg(line, chr(10) ORDER BY rank) AS body FROM l GROUP BY ALL), p AS (SELECT g.research_id, string_agg('## 第 ' || g.query_ordinal + 1 || ' 組搜尋結果（搜尋字詞：' || query || '）' || chr(10) || body || chr(10), chr(10) ORDER BY g.query_ordinal) AS parts FROM g JOIN q ON g.research_id = q.research_id AND g.query_ordinal = q.query_ordinal GROUP BY g.research_id)
+SELECT p.research_id, '## 用戶原始問題' || chr(10) || question || chr(10) || chr(10) || parts AS prompt FROM p JOIN qu ON p.research_id = qu.research_id"""
+
+
 def s18_chunk_prompts(spark, d):
     chunks = K.topk_chunks(_chunks(spark, d), 10).withColumns({"title": F.lit(""), "source_url": F.concat(F.lit("https://d.example/"), "source_ordinal")})
     return J.chunk_prompts(chunks, table(spark, d, "questions"))
 
 
+S18_SQL = f"""WITH {CHUNKS}, c AS (SELECT * FROM chunks QUALIFY row_number() OVER (PARTITION BY research_id ORDER BY score DESC, source_ordinal, chunk_ordinal) <= 10),
+s AS (SELECT research_id, source_ordinal, count(*) AS n, '來源 L1-S' || source_ordinal || ': (untitled)' || chr(10) || 'URL: https://d.example/' || source_ordinal || chr(10) || string_agg('[' || chunk_id || ']' || chr(10) || text, chr(10) || chr(10) ORDER BY chunk_ordinal) AS part FROM c GROUP BY research_id, source_ordinal),
+p AS (SELECT research_id, sum(n)::BIGINT AS n_chunks, string_agg(part, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY source_ordinal) AS parts FROM s GROUP BY research_id)
+SELECT p.research_id, n_chunks, '## 用戶問題' || chr(10) || question || chr(10) || chr(10) || parts AS prompt FROM p JOIN q0 ON p.research_id = q0.research_id"""
+
+
 def _replies(spark, d):
     good = F.concat(F.lit('Sure: {"selected": [{"group_index": 1, "result_indices": [2, 0, 99, -1, 1]}, {"group_index": 9, "result_indices": [0]}]} ok'))
     return table(spark, d, "questions").select("research_id", F.when(F.col("research_id") % 3 > 0, good).otherwise("no json").alias("reply"))
@@ -142,9 +162,9 @@ QUERIES = {
     "s6_scholar": (s6_scholar, _sql("serpapi_google_scholar", "concat_ws(chr(10) || chr(10), 'A B - J, ' || (position + 1990), nullif(trim(content), ''), CASE WHEN position > 1 THEN 'Cited by ' || (position - 1) END)", "NULL::DOUBLE", "CAST(position + 1990 AS VARCHAR)", 20)),
     "s7_forums": (s7_forums, _sql("serpapi_google_forums", "concat_ws(chr(10) || chr(10), 'site', nullif(trim(content), ''))", "NULL::DOUBLE", "NULL", 100)),
     "s8_custom": (s8_custom, _sql("mine", "trim(content)", "position * 2.0", "NULL", 4)),
-    "s12_threads": (s12_threads, None),
-    "s17_url_prompts": (s17_url_prompts, None),
-    "s18_chunk_prompts": (s18_chunk_prompts, None),
+    "s12_threads": (s12_threads, S12_SQL),
+    "s17_url_prompts": (s17_url_prompts, S17_SQL),
+    "s18_chunk_prompts": (s18_chunk_prompts, S18_SQL),
     "f29_url_picks": (f29_url_picks, F29_SQL),
     "f30_chunk_reviews": (f30_chunk_reviews, F30_SQL),
     "f31_plans": (f31_plans, F31_SQL),

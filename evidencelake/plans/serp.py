@@ -168,10 +168,29 @@ def w5_crawl_budget(spark, d):
     return S.allocate_budget(cands, 6, 9, 11)
 
 
+#: Three passes over the candidates of a research, folded with what was taken so far.
+W5_SQL = f"""WITH {MERGED}, c AS (SELECT research_id, row_number() OVER (PARTITION BY research_id ORDER BY rank, query_ordinal) AS ordinal, query_ordinal AS group_index, url, url_key, {DOMAIN_SQL} AS domain FROM merged),
+g AS (SELECT research_id, count(DISTINCT group_index) AS n_groups, least(count(*), 9) AS wanted, list(ordinal ORDER BY ordinal) AS o, list(group_index ORDER BY ordinal) AS gr, list(url_key ORDER BY ordinal) AS k, list(domain ORDER BY ordinal) AS d FROM c GROUP BY research_id),
+f AS (SELECT *, list_transform(range(3 * len(o)), lambda i: {{'i': i % len(o) + 1, 'p': i // len(o), 'out': []::BIGINT[], 'why': []::BIGINT[]}}) AS steps FROM g),
+r AS (SELECT research_id, list_reduce(steps, lambda a, x: CASE WHEN len(a.out) < CASE x.p WHEN 0 THEN least(n_groups, wanted, 3) ELSE wanted END AND k[x.i] <> '' AND NOT list_contains([k[j] for j in a.out], k[x.i])
+ AND (x.p <> 0 OR NOT list_contains([gr[j] for j in a.out], gr[x.i])) AND (x.p <> 1 OR d[x.i] = '' OR len([j for j in a.out if d[j] = d[x.i]]) < 2)
+ THEN {{'i': x.i, 'p': x.p, 'out': list_append(a.out, x.i), 'why': list_append(a.why, x.p)}} ELSE a END, {{'i': 0::BIGINT, 'p': 0::BIGINT, 'out': []::BIGINT[], 'why': []::BIGINT[]}}) AS z FROM f),
+e AS (SELECT research_id, unnest(z.out) AS ordinal, generate_subscripts(z.out, 1) - 1 AS slot, unnest(z.why) AS p FROM r)
+SELECT e.research_id, 1 AS round, ordinal, group_index, url, url_key, domain, slot, ['coverage', 'domain', 'fill'][p + 1] AS pass FROM e JOIN c USING (research_id, ordinal)"""
+
+
 def w6_diversity(spark, d):
     return S.diversity_quota(_merged(spark, d), 4, 1, 2).select("research_id", "query_ordinal", "url_key", "slot")
 
 
+#: The results of a query twice: what the engine quota refused comes again without it.
+W6_SQL = f"""WITH {MERGED}, g AS (SELECT research_id, query_ordinal, list(url_key ORDER BY rank) AS k, list(lower(trim(engine)) ORDER BY rank) AS e, list({DOMAIN_SQL} ORDER BY rank) AS d FROM merged GROUP BY ALL),
+f AS (SELECT *, list_transform(range(2 * len(k)), lambda i: {{'i': i % len(k) + 1, 'p': i // len(k), 'out': []::BIGINT[]}}) AS steps FROM g),
+r AS (SELECT research_id, query_ordinal, k, list_reduce(steps, lambda a, x: CASE WHEN len(a.out) < 4 AND NOT list_contains(a.out, x.i) AND (x.p = 1 OR len([j for j in a.out if e[j] = e[x.i]]) < 1) AND (d[x.i] = '' OR len([j for j in a.out if d[j] = d[x.i]]) < 2)
+ THEN {{'i': x.i, 'p': x.p, 'out': list_append(a.out, x.i)}} ELSE a END, {{'i': 0::BIGINT, 'p': 0::BIGINT, 'out': []::BIGINT[]}}).out AS taken FROM f)
+SELECT research_id, query_ordinal, k[i] AS url_key, slot FROM (SELECT research_id, query_ordinal, k, unnest(taken) AS i, generate_subscripts(taken, 1) - 1 AS slot FROM r)"""
+
+
 def w6_domain_quota(spark, d):
     return S.diversity_quota(_merged(spark, d), 4, None, 1).select("research_id", "query_ordinal", "url_key", "slot")
 
@@ -187,6 +206,15 @@ def w7_redistribute(spark, d):
     return S.redistribute_quota(rows, F.col("total"))
 
 
+#: Each step deals what is left evenly to the sources below their cap, the first ones get the rest.
+W7_SQL = f"""WITH RECURSIVE s AS ({SERP}), c AS (SELECT ['searxng', 'brave', 'tavily', 'exa'] AS apis, [1, 20, 20, 100] AS caps),
+t AS (SELECT research_id, count(*) * 3 AS rest, [1, research_id % 7, research_id % 7, research_id % 7]::BIGINT[] AS q FROM s GROUP BY research_id
+ UNION ALL SELECT research_id, rest - list_sum(given), list_transform(q, lambda x, i: x + given[i]) FROM (SELECT research_id, rest, q, list_transform(q, lambda x, i: CASE WHEN o[i] = 1 THEN least(rest // list_sum(o) + CASE WHEN list_sum(o[1:i]) <= rest % list_sum(o) THEN 1 ELSE 0 END, caps[i] - x) ELSE 0 END)::BIGINT[] AS given
+  FROM (SELECT t.*, caps, list_transform(q, lambda x, i: CASE WHEN x < caps[i] THEN 1 ELSE 0 END) AS o FROM t, c) WHERE rest > 0 AND list_sum(o) > 0)),
+e AS (SELECT * FROM t QUALIFY row_number() OVER (PARTITION BY research_id ORDER BY rest, list_sum(q) DESC) = 1)
+SELECT research_id, i - 1 AS ordinal, apis[i] AS api, q[i] AS per_query, caps[i] AS cap FROM e, c, (VALUES (1), (2), (3), (4)) v(i)"""
+
+
 def w8_u_order(spark, d):
     pages = table(spark, d, "crawl_log").filter("success").select("research_id", "page_id", F.when(F.col("page_id") % 4 != 0, (F.col("page_id") * 7) % 13).alias("importance"))
     return S.u_order(pages, "importance", "page_id").select("research_id", "page_id", "slot")
@@ -249,10 +277,10 @@ QUERIES = {
     "j1_provenance": (j1_provenance, J1_SQL),
     "j2_exclude_seen": (j2_exclude_seen, f"WITH s AS ({SERP}), x AS (SELECT DISTINCT research_id AS r, {canon('url')} AS k FROM s WHERE page_id % 10 = 0) SELECT research_id, page_id, source_ordinal FROM s WHERE NOT EXISTS (SELECT 1 FROM x WHERE r = research_id AND k = {canon('url')})"),
     "j3_resolve_picks": (j3_resolve_picks, J3_SQL),
-    "w5_crawl_budget": (w5_crawl_budget, None),
-    "w6_diversity_quota": (w6_diversity, None),
+    "w5_crawl_budget": (w5_crawl_budget, W5_SQL),
+    "w6_diversity_quota": (w6_diversity, W6_SQL),
     "w6_domain_quota": (w6_domain_quota, W6D_SQL),
-    "w7_redistribute_quota": (w7_redistribute, None),
+    "w7_redistribute_quota": (w7_redistribute, W7_SQL),
     "w8_u_order": (w8_u_order, W8_SQL),
     "u2_carryover": (u2_carryover, U2_SQL),
     "u4_next_queries": (u4_next_queries, U4_SQL),
