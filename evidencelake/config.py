@@ -32,6 +32,19 @@ NAV_MARKS = ("首頁", "首页", "關於", "关于", "聯絡", "联系", "登入
 NAV_WORDS = (r"home", r"about", r"contact", r"login", r"sign\s*in", r"subscribe", r"privacy", r"terms", r"cookies?", r"menu", r"search")
 LEADING_UI = r"(?:\bedition\b|\bsign\s*(?:in|out)\b|\bshare\b|\btext\s*size\b|\btoday'?s\s+epaper\b|\bget\s+app\b|\bdownload\s+app\b|\bnewsletter(?:s)?\b|\bsaved\s+articles\b|\bfollowing\b|\bmy\s+reads\b|\bweather(?:\s+today)?\b|\bprivacy\s+policy\b|\bterms\s+of\s+use\b|\bcontact\s+us\b|\babout\s+us\b|\bprint\s+ad\s+rates\b|\bcode\s+of\s+ethics\b|\bsitemap\b|\brss\s+feeds\b|\bimage\s+source\b|\bphoto\s+credit\b|\bcomments?\b|隱私政策|隐私政策|使用條款|使用条款|聯絡我們|联系我们|關於我們|关于我们|分享|字體大小|字体大小|下載App|下载App|訂閱電子報|订阅电子报|ホーム|シェア|ログイン|利用規約|お問い合わせ|공유|로그인|문의하기|이용약관|แชร์|เข้าสู่ระบบ|ข้อกำหนดการใช้งาน|ติดต่อเรา)"
 TRAILING = r"(?:\bfollow\s+us\b|\balso\s+read\b|\bread\s+more\b|\brecommended\b|\brelated\s+(?:articles?|stories|news)\b|\byou\s+may\s+also\s+like\b|\blatest\s+updates\b|\blive\s+updates\b|\btop\s+stories\b|\bmost\s+read\b|\btrending\b|\bnewsletter(?:s)?\b|\ball\s+rights\s+reserved\b|延伸閱讀|延伸阅读|相關文章|相关文章|更多報導|更多报道|最新更新|即時更新|热门|最受歡迎|最受欢迎|関連記事|おすすめ|続きを読む|最新情報|人気記事|관련 기사|추천 기사|더 읽기|실시간 업데이트|อ่านเพิ่มเติม|บทความที่เกี่ยวข้อง|อัปเดตล่าสุด|กำลังมาแรง)"
+# Lines of page shells, and lines that end a text.
+SHELL_LINE = (
+    r"(?:^跳到主要內容區塊$|^搜尋$|^進階搜尋$|^分享$|^分享至\b|^首頁$|^上方連結$|^下方連結$|^網站導覽$|^回首頁$|^熱門關鍵字$|^最新消息$|^網頁功能$|^列印內容$|^注音$|^回上一頁$|^English$|^常見問答$|^隱私權政策$|^網站安全政策$"
+    r"|^著作權聲明$|^政府網站資料開放宣告$|^維基百科，自由的百科全書$|^相關圖片$|^點閱數[:：]?$|^資料更新[:：]?$|^資料檢視[:：]?$|^資料維護[:：]?$|^更多.+報導$|^##\s*相關內容$|^相關內容$|^延伸閱讀$|^參考資料$|^注釋$|^註釋$|^外部連結$|^分類$|^隱藏分類[:：]?$|^取自「$)"
+)
+CUT_LINE = (
+    r"(?:^##\s*相關內容$|^相關內容$|^更多.+報導$|^延伸閱讀$|^相關文章$|^相關圖片$|^注釋$|^註釋$|^參考資料$|^外部連結$|^分類$|^隱藏分類[:：]?$|^回上一頁$|^點閱數[:：]?$|^資料更新[:：]?$|^資料檢視[:：]?$|^資料維護[:：]?$"
+    r"|^地址：|^總機：|^傳真：|^服務時間：|^本網站內容版權屬|^本網站建議最佳瀏覽解析度|^瀏覽人次$|^下方連結$|^最新消息$)"
+)
+CUT_INLINE = r"\n(?:##\s*相關內容|相關內容|更多[^。\n]{0,40}報導)"
+FOOTNOTE_LINE = r"^(?:\[\s*編輯\s*\]|\[\s*\d+(?:\.\d+)?\s*\]|\^+|[<>|/:：\-_=]{2,}|:::+)$"
+FOOTNOTE = r"\[\s*(?:編輯|\d+(?:\.\d+)?)\s*\]"
+CONNECTIVE = "[的了在於是為有與及因從並將則而]"
 ANTI_BOT = r"(?:cloudflare|anti[-\s]?bot|verify\s+you\s+are\s+human|just\s+a\s+moment|captcha|cf-chl|challenge-platform|access\s+denied)"
 BROWSER_MISSING = r"(?:executable\s+doesn'?t\s+exist|playwright\s+install|download\s+new\s+browsers?|browser(?:\s+binary)?\s+not\s+found|no\s+chromium)"
 COMMENT_UI = r"(?:\bcomments?\b|\bcomment\s*section\b|\brepl(?:y|ies)\b|留言|評論|评论|回覆|ความคิดเห็น|แสดงความคิดเห็น)"

@@ -108,9 +108,16 @@ def thread_key(url: Column) -> Column:
     return F.when(bare.endswith(".json"), bare).otherwise(F.concat(F.regexp_replace(bare, "/+$", ""), F.lit(".json")))
 
 
+def quoted(text: Column, safe: str) -> Column:
+    """The text with all characters but ASCII letters, digits and ``safe`` ones percent-encoded; texts without such are not taken apart."""
+    plain = "[A-Za-z0-9" + "".join("\\" + c for c in safe) + "]"
+    one = lambda c: F.when(c.rlike(f"^{plain}$"), c).when(c == " ", "%20").when(c == "*", "%2A").otherwise(F.url_encode(c))
+    return F.when(text.rlike(f"^{plain}*$"), text).otherwise(F.array_join(F.transform(F.regexp_extract_all(text, F.lit("(?s)."), 0), one), ""))
+
+
 def citation_id(url: Column) -> Column:
-    """``//host/path?query#fragment`` of an http(s) URL with a host; else the URL."""
-    part = lambda k, mark: F.when(_part(url, k) == "", "").otherwise(F.concat(F.lit(mark), _part(url, k)))
-    path = F.when(_part(url, 3) == "", "/").otherwise(_part(url, 3))
-    built = F.concat(F.lit("//"), _part(url, 2), path, part(4, "?"), part(5, "#"))
-    return F.when(F.lower(_part(url, 1)).isin("http", "https") & (_part(url, 2) != ""), built).otherwise(url)
+    """``//host/path?query#fragment`` of an http(s) URL with a host, percent-encoded where a character would break the mark; else the URL, encoded."""
+    part = lambda k, mark: F.when(_part(url, k) == "", "").otherwise(F.concat(F.lit(mark), quoted(_part(url, k), "=&%/?+;,._~-")))
+    path = F.when(_part(url, 3) == "", "/").otherwise(quoted(_part(url, 3), "/%._~-"))
+    built = F.concat(F.lit("//"), quoted(_part(url, 2), "[]@%._~-"), path, part(4, "?"), part(5, "#"))
+    return F.when(F.lower(_part(url, 1)).isin("http", "https") & (_part(url, 2) != ""), built).otherwise(quoted(url, "/%?&=+;,._~-"))

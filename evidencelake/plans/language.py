@@ -152,12 +152,20 @@ def f22_f23_trimmed(spark, d):
     return _trimmed(spark, d).select("page_id", "text")
 
 
+def f23_clean_content(spark, d):
+    """Pages with their navigation as lines of text before their own."""
+    shell = F.regexp_replace(F.regexp_replace("html", "(?is)<(script|style|head)\\b[^>]*>.*?</\\1\\s*>", ""), "(?s)<[^>]+>", "\n")
+    pages = table(spark, d, "pages").select("page_id", "url", F.array_join(T.lines_of(shell), "\n").alias("text"), T.extract_title(F.col("html")).alias("title"))
+    return M.clean_content(U.sanitize(pages, "text")).select("page_id", "text")
+
+
 def g16_step_stats(spark, d):
     return M.clean_step_stats(_trimmed(spark, d))
 
 
 QUERIES = {
     "f22_f23_trimmed": (f22_f23_trimmed, None),
+    "f23_clean_content": (f23_clean_content, None),
     "g16_step_stats": (g16_step_stats, None),
     "f10_f13_query_flags": (f10_f13_flags, F10_SQL),
     "f14_english_mirror": (f14_mirror, F14_SQL),

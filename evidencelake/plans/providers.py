@@ -71,6 +71,19 @@ def s8_custom(spark, d):
     return _flat(P.normalize_custom(raw, CUSTOM))
 
 
+def x3_read_serp(spark, d):
+    """Archived responses of three providers in one table; one declared provider is off, one does not serve the mode."""
+    item = F.struct("title", "url", "content", F.col("content").alias("description"), (F.col("position") / 7).alias("score"))
+    raw = _raw(spark, d, item, ["results"])
+    rows = raw.withColumn("provider", F.get(F.array(*map(F.lit, ("searxng", "tavily", "mine", "off", "social"))), F.pmod(F.col("research_id") + F.col("query_ordinal"), F.lit(5)).cast("int")))
+    custom = [{"id": "mine", "max_results": 2}, {"id": "off", "enabled": False}, {"id": "social", "modes": ["social"]}]
+    return P.read_serp(rows, custom, mode="web").select("research_id", "query_ordinal", "source_ordinal", "position", "url", "engine")
+
+
+X3_SQL = f"""WITH s AS ({SERP}), p AS (SELECT *, ['searxng', 'tavily', 'mine', 'off', 'social'][(research_id + query_ordinal) % 5 + 1] AS provider FROM s)
+SELECT research_id, query_ordinal, source_ordinal, position, url, provider AS engine FROM p WHERE position <= CASE provider WHEN 'searxng' THEN 30 WHEN 'tavily' THEN 20 WHEN 'mine' THEN 2 ELSE 0 END"""
+
+
 def s12_threads(spark, d):
     c = table(spark, d, "conversations")
     child = F.struct(F.when(F.col("role") == "system", "more").otherwise("t1").alias("kind"), F.struct(F.col("role").alias("author"), F.col("text").alias("body"), F.col("turn").alias("score")).alias("data"))
@@ -154,6 +167,7 @@ def f32_coerce(spark, d):
 
 
 QUERIES = {
+    "x3_read_serp": (x3_read_serp, X3_SQL),
     "s1_searxng": (s1_searxng, _sql("searxng", "trim(content)", "round(position / 10.0, 6)", "published_date", 30)),
     "s2_brave": (s2_brave, _sql("brave", "concat_ws(chr(10) || chr(10), nullif(trim(content), ''), 'one', 'two')", "NULL::DOUBLE", "published_date", 20)),
     "s3_tavily": (s3_tavily, _sql("tavily", "trim(content)", "round(position / 7.0, 6)", "NULL", 20)),

@@ -106,13 +106,25 @@ PROVIDERS: dict[str, Callable[[DataFrame], DataFrame]] = {
 }
 
 
-def read_serp(raw: DataFrame, custom: list[dict] | None = None, extra: dict[str, Callable[[DataFrame], DataFrame]] | None = None) -> DataFrame:
+MODES = ("web", "academic", "social")
+
+
+def custom_providers(custom: list[dict] | None, mode: str | None = None) -> list[dict]:
+    """Declared providers that are enabled and serve the mode (null: any), each with an ``id`` and 1 to 100 results."""
+    named = [p | {"id": str(p.get("id") or f"custom-{i + 1}").strip()} for i, p in enumerate(custom or [])]
+    used = [p for p in named if p["id"] and p.get("enabled", True) and (mode is None or mode in p.get("modes", MODES))]
+    return [p | {"max_results": min(max(1, int(p.get("max_results") or p.get("per_query") or 100)), 100)} for p in used]
+
+
+def read_serp(raw: DataFrame, custom: list[dict] | None = None, extra: dict[str, Callable[[DataFrame], DataFrame]] | None = None, mode: str | None = None, engines: str | None = None) -> DataFrame:
     """Result rows of archived responses (provider, research_id, query_ordinal, source_ordinal, body) of all providers.
 
-    ``extra`` adds or replaces providers; ``custom`` declares mapped ones.
+    ``extra`` adds or replaces providers; ``custom`` declares mapped ones, of which those count that are enabled and
+    serve ``mode``. ``engines`` chooses one side: ``searxng`` is the own engine alone, ``custom`` all others.
     """
-    parts = [f(raw.filter(F.col("provider") == name)) for name, f in (PROVIDERS | (extra or {})).items()]
-    parts += [normalize_custom(raw.filter(F.col("provider") == p["id"]), p) for p in custom or []]
+    own = {k: f for k, f in (PROVIDERS | (extra or {})).items() if engines is None or (k == "searxng") == (engines == "searxng")}
+    parts = [f(raw.filter(F.col("provider") == name)) for name, f in own.items()]
+    parts += [normalize_custom(raw.filter(F.col("provider") == p["id"]), p) for p in (custom_providers(custom, mode) if engines != "searxng" else [])]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p, allowMissingColumns=True)
