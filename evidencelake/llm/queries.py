@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, langid, mixing, packing, quality, secrets, simhash, suffix_dedup, tokens, toxicity
+from . import exact_dedup, hard_negatives, langid, mixing, packing, quality, secrets, simhash, suffix_dedup, tokens, topk, toxicity
 from .common import id_text
+from .vectors import divisible
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -68,6 +69,16 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.count_tokens(_documents(spark, sf_dir))
 
 
+def op11_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.exact_top_k(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), divisible(F.col("vec_id"), 100))
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    moved = F.when(divisible(F.col("vec_id"), 7), (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet").withColumn("label", moved)
+    return hard_negatives.hard_negatives(vectors, divisible(F.col("vec_id"), 50))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -85,6 +96,8 @@ QUERIES = (
     op8_temperature_mixing,
     op9_toxicity,
     op10_token_counts,
+    op11_exact_topk,
+    op13_hard_negatives,
     pipeline,
 )
 
@@ -102,5 +115,28 @@ FROM d WINDOW g AS (PARTITION BY body ORDER BY n_chars DESC, doc_id)
 """
 
 
+_VECTORS = """
+WITH finite AS (SELECT row_number() OVER () AS row, vec_id, label, list_transform(embedding, lambda x: floor({scale} * x::DOUBLE)) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)
+"""
+
+OP11_SQL = _VECTORS.format(scale=1024) + """
+, pairs AS (SELECT q.row, q.vec_id AS query_id, c.vec_id, c.row AS other, list_dot_product(q.v, c.v)::BIGINT AS score FROM finite q JOIN finite c ON q.row <> c.row AND q.vec_id % 100 = 0)
+SELECT query_id, (row_number() OVER w)::INTEGER AS rank, vec_id, score FROM pairs
+WINDOW w AS (PARTITION BY row ORDER BY score DESC, vec_id NULLS LAST, other) QUALIFY rank <= 10
+"""
+
+OP13_SQL = _VECTORS.format(scale=256) + """
+, moved AS (SELECT row, vec_id, v, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label FROM finite WHERE label IS NOT NULL)
+, pairs AS (SELECT a.row, a.vec_id AS anchor_id, c.row AS other, c.vec_id, a.label = c.label AS same, list_dot_product(a.v, c.v)::BIGINT AS score
+            FROM moved a JOIN moved c ON a.row <> c.row AND a.vec_id % 50 = 0)
+, near AS (SELECT row, anchor_id, other, vec_id AS positive_id, score AS positive_score FROM pairs WHERE same
+           QUALIFY row_number() OVER (PARTITION BY row ORDER BY score DESC, vec_id NULLS LAST, other) <= 5)
+SELECT n.anchor_id, n.positive_id, (row_number() OVER w)::INTEGER AS rank, p.vec_id AS negative_id, n.positive_score, p.score AS negative_score
+FROM near n JOIN pairs p ON p.row = n.row AND NOT p.same AND 50 * n.positive_score <= 100 * p.score AND 100 * p.score <= 95 * n.positive_score
+WINDOW w AS (PARTITION BY n.row, n.other ORDER BY p.score DESC, p.vec_id NULLS LAST, p.other) QUALIFY rank <= 3
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op7_exact_dedup": OP7_SQL}
+    return {"op7_exact_dedup": OP7_SQL, "op11_exact_topk": OP11_SQL, "op13_hard_negatives": OP13_SQL}
