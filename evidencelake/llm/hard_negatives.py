@@ -29,6 +29,8 @@ POSITIVES, NEGATIVES, SCALE = 5, 3, 256
 LOW, HIGH = 50, 95
 #: Columns read between two looks at the bounds.
 STEP = 16
+#: What is unread is cut down once fewer than 1/CUT of the candidates are left.
+CUT = 4
 #: Vectors scanned at once, and anchors that a task holds.
 PART, ANCHORS = 4096, 4096
 
@@ -36,41 +38,54 @@ PART, ANCHORS = 4096, 4096
 class Columns:
     """A part of the vectors, dimension by dimension."""
 
-    def __init__(self, b: pa.RecordBatch, dims: int, scale: int):
-        rows = matrix(b.column("v"), dims, scale)
+    def __init__(self, rows: np.ndarray, row: np.ndarray, ids: np.ndarray, null: np.ndarray):
         self.cells = np.ascontiguousarray(rows.T)
         self.least, self.greatest = self.cells.min(1, initial=np.inf), self.cells.max(1, initial=-np.inf)
-        self.ids, self.null = whole_ids(b.column("vec_id"))
-        self.row = b.column("row").to_numpy(zero_copy_only=False)
-        self.label = b.column("label").to_numpy(zero_copy_only=False)
+        self.row, self.ids, self.null = row, ids, null
         self.top = np.abs(rows).max(initial=0)
 
     def bounds(self, a: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Dimensions in descending order of |a|, and what those from each place on add at least and at most."""
         order = np.argsort(-np.abs(a), kind="stable")
         ends = a[order] * np.stack([self.least[order], self.greatest[order]])
-        rest = lambda x: np.r_[np.cumsum(x[::-1])[::-1], 0.0]
-        return order, rest(ends.min(0)), rest(ends.max(0))
+        least, most = np.zeros(len(a) + 1), np.zeros(len(a) + 1)
+        np.cumsum(np.minimum(*ends)[::-1], out=least[-2::-1])
+        np.cumsum(np.maximum(*ends)[::-1], out=most[-2::-1])
+        return order, least, most
 
     def scan(self, a: np.ndarray, alive: np.ndarray, still) -> tuple[np.ndarray, np.ndarray]:
-        """Positions among ``alive`` that ``still`` (lower and upper bounds to a mask) leaves to the end, and their scores."""
+        """Positions among ``alive`` that ``still`` (lower and upper bounds to a mask) leaves to the end, and their scores.
+
+        Whole columns are added up while many candidates are left; then what is unread is cut down to these.
+        """
         if np.abs(a).max(initial=0) * self.top * max(1, len(a)) >= EXACT:  # sums of columns could round
             s = scores(a[None], np.ascontiguousarray(self.cells[:, alive].T))[0].astype(np.int64)
             keep = still(s, s)
             return alive[keep], s[keep]
         order, least, most = self.bounds(a)
-        s = np.zeros(len(alive))
-        whole = len(alive) == self.cells.shape[1]
+        n, s, cut, unread = self.cells.shape[1], 0.0, 0, None
         for at in range(0, len(order), STEP):
-            some = order[at : at + STEP]
-            s = s + a[some] @ (self.cells[some] if whole else self.cells[np.ix_(some, alive)])
-            end = at + len(some)
-            keep = still(s + least[end], s + most[end])
-            if not keep.all():
-                alive, s, whole = alive[keep], s[keep], False
-                if not len(alive):
-                    break
-        return alive, s.astype(np.int64)
+            end = min(at + STEP, len(order))
+            some = order[at:end]
+            s = s + a[some] @ (self.cells[some] if unread is None else unread[at - cut : end - cut])
+            seen = s[alive] if unread is None else s
+            keep = still(seen + least[end], seen + most[end])
+            alive = alive[keep]
+            if unread is not None:
+                s = s[keep]
+                unread = unread[:, keep] if not keep.all() else unread
+            elif end == len(order):
+                s = seen[keep]
+            elif len(alive) < n // CUT:
+                s, cut, unread = seen[keep], end, self.cells[np.ix_(order[end:], alive)]
+            if not len(alive):
+                return alive, np.array([], np.int64)
+        return alive, s.astype(np.int64) if len(order) else np.zeros(len(alive), np.int64)
+
+
+def _part(b: pa.RecordBatch, dims: int, scale: int) -> tuple[np.ndarray, ...]:
+    """Vectors, row numbers, ids, null ids and labels."""
+    return matrix(b.column("v"), dims, scale), b.column("row").to_numpy(zero_copy_only=False), *whole_ids(b.column("vec_id")), b.column("label").to_numpy(zero_copy_only=False)
 
 
 def _order(s: np.ndarray, ids: np.ndarray, row: np.ndarray) -> np.ndarray:
@@ -87,7 +102,10 @@ class _Best:
         return self.s[-1] if len(self.s) == self.n else -MOST - 1
 
     def add(self, part: Columns, at: np.ndarray, s: np.ndarray) -> None:
-        s, ids, row, null = np.r_[self.s, s], np.r_[self.ids, part.ids[at]], np.r_[self.row, part.row[at]], np.r_[self.null, part.null[at]]
+        if len(s) > 8 * self.n:
+            few = np.flatnonzero(s >= np.partition(s, len(s) - self.n)[len(s) - self.n])
+            at, s = at[few], s[few]
+        s, ids, row, null = (np.concatenate(x) for x in ((self.s, s), (self.ids, part.ids[at]), (self.row, part.row[at]), (self.null, part.null[at])))
         best = _order(s, ids, row)[: self.n]
         self.s, self.ids, self.row, self.null = s[best], ids[best], row[best], null[best]
 
@@ -120,11 +138,13 @@ def _positives(dims: int, scale: int, n: int):
             if b is None:
                 yield _flat(anchors)
                 continue
-            part = Columns(b, dims, scale)
-            same = {label: np.flatnonzero(part.label == label) for label in np.unique(part.label)}
+            *of, labels = _part(b, dims, scale)
+            same = {label: Columns(*(x[labels == label] for x in of)) for label in np.intersect1d(labels, anchors.label)}
             for a, row, label, (best,) in zip(anchors.a, anchors.row, anchors.label, anchors.best):
-                alive = same.get(label, np.array([], np.int64))
-                alive = alive[part.row[alive] != row]
+                part = same.get(label)
+                if part is None:
+                    continue
+                alive = np.flatnonzero(part.row != row)
                 if len(alive):
                     at, s = part.scan(a, alive, lambda low, high, best=best: high >= _nth(low, n, best.least()))
                     best.add(part, at, s)
@@ -138,8 +158,9 @@ def _negatives(dims: int, scale: int, n: int, low: int, high: int):
             if b is None:
                 yield _flat(anchors)
                 continue
-            part = Columns(b, dims, scale)
-            other = {label: np.flatnonzero(part.label != label) for label in np.unique(anchors.label)}
+            *of, labels = _part(b, dims, scale)
+            part = Columns(*of)
+            other = {label: np.flatnonzero(labels != label) for label in np.unique(anchors.label)}
             for a, label, positive, bests in zip(anchors.a, anchors.label, anchors.scores, anchors.best):
                 windows = [(-(-low * p // 100), high * p // 100, x) for p, x in zip(positive, bests) if low * p <= high * p]
                 if not windows or not len(other[label]):
@@ -147,13 +168,14 @@ def _negatives(dims: int, scale: int, n: int, low: int, high: int):
                 floor, top = min(w[0] for w in windows), max(w[1] for w in windows)
 
                 def still(least: np.ndarray, most: np.ndarray, windows=windows, floor=floor, top=top) -> np.ndarray:
-                    near = np.flatnonzero((most >= floor) & (least <= top))
-                    lo, hi, out = least[near], most[near], np.zeros(len(least), bool)
+                    out = (most >= floor) & (least <= top)
+                    near = np.flatnonzero(out)
+                    lo, hi = least[near], most[near]
                     fit = np.zeros(len(near), bool)
                     for w_lo, w_hi, x in windows:
                         sure = lo[(lo >= w_lo) & (hi <= w_hi)]
                         fit |= (lo <= w_hi) & (hi >= max(w_lo, _nth(sure, n, x.least())))
-                    out[near[fit]] = True
+                    out[near] = fit
                     return out
 
                 at, s = part.scan(a, other[label], still)

@@ -20,7 +20,7 @@ from .common import materialize
 #: Queries that a task holds at once.
 GROUP = 8192
 #: A lane has at least so many vectors, if there are as many.
-LANE = 512
+LANE = 4096
 #: Scores that are made at once.
 TILE = 1 << 20
 #: Whole numbers up to here are exact as floats.

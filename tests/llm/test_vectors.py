@@ -4,7 +4,6 @@ import math
 import random
 
 import numpy as np
-import pyarrow as pa
 import pytest
 from evidencelake.llm import hard_negatives, topk, vectors
 from pyspark.sql import functions as F
@@ -107,8 +106,7 @@ def test_every_vector_alike(spark):
 def test_vertical_scan_keeps_what_bounds_cannot_rule_out():
     rng = np.random.default_rng(1)
     x = np.floor(rng.normal(0, 60, (500, 40)))
-    part = vectors.pa.record_batch({"v": pa.array(list(x / 256), pa.list_(pa.float64())), "vec_id": pa.array(range(500)), "row": pa.array(range(500)), "label": pa.array([0] * 500)})
-    columns = hard_negatives.Columns(part, 40, 256)
+    columns = hard_negatives.Columns(x, np.arange(500), np.arange(500), np.zeros(500, bool))
     truth = (x @ x[3]).astype(np.int64)
     seen = []
 
