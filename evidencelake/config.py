@@ -56,3 +56,11 @@ INTERACTIVE_QUERY = r"(?:^|&)(?:comment|comments|reply|thread|topic|discussion|p
 EXPLICIT_URL = r"""https?://[^\s<>{}\[\]\"'，。；：！？、】【（）《》「」『』]+"""
 REVIEW_TERM = r"[A-Za-z0-9_+-]{3,}|[一-鿿]{2,}"
 MOST_TERMS = 24
+
+# Elements of pages.
+#: Not shown in a page's text; the last three hold no text of it at all.
+HIDDEN_TAGS = ("script", "style", "noscript", "iframe", "svg", "canvas", "nav", "footer", "aside", "header", "form", "template", "rt", "rp")
+VOID_TAGS = ("area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr")
+#: An end tag does not reach past an open element of more weight; others weigh 100.
+END_WEIGHTS = {"div": 150, "td": 160, "th": 160, "tr": 170, "thead": 180, "tbody": 180, "tfoot": 180, "table": 190, "head": 200, "body": 200, "html": 220}
+MAIN_SOURCES = ("html_article", "html_main", "html_role_main", "html_article_body")

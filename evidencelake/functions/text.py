@@ -9,6 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .. import config as C
+from .markup import page
 
 NAV = f"(?:{'|'.join((*C.NAV_MARKS, *(rf'\b{w}\b' for w in C.NAV_WORDS)))})"
 #: The same matches; the first character is looked at before the alternatives are.
@@ -248,30 +249,20 @@ def resource_type(url: Column, content_type: Column, body: Column) -> Column:
 
 
 def html_to_text(html: Column) -> Column:
-    """Text of a page without scripts, navigation and other shells; block ends become line ends."""
-    out = F.coalesce(html, F.lit(""))
-    out = F.regexp_replace(out, r"(?is)<!--.*?-->|<(script|style|noscript|iframe|svg|canvas|nav|footer|aside|header|form)\b[^>]*>.*?</\1\s*>|<head\b[^>]*>.*?</head\s*>", "")
-    out = F.regexp_replace(out, r"(?s)<[^>]+>", "\n")
-    for name, char in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
-        out = F.replace(out, F.lit(name), F.lit(char))
-    return F.array_join(lines_of(out), "\n")
+    """Text of a page without scripts, navigation and other shells, a line for each piece between tags."""
+    return page(html)["text"]
 
 
 def structural_text(html: Column) -> Column:
     """The longest text among the first three article, main and marked elements; earlier kinds win ties."""
-    kinds = (("article", r"(?is)<article\b[^>]*>.*?</article\s*>"), ("main", r"(?is)<main\b[^>]*>.*?</main\s*>"), ("role_main", r"(?is)<(\w+)\b[^>]*role=['\"]main['\"][^>]*>.*?</\1\s*>"), ("article_body", r"(?is)<(\w+)\b[^>]*itemprop=['\"]articleBody['\"][^>]*>.*?</\1\s*>"))
+    return let(page(html), lambda p: F.struct(p["main"].alias("text"), p["main_source"].alias("source")))
 
-    def candidates(k: int, name: str, pattern: str) -> Column:
-        parts = F.transform(F.slice(F.regexp_extract_all(F.coalesce(html, F.lit("")), F.lit(pattern), 0), 1, 3), html_to_text)
-        return F.transform(parts, lambda x, i: F.struct(F.length(x).alias("n"), (-i - 10 * k).alias("first"), x.alias("text"), F.lit(f"html_{name}").alias("source")))
 
-    found = [candidates(k, *kind) for k, kind in enumerate(kinds)]
-    best = F.array_max(F.concat(*found))
-    return F.struct(F.coalesce(best["text"], F.lit("")).alias("text"), F.coalesce(best["source"], F.lit("empty")).alias("source"))
+def extract_title(html: Column, text: Column | None = None) -> Column:
+    return page_title(page(html), text)
 
 
-def extract_title(html: Column, text: Column | None = None) -> Column:
-    inner = lambda p: F.trim(F.regexp_replace(F.regexp_replace(F.regexp_extract(F.coalesce(html, F.lit("")), p, 1), r"<[^>]+>", " "), r"\s+", " "))
-    h1, title = inner(r"(?is)<h1[^>]*>(.*?)</h1>"), inner(r"(?is)<title[^>]*>(.*?)</title>")
+def page_title(found: Column, text: Column | None = None) -> Column:
+    """Of what ``markup.page`` found: the first top heading of 12 characters or more, else the title, else a leading heading line of the text; 200 characters at most."""
     first = F.lit("") if text is None else F.regexp_extract(F.coalesce(text, F.lit("")), r"^#+\s*([^\n]*)", 1)
-    return F.substring(F.when(F.length(h1) >= 12, h1).when(title != "", title).otherwise(first), 1, 200)
+    return let(found, lambda p: F.substring(F.when(F.length(p["h1"]) >= 12, p["h1"]).when(p["title"] != "", p["title"]).otherwise(first), 1, 200))

@@ -63,6 +63,35 @@ def url_host(url: Column) -> Column:
     return F.substring_index(F.lower(_part(F.coalesce(url, F.lit("")), 2)), ":", 1)
 
 
+def _path_without_dots(path: Column) -> Column:
+    """An absolute path without . and .. segments."""
+    parts = F.slice(F.split(path, "/"), F.lit(2), F.greatest(F.size(F.split(path, "/")) - 1, F.lit(0)))
+    up = lambda a: F.slice(a, F.lit(1), F.greatest(F.size(a) - 1, F.lit(0)))
+    kept = F.aggregate(F.filter(parts, lambda x: x != "."), F.array().cast("array<string>"), lambda a, x: F.when(x == "..", up(a)).otherwise(F.concat(a, F.array(x))))
+    ended = F.when(F.element_at(parts, -1).isin(".", ".."), F.concat(kept, F.array(F.lit("")))).otherwise(kept)
+    return F.concat(F.lit("/"), F.array_join(ended, "/"))
+
+
+def resolve_url(base: Column, reference: Column) -> Column:
+    """The URL that a reference on the page ``base`` means: paths are merged and . and .. taken out; a query or fragment alone keeps the page's path. References of another scheme, or with a host, keep their path; an empty one is the page."""
+    ref = F.regexp_replace(F.regexp_replace(F.coalesce(reference, F.lit("")), r"[\t\r\n]", ""), r"^[\x00-\x20]+|[\x00-\x20]+$", "")
+    scheme = lambda u: F.lower(F.regexp_extract(u, r"^([A-Za-z][A-Za-z0-9+.-]*):", 1))
+    rest = lambda u: F.regexp_replace(u, r"^[A-Za-z][A-Za-z0-9+.-]*:", "")
+    own, other = rest(_text(base)), rest(ref)
+    mark = lambda m, x: F.when(x == "", "").otherwise(F.concat(F.lit(m), x))
+    path, own_path = _part(other, 3), _part(own, 3)
+    folder = F.when(own_path.contains("/"), F.regexp_replace(own_path, "[^/]*$", "")).otherwise("/")
+    merged = F.when(path == "", own_path).otherwise(_path_without_dots(F.when(path.startswith("/"), path).otherwise(F.regexp_replace(F.concat(folder, path), "/{2,}", "/"))))
+    query = F.when((path == "") & (_part(other, 4) == ""), _part(own, 4)).otherwise(_part(other, 4))
+    host = other.startswith("//") & (_part(other, 2) != "")
+    slash = lambda x: F.when((x != "") & ~x.startswith("/"), F.concat(F.lit("/"), x)).otherwise(x)
+    built = F.concat(
+        scheme(_text(base)), F.lit("://"), F.when(host, _part(other, 2)).otherwise(_part(own, 2)), slash(F.when(host, path).otherwise(merged)),
+        mark("?", F.when(host, _part(other, 4)).otherwise(query)), mark("#", _part(other, 5)),
+    )
+    return F.when(ref == "", _text(base)).when((scheme(ref) != "") & (scheme(ref) != scheme(_text(base))), ref).otherwise(built)
+
+
 def request_url(url: Column) -> Column:
     """What to fetch: the URL as it came if it is http(s) with a host (signed queries must survive), else the key."""
     raw = _text(url)

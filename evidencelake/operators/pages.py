@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from .. import config as C
 from ..functions import text as T
-from ..functions.urls import PARTS_ALL, canonical_url
+from ..functions.markup import page
+from ..functions.urls import PARTS_ALL, canonical_url, resolve_url
 from .selection import first_by, ordered, top_rows
 
 
@@ -74,19 +75,9 @@ def classify_errors(log: DataFrame) -> DataFrame:
 
 
 def extract_links(pages: DataFrame, n: int) -> DataFrame:
-    """page_id, ordinal, link, anchor: the first n distinct absolute http(s) links of each page; relative ones are resolved."""
-    href = r"(?is)<a\b[^>]*?href=['\"]([^'\"]*)['\"][^>]*>(.*?)</a>"
-    found = F.arrays_zip(F.regexp_extract_all("html", F.lit(href), 1).alias("href"), F.regexp_extract_all("html", F.lit(href), 2).alias("inner"))
-    each = pages.select("page_id", "url", F.posexplode(found).alias("at", "a")).select("page_id", "url", "at", F.trim("a.href").alias("href"), "a.inner")
-    part = lambda k: F.regexp_extract("url", PARTS_ALL, k)
-    origin = F.concat(part(1), F.lit("://"), part(2))
-    folder = F.when(part(3) == "", "/").otherwise(F.regexp_replace(part(3), r"[^/]*$", ""))
-    link = (
-        F.when(F.col("href").rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), F.col("href")).when(F.col("href").startswith("//"), F.concat(part(1), F.lit(":"), "href"))
-        .when(F.col("href").startswith("/"), F.concat(origin, "href")).when(F.col("href") == "", "").when(F.col("href").startswith("#"), "").otherwise(F.concat(origin, folder, "href"))
-    )
-    anchor = F.substring(F.trim(F.regexp_replace(F.regexp_replace("inner", r"<[^>]+>", " "), r"\s+", " ")), 1, 120)
-    rows = each.select("page_id", "at", F.regexp_replace(link, r"#.*$", "").alias("link"), anchor.alias("anchor")).filter(F.col("link").rlike("(?i)^https?://"))
+    """page_id, ordinal, link, anchor: the first n distinct http(s) links of each page, resolved against its URL; those that differ in their fragment are distinct."""
+    each = pages.select("page_id", "url", F.posexplode(page(F.col("html"))["links"]).alias("at", "a"))
+    rows = each.select("page_id", "at", resolve_url(F.col("url"), F.col("a.href")).alias("link"), F.col("a.anchor").alias("anchor")).filter(F.col("link").rlike("^https?://"))
     first = top_rows(rows, ["page_id", "link"], ["at"], 1)
     return first.withColumn("ordinal", F.row_number().over(Window.partitionBy("page_id").orderBy("at"))).filter(F.col("ordinal") <= n).drop("at")
 

@@ -21,13 +21,17 @@ def lines_sql(t: str) -> str:
     return f"list_filter(list_transform(string_split({t}, chr(10)), lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g')), lambda x: x <> '')"
 
 
+def entities_sql(x: str) -> str:
+    for name, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
+        x = f"replace({x}, {lit(name)}, {lit(char)})"
+    return x
+
+
 def html_text_sql(h: str) -> str:
     out = h
-    for tag in ("head", "script", "style", "noscript", "iframe", "svg", "canvas", "nav", "footer", "aside", "header", "form"):
+    for tag in ("script", "style", "noscript", "iframe", "svg", "canvas", "nav", "footer", "aside", "header", "form"):
         out = f"regexp_replace({out}, '(?is)<{tag}\\b[^>]*>.*?</{tag}\\s*>', '', 'g')"
-    out = f"regexp_replace({out}, '(?s)<[^>]+>', chr(10), 'g')"
-    for name, char in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
-        out = f"replace({out}, {lit(name)}, {lit(char)})"
+    out = entities_sql(f"regexp_replace({out}, '(?s)<[^>]+>', chr(10), 'g')")
     return f"array_to_string({lines_sql(out)}, chr(10))"
 
 
@@ -74,10 +78,14 @@ def f17_html_text(spark, d):
 
 
 def f18_structural(spark, d):
-    return table(spark, d, "pages").select("page_id", F.explode(F.array(T.structural_text(F.col("html")))).alias("s")).select("page_id", "s.text", "s.source")
+    """Pages as they are, and with an article and a menu within their article."""
+    pages = table(spark, d, "pages").select("page_id", F.explode(F.array(F.struct(F.lit(False).alias("nested"), F.col("html").alias("html")), F.struct(F.lit(True).alias("nested"), F.replace("html", F.lit("<h1>"), F.lit(NESTED + "<h1>")).alias("html")))).alias("p"))
+    return pages.select("page_id", "p.nested", T.structural_text(F.col("p.html")).alias("s")).select("page_id", "nested", "s.text", "s.source")
 
 
-F18_SQL = f"SELECT page_id, {html_text_sql(chr(34) + 'a' + chr(34))} AS text, CASE WHEN a = '' THEN 'empty' ELSE 'html_article' END AS source FROM (SELECT page_id, regexp_extract(html, '(?is)<article\\b[^>]*>.*?</article\\s*>') AS a FROM pages)"
+NESTED = "<nav>menu<nav>in a menu</nav>rest of it</nav><article><p>Part of it.</article>"
+F18_ALONE = f"SELECT page_id, {html_text_sql(chr(34) + 'a' + chr(34))} AS text, CASE WHEN a = '' THEN 'empty' ELSE 'html_article' END AS source FROM (SELECT page_id, regexp_extract(html, '(?is)<article\\b[^>]*>.*?</article\\s*>') AS a FROM pages)"
+F18_SQL = f"WITH s AS ({F18_ALONE}) SELECT page_id, false AS nested, text, source FROM s UNION ALL SELECT page_id, true, 'Part of it.' || chr(10) || text, source FROM s"
 
 
 def f19_title(spark, d):
@@ -85,7 +93,7 @@ def f19_title(spark, d):
 
 
 F19_SQL = r"""SELECT page_id, substring(CASE WHEN length(h) >= 12 THEN h ELSE t END, 1, 200) AS title FROM (SELECT page_id,
- trim(regexp_replace(regexp_replace(regexp_extract(html, '(?is)<h1[^>]*>(.*?)</h1>', 1), '<[^>]+>', ' ', 'g'), '\s+', ' ', 'g')) AS h, trim(regexp_replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '\s+', ' ', 'g')) AS t FROM pages)"""
+ trim(regexp_replace(regexp_replace(regexp_extract(html, '(?is)<h1[^>]*>(.*?)</h1>', 1), '<[^>]+>', ' ', 'g'), '\s+', ' ', 'g')) AS h0, trim(regexp_replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '\s+', ' ', 'g')) AS t0, """ + f"{entities_sql('h0')} AS h, {entities_sql('t0')} AS t FROM pages)"
 
 
 def f16_language(spark, d):
@@ -165,7 +173,7 @@ noise AS (SELECT id, CASE WHEN len(l) = 0 THEN 0 ELSE least({n_sql('head', P.LEA
  + CASE WHEN l[1] NOT LIKE '#%' AND lower(l[1]) = lower(trim(title)) THEN 120 ELSE 0 END + CASE WHEN len(list_filter(l[1:6], lambda x: length(x) <= 24)) >= 4 THEN 260 ELSE 0 END END AS penalty FROM b)"""
 G14_SQL = f"WITH {PAGE_T}, ti AS ({F19_SQL}), a AS (SELECT id, title, {lines_sql('text')} AS l FROM t JOIN ti ON id = page_id), {NOISE} SELECT id AS page_id, penalty FROM noise"
 #: Both candidates of a page, the structural one (number 2 * page_id) before the whole page.
-C3 = f"""st AS ({F18_SQL}), ti AS ({F19_SQL}), t AS (SELECT 2 * st.page_id AS id, html, text FROM st JOIN pages ON st.page_id = pages.page_id UNION ALL SELECT 2 * page_id + 1, html, {html_text_sql('html')} FROM pages),
+C3 = f"""st AS ({F18_ALONE}), ti AS ({F19_SQL}), t AS (SELECT 2 * st.page_id AS id, html, text FROM st JOIN pages ON st.page_id = pages.page_id UNION ALL SELECT 2 * page_id + 1, html, {html_text_sql('html')} FROM pages),
 {METRICS}, {GATE}, a AS (SELECT id, title, {lines_sql('text')} AS l FROM t JOIN ti ON id // 2 = page_id), {NOISE},
 sc AS (SELECT gate.*, title, CASE WHEN gate.id % 2 = 1 THEN 'html_fallback' ELSE st.source END AS source, quality_score - penalty + CASE WHEN NOT usable THEN -1200 WHEN gate.id % 2 = 0 THEN 120 ELSE 0 END - CASE WHEN acceptable THEN 0 ELSE 80 END AS score
  FROM gate JOIN noise ON gate.id = noise.id JOIN ti ON gate.id // 2 = ti.page_id JOIN st ON gate.id // 2 = st.page_id),
