@@ -4,7 +4,8 @@ Copies meet in three stages, and each compares whole normalised texts, never dig
 
 1. every partition combines its own copies: only the first copy of a text carries it on;
 2. rows meet by (digest, salt). A digest with more than ``SALT_ROWS`` rows is dealt over as many
-   salts as it has multiples of that, so no task gets a whole large group;
+   salts as it has multiples of that, and a partition moves on to the next salt, with one more copy
+   of the text, after so many copies: no task gets a whole large group, even of one partition;
 3. the winners of the salts of large groups are combined by digest.
 
 Texts are shuffled once, and copies inside a partition not at all.
@@ -51,15 +52,17 @@ def _combine_locally(hot):
             for doc_id, n_chars, raw in zip(b.column("doc_id").to_pylist(), b.column("n_chars").to_pylist(), utf8_parts(b.column("text"))):
                 body = raw.translate(None, BLANKS)
                 digest = hashlib.sha256(body).digest()
-                rep = next((r for r, other in seen.get(digest, ()) if other == body), None)
-                new = rep is None
-                if new:
+                salts = hot.value.get(digest, 1)
+                same = next((c for c in seen.get(digest, ()) if c["body"] == body), None)
+                if same is None:
                     if held > LOCAL_BYTES:
                         seen, held = {}, 0
-                    rep, held = row, held + len(body)
-                    seen.setdefault(digest, []).append((row, body))
-                salts = hot.value.get(digest, 1)
-                for name, x in zip(out, (row, doc_id, n_chars, digest, part % salts, rep, body if new else None)):
+                    held += len(body)
+                    seen.setdefault(digest, []).append(same := {"body": body, "rep": row, "n": 0, "salt": part * 0x9E3779B1})
+                elif same["n"] >= SALT_ROWS and salts > 1:
+                    same |= {"rep": row, "n": 0, "salt": same["salt"] + 1}
+                same["n"] += 1
+                for name, x in zip(out, (row, doc_id, n_chars, digest, same["salt"] % salts, same["rep"], body if same["rep"] == row else None)):
                     out[name].append(x)
                 row += 1
             yield _batch(out, LOCAL)

@@ -25,18 +25,22 @@ STEPS, RATE, L2 = 150, 0.5, 1e-4
 #: Texts whose best language leads by less than this probability are ambiguous.
 MARGIN = 0.2
 UNKNOWN = "und"
+#: Bytes of a text whose n-grams are counted at once.
+PIECE = 1 << 20
 
 
 def ngram_counts(raw: bytes) -> np.ndarray:
-    """Root counts, scaled to length 1, of the hashed byte 2- and 3-grams of a lower-case text."""
-    a = np.frombuffer(b" " + raw + b" ", np.uint8).astype(np.uint32)
-    two = a[:-1] | (a[1:] << 8)
-    three = two[:-1] | (a[2:] << 16)
-    counts = np.zeros(BUCKETS, np.float32)
-    for grams, salt in ((two, 0x9E3779B1), (three, 0x85EBCA6B)):
-        hashed = (grams * np.uint32(salt)) >> np.uint32(20)
-        counts += np.bincount(hashed, minlength=BUCKETS)
-    counts = np.sqrt(counts)
+    """Root counts, scaled to length 1, of the hashed byte 2- and 3-grams of a lower-case text, taken PIECE bytes at a time."""
+    whole = np.frombuffer(b" " + raw + b" ", np.uint8)
+    counts = np.zeros(BUCKETS, np.int64)
+    for at in range(0, len(whole) - 1, PIECE):
+        a = whole[at : at + PIECE + 2].astype(np.uint32)
+        two = a[:-1] | (a[1:] << 8)
+        three = two[:-1] | (a[2:] << 16)
+        for grams, salt in ((two[:PIECE], 0x9E3779B1), (three, 0x85EBCA6B)):
+            hashed = (grams * np.uint32(salt)) >> np.uint32(20)
+            counts += np.bincount(hashed, minlength=BUCKETS)
+    counts = np.sqrt(counts.astype(np.float32))
     return counts / max(float(np.sqrt((counts**2).sum())), 1e-9)
 
 

@@ -1,8 +1,8 @@
 """Mixing sources to target weights by temperature.
 
 Source token shares are raised to an exponent and normalised; 1 keeps the shares, 0 makes sources
-equal. The exponent is bisected to the largest that reaches a target entropy, and raised where a
-source would be repeated more often than allowed. The weights are realised over a token budget as
+equal, more than 1 favours large ones. The exponent is bisected to the largest that reaches a target
+entropy, and moved towards 1 where a source would be repeated more often than allowed. The weights are realised over a token budget as
 block permutations: a source's documents fall into blocks by hash, every epoch takes the blocks in
 an order of its own, and the last, partial epoch ends at the document with which the source's quota
 would be exceeded. The cut is found from sums of blocks, then of the cells of one block, then among
@@ -26,6 +26,8 @@ SEED = 42
 #: Tables of one row a source are broadcast up to so many sources; beyond, Spark chooses.
 MOST_BROADCAST = 10_000
 ENTROPY, MOST_REPEATS, BUDGET_SHARE = 0.97, 4.0, 1.0
+#: Sources that are more even than the target are sharpened by an exponent up to this.
+MOST_EXPONENT = 64.0
 #: Exponents of one step of the bisection, and steps: the interval shrinks to 64 ** -9.
 GRID, ROUNDS = 64, 9
 
@@ -40,21 +42,21 @@ def moments(sources: DataFrame, exponents: list[float]) -> list[tuple[float, flo
     return [(of[a]["s"], entropy(of[a], a), of[a]["most"] / of[a]["s"]) if a in of else (1.0, 1.0, 0.0) for a in exponents]
 
 
-def bisect_exponent(at: Callable[[list[float]], list[tuple[float, float, float]]], budget: float, target_entropy: float | None, most_repeats: float | None) -> float:
-    """The exponent in [0, 1]: the largest whose entropy reaches the target, or the least that keeps the repetition limit if that is larger.
+def bisect_exponent(at: Callable[[list[float]], list[tuple[float, float, float]]], budget: float, target_entropy: float | None, most_repeats: float | None, most: float = 1.0) -> float:
+    """The exponent in [0, most]: the largest whose entropy reaches the target, or the nearest to it, towards 1, that keeps the repetition limit.
 
-    ``at`` gives moments at exponents. Without a target it is the least that keeps the limit; where
-    even 1 does not reach the target or keep the limit, it is 0 or 1.
+    ``at`` gives moments at exponents. Without a target it is the least that keeps the limit, up to 1; where
+    no exponent reaches the target or even 1 does not keep the limit, it is 0 or 1.
     """
 
-    def least(holds) -> float:
-        """Least exponent from which on the monotone condition holds; 1 if nowhere."""
-        low, high = 0.0, 1.0
+    def least(holds, low: float = 0.0, high: float = 1.0) -> float:
+        """Least exponent from which on the monotone condition holds; the highest if nowhere."""
+        none = high
         for _ in range(ROUNDS):
             grid = [low + (high - low) * k / GRID for k in range(GRID + 1)]
             first = next((k for k, x in enumerate(at(grid)) if holds(x)), None)
             if first is None or first == 0:
-                return grid[first or 0] if first == 0 else 1.0
+                return low if first == 0 else none
             low, high = grid[first - 1], grid[first]
             if not low < high:
                 break
@@ -64,7 +66,9 @@ def bisect_exponent(at: Callable[[list[float]], list[tuple[float, float, float]]
     if target_entropy is None:
         return limited
     if at([1.0])[0][1] >= target_entropy:
-        return 1.0
+        # beyond 1 the entropy falls and large sources are repeated more often; the last exponent before that is wanted
+        over = lambda x: x[1] < target_entropy or (most_repeats is not None and x[2] * budget > most_repeats * (1 + 1e-12))
+        return least(over, 1.0, most) if most > 1 else 1.0
     # entropy falls with the exponent: the last exponent before it is too low
     return max(limited, least(lambda x: x[1] < target_entropy))
 
@@ -105,7 +109,7 @@ def plan_mix(docs: DataFrame, target_entropy: float | None = ENTROPY, most_repea
     n, total = sources.agg(F.count("*"), F.coalesce(F.sum("t"), F.lit(0))).first()
     sources = sources.withColumn("share", F.col("t") / F.lit(max(1, total)).cast("double"))
     budget = budget_share * total
-    exponent = bisect_exponent(lambda grid: moments(sources, grid), budget, target_entropy, most_repeats)
+    exponent = bisect_exponent(lambda grid: moments(sources, grid), budget, target_entropy, most_repeats, MOST_EXPONENT)
     weight = F.when(F.col("t") > 0, F.pow("share", F.lit(exponent)) / F.lit(moments(sources, [exponent])[0][0])).otherwise(0.0)
     quota = F.floor(F.col("weight") * F.lit(budget) + 1e-6).cast("long")
     planned = sources.withColumn("weight", weight).withColumn("quota", quota)

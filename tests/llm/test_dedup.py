@@ -192,3 +192,15 @@ def test_very_long_text_is_worked_through_in_pieces(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     got = {r["doc_id"]: (r["n_removed"], r["n_spans"], r["shares_passage"]) for r in suffix_dedup.repeated_spans(df, 1).collect()}
     assert got == {1: (1500, 1, True), 2: (1500, 1, True), 3: (3000, 1, False), 4: (0, 0, False)}
+
+
+def test_many_copies_in_one_partition_are_dealt_over_salts(spark):
+    n = 20_000
+    digest = hashlib.sha256(b"same").digest()
+    step = exact_dedup._combine_locally(type("B", (), {"value": {digest: -(-n // exact_dedup.SALT_ROWS)}}))
+    docs = spark.range(n).selectExpr("id as doc_id", "cast('same ' as string) as text").coalesce(1)
+    rows = docs.selectExpr("doc_id", "cast(5 as bigint) as n_chars", "cast(text as binary) as text").mapInArrow(step, exact_dedup.LOCAL)
+    groups = rows.groupBy("digest", "salt").agg(F.count("*").alias("n"), F.count("body").alias("bodies")).collect()
+    assert sum(r["n"] for r in groups) == n and max(r["n"] for r in groups) == exact_dedup.SALT_ROWS and {r["bodies"] for r in groups} == {1}
+    got = exact_dedup.exact_dedup(docs).groupBy("keep_id", "group_size").agg(F.count("*"), F.count_if("kept")).collect()
+    assert [tuple(r) for r in got] == [(0, n, n, 1)]

@@ -212,6 +212,30 @@ def test_exponent_is_bisected(spark):
     assert mixing.bisect_exponent(at, 1000, 0.1, None) == 1.0 and mixing.bisect_exponent(at, 1000, None, 0.5) == 1.0
 
 
+def test_even_sources_are_sharpened_to_the_target(spark):
+    sizes = [260, 250, 249, 241]
+    table = spark.createDataFrame([(t, t / 1000) for t in sizes], "t long, share double")
+    at = lambda grid: mixing.moments(table, grid)
+    a = mixing.bisect_exponent(at, 1000, 0.97, None, 64.0)
+    assert a > 1 and at([a])[0][1] == pytest.approx(0.97, abs=1e-6)
+    b = mixing.bisect_exponent(at, 1000, 0.97, 1.2, 64.0)
+    raised = [(t / 1000) ** b for t in sizes]
+    assert 1 < b < a and max(r / sum(raised) * 1000 / t for r, t in zip(raised, sizes)) == pytest.approx(1.2, abs=1e-6)
+    assert mixing.bisect_exponent(at, 1000, 0.97, 1.0, 64.0) == pytest.approx(1.0, abs=1e-9)
+    same = spark.createDataFrame([(5, 0.5), (5, 0.5)], "t long, share double")
+    assert mixing.bisect_exponent(lambda grid: mixing.moments(same, grid), 10, 0.97, 4.0, 64.0) == 64.0
+
+
+def test_counts_in_pieces_are_those_of_the_whole(monkeypatch):
+    text = "aé b c. Änd so".encode() * 9
+    for n in (0, 1, 2, 3, 31, 32, 33, len(text)):
+        monkeypatch.setattr(langid, "PIECE", 1 << 20)
+        whole = langid.ngram_counts(text[:n])
+        for piece in (1, 2, 16, 33):
+            monkeypatch.setattr(langid, "PIECE", piece)
+            assert (langid.ngram_counts(text[:n]) == whole).all()
+
+
 def test_very_many_sources(spark):
     docs = spark.range(100_000).select(F.col("id").alias("doc_id"), F.expr("repeat('w ', cast(1 + id % 7 as int))").alias("text"), F.concat(F.lit("s"), "id").alias("source"))
     plan = mixing.plan_mix(docs, 0.999, 4.0)
