@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import replies as replies_of
 from ..functions import text as T
 from .selection import ordered, top_rows
 
@@ -41,19 +42,11 @@ def judge(prompts: DataFrame, fn: Callable[[Column], Column] | None = None, repl
     return prompts.join(replies.select("research_id", "reply"), "research_id", "left")
 
 
-def json_block(reply: Column) -> Column:
-    """The first ``{`` to the last ``}`` of a reply without code fences, or the same of brackets."""
-    bare = F.regexp_replace(F.regexp_replace(F.trim(F.coalesce(reply, F.lit(""))), r"(?i)^```(?:json)?\s*", ""), r"\s*```$", "")
-    thing = F.regexp_extract(bare, r"(?s)\{.*\}", 0)
-    return F.when(F.substring(bare, 1, 1) == "[", bare).when(thing != "", thing).otherwise(F.regexp_extract(bare, r"(?s)\[.*\]", 0))
-
-
 def parse_url_picks(replies: DataFrame, serp: DataFrame, least: int, most: int) -> DataFrame:
     """research_id, group_index, pick_ordinal, result_index of replies (research_id, reply); where none parses, the first ``least`` results of each group."""
-    body = F.from_json(json_block(F.col("reply")), "selected array<struct<group_index:int,result_indices:array<int>,reasoning:string>>")
-    parsed = replies.withColumn("s", body["selected"])
+    parsed = replies.select("research_id", replies_of.picks_of(F.col("reply")).alias("s"))
     size = serp.groupBy("research_id", F.col("query_ordinal").alias("group_index")).agg(F.max("rank").alias("n"))
-    named = parsed.filter("s is not null").select("research_id", F.posexplode("s").alias("a", "s")).select("research_id", F.coalesce("s.group_index", F.lit(0)).alias("group_index"), "a", F.posexplode("s.result_indices").alias("b", "result_index"))
+    named = parsed.filter("s is not null").select("research_id", F.posexplode("s").alias("a", "s")).select("research_id", "s.group_index", "a", F.posexplode("s.result_indices").alias("b", "result_index"))
     valid = named.join(size, ["research_id", "group_index"]).filter("result_index >= 0 and result_index < n")
     kept = valid.withColumn("i", F.row_number().over(Window.partitionBy("research_id", "group_index", "a").orderBy("b"))).filter(F.col("i") <= most)
     picks = kept.select("research_id", "group_index", (F.col("a") * 1000 + F.col("b")).alias("pick_ordinal"), "result_index")
@@ -62,37 +55,41 @@ def parse_url_picks(replies: DataFrame, serp: DataFrame, least: int, most: int)
     return picks.unionByName(first.select("research_id", F.col("query_ordinal").cast("int").alias("group_index"), (F.col("rank") - 1).alias("pick_ordinal"), (F.col("rank") - 1).alias("result_index")))
 
 
-#: Fixed word lists, as verdicts depend on them.
-NO = ("insufficient", "needs_more", "need_more", "needs more", "not_sufficient", "not sufficient", "no", "not_enough", "not enough", "不夠", "不足")
-YES = ("sufficient", "enough", "ok", "complete", "yes", "足夠", "充分")
-REVIEW = "selected_chunk_ids array<string>, chunk_ids array<string>, selected_ids array<string>, verdict string, gap_analysis string, coverage struct<answered:array<string>,missing:array<string>>, next_search_queries array<string>, search_mode string"
-
-
-def parse_chunk_reviews(replies: DataFrame) -> DataFrame:
-    """research_id, parsed, selected_chunk_ids, verdict, gap_analysis, answered, missing, next_search_queries of replies; ids of an unreadable reply are those that its text names, and its verdict is insufficient."""
-    d = replies.withColumn("d", F.from_json(json_block(F.col("reply")), REVIEW))
-    word = F.lower(F.trim(F.coalesce("d.verdict", F.lit(""))))
-    verdict = F.when(word.isin(*NO), "insufficient").when(word.isin(*YES), "sufficient")
-    trimmed = lambda c: F.filter(F.transform(F.coalesce(F.col(c), F.array().cast("array<string>")), lambda x: F.trim(x)), lambda x: x != "")
-    filled = lambda c: F.when(F.size(F.col(c)) > 0, F.col(c))
-    given = F.coalesce(filled("d.selected_chunk_ids"), filled("d.chunk_ids"), filled("d.selected_ids"), F.array().cast("array<string>"))
-    seen = F.regexp_extract_all(F.coalesce("reply", F.lit("")), F.lit(r"L\d+-S\d+-C\d{3}"), 0)
-    ok = verdict.isNotNull()
+def parse_chunk_reviews(replies: DataFrame, search_mode: str = "web") -> DataFrame:
+    """research_id, parsed, selected_chunk_ids, verdict, gap_analysis, answered, missing, next_search_queries, search_mode of replies (research_id, reply); ids of an unreadable reply are those that its text names, and its verdict is insufficient."""
+    d = replies.select("research_id", replies_of.review_of(F.col("reply")).alias("d"))
+    mode = F.coalesce("d.search_mode", F.lit(search_mode))
     return d.select(
-        "research_id", ok.alias("parsed"), F.array_distinct(F.transform(F.when(ok, given).otherwise(seen), lambda x: F.trim(x))).alias("selected_chunk_ids"), F.coalesce(verdict, F.lit("insufficient")).alias("verdict"),
-        F.trim(F.coalesce("d.gap_analysis", F.lit(""))).alias("gap_analysis"), trimmed("d.coverage.answered").alias("answered"), trimmed("d.coverage.missing").alias("missing"), F.slice(trimmed("d.next_search_queries"), 1, 3).alias("next_search_queries"),
+        "research_id", "d.parsed", F.array_distinct("d.ids").alias("selected_chunk_ids"), "d.verdict", "d.gap_analysis", "d.answered", "d.missing", F.col("d.queries").alias("next_search_queries"),
+        F.when(mode.isin("web", "academic", "social"), mode).otherwise("web").alias("search_mode"),
     )
 
 
 def parse_plans(replies: DataFrame, n_queries: int = 3) -> DataFrame:
-    """research_id, standalone_question, strategy, queries, refresh_refs of planner replies (research_id, question, reply); short query lists are filled from the question."""
-    body = F.from_json(json_block(F.col("reply")), "standalone_question string, strategy string, queries array<string>, refresh_source_refs array<string>")
-    d = replies.withColumn("d", body)
-    asked = F.coalesce(F.nullif(F.trim("d.standalone_question"), F.lit("")), F.trim("question"))
-    own = F.filter(F.transform(F.coalesce("d.queries", F.array().cast("array<string>")), lambda q: F.trim(q)), lambda q: q != "")
-    filled = F.slice(F.array_distinct(F.concat(own, F.array(asked, F.concat(asked, F.lit(" overview")), F.concat(asked, F.lit(" details")), F.concat(asked, F.lit(" latest"))))), 1, n_queries)
-    word = F.lower(F.trim(F.coalesce("d.strategy", F.lit(""))))
-    return d.select("research_id", asked.alias("standalone_question"), F.when(word.isin("reuse", "direct", "research"), word).otherwise("research").alias("strategy"), filled.alias("queries"), F.slice(F.coalesce("d.refresh_source_refs", F.array().cast("array<string>")), 1, 2).alias("refresh_refs"))
+    """research_id, standalone_question, strategy, queries, refresh_refs of planner replies (research_id, question, reply).
+
+    reuse needs earlier turns, direct needs URLs in the message, and neither goes with forced research: columns multi_turn and
+    has_urls (true where they are missing) and force_research (false) say so. These two have no queries; research has
+    ``n_queries``, filled up from the question in its language (column language, English where it is missing).
+    """
+    given = lambda c, other: F.coalesce(F.col(c), F.lit(other)) if c in replies.columns else F.lit(other)
+    d = replies.select("research_id", F.coalesce("question", F.lit("")).alias("question"), replies_of.plan_of(F.col("reply")).alias("d"), *(given(c, o).alias(c) for c, o in (("multi_turn", True), ("has_urls", True), ("force_research", False), ("language", "en"))))
+    word = F.when((F.col("d.strategy") == "reuse") & F.col("multi_turn") & ~F.col("force_research"), "reuse").when((F.col("d.strategy") == "direct") & F.col("has_urls") & ~F.col("force_research"), "direct").otherwise("research")
+    in_words = lambda chinese, other: F.when(F.col("language") == "zh-TW", F.lit(chinese)).otherwise(F.lit(other))
+    spare = [F.col("question"), *(F.concat("question", in_words(*w)) for w in ((" 最新資料", " latest information"), (" 深度分析", " in-depth analysis")))]
+
+    def filled(queries: Column) -> Column:
+        for k in range(n_queries):
+            own = spare[k] if k < len(spare) else F.lit(None).cast("string")
+            view = F.concat("question", in_words(" 觀點 ", " perspective "), F.lit(str(k + 1)))
+            add = F.when(F.array_contains(queries, own), view).otherwise(F.coalesce(own, view))
+            queries = F.when(F.size(queries) == k, F.concat(queries, F.array(add))).otherwise(queries)
+        return F.slice(queries, 1, n_queries)
+
+    searched = word == "research"
+    asked = F.coalesce(F.nullif(F.substring("d.standalone_question", 1, 20_000), F.lit("")), F.col("question"))
+    none = F.array().cast("array<string>")
+    return d.select("research_id", asked.alias("standalone_question"), word.alias("strategy"), F.when(searched, filled(F.col("d.queries"))).otherwise(none).alias("queries"), F.when(searched, F.col("d.refresh_refs")).otherwise(none).alias("refresh_refs"))
 
 
 def coerce_queries(requests: DataFrame, n: int = 3) -> DataFrame:

@@ -138,25 +138,43 @@ a AS (SELECT q.research_id, 1 AS group_index, i AS result_index, row_number() OV
 SELECT research_id, group_index, result_index FROM a WHERE k <= 2 UNION ALL SELECT m.research_id, query_ordinal, rank - 1 FROM merged m JOIN q ON m.research_id = q.research_id WHERE q.research_id % 3 = 0 AND rank <= 2"""
 
 
+#: By research_id % 6: fenced, among text, with text behind that holds braces, an array, ids in prose, and a broken object.
+REVIEWS = (
+    ('```json\n{"chunk_ids": ["L1-S1-C001", "L1-S1-C001", 7], "verdict": "Enough", "coverage": {"missing": ["m", " "]}, "next_search_queries": ["a", "b", 3, "c", "d"]}\n```', True, "sufficient", "L1-S1-C001,7", "m", "a,b,c", "web"),
+    ('Well: {"selected_ids": ["x"], "verdict": "needs more", "search_mode": "Academic"} so far.', True, "insufficient", "x", "", "", "academic"),
+    ('{"chunk_ids": ["x"], "verdict": "enough"} see also {L1-S4-C004}', False, "insufficient", "L1-S4-C004", "", "", "web"),
+    ('["L1-S1-C001"]', False, "insufficient", "L1-S1-C001", "", "", "web"),
+    ("I pick L1-S2-C003 and L1-S2-C003.", False, "insufficient", "L1-S2-C003", "", "", "web"),
+    ('{"chunk_ids": ["L2-S1-C001"], "verdict": "enough"', False, "insufficient", "L2-S1-C001", "", "", "web"),
+)
+
+
+def _by_id(spark, d, replies):
+    return table(spark, d, "questions").select("research_id", F.element_at(F.array(*map(F.lit, replies)), (F.col("research_id") % len(replies) + 1).cast("int")).alias("reply"))
+
+
 def f30_chunk_reviews(spark, d):
-    n = F.col("research_id")
-    good = F.concat(F.lit('```json\n{"chunk_ids": ["L1-S1-C001", "L1-S1-C001", "x"], "verdict": "'), F.when(n % 2 == 0, "Enough").otherwise("needs more"), F.lit('", "coverage": {"missing": ["m", " "]}, "next_search_queries": ["a", "b", "c", "d"]}\n```'))
-    replies = table(spark, d, "questions").select("research_id", F.when(n % 3 > 0, good).otherwise("I pick L1-S2-C003 and L1-S2-C003.").alias("reply"))
-    r = J.parse_chunk_reviews(replies)
-    return r.select("research_id", "parsed", "verdict", *(F.array_join(c, ",").alias(c) for c in ("selected_chunk_ids", "missing", "next_search_queries")))
+    r = J.parse_chunk_reviews(_by_id(spark, d, [x[0] for x in REVIEWS]))
+    return r.select("research_id", "parsed", "verdict", *(F.array_join(c, ",").alias(c) for c in ("selected_chunk_ids", "missing", "next_search_queries")), "search_mode")
 
 
-F30_SQL = f"SELECT research_id, research_id % 3 > 0 AS parsed, CASE WHEN research_id % 3 > 0 AND research_id % 2 = 0 THEN 'sufficient' ELSE 'insufficient' END AS verdict, CASE WHEN research_id % 3 > 0 THEN 'L1-S1-C001,x' ELSE 'L1-S2-C003' END AS selected_chunk_ids, CASE WHEN research_id % 3 > 0 THEN 'm' ELSE '' END AS missing, CASE WHEN research_id % 3 > 0 THEN 'a,b,c' ELSE '' END AS next_search_queries FROM ({QUESTIONS})"
+F30_SQL = f"SELECT research_id, parsed, verdict, selected_chunk_ids, missing, next_search_queries, search_mode FROM ({QUESTIONS}) JOIN (VALUES " + ", ".join(f"({i}, {x[1]}, '{x[2]}', '{x[3]}', '{x[4]}', '{x[5]}', '{x[6]}')" for i, x in enumerate(REVIEWS)) + ") v(k, parsed, verdict, selected_chunk_ids, missing, next_search_queries, search_mode) ON k = research_id % 6"
+#: By research_id % 5; queries with Q for the question.
+PLANS = (
+    ('{not json} then {"strategy":"Reuse","queries":["q1"]}', "reuse", "Q", "", 0),
+    ('x {"strategy": "other", "queries": ["q1", " ", "Q latest information"], "refresh_source_refs": ["a", "", "b", "c"]} y {"strategy": "reuse"}', "research", "Q", "q1|Q latest information|Q in-depth analysis", 2),
+    ("none", "research", "Q", "Q|Q latest information|Q in-depth analysis", 0),
+    ('{{"standalone_question": "A {b}?", "queries": ["Q in-depth analysis", "Q"]}', "research", "A {b}?", "Q in-depth analysis|Q|Q perspective 3", 0),
+    ('{"strategy": "direct"', "research", "Q", "Q|Q latest information|Q in-depth analysis", 0),
+)
 
 
 def f31_plans(spark, d):
-    n = F.col("research_id")
-    reply = F.when(n % 2 == 0, F.lit('x {"strategy": "Reuse", "queries": ["q1", " "], "refresh_source_refs": ["a", "b", "c"]} y')).otherwise("none")
-    p = J.parse_plans(table(spark, d, "questions").select("research_id", F.concat(F.lit("Q"), "research_id").alias("question"), reply.alias("reply")))
+    p = J.parse_plans(_by_id(spark, d, [x[0] for x in PLANS]).withColumn("question", F.lit("Q")))
     return p.select("research_id", "standalone_question", "strategy", F.array_join("queries", "|").alias("queries"), F.size("refresh_refs").alias("n_refs"))
 
 
-F31_SQL = f"SELECT research_id, 'Q' || research_id AS standalone_question, CASE WHEN research_id % 2 = 0 THEN 'reuse' ELSE 'research' END AS strategy, CASE WHEN research_id % 2 = 0 THEN 'q1|Q' || research_id || '|Q' || research_id || ' overview' ELSE 'Q' || research_id || '|Q' || research_id || ' overview|Q' || research_id || ' details' END AS queries, CASE WHEN research_id % 2 = 0 THEN 2 ELSE 0 END AS n_refs FROM ({QUESTIONS})"
+F31_SQL = f"SELECT research_id, strategy, standalone_question, queries, n_refs FROM ({QUESTIONS}) JOIN (VALUES " + ", ".join(f"({i}, '{x[1]}', '{x[2]}', '{x[3]}', {x[4]})" for i, x in enumerate(PLANS)) + ") v(k, strategy, standalone_question, queries, n_refs) ON k = research_id % 5"
 
 
 def f32_coerce(spark, d):
