@@ -21,6 +21,7 @@ from . import judging as J
 from . import pages as P
 from . import reports as R
 from . import selection as S
+from .extraction import read_pages
 
 
 def url_selection(serp: DataFrame, replies: DataFrame, seen: DataFrame, least: int, most: int, budget: tuple[int, int, int], round_: int = 1, spent: DataFrame | None = None) -> DataFrame:
@@ -134,10 +135,9 @@ def research_summary(evidence: DataFrame, questions: DataFrame) -> DataFrame:
 
 
 def page_texts(pages: DataFrame) -> DataFrame:
-    """research_id (if there), url, title, text of pages whose text is usable."""
-    read = pages.withColumns({"text": T.html_to_text(F.col("html")), "title": T.extract_title(F.col("html"))})
-    gate = T.quality_gate(F.col("text"), T.content_metrics(F.col("text"), F.col("html")))
-    return read.withColumn("q", gate).drop("html").filter("q.usable").drop("q")
+    """url, title, text and the columns besides html of pages (page_id, url, html) whose text is usable, read in both modes."""
+    read = read_pages(pages.select("page_id", "url", "html")).filter("quality.usable").select("page_id", "title", "text")
+    return pages.drop("html").join(read, "page_id").drop("page_id")
 
 
 def prior_sources(capsules: DataFrame) -> DataFrame:

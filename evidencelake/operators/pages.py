@@ -58,15 +58,18 @@ def choose_attempt(attempts: DataFrame) -> DataFrame:
     return http.join(js, "url_key", "full").select("url_key", chosen.alias("chosen"))
 
 
+def better_extraction(strict: Column, general: Column) -> Column:
+    """strict or general of two structs with usable, acceptable and text_len, either of which may be null: strict if it is acceptable, else general if that is acceptable, alone usable, or far longer."""
+    longer = strict["usable"] & general["usable"] & (general["text_len"] >= F.greatest(F.lit(240), F.floor(strict["text_len"] * 1.45)))
+    return (
+        F.when(strict.isNull(), "general").when(general.isNull() | strict["acceptable"], "strict").when(general["acceptable"] | (general["usable"] & ~strict["usable"]) | longer, "general").otherwise("strict")
+    )
+
+
 def choose_extraction(attempts: DataFrame) -> DataFrame:
-    """Strict or general extraction of each url_key: acceptable over not, usable over not, then strict unless general is far longer."""
+    """Strict or general extraction of each url_key, by ``better_extraction``. attempts: url_key, mode, usable, acceptable, text_len."""
     s, g = (attempts.filter(F.col("mode") == m).select("url_key", F.struct("usable", "acceptable", "text_len").alias(m)) for m in ("strict", "general"))
-    a, b = F.col("strict"), F.col("general")
-    chosen = (
-        F.when(a.isNull(), "general").when(b.isNull(), "strict").when(a["acceptable"] & ~b["acceptable"], "strict").when(b["acceptable"] & ~a["acceptable"], "general")
-        .when(a["usable"] & ~b["usable"], "strict").when(b["usable"] & ~a["usable"], "general").when(b["text_len"] >= F.greatest(F.lit(240), F.floor(a["text_len"] * 1.45)), "general").otherwise("strict")
-    )
-    return s.join(g, "url_key", "full").select("url_key", chosen.alias("chosen"))
+    return s.join(g, "url_key", "full").select("url_key", better_extraction(F.col("strict"), F.col("general")).alias("chosen"))
 
 
 def classify_errors(log: DataFrame) -> DataFrame:
@@ -130,7 +133,9 @@ def site_probe(pages: DataFrame, seeds: DataFrame, keywords: DataFrame, n: int =
     keyed = first.select("seed_id", "ordinal", canonical_url(F.col("url")).alias("url_key")).filter("url_key <> ''")
     wanted = first_by(keyed, ["seed_id", "url_key"], ["ordinal"], n, ["seed_id"])
     archive = first_by(pages.withColumn("url_key", canonical_url(F.col("url"))), ["url_key"], ["page_id"])
-    read = extract_pages(archive.join(wanted.select("url_key").distinct(), "url_key", "left_semi").select("page_id", "url", "html"))
+    from .extraction import read_pages  # which is built on this module
+
+    read = read_pages(archive.join(wanted.select("url_key").distinct(), "url_key", "left_semi").select("page_id", "url", "html"))
     texts = read.select("page_id", F.coalesce("text", F.lit("")).alias("text"), F.col("quality.usable").alias("usable"))
     hits = keyword_probe(texts.filter("usable").select("page_id", "text"), keywords).join(keywords, "keyword")
     found = hits.groupBy("page_id").agg(F.slice(F.array_distinct(F.flatten(ordered(kwic(F.col("text"), F.col("keyword"), 45, 2), ["ordinal", "keyword"]))), 1, 4).alias("snippets"))

@@ -226,16 +226,43 @@ def title_heading(text: Column, title: Column) -> Column:
     return T.let(T.lines_of(text), headed)
 
 
+def _recorded(pages: DataFrame, name: str, fix) -> DataFrame:
+    """pages with text after one step, which is recorded."""
+    # the task number, which is not a function of the row, keeps the step a projection of its own: merged with those that read it, it would be computed for each
+    fixed = pages.withColumn("_t", F.struct(fix(F.coalesce("text", F.lit(""))).alias("text"), F.spark_partition_id().alias("task")))
+    step = F.struct(F.lit(name).alias("step"), F.length(F.coalesce("text", F.lit(""))).alias("before"), F.length("_t.text").alias("after"))
+    return fixed.withColumn("steps", F.concat("steps", F.array(step))).withColumn("text", F.col("_t.text")).drop("_t")
+
+
+def _by_mode(pages: DataFrame) -> DataFrame:
+    """pages in the modes in which they go on: ``both`` where strict finds no heading to begin with, else one row for general and one for strict."""
+    # strict looks for a heading only in texts that no step before has changed
+    headed = F.when(F.col("text") == T.stripped(F.col("_whole")), heading_anchor(F.col("text"))).otherwise(F.col("text"))
+    made = pages.withColumn("_t", F.struct(headed.alias("text"), F.spark_partition_id().alias("task")))
+    row = lambda mode, text: F.struct(F.lit(mode).alias("mode"), text.alias("text"))
+    ways = F.when(F.col("_t.text") == F.col("text"), F.array(row("both", F.col("text")))).otherwise(F.array(row("general", F.col("text")), row("strict", F.col("_t.text"))))
+    step = F.array(F.struct(F.lit("heading").alias("step"), F.length("text").alias("before"), F.length("m.text").alias("after")))
+    each = made.withColumn("m", F.explode(ways)).withColumn("steps", F.when(F.col("m.mode") == "general", F.col("steps")).otherwise(F.concat("steps", step)))
+    return each.withColumns({"mode": F.col("m.mode"), "text": F.col("m.text")}).drop("_t", "m")
+
+
 def postprocess(pages: DataFrame, mode: str = "general") -> DataFrame:
-    """pages (text, title) with the trimmed text and ``steps``: name and length before and after each; mode strict also looks for a heading to begin with."""
-    out = pages.withColumn("steps", F.array().cast("array<struct<step:string,before:int,after:int>>"))
-    anchors = [("anchor", lambda t: title_anchor(t, F.col("title"))), *([("heading", heading_anchor)] if mode == "strict" else [])]
-    for name, fix in (("links", T.strip_md_links), *anchors, ("leading", trim_leading), ("trailing", trim_trailing), ("title", lambda t: title_heading(t, F.col("title")))):
-        # the task number, which is not a function of the row, keeps the step a projection of its own: merged with those that read it, it would be computed for each
-        fixed = out.withColumn("_t", F.struct(fix(F.coalesce("text", F.lit(""))).alias("text"), F.spark_partition_id().alias("task")))
-        step = F.struct(F.lit(name).alias("step"), F.length(F.coalesce("text", F.lit(""))).alias("before"), F.length("_t.text").alias("after"))
-        out = fixed.withColumn("steps", F.concat("steps", F.array(step))).withColumn("text", F.col("_t.text")).drop("_t")
-    return out
+    """pages (text, title) with the trimmed text and ``steps``: name and length before and after each.
+
+    Mode strict also looks for a heading to begin with. With ``both``, all that the modes share is done once: ``mode`` says for
+    which a row stands (general, strict, or both), and a page has one row or two.
+    """
+    title = F.col("title")
+    out = pages.withColumns({"steps": F.array().cast("array<struct<step:string,before:int,after:int>>"), "_whole": F.coalesce("text", F.lit(""))})
+    for name, fix in (("links", T.strip_md_links), ("x", lambda t: F.regexp_replace(t, r"(?iU)^\s*x\s+", "")), ("anchor", lambda t: title_anchor(t, title))):
+        out = _recorded(out, name, fix)
+    if mode != "general":
+        out = _by_mode(out)
+        out = out if mode == "both" else out.filter("mode <> 'general'").drop("mode")
+    spaced = lambda t: T.stripped(F.regexp_replace(F.regexp_replace(t, r"(?U)[^\S\n]+", " "), r"\n{3,}", "\n\n"))
+    for name, fix in (("leading", trim_leading), ("trailing", trim_trailing), ("title", lambda t: title_heading(t, title)), ("spacing", spaced)):
+        out = _recorded(out, name, fix)
+    return out.drop("_whole")
 
 
 def clean_step_stats(pages: DataFrame) -> DataFrame:

@@ -49,7 +49,7 @@ b AS (SELECT research_id, chunk_id, 1 AS pick FROM n UNION ALL SELECT * FROM f)
 
 
 def _research(spark, d, mode, search_mode="web"):
-    pages = table(spark, d, "pages").select((F.col("page_id") % sessions(spark, d)).alias("research_id"), "url", "html")
+    pages = table(spark, d, "pages").select((F.col("page_id") % sessions(spark, d)).alias("research_id"), "page_id", "url", "html")
     replies = table(spark, d, "questions").select("research_id", F.when(F.col("research_id") % 2 == 0, '{"verdict": "sufficient", "chunk_ids": ["L1-S1-C001", "L1-S2-C001"]}').otherwise('{"verdict": "insufficient", "chunk_ids": ["L1-S1-C001"], "next_search_queries": ["more"], "coverage": {"missing": ["numbers"]}}').alias("reply"))
     questions, asked = table(spark, d, "questions"), _queries(spark, d)
     every = table(spark, d, "serp")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from .. import config as C
 from ..functions import text as T
 from ..operators import pages as P
+from ..operators.extraction import read_pages as read_both
 from ..sources.tables import CRAWL_LOG, read_pages, table
 
 
@@ -146,7 +147,7 @@ def p14_choose_extraction(spark, d):
     return P.choose_extraction(a)
 
 
-P14_SQL = f"""WITH {PAGE_T}, {METRICS}, {GATE} SELECT id AS url_key, CASE WHEN id % 3 > 0 AND CASE WHEN id % 2 = 0 THEN floor(text_len * 0.55) * 2 ELSE floor(text_len * 0.55) END >= greatest(240, floor((text_len // 2) * 1.45)) THEN 'general' ELSE 'strict' END AS chosen FROM gate"""
+P14_SQL = f"""WITH {PAGE_T}, {METRICS}, {GATE} SELECT id AS url_key, CASE WHEN id % 3 > 0 AND usable AND NOT acceptable AND CASE WHEN id % 2 = 0 THEN floor(text_len * 0.55) * 2 ELSE floor(text_len * 0.55) END >= greatest(240, floor((text_len // 2) * 1.45)) THEN 'general' ELSE 'strict' END AS chosen FROM gate"""
 MESSAGES_ = ("Executable doesn't exist at /x", "Just a moment...", "net::ERR_TIMED_OUT")
 
 
@@ -242,6 +243,13 @@ def c3_extract_pages(spark, d):
     return p.select("page_id", "title", "source", "text", "scope", "metrics.quality_score", "quality.reason")
 
 
+def c3_read_pages(spark, d):
+    """Pages in the mode that reads them better, with what each of their steps took away."""
+    p = read_both(table(spark, d, "pages"))
+    steps = F.array_join(F.transform("steps", lambda s: F.concat_ws(":", s["step"], s["before"] - s["after"])), " ")
+    return p.select("page_id", "mode", "source", "title", "text", "scope", "metrics.quality_score", "quality.usable", "quality.reason", steps.alias("steps"))
+
+
 def truncate_sql(t: str, limit: int) -> str:
     """The text cut at the last boundary mark of its last 180 characters that keeps 60 %."""
     w, ws = f"substring({t}, {limit - 179}, 180)", "' ' || chr(10)"
@@ -318,6 +326,7 @@ QUERIES = {
     "g8_c8_probe_stats": (g8_probe_stats, G8_SQL),
     "c8_site_probe": (c8_site_probe, None),
     "c8_probe_stats": (c8_probe_stats, None),
+    "c3_read_pages": (c3_read_pages, None),
     "c3_w17_extract_pages": (c3_extract_pages, C3_SQL),
     "c10_page_report": (c10_page_report, C10_SQL),
     "w16_summary": (w16_summary, W16_SQL),
