@@ -9,7 +9,7 @@ from ..functions import text as T
 from ..functions.urls import canonical_url
 from ..operators import conversations as V
 from ..operators import selection as S
-from ..sources.tables import MESSAGES, SESSIONS, TRACE, sessions, shared_folder, table, trace_stream
+from ..sources.tables import MESSAGES, SERP, SESSIONS, TRACE, sessions, shared_folder, table, trace_stream
 from ..streaming import trace as R
 from .pages import lines_sql
 from .serp import canon
@@ -210,9 +210,14 @@ def r2_trace_state(spark, d):
     return R.trace_state(table(spark, d, "trace"))
 
 
-R2_SQL = f"""WITH e AS ({TRACE}), s AS (SELECT *, CASE type WHEN 'plan' THEN 'searching' WHEN 'search_results' THEN 'url_judge' WHEN 'url_selection' THEN 'crawling' WHEN 'final_evidence' THEN 'evidence' WHEN 'direct_sources' THEN 'direct_crawl' WHEN 'refresh_sources' THEN 'direct_crawl' WHEN 'direct_evidence' THEN 'chunk_judge' END AS st FROM e)
-SELECT turn_id, coalesce(arg_max(st, seq) FILTER (st IS NOT NULL), 'planning') AS stage, count(*) AS n_events, count(DISTINCT query) FILTER (type IN ('plan', 'search_results', 'url_selection', 'final_evidence')) AS n_queries, count(DISTINCT (query, url)) FILTER (type = 'search_results') AS n_sources, count(DISTINCT (query, url)) FILTER (type = 'url_selection') AS n_selected, count(DISTINCT (query, chunk_id)) FILTER (type = 'final_evidence') AS n_chunks,
- count(DISTINCT url) FILTER (type IN ('direct_sources', 'refresh_sources')) AS n_direct_sources, count(DISTINCT chunk_id) FILTER (type = 'direct_evidence') AS n_direct_chunks FROM s GROUP BY turn_id"""
+#: Events with what they name (item), the preview of their chunk, and the stage that they set.
+TRACED = f"""e0 AS (SELECT *, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS squeezed FROM ({TRACE})), e1 AS (SELECT *, nullif(CASE WHEN length(squeezed) > 280 THEN rtrim(substring(squeezed, 1, 277)) || '…' ELSE squeezed END, '') AS preview FROM e0),
+e AS (SELECT * EXCLUDE (stage), CASE WHEN type IN ('final_evidence', 'direct_evidence') THEN coalesce(nullif(chunk_id, ''), url || ':' || preview) ELSE coalesce(nullif(url, ''), nullif(title, '')) END AS item,
+ coalesce(nullif(stage, ''), CASE type WHEN 'plan' THEN 'searching' WHEN 'search_results' THEN 'url_judge' WHEN 'url_selection' THEN 'crawling' WHEN 'final_evidence' THEN 'evidence' WHEN 'direct_sources' THEN 'direct_crawl' WHEN 'refresh_sources' THEN 'direct_crawl' WHEN 'direct_evidence' THEN 'chunk_judge' END) AS st FROM e1)"""
+R2_SQL = f"""WITH {TRACED}
+SELECT turn_id, coalesce(arg_max(st, seq) FILTER (st IS NOT NULL), 'planning') AS stage, count(*) AS n_events, count(DISTINCT nullif(query, '')) FILTER (type IN ('plan', 'search_results', 'url_selection', 'final_evidence')) AS n_queries,
+ count(DISTINCT (query, item)) FILTER (type = 'search_results' AND query <> '' AND item IS NOT NULL) AS n_sources, count(DISTINCT (query, item)) FILTER (type = 'url_selection' AND query <> '' AND item IS NOT NULL) AS n_selected, count(DISTINCT (query, item)) FILTER (type = 'final_evidence' AND query <> '' AND item IS NOT NULL) AS n_chunks,
+ count(DISTINCT item) FILTER (type IN ('direct_sources', 'refresh_sources')) AS n_direct_sources, count(DISTINCT item) FILTER (type = 'direct_evidence') AS n_direct_chunks FROM e GROUP BY turn_id"""
 
 
 def r1_trace_stream(spark, d):
@@ -223,11 +228,31 @@ def r2_trace_items(spark, d):
     return R.trace_items(table(spark, d, "trace"))
 
 
-R2I_SQL = f"WITH e AS ({TRACE}) SELECT turn_id, query, CASE type WHEN 'search_results' THEN 'sources' WHEN 'url_selection' THEN 'selected_sources' ELSE 'final_chunks' END AS field, CASE WHEN type = 'final_evidence' THEN chunk_id ELSE url END AS item, min(seq) AS first_seq FROM e WHERE type IN ('search_results', 'url_selection', 'final_evidence') GROUP BY ALL"
+R2I_SQL = f"WITH {TRACED} SELECT turn_id, query, CASE type WHEN 'search_results' THEN 'sources' WHEN 'url_selection' THEN 'selected_sources' ELSE 'final_chunks' END AS field, item, min(seq) AS first_seq FROM e WHERE type IN ('search_results', 'url_selection', 'final_evidence') AND query <> '' AND item IS NOT NULL GROUP BY ALL"
 
 
 def r3_trace_events(spark, d):
-    return R.trace_events(table(spark, d, "trace")).select("turn_id", "seq", "at", "type")
+    return R.trace_events(table(spark, d, "trace"))
+
+
+R3_SQL = f"""WITH {TRACED}, f AS (SELECT *, type IN ('final_evidence', 'direct_evidence') AS chunk, type IN ('search_results', 'url_selection', 'direct_sources', 'refresh_sources') AS source FROM e)
+SELECT turn_id, seq, row_number() OVER (PARTITION BY turn_id ORDER BY seq) AS at, type, CASE WHEN type IN ('plan', 'search_results', 'url_selection', 'final_evidence') THEN nullif(query, '') END AS query,
+ CASE WHEN source THEN coalesce(nullif(title, ''), nullif(url, ''), 'Untitled') WHEN chunk THEN title END AS title, CASE WHEN source OR chunk THEN url END AS url, CASE WHEN chunk THEN chunk_id END AS chunk_id, CASE WHEN chunk THEN coalesce(preview, '') END AS preview
+FROM f WHERE NOT chunk OR chunk_id <> '' OR preview IS NOT NULL"""
+
+
+def r4_result_ingest(spark, d):
+    """Result rows that come in four parts, the general lane before the academic one, which repeats its pages under other URLs a day later; the ingest ends after each part and begins again where it was."""
+    folder = shared_folder(spark, "ingest")
+    rows = table(spark, d, "serp").select("research_id", "query_ordinal", "url", "source_ordinal", "page_id", F.timestamp_seconds(F.col("page_id") * 60 + F.col("source_ordinal") * 86_400).alias("ingest_time"))
+    found = None
+    for lane, half in ((0, 0), (0, 1), (1, 0), (1, 1)):
+        rows.filter((F.col("source_ordinal") == lane) & (F.pmod(F.floor(F.col("page_id") / 2), F.lit(2)) == half)).write.mode("append").parquet(f"{folder}/in")
+        found = R.ingest_results(spark.readStream.schema(rows.schema).parquet(f"{folder}/in"), folder)
+    return found.select("research_id", "query_ordinal", "url_key")
+
+
+R4_SQL = f"SELECT DISTINCT research_id, query_ordinal, {canon('url')} AS url_key FROM ({SERP})"
 
 
 QUERIES = {
@@ -250,5 +275,6 @@ QUERIES = {
     "r2_trace_state": (r2_trace_state, R2_SQL),
     "r1_trace_stream": (r1_trace_stream, R2_SQL),
     "r2_trace_items": (r2_trace_items, R2I_SQL),
-    "r3_trace_events": (r3_trace_events, f"SELECT turn_id, seq, row_number() OVER (PARTITION BY turn_id ORDER BY seq) AS at, type FROM ({TRACE})"),
+    "r3_trace_events": (r3_trace_events, R3_SQL),
+    "r4_result_ingest": (r4_result_ingest, R4_SQL),
 }

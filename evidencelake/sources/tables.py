@@ -32,8 +32,12 @@ CRAWL_LOG = f"""SELECT page_id, page_id % {SESSIONS} AS research_id, url, CASE p
 TRACE = r"""SELECT user_id AS turn_id, event_id AS seq,
  CASE event_type WHEN 'signup' THEN 'plan' WHEN 'view' THEN 'search_results' WHEN 'click' THEN 'url_selection' WHEN 'purchase' THEN 'final_evidence'
   WHEN 'error' THEN CASE event_id % 4 WHEN 0 THEN 'direct_sources' WHEN 1 THEN 'refresh_sources' WHEN 2 THEN 'direct_evidence' ELSE 'stage' END ELSE 'stage' END AS type,
- concat('q', CAST(event_id % 3 AS VARCHAR(2))) AS query, concat('https://src.example/', regexp_extract(props, '([0-9]+)', 1)) AS url,
- concat('L1-S1-C', lpad(regexp_extract(props, '([0-9]+)', 1), 3, '0')) AS chunk_id FROM events"""
+ CASE WHEN event_id % 17 = 0 THEN '' ELSE concat('q', CAST(event_id % 3 AS VARCHAR(2))) END AS query,
+ CASE WHEN event_id % 11 = 0 THEN '' ELSE concat('https://src.example/', regexp_extract(props, '([0-9]+)', 1)) END AS url,
+ CASE WHEN event_id % 13 = 0 THEN '' ELSE concat('L1-S1-C', lpad(regexp_extract(props, '([0-9]+)', 1), 3, '0')) END AS chunk_id,
+ CASE WHEN event_id % 7 = 0 THEN '' ELSE concat('Source ', regexp_extract(props, '([0-9]+)', 1)) END AS title,
+ CASE WHEN event_id % 26 = 0 THEN '' ELSE repeat(concat(' part  ', regexp_extract(props, '([0-9]+)', 1)), 1 + CAST(event_id % 40 AS INT)) END AS text,
+ CASE WHEN event_id % 19 = 0 THEN 'own' ELSE '' END AS stage FROM events"""
 
 VIEWS = {"serp": (SERP, ("pages",)), "questions": (QUESTIONS, ("pages", "benchmark")), "messages": (MESSAGES, ("conversations",)), "crawl_log": (CRAWL_LOG, ("pages",)), "trace": (TRACE, ("events",))}
 
