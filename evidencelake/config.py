@@ -64,3 +64,6 @@ VOID_TAGS = ("area", "base", "br", "col", "embed", "hr", "img", "input", "link",
 #: An end tag does not reach past an open element of more weight; others weigh 100.
 END_WEIGHTS = {"div": 150, "td": 160, "th": 160, "tr": 170, "thead": 180, "tbody": 180, "tfoot": 180, "table": 190, "head": 200, "body": 200, "html": 220}
 MAIN_SOURCES = ("html_article", "html_main", "html_role_main", "html_article_body")
+
+#: Answers after which a second request may help.
+RETRY_STATUS = (408, 425, 429, 500, 502, 503, 504)

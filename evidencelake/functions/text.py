@@ -240,6 +240,11 @@ def error_class(message: Column, default: str = "JS_CRAWL_ERROR") -> Column:
     return F.when(m.rlike(f"(?i){C.BROWSER_MISSING}"), "JS_BROWSER_MISSING").when(m.rlike(f"(?i){C.ANTI_BOT}"), "JS_ANTI_BOT_BLOCKED").otherwise(default)
 
 
+def error_label(code: Column, default: str = "EXTRACT_EMPTY") -> Column:
+    """An error code in upper snake case; the default where nothing is left of it."""
+    return F.upper(F.coalesce(F.nullif(F.btrim(F.regexp_replace(F.coalesce(F.nullif(code, F.lit("")), F.lit(default)), "[^A-Za-z0-9_]+", "_"), F.lit("_")), F.lit("")), F.lit(default)))
+
+
 def resource_type(url: Column, content_type: Column, body: Column) -> Column:
     kind = F.lower(F.coalesce(content_type, F.lit("")))
     return (

@@ -185,14 +185,25 @@ def exclude_sources(evidence: DataFrame, urls: DataFrame) -> DataFrame:
     return evidence.withColumn("_k", key).join(urls.select("conv_id", key.alias("_k")).filter("_k <> ''").distinct(), ["conv_id", "_k"], "left_anti").drop("_k")
 
 
+REFRESHED = "Refreshed verified source"
+
+
 def merge_refreshed(pages: DataFrame, refreshed: DataFrame) -> DataFrame:
-    """Refreshed pages come first, unless their URL is there already."""
+    """Pages read again come first, each URL once and unless it is there already; those of a false ``success`` (if there is such a column) are left to ``refresh_failures``."""
     key = canonical_url(F.col("url"))
-    fresh = refreshed.withColumn("_k", key).join(pages.select("research_id", key.alias("_k")), ["research_id", "_k"], "left_anti").drop("_k")
+    read = refreshed.filter("success").drop("success") if "success" in refreshed.columns else refreshed
+    once = first_by(read.withColumn("_k", key).filter("_k <> ''"), ["research_id", "_k"], ["page_order"])
+    fresh = once.join(pages.select("research_id", key.alias("_k")), ["research_id", "_k"], "left_anti").drop("_k")
     both = fresh.withColumn("_new", F.lit(0)).unionByName(pages.withColumn("_new", F.lit(1)))
     return both.withColumn("page_order", F.row_number().over(Window.partitionBy("research_id").orderBy("_new", "page_order"))).drop("_new")
 
 
+def refresh_failures(failed: DataFrame, refreshed: DataFrame) -> DataFrame:
+    """failed (research_id, url, from_query, ...) and after them pages that could not be read again (success is not true)."""
+    lost = refreshed.filter(~F.coalesce("success", F.lit(False))).withColumn("from_query", F.lit(REFRESHED))
+    return failed.unionByName(lost.select(*(c if c in lost.columns else F.lit(None).cast(t).alias(c) for c, t in failed.dtypes)))
+
+
 def merge_evidence(current: DataFrame, prior: DataFrame) -> DataFrame:
     """Sources (conv_id, source_order, title, url) with chunks (array) of the current and the prior turns as one numbered list.
 

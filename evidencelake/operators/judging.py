@@ -25,12 +25,37 @@ def url_prompts(serp: DataFrame, questions: DataFrame, queries: DataFrame) -> Da
     return parts.join(questions, "research_id").select("research_id", F.concat(F.lit("## 用戶原始問題\n"), "question", F.lit("\n\n"), "parts").alias("prompt"))
 
 
-def chunk_prompts(chunks: DataFrame, questions: DataFrame) -> DataFrame:
-    """research_id, n_chunks, prompt: each source named once, its chunks below it."""
-    body = chunks.withColumn("c", F.concat(F.lit("["), "chunk_id", F.lit("]\n"), "text")).groupBy("research_id", "source_ordinal", "source_ref", "title", "source_url").agg(F.array_join(ordered(F.col("c"), ["chunk_ordinal"]), "\n\n").alias("body"), F.count("*").alias("n"))
-    part = F.format_string("來源 %s: %s\nURL: %s\n%s", "source_ref", F.coalesce(F.nullif(F.col("title"), F.lit("")), F.lit("(untitled)")), F.coalesce("source_url", F.lit("")), "body")
-    whole = body.withColumn("part", part).groupBy("research_id").agg(F.array_join(ordered(F.col("part"), ["source_ordinal"]), "\n\n---\n\n").alias("parts"), F.sum("n").alias("n_chunks"))
-    return whole.join(questions, "research_id").select("research_id", "n_chunks", F.concat(F.lit("## 用戶問題\n"), "question", F.lit("\n\n"), "parts").alias("prompt"))
+def _sources_text(chunks: DataFrame, name: str, label: Column) -> DataFrame:
+    """research_id, name, n: chunks below their source, each source named once, in order."""
+    text = lambda c, other="": F.coalesce(F.nullif(F.col(c), F.lit("")), F.lit(other))
+    own = ["research_id", "source_ordinal", "source_ref"]
+    first = lambda c: F.min_by(c, F.struct("round", "chunk_ordinal")).alias(c)
+    each = chunks.withColumn("c", F.concat(label, F.lit("\n"), F.coalesce("text", F.lit(""))))
+    body = each.groupBy(*own).agg(first("title"), first("source_url"), first("from_query"), F.array_join(ordered(F.col("c"), ["round", "chunk_ordinal"]), "\n\n").alias("body"), F.count("*").alias("n"))
+    part = F.format_string("來源 %s: %s\nURL: %s\nFrom query: %s\n%s", "source_ref", text("title", "(untitled)"), text("source_url"), text("from_query"), "body")
+    return body.withColumn("part", part).groupBy("research_id").agg(F.array_join(ordered(F.col("part"), ["source_ordinal", "source_ref"]), "\n\n---\n\n").alias(name), F.sum("n").alias("n"))
+
+
+def chunk_prompts(chunks: DataFrame, sessions: DataFrame, prior: DataFrame | None = None) -> DataFrame:
+    """research_id, n_chunks, prompt: question, round, queries, what the last review missed, evidence chosen before, and the chunks to choose from.
+
+    chunks and prior: research_id, round, source_ordinal, source_ref, chunk_ordinal, chunk_id, title, source_url, from_query,
+    text; sessions: research_id, question, queries, round, search_mode, mode, missing. Sections without content are left out; a
+    session without chunks has no prompt.
+    """
+    now = _sources_text(chunks, "now", F.concat(F.lit("["), "chunk_id", F.lit("]"))).withColumnRenamed("n", "n_chunks")
+    met = now.join(sessions, "research_id")
+    if prior is not None:
+        met = met.join(_sources_text(prior, "before", F.concat(F.lit("prior chunk "), "chunk_id")).drop("n"), "research_id", "left")
+    listed = lambda c: F.array_join(F.transform(F.coalesce(F.col(c), F.array().cast("array<string>")), lambda x: F.concat(F.lit("- "), x)), "\n")
+    before = F.col("before") if prior is not None else F.lit(None).cast("string")
+    n = F.col("n_chunks").cast("string")
+    parts = (
+        F.concat(F.lit("## 用戶問題\n"), "question", F.lit("\n")), F.concat(F.lit("## 本輪\n第 "), F.col("round").cast("string"), F.lit(" 輪，搜尋模式："), "search_mode", F.lit("，執行模式："), "mode"), F.concat(F.lit("## 本輪搜尋字詞\n"), listed("queries")),
+        F.concat(F.lit("## 上輪指出的缺口\n"), F.nullif(listed("missing"), F.lit(""))), F.concat(F.lit("## 上輪已選證據（只供 sufficiency judge，不需要重新輸出這些 ID）\n"), before),
+        F.concat(F.lit("## 本輪可選 chunk（共 "), n, F.lit(" 個，已放入全部 "), n, F.lit(" 個有效 chunk）\n"), "now"),
+    )
+    return met.select("research_id", "n_chunks", F.concat_ws("\n\n", *parts).alias("prompt"))
 
 
 def judge(prompts: DataFrame, fn: Callable[[Column], Column] | None = None, replies: DataFrame | None = None) -> DataFrame:

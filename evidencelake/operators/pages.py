@@ -73,8 +73,8 @@ def choose_extraction(attempts: DataFrame) -> DataFrame:
 
 
 def classify_errors(log: DataFrame) -> DataFrame:
-    """page_id, error class, whether a retry may help."""
-    return log.select("page_id", T.error_class(F.col("message")).alias("error_class"), (F.col("status_code").isin(408, 425, 429) | (F.col("status_code") >= 500)).alias("retryable"))
+    """page_id, error class by the message, label of the error code (log: page_id, message, error_code, status_code), whether a retry may help."""
+    return log.select("page_id", T.error_class(F.col("message")).alias("error_class"), T.error_label(F.col("error_code")).alias("error_label"), F.coalesce(F.col("status_code").isin(*C.RETRY_STATUS), F.lit(False)).alias("retryable"))
 
 
 def extract_links(pages: DataFrame, n: int) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -42,11 +42,24 @@ def pdf_document_mode(stats: DataFrame) -> DataFrame:
     return first.select("doc", F.when(F.col("good") >= 0.6, "text_dominant").when(F.col("scan") >= 0.8, "scan_dominant").otherwise("mixed").alias("mode"))
 
 
-def merge_attempts(attempts: DataFrame, counters: list[str], lists: list[str]) -> DataFrame:
-    """Two or more search attempts of a research as one: counters summed, lists one after the other, success if one succeeded, its error else."""
+def merge_attempts(attempts: DataFrame, counters: list[str], lists: list[str], pages: str | None = None) -> DataFrame:
+    """Two or more search attempts (research_id, attempt, success, error, ...) of a research as one: counters summed, lists one after the other.
+
+    ``pages`` names an array of structs; those of attempts after the first get ``from_social_fallback``. The whole succeeds if an
+    attempt did and, with ``pages``, there is one. Its error is else that of all attempts, each different one once.
+    """
     sums = [F.sum(F.coalesce(F.col(c), F.lit(0))).alias(c) for c in counters]
-    joined = [F.flatten(ordered(F.col(c), ["attempt"])).alias(c) for c in lists]
-    return attempts.groupBy("research_id").agg(*sums, *joined, F.bool_or("success").alias("success"), F.min_by("error", F.when(~F.col("success"), F.col("attempt"))).alias("_e")).withColumn("error", F.when(~F.col("success"), F.col("_e"))).drop("_e")
+    joined = [F.flatten(ordered(F.coalesce(F.col(c), F.array()), ["attempt"])).alias(c) for c in lists]
+    if pages:
+        first = F.min("attempt").over(Window.partitionBy("research_id"))
+        names = [f.name for f in attempts.schema[pages].dataType.elementType.fields]
+        marked = F.transform(pages, lambda p: F.struct(*(p[n].alias(n) for n in names), F.col("_later").alias("from_social_fallback")))
+        attempts = attempts.withColumn("_later", F.col("attempt") > first).withColumn(pages, marked)
+        joined.append(F.flatten(ordered(F.col(pages), ["attempt"])).alias(pages))
+    ok = F.bool_or("success") & (F.sum(F.size(pages)) > 0) if pages else F.bool_or("success")
+    errors = F.array_distinct(ordered(F.trim("error"), ["attempt"]))
+    merged = attempts.groupBy("research_id").agg(*sums, *joined, ok.alias("success"), F.array_join(F.filter(errors, lambda e: e != ""), "; ").alias("error"))
+    return merged.withColumn("error", F.when(~F.col("success"), F.col("error")))
 
 
 def run_summary(rounds: DataFrame, counters: list[str]) -> DataFrame:
@@ -71,9 +84,20 @@ def group_sources(df: DataFrame) -> DataFrame:
     return df.filter(F.coalesce("query", F.lit("")) != "").groupBy("research_id", "query").agg(ordered(F.struct(title.alias("title"), "url"), ["ordinal"]).alias("sources"), F.min("ordinal").alias("first"))
 
 
-def content_map(pages: DataFrame) -> DataFrame:
-    """Per research: page count and a guide of index, url and title."""
-    return pages.groupBy("research_id").agg(F.count("*").alias("page_count"), ordered(F.struct("source_ordinal", "url", "title"), ["source_ordinal"]).alias("page_guide"))
+def content_map(pages: DataFrame, rounds: DataFrame) -> DataFrame:
+    """Per research and round: search_mode, queries, triggered_by (what the round was for; null for the first), page count and a guide of index, url and title.
+
+    pages: research_id, round, source_ordinal, url, title; rounds: research_id, round, search_mode, queries, reason. A round
+    without pages has an empty guide.
+    """
+    order = F.row_number().over(Window.partitionBy("research_id", "round").orderBy("source_ordinal")) - 1
+    text = lambda c: F.coalesce(F.col(c), F.lit(""))
+    guide = pages.withColumn("index", order).groupBy("research_id", "round").agg(F.count("*").alias("page_count"), ordered(F.struct("index", text("url").alias("url"), text("title").alias("title")), ["index"]).alias("page_guide"))
+    both = rounds.join(guide, ["research_id", "round"], "left")
+    return both.select(
+        "research_id", "round", F.coalesce("search_mode", F.lit("web")).alias("search_mode"), F.coalesce("queries", F.array().cast("array<string>")).alias("queries"),
+        F.when(F.col("round") > 1, text("reason")).alias("triggered_by"), F.coalesce("page_count", F.lit(0)).alias("page_count"), F.coalesce("page_guide", F.array().cast(guide.schema["page_guide"].dataType)).alias("page_guide"),
+    )
 
 
 def normalize_request(requests: DataFrame) -> DataFrame:

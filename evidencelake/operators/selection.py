@@ -58,6 +58,15 @@ def serp_counts(serp: DataFrame) -> DataFrame:
     return raw.join(merged, "research_id", "left").select("research_id", "raw_total", F.coalesce("total", F.lit(0)).alias("total"))
 
 
+def attach_provenance(pages: DataFrame, picks: DataFrame) -> DataFrame:
+    """pages (research_id, url, title, ...) with from_query, group_index and result_index of the candidate (picks: research_id, url, title and these) of the same canonical URL, the last one picked; its title fills an empty one."""
+    own = ["from_query", "group_index", "result_index"]
+    keyed = picks.select("research_id", canonical_url(F.col("url")).alias("_k"), F.col("title").alias("_title"), *own).filter("_k <> ''")
+    last = first_by(keyed, ["research_id", "_k"], [F.desc("group_index"), F.desc("result_index")])
+    met = pages.withColumn("_k", canonical_url(F.col("url"))).join(last, ["research_id", "_k"], "left")
+    return met.withColumn("title", F.coalesce(F.nullif(F.col("title"), F.lit("")), "_title", "title")).drop("_k", "_title")
+
+
 def exclude_seen(cands: DataFrame, seen: DataFrame, key: Column | None = None) -> DataFrame:
     """Candidates whose key no seen URL of the same research has."""
     key = canonical_url(F.col("url")) if key is None else key

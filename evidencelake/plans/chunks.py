@@ -193,8 +193,9 @@ def g6_chunk_summary(spark, d):
 
 
 def g4_merge_attempts(spark, d):
-    a = _rounds(spark, d).select("research_id", F.col("round").alias("attempt"), "total", "selected", F.array(F.col("verdict")).alias("errors"), (F.col("verdict") == "sufficient").alias("success"), F.concat(F.lit("E"), "round").alias("error"))
-    return R.merge_attempts(a, ["total", "selected"], ["errors"]).withColumn("errors", F.array_join("errors", ","))
+    a = _rounds(spark, d).select("research_id", F.col("round").alias("attempt"), "total", "selected", F.array(F.col("verdict")).alias("errors"), (F.col("verdict") == "sufficient").alias("success"), F.concat(F.lit("E"), (F.col("round") % 2).cast("string")).alias("error"), F.filter(F.array(F.struct(F.concat(F.lit("p"), "round").alias("url"))), lambda _: F.col("selected") > 2).alias("pages"))
+    merged = R.merge_attempts(a, ["total", "selected"], ["errors"], "pages")
+    return merged.withColumns({"errors": F.array_join("errors", ","), "pages": F.array_join(F.transform("pages", lambda p: F.concat_ws(":", p["url"], p["from_social_fallback"].cast("string"))), ",")})
 
 
 def p19_completion(spark, d):
@@ -209,8 +210,11 @@ def g9_group_sources(spark, d):
 
 
 def g15_content_map(spark, d):
-    p = table(spark, d, "pages").select((F.col("page_id") % sessions(spark, d)).alias("research_id"), F.col("page_id").alias("source_ordinal"), "url", T.extract_title(F.col("html")).alias("title"))
-    return R.content_map(p).select("research_id", "page_count", F.array_join(F.transform("page_guide", lambda g: g["url"]), " ").alias("urls"))
+    p = table(spark, d, "pages").select((F.col("page_id") % sessions(spark, d)).alias("research_id"), (F.col("page_id") % 3 + 1).alias("round"), F.col("page_id").alias("source_ordinal"), "url", F.lit("t").alias("title"))
+    n = F.col("research_id")
+    rounds = table(spark, d, "questions").select("research_id", F.explode(F.sequence(F.lit(1), F.lit(4))).alias("round"), F.when(n % 2 == 0, "academic").alias("search_mode"), F.when(n % 3 > 0, F.array(F.lit("a"), F.col("question"))).alias("queries"), F.when(n % 5 > 0, "gap").alias("reason"))
+    guide = F.array_join(F.transform("page_guide", lambda g: F.concat_ws(":", g["index"].cast("string"), g["url"])), " ")
+    return R.content_map(p, rounds).select("research_id", "round", "search_mode", F.array_join("queries", "|").alias("queries"), "triggered_by", "page_count", guide.alias("guide"))
 
 
 def _requests(spark, d):
@@ -257,10 +261,13 @@ QUERIES = {
     "g10_pdf_mode": (g10_pdf_mode, f"WITH {PDF} SELECT doc, CASE WHEN avg((char_count >= 80)::INT) >= 0.6 THEN 'text_dominant' WHEN avg((char_count <= 20 AND image_count > 0)::INT) >= 0.8 THEN 'scan_dominant' ELSE 'mixed' END AS mode FROM st WHERE page_no <= 5 GROUP BY doc"),
     "g5_run_summary": (g5_run_summary, f"WITH {ROUNDS} SELECT research_id, sum(total)::BIGINT AS total, sum(selected)::BIGINT AS selected, sum(prompted)::BIGINT AS prompted, count(*) AS loops_executed, arg_max(verdict, round) AS last_verdict FROM r GROUP BY research_id"),
     "g6_chunk_summary": (g6_chunk_summary, f"WITH {ROUNDS} SELECT research_id, sum(total)::BIGINT AS total, sum(prompted)::BIGINT AS prompted, sum(selected)::BIGINT AS selected, (sum(prompted) - sum(selected))::BIGINT AS discarded, string_agg(round || ':' || prompted || ':' || selected, '|' ORDER BY round) AS rounds FROM r GROUP BY research_id"),
-    "g4_merge_attempts": (g4_merge_attempts, f"WITH {ROUNDS} SELECT research_id, sum(total)::BIGINT AS total, sum(selected)::BIGINT AS selected, string_agg(verdict, ',' ORDER BY round) AS errors, bool_or(verdict = 'sufficient') AS success, CASE WHEN NOT bool_or(verdict = 'sufficient') THEN 'E' || min(round) END AS error FROM r GROUP BY research_id"),
+    "g4_merge_attempts": (g4_merge_attempts, f"WITH {ROUNDS} SELECT research_id, sum(total)::BIGINT AS total, sum(selected)::BIGINT AS selected, string_agg(verdict, ',' ORDER BY round) AS errors, coalesce(string_agg('p' || round || ':' || (round > least_round)::VARCHAR, ',' ORDER BY round) FILTER (selected > 2), '') AS pages, bool_or(verdict = 'sufficient') AND bool_or(selected > 2) AS success, CASE WHEN NOT (bool_or(verdict = 'sufficient') AND bool_or(selected > 2)) THEN array_to_string(CASE WHEN min(round) % 2 = 1 THEN list_filter(['E1', 'E0'], lambda e: list_contains(list('E' || round % 2), e)) ELSE list_filter(['E0', 'E1'], lambda e: list_contains(list('E' || round % 2), e)) END, '; ') END AS error FROM (SELECT *, min(round) OVER (PARTITION BY research_id) AS least_round FROM r) GROUP BY research_id"),
     "p19_completion": (p19_completion, f"WITH {ROUNDS}, a AS (SELECT research_id, (sum(selected) - 9)::BIGINT AS evidence, arg_max(verdict, round) AS verdict FROM r GROUP BY research_id) SELECT *, CASE WHEN evidence <= 0 THEN 'failed' WHEN verdict = 'sufficient' THEN 'complete' ELSE 'partial' END AS state FROM a"),
     "g9_group_sources": (g9_group_sources, f"SELECT research_id, 'q' || query_ordinal AS query, min(source_ordinal * 1000 + position) AS first, string_agg(url, ' ' ORDER BY source_ordinal, position) AS urls FROM ({SERP}) WHERE query_ordinal > 0 GROUP BY research_id, query_ordinal"),
-    "g15_content_map": (g15_content_map, f"SELECT page_id % {SESSIONS} AS research_id, count(*) AS page_count, string_agg(url, ' ' ORDER BY page_id) AS urls FROM pages GROUP BY ALL"),
+    "g15_content_map": (g15_content_map, f"""WITH p AS (SELECT page_id % {SESSIONS} AS research_id, page_id % 3 + 1 AS round, url, row_number() OVER (PARTITION BY page_id % {SESSIONS}, page_id % 3 ORDER BY page_id) - 1 AS i FROM pages),
+g AS (SELECT research_id, round, count(*) AS page_count, string_agg(i || ':' || url, ' ' ORDER BY i) AS guide FROM p GROUP BY ALL), q AS ({QUESTIONS})
+SELECT q.research_id, r.round::INT AS round, CASE WHEN q.research_id % 2 = 0 THEN 'academic' ELSE 'web' END AS search_mode, CASE WHEN q.research_id % 3 > 0 THEN 'a|' || question ELSE '' END AS queries, CASE WHEN r.round > 1 THEN CASE WHEN q.research_id % 5 > 0 THEN 'gap' ELSE '' END END AS triggered_by,
+ coalesce(page_count, 0) AS page_count, coalesce(guide, '') AS guide FROM q CROSS JOIN (VALUES (1), (2), (3), (4)) r(round) LEFT JOIN g ON g.research_id = q.research_id AND g.round = r.round"""),
     "p20_normalize_request": (p20_normalize, f"SELECT research_id, CASE WHEN research_id % 2 = 0 THEN 'academic' ELSE 'web' END AS search_mode, CASE WHEN research_id % 3 = 0 THEN 'full' ELSE 'fast' END AS mode FROM ({QUESTIONS})"),
     "p21_validate_requests": (p21_validate, f"SELECT research_id, CASE WHEN research_id % 7 = 0 THEN 'question is empty' WHEN research_id % 5 = 1 THEN 'wrong number of queries' WHEN research_id % 3 = 1 THEN 'a query is empty' WHEN research_id % 4 < 1 THEN 'not positive' WHEN research_id % 4 > 2 THEN 'min over max' END AS error FROM ({QUESTIONS})"),
     "p18_route_turns": (p18_route, f"SELECT research_id, CASE WHEN s = 'research' AND research_id % 4 > 0 THEN 'hybrid' ELSE s END AS route FROM (SELECT research_id, CASE WHEN research_id % 6 = 5 THEN 'research' WHEN research_id % 3 = 1 AND research_id % 2 > 0 AND research_id % 4 < 2 THEN 'direct' WHEN research_id % 3 = 0 AND research_id % 5 > 0 THEN 'reuse' ELSE 'research' END AS s FROM ({QUESTIONS}))"),

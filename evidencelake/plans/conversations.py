@@ -167,13 +167,18 @@ J9_SQL = "WITH s AS (SELECT doc_id // 20 AS conv_id, doc_id AS source_order, doc
 
 
 def j11_merge_refreshed(spark, d):
-    p = table(spark, d, "pages").select((F.col("page_id") % sessions(spark, d)).alias("research_id"), "url", F.col("page_id").alias("page_order"))
-    old, new = p.filter("page_order % 3 > 0"), p.filter("page_order % 2 = 0")
-    return V.merge_refreshed(old, new)
-
-
-J11_SQL = f"""WITH p AS (SELECT page_id % {SESSIONS} AS research_id, url, page_id AS o, {canon('url')} AS k FROM pages), a AS (SELECT * FROM p WHERE o % 3 > 0), b AS (SELECT * FROM p WHERE o % 2 = 0 AND NOT EXISTS (SELECT 1 FROM a WHERE a.research_id = p.research_id AND a.k = p.k)),
-u AS (SELECT *, 0 AS n FROM b UNION ALL SELECT *, 1 FROM a) SELECT research_id, url, row_number() OVER (PARTITION BY research_id ORDER BY n, o) AS page_order FROM u"""
+    """Pages of the round and pages read again, of which some fail; what has failed, before and now, has no place in the order."""
+    p = table(spark, d, "pages").select((F.col("page_id") % sessions(spark, d)).alias("research_id"), "url", F.col("page_id").alias("page_order"), (F.col("page_id") % 5 > 0).alias("success"))
+    old, new = p.filter("page_order % 3 > 0"), p.filter("page_order % 2 = 0 or page_order % 3 = 0")
+    failed = V.refresh_failures(old.filter("not success").select("research_id", "url", F.lit("q").alias("from_query")), new)
+    merged = V.merge_refreshed(old.filter("success").drop("success"), new).withColumn("from_query", F.lit(None).cast("string"))
+    return merged.unionByName(failed.withColumn("page_order", F.lit(None).cast("int")))
+
+
+J11_SQL = f"""WITH p AS (SELECT page_id % {SESSIONS} AS research_id, url, page_id AS o, {canon('url')} AS k FROM pages), a AS (SELECT * FROM p WHERE o % 3 > 0 AND o % 5 > 0), n AS (SELECT * FROM p WHERE o % 2 = 0 OR o % 3 = 0),
+b AS (SELECT * FROM n WHERE o % 5 > 0 AND NOT EXISTS (SELECT 1 FROM a WHERE a.research_id = n.research_id AND a.k = n.k) QUALIFY row_number() OVER (PARTITION BY research_id, k ORDER BY o) = 1),
+u AS (SELECT *, 0 AS n FROM b UNION ALL SELECT *, 1 FROM a) SELECT research_id, url, row_number() OVER (PARTITION BY research_id ORDER BY n, o)::INT AS page_order, NULL::VARCHAR AS from_query FROM u
+UNION ALL SELECT research_id, url, NULL, 'q' FROM p WHERE o % 3 > 0 AND o % 5 = 0 UNION ALL SELECT research_id, url, NULL, 'Refreshed verified source' FROM n WHERE o % 5 = 0"""
 
 
 def g17_merge_evidence(spark, d):

@@ -153,7 +153,8 @@ MESSAGES_ = ("Executable doesn't exist at /x", "Just a moment...", "net::ERR_TIM
 
 def p16_errors(spark, d):
     log = table(spark, d, "crawl_log").withColumn("message", F.get(F.array(*map(F.lit, MESSAGES_)), (F.col("page_id") % 3).cast("int")))
-    return P.classify_errors(log)
+    code = F.get(F.array(F.lit("net::ERR_timed out"), F.lit(" -- "), F.lit("JS_CRAWL_ERROR"), F.lit(None).cast("string"), F.lit("")), (F.col("page_id") % 5).cast("int"))
+    return P.classify_errors(log.withColumn("error_code", code))
 
 
 def g7_crawl_stats(spark, d):
@@ -314,7 +315,7 @@ QUERIES = {
     "p12_needs_render": (p12_needs_render, P12_SQL),
     "p13_choose_attempt": (p13_choose_attempt, P13_SQL),
     "p14_choose_extraction": (p14_choose_extraction, P14_SQL),
-    "p16_error_class": (p16_errors, f"SELECT page_id, CASE page_id % 3 WHEN 0 THEN 'JS_BROWSER_MISSING' WHEN 1 THEN 'JS_ANTI_BOT_BLOCKED' ELSE 'JS_CRAWL_ERROR' END AS error_class, status_code IN (408, 425, 429) OR status_code >= 500 AS retryable FROM ({CRAWL_LOG})"),
+    "p16_error_class": (p16_errors, f"SELECT page_id, CASE page_id % 3 WHEN 0 THEN 'JS_BROWSER_MISSING' WHEN 1 THEN 'JS_ANTI_BOT_BLOCKED' ELSE 'JS_CRAWL_ERROR' END AS error_class, ['NET_ERR_TIMED_OUT', 'EXTRACT_EMPTY', 'JS_CRAWL_ERROR', 'EXTRACT_EMPTY', 'EXTRACT_EMPTY'][page_id % 5 + 1] AS error_label, status_code IN (408, 425, 429, 500, 502, 503, 504) AS retryable FROM ({CRAWL_LOG})"),
     "p17_social_fallback": (p17_social_fallback, f"SELECT *, pages < 6 OR (selected >= 6 AND pages < greatest(2, selected // 2)) AS fallback FROM (SELECT research_id, count(*) FILTER (success AND resource_type = 'pdf') AS pages, count(*) AS selected FROM ({CRAWL_LOG}) GROUP BY research_id)"),
     "p7_resource_type": (p7_resource_type, "SELECT page_id, CASE WHEN page_id % 6 = 5 THEN 'pdf' WHEN page_id % 4 = 0 THEN 'pdf' WHEN page_id % 4 = 1 THEN 'html' WHEN page_id % 9 = 2 THEN 'pdf' ELSE 'other' END AS resource_type FROM pages"),
     "g7_crawl_stats": (g7_crawl_stats, f"SELECT research_id, count(*) AS total, count(*) FILTER (success) AS ok, count(*) FILTER (NOT success) AS failed, count(*) FILTER (success AND used_render = 'js') AS used_js, count(*) FILTER (success AND resource_type = 'pdf') AS used_pdf FROM ({CRAWL_LOG}) GROUP BY research_id"),

@@ -114,14 +114,22 @@ SELECT p.research_id, '## 用戶原始問題' || chr(10) || question || chr(10)
 
 
 def s18_chunk_prompts(spark, d):
-    chunks = K.topk_chunks(_chunks(spark, d), 10).withColumns({"title": F.lit(""), "source_url": F.concat(F.lit("https://d.example/"), "source_ordinal")})
-    return J.chunk_prompts(chunks, table(spark, d, "questions"))
+    """The ten best chunks of each session to choose from in round 2, the two next ones as evidence of round 1."""
+    chunks = K.topk_chunks(_chunks(spark, d), 12).withColumns({"round": F.lit(1), "title": F.when(F.col("source_ordinal") % 2 == 0, F.concat(F.lit("Doc "), "source_ordinal")), "source_url": F.concat(F.lit("https://d.example/"), "source_ordinal"), "from_query": F.concat(F.lit("q"), F.col("source_ordinal") % 3)})
+    n = F.col("research_id")
+    asked = table(spark, d, "questions").select("research_id", "question", F.array(F.lit("a"), F.lit("b")).alias("queries"), F.lit(2).alias("round"), F.lit("web").alias("search_mode"), F.lit("fast").alias("mode"), F.when(n % 2 == 0, F.array(F.lit("m1"), F.lit("m2"))).alias("missing"))
+    return J.chunk_prompts(chunks.filter("pick <= 10"), asked, chunks.filter("pick > 10"))
 
 
-S18_SQL = f"""WITH {CHUNKS}, c AS (SELECT * FROM chunks QUALIFY row_number() OVER (PARTITION BY research_id ORDER BY score DESC, source_ordinal, chunk_ordinal) <= 10),
-s AS (SELECT research_id, source_ordinal, count(*) AS n, '來源 L1-S' || source_ordinal || ': (untitled)' || chr(10) || 'URL: https://d.example/' || source_ordinal || chr(10) || string_agg('[' || chunk_id || ']' || chr(10) || text, chr(10) || chr(10) ORDER BY chunk_ordinal) AS part FROM c GROUP BY research_id, source_ordinal),
-p AS (SELECT research_id, sum(n)::BIGINT AS n_chunks, string_agg(part, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY source_ordinal) AS parts FROM s GROUP BY research_id)
-SELECT p.research_id, n_chunks, '## 用戶問題' || chr(10) || question || chr(10) || chr(10) || parts AS prompt FROM p JOIN q0 ON p.research_id = q0.research_id"""
+def _sources_sql(name: str, rows: str, label: str) -> str:
+    return f"""{name}_s AS (SELECT research_id, source_ordinal, count(*) AS n, '來源 L1-S' || source_ordinal || ': ' || CASE WHEN source_ordinal % 2 = 0 THEN 'Doc ' || source_ordinal ELSE '(untitled)' END || chr(10) || 'URL: https://d.example/' || source_ordinal || chr(10) || 'From query: q' || source_ordinal % 3 || chr(10)
+ || string_agg({label} || chr(10) || text, chr(10) || chr(10) ORDER BY chunk_ordinal) AS part FROM ({rows}) GROUP BY research_id, source_ordinal), {name} AS (SELECT research_id, sum(n)::BIGINT AS n, string_agg(part, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY source_ordinal) AS parts FROM {name}_s GROUP BY research_id)"""
+
+
+S18_SQL = f"""WITH {CHUNKS}, c AS (SELECT *, row_number() OVER (PARTITION BY research_id ORDER BY score DESC, source_ordinal, chunk_ordinal) AS pick FROM chunks), {_sources_sql("now", "SELECT * FROM c WHERE pick <= 10", "'[' || chunk_id || ']'")}, {_sources_sql("old", "SELECT * FROM c WHERE pick IN (11, 12)", "'prior chunk ' || chunk_id")}
+SELECT now.research_id, now.n AS n_chunks, '## 用戶問題' || chr(10) || question || chr(10) || chr(10) || chr(10) || '## 本輪' || chr(10) || '第 2 輪，搜尋模式：web，執行模式：fast' || chr(10) || chr(10) || '## 本輪搜尋字詞' || chr(10) || '- a' || chr(10) || '- b' || chr(10) || chr(10)
+ || CASE WHEN now.research_id % 2 = 0 THEN '## 上輪指出的缺口' || chr(10) || '- m1' || chr(10) || '- m2' || chr(10) || chr(10) ELSE '' END || coalesce('## 上輪已選證據（只供 sufficiency judge，不需要重新輸出這些 ID）' || chr(10) || old.parts || chr(10) || chr(10), '')
+ || '## 本輪可選 chunk（共 ' || now.n || ' 個，已放入全部 ' || now.n || ' 個有效 chunk）' || chr(10) || now.parts AS prompt FROM now JOIN q0 ON now.research_id = q0.research_id LEFT JOIN old ON old.research_id = now.research_id"""
 
 
 def _replies(spark, d):

@@ -153,14 +153,12 @@ SELECT research_id, group_index, result_index, url_key FROM t QUALIFY row_number
 
 def j1_provenance(spark, d):
     pages = table(spark, d, "pages").select("page_id", F.col("url"), F.when(F.col("page_id") % 2 == 0, "").otherwise("own").alias("title"), (F.col("page_id") % sessions(spark, d)).alias("research_id"))
-    picks = _merged(spark, d).select("research_id", "url_key", F.col("query_ordinal").alias("group_index"), F.col("title").alias("pick_title"))
-    picks = S.first_by(picks, ["research_id", "url_key"], ["group_index"])
-    joined = pages.withColumn("url_key", urls.canonical_url(F.col("url"))).join(picks, ["research_id", "url_key"], "left")
-    return joined.select("page_id", "group_index", F.coalesce(F.nullif(F.col("title"), F.lit("")), "pick_title").alias("title"))
+    picks = _merged(spark, d).select("research_id", "url", "title", F.concat(F.lit("q"), F.col("query_ordinal").cast("string")).alias("from_query"), F.col("query_ordinal").alias("group_index"), (F.col("rank") - 1).alias("result_index"))
+    return S.attach_provenance(pages, picks).drop("url", "research_id")
 
 
-J1_SQL = f"""WITH {MERGED}, f AS (SELECT research_id, url_key, query_ordinal AS group_index, title FROM merged QUALIFY row_number() OVER (PARTITION BY research_id, url_key ORDER BY query_ordinal) = 1)
-SELECT p.page_id, f.group_index, coalesce(CASE WHEN p.page_id % 2 = 0 THEN NULL ELSE 'own' END, f.title) AS title FROM pages p LEFT JOIN f ON p.page_id % {SESSIONS} = f.research_id AND {canon('p.url')} = f.url_key"""
+J1_SQL = f"""WITH {MERGED}, f AS (SELECT research_id, url_key, query_ordinal AS group_index, rank - 1 AS result_index, title FROM merged QUALIFY row_number() OVER (PARTITION BY research_id, url_key ORDER BY query_ordinal DESC, rank DESC) = 1)
+SELECT p.page_id, f.group_index, f.result_index, 'q' || f.group_index AS from_query, CASE WHEN p.page_id % 2 = 0 THEN coalesce(f.title, '') ELSE 'own' END AS title FROM pages p LEFT JOIN f ON p.page_id % {SESSIONS} = f.research_id AND {canon('p.url')} = f.url_key"""
 
 
 def w5_crawl_budget(spark, d):
