@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -107,48 +109,118 @@ def u_order(pages: DataFrame, importance: str, page_order: str) -> DataFrame:
     return ranked.withColumn("slot", F.when((F.col("n") <= 2) | (F.col("any") == 0), F.col("own")).otherwise(at).cast("long")).drop("n", "i", "own", "any")
 
 
+def _streamed(rows: DataFrame, group: list[str], order: list[str], start: Callable[[dict], object], schema: str) -> DataFrame:
+    """What ``start(first row)`` gives of each group: it sees the group's rows one by one in order, and its ``end()`` gives the rows of the result. Groups come one after the other, so a task holds one of these at a time, not the group."""
+    names = [x.split(" ")[0] for x in schema.split(", ")]
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, at = None, None
+        for frame in frames:
+            out = []
+            for x in frame.to_dict("records"):
+                if (key := tuple(None if pd.isna(x[c]) else x[c] for c in group)) != now:
+                    out += at.end() if at else []
+                    now, at = key, start(x)
+                at.see(x)
+            yield pd.DataFrame(out, columns=names)
+        yield pd.DataFrame(at.end() if at else [], columns=names)
+
+    return rows.repartition(*group).sortWithinPartitions(*group, *order).mapInPandas(run, schema)
+
+
+class _Budget:
+    """Three passes over the candidates of a round, made while they go by.
+
+    The first is decided at once, as it looks back alone. For the others a bounded number of candidates is kept: what both could
+    take if the first had taken none of it, and as many more as it may have taken. A candidate that finds no place here could
+    not be taken; nor could one with its URL that comes later.
+    """
+
+    def __init__(self, first: dict, least: int, target: int, most: int):
+        self.floor, self.middle, self.ceiling = (max(0, n - int(first["spent"])) for n in (least, target, most))
+        self.spare = self.ceiling + C.GROUP_COVERAGE
+        self.n, self.cover, self.covered, self.kept, self.of_domain = 0, [], set(), {}, {}
+
+    def see(self, x: dict) -> None:
+        self.n += 1
+        url, domain, group = x["url_key"], x["domain"], x["group_index"]
+        if not url:
+            return
+        if len(self.cover) < C.GROUP_COVERAGE and pd.notna(group) and group not in self.covered and all(c["url_key"] != url for c in self.cover):
+            self.cover.append(x)
+            self.covered.add(group)
+        if url in self.kept:
+            return
+        had = self.of_domain.get(domain, 0)
+        open_ = had < self.spare if not domain else had < C.DOMAIN_CAP + C.GROUP_COVERAGE and (had or len(self.of_domain) <= self.spare)
+        if open_ or len(self.kept) < 2 * self.spare:
+            self.kept[url] = x
+            if open_:
+                self.of_domain[domain] = had + 1
+
+    def end(self) -> list[dict]:
+        wanted = min(self.n, self.ceiling)
+        if self.n >= self.floor:
+            wanted = min(wanted, max(self.floor, self.middle))
+        out, urls, per_domain = [], set(), {}
+
+        def take(x: dict, why: str) -> None:
+            urls.add(x["url_key"])
+            per_domain[x["domain"]] = per_domain.get(x["domain"], 0) + bool(x["domain"])
+            out.append({**x, "slot": len(out), "pass": why})
+
+        for x in self.cover[:wanted]:
+            take(x, "coverage")
+        for why, cap in (("domain", C.DOMAIN_CAP), ("fill", None)):
+            for url, x in self.kept.items():
+                if len(out) < wanted and url not in urls and (cap is None or per_domain.get(x["domain"], 0) < cap):
+                    take(x, why)
+        return out
+
+
 def allocate_budget(cands: DataFrame, least: int, target: int, most: int) -> DataFrame:
     """Crawl list of each (research_id, round) from candidates in ``ordinal`` order.
 
     One of each query group first, then in order with at most DOMAIN_CAP of a domain, then in order.
     A column ``spent`` in cands is what the research has used of this budget already.
-    The passes depend on each other, so each group of some hundred candidates is worked in one call.
     """
     spent = F.coalesce("spent", F.lit(0)).cast("long") if "spent" in cands.columns else F.lit(0).cast("long")
     keyed = cands.select(spent.alias("spent"), "research_id", "round", "ordinal", "group_index", "url", canonical_url(F.col("url")).alias("url_key"), url_domain(F.col("url")).alias("domain"))
+    schema = f"{', '.join(f'{n} {t}' for n, t in keyed.dtypes)}, slot long, pass string"
+    return _streamed(keyed, ["research_id", "round"], ["ordinal"], lambda x: _Budget(x, least, target, most), schema).drop("spent")
 
-    def pick(rows: pd.DataFrame) -> pd.DataFrame:
-        items = rows.sort_values("ordinal").to_dict("records")
-        floor, middle, ceiling = (max(0, n - int(items[0]["spent"])) for n in (least, target, most))
-        wanted = min(len(items), ceiling)
-        if len(items) >= floor:
-            wanted = min(wanted, max(floor, middle))
-        groups = len({x["group_index"] for x in items if pd.notna(x["group_index"])})
-        urls: set = set()
-        covered: set = set()
-        per_domain: dict = {}
-        out: list = []
 
-        def take(x: dict, why: str) -> None:
-            if not x["url_key"] or x["url_key"] in urls:
-                return
-            urls.add(x["url_key"])
-            covered.add(x["group_index"])
-            per_domain[x["domain"]] = per_domain.get(x["domain"], 0) + bool(x["domain"])
-            out.append({**x, "slot": len(out), "pass": why})
+class _Quota:
+    """Results of a query under both quotas while they go by, and those to try again: as many of a domain as its quota, and as the limit may leave places for and lose again."""
+
+    def __init__(self, limit: int, engine_quota: int, domain_quota: int | None):
+        self.limit, self.engine_quota, self.domain_quota = limit, engine_quota, domain_quota
+        self.out, self.later, self.engines, self.domains, self.waiting = [], [], {}, {}, {}
+
+    def free(self, x: dict) -> bool:
+        return not (self.domain_quota and x["_domain"] and self.domains.get(x["_domain"], 0) >= self.domain_quota)
 
-        for x in items:
-            if len(out) < min(groups, wanted, C.GROUP_COVERAGE) and pd.notna(x["group_index"]) and x["group_index"] not in covered:
-                take(x, "coverage")
-        for x in items:
-            if len(out) < wanted and per_domain.get(x["domain"], 0) < C.DOMAIN_CAP:
-                take(x, "domain")
-        for x in items:
-            if len(out) < wanted:
-                take(x, "fill")
-        return pd.DataFrame(out, columns=[*rows.columns, "slot", "pass"])
+    def take(self, x: dict) -> None:
+        self.engines[x["_engine"]] = self.engines.get(x["_engine"], 0) + 1
+        self.domains[x["_domain"]] = self.domains.get(x["_domain"], 0) + 1
+        self.out.append({**x, "slot": len(self.out)})
 
-    return keyed.groupBy("research_id", "round").applyInPandas(pick, f"{', '.join(f'{n} {t}' for n, t in keyed.dtypes)}, slot long, pass string").drop("spent")
+    def see(self, x: dict) -> None:
+        if len(self.out) >= self.limit or not self.free(x):
+            return
+        if self.engines.get(x["_engine"], 0) < self.engine_quota:
+            self.take(x)
+            return
+        n = self.waiting.get(x["_domain"], 0)
+        if len(self.later) < 2 * self.limit and not (self.domain_quota and x["_domain"] and n >= self.domain_quota):
+            self.waiting[x["_domain"]] = n + 1
+            self.later.append(x)
+
+    def end(self) -> list[dict]:
+        for x in self.later:
+            if len(self.out) < self.limit and self.free(x):
+                self.take(x)
+        return self.out
 
 
 def diversity_quota(results: DataFrame, limit: int, engine_quota: int | None, domain_quota: int | None) -> DataFrame:
@@ -159,28 +231,8 @@ def diversity_quota(results: DataFrame, limit: int, engine_quota: int | None, do
             n = F.row_number().over(Window.partitionBy(*KEY, "_domain").orderBy("rank"))
             keyed = keyed.withColumn("_n", n).filter((F.col("_domain") == "") | (F.col("_n") <= domain_quota)).drop("_n")
         return top_rows(keyed, KEY, ["rank"], limit).withColumn("slot", F.row_number().over(Window.partitionBy(*KEY).orderBy("rank")) - 1).drop("_engine", "_domain")
-
-    def pick(rows: pd.DataFrame) -> pd.DataFrame:
-        engines: dict = {}
-        domains: dict = {}
-        out: list = []
-        later: list = []
-        items = rows.sort_values("rank").to_dict("records")
-        free = lambda x: not (domain_quota and x["_domain"] and domains.get(x["_domain"], 0) >= domain_quota)
-        for strict, some in ((True, items), (False, later)):
-            for x in some:
-                if len(out) >= limit:
-                    break
-                if free(x) and not (strict and engines.get(x["_engine"], 0) >= engine_quota):
-                    engines[x["_engine"]] = engines.get(x["_engine"], 0) + 1
-                    domains[x["_domain"]] = domains.get(x["_domain"], 0) + 1
-                    out.append({**x, "slot": len(out)})
-                elif strict:
-                    later.append(x)
-        return pd.DataFrame(out, columns=[*rows.columns, "slot"])
-
     kinds = ", ".join(f"{n} {t}" for n, t in keyed.dtypes)
-    return keyed.groupBy(*KEY).applyInPandas(pick, f"{kinds}, slot long").drop("_engine", "_domain")
+    return _streamed(keyed, KEY, ["rank"], lambda _: _Quota(limit, engine_quota, domain_quota), f"{kinds}, slot long").drop("_engine", "_domain")
 
 
 def redistribute_quota(sources: DataFrame, total: Column) -> DataFrame:
