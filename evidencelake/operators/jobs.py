@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from .. import config as C
 from ..functions import text as T
 from ..functions.urls import canonical_url
+from ..sources.tables import written
 from . import chunks as K
 from . import conversations as V
 from . import judging as J
@@ -72,7 +73,7 @@ def next_round(reviews: DataFrame, asked: DataFrame, merged: DataFrame, seen: Da
 
 def research(
     serp: DataFrame, archive: DataFrame, questions: DataFrame, mode: str = "fast", url_replies: DataFrame | None = None, chunk_replies: DataFrame | None = None,
-    keep: Callable[[DataFrame, str], DataFrame] = lambda df, _: df, queries: DataFrame | None = None, later: DataFrame | None = None, search_mode: str = "web", refresh: DataFrame | None = None,
+    keep: Callable[[DataFrame, str], DataFrame] = written, queries: DataFrame | None = None, later: DataFrame | None = None, search_mode: str = "web", refresh: DataFrame | None = None,
 ) -> DataFrame:
     """Evidence of every session after the rounds of its mode.
 
@@ -82,7 +83,8 @@ def research(
     site fallback ask. A round after the first asks what the review wants (``next_round``); fast rounds, and
     all where nothing later is archived, also read on in earlier groups. Social sessions with few pages after
     round 1 search named sites within the budget that is left. Pages to read again (refresh: research_id, url)
-    come before those of round 1. ``focus`` is what the review before a round missed.
+    come before those of round 1. ``focus`` is what the review before a round missed. ``keep`` ends the lineage of what a round
+    hands on, by default with a table in the shared folder, so the plan of a round does not hold those before it.
     """
     merged = keep(S.search_merge(serp), "serp")
     pages = keep(archive.withColumn("url_key", canonical_url(F.col("url"))), "archive")

@@ -133,6 +133,11 @@ def s15_s16_capsules(spark, d):
     return V.unseal_capsules(tokens, KEY).select("conv_id", "at", "turn_id", F.size("evidence").alias("n_sources"), F.size("queries").alias("n_queries"), F.aggregate("evidence", F.lit(0), lambda a, s: a + F.size(s["chunks"])).alias("n_chunks"))
 
 
+S15_SQL = f"""WITH l AS (SELECT doc_id, generate_subscripts(string_split(text, chr(10)), 1) AS i, unnest(string_split(text, chr(10))) AS raw FROM documents),
+k AS (SELECT (doc_id // 20) * 4 + doc_id % 4 AS conv_id, doc_id AS source_rank, row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS chunk_rank, trim(raw, {BLANK}) AS t FROM l WHERE trim(raw, ' ') <> ''), {pack_sql(12000)}
+SELECT conv_id // 4 AS conv_id, conv_id % 4 AS at, conv_id // 4 || '-t' || conv_id % 4 AS turn_id, count(DISTINCT source_rank)::INT AS n_sources, 2 AS n_queries, count(*)::INT AS n_chunks FROM packed WHERE conv_id % 4 < 3 GROUP BY conv_id"""
+
+
 def g12_ledger(spark, d):
     l = V.research_ledger(_capsules(spark, d))
     return l.select("conv_id", "at", "question", F.array_join(F.transform("sources", lambda s: s["source_ref"]), ",").alias("refs"), "selected_chunk_count")
@@ -269,7 +274,7 @@ QUERIES = {
     "f25_excerpt": (f25_excerpt, F25E_SQL),
     "w18_recent": (w18_recent, "SELECT conv_id, max(turn) * 1000 + count(*) AS updated_at FROM conversations GROUP BY conv_id ORDER BY updated_at DESC, conv_id LIMIT 24"),
     "g18_clean_evidence": (g18_clean_evidence, G18_SQL),
-    "s15_s16_capsules": (s15_s16_capsules, None),
+    "s15_s16_capsules": (s15_s16_capsules, S15_SQL),
     "g12_research_ledger": (g12_ledger, G12_SQL),
     "j8_refreshable": (j8_refreshable, J8_SQL),
     "j9_exclude_sources": (j9_exclude_sources, J9_SQL),

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import os
-import uuid
-
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -17,20 +14,6 @@ from .providers import _replies
 from .serp import _merged, _queries, _seen
 
 
-def _keep(spark):
-    """Rounds are written to the shared folder that the cluster names; without one they stay in the plan."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-
-    def keep(df, tag):
-        if not root:
-            return df
-        path = os.path.join(root.rstrip("/"), spark.sparkContext.applicationId, f"{tag}-{uuid.uuid4().hex}")
-        df.write.parquet(path)
-        return spark.read.schema(df.schema).parquet(path)
-
-    return keep
-
-
 def c2_url_selection(spark, d):
     return jobs.url_selection(_merged(spark, d), _replies(spark, d), _seen(spark, d), 4, 9, (6, 9, 11))
 
@@ -56,7 +39,7 @@ def _research(spark, d, mode, search_mode="web"):
     wants = F.when(F.col("position") % 2 == 0, "more").otherwise(F.concat(F.col("query"), F.lit(" (site:reddit.com OR site:news.ycombinator.com OR site:lemmy.world OR site:mastodon.social)")))
     later = every.join(asked, ["research_id", "query_ordinal"]).withColumn("query", wants).drop("query_ordinal")
     refresh = every.filter("position = 1 and source_ordinal = 0").select("research_id", "url")
-    return jobs.research(every, jobs.page_texts(pages), questions, mode, chunk_replies=replies, keep=_keep(spark), queries=asked, later=later, search_mode=search_mode, refresh=refresh), questions
+    return jobs.research(every, jobs.page_texts(pages), questions, mode, chunk_replies=replies, queries=asked, later=later, search_mode=search_mode, refresh=refresh), questions
 
 
 def c6_research_fast(spark, d):

@@ -75,6 +75,13 @@ def shared_folder(spark: SparkSession, tag: str) -> str:
     return f"{root.rstrip('/')}/{tag}-{uuid.uuid4().hex}"
 
 
+def written(df: DataFrame, tag: str) -> DataFrame:
+    """df as a table below the shared folder: what is made of it later holds a scan in its plan, not what it was made of."""
+    path = shared_folder(df.sparkSession, tag)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def read_pages(spark: SparkSession, path: str) -> DataFrame:
     """Raw pages as they were archived: page_id, url, html."""
     return spark.read.parquet(path).select("page_id", "url", "html")
