@@ -9,6 +9,7 @@ from .. import config as C
 from ..functions import text as T
 from ..functions.markup import page
 from ..functions.urls import PARTS_ALL, canonical_url, resolve_url
+from .keywords import keyword_probe
 from .selection import first_by, ordered, top_rows
 
 
@@ -92,13 +93,6 @@ def site_map(pages: DataFrame, n: int) -> DataFrame:
     return top_rows(links.filter(site("link") == site("url")), ["page_id"], ["ordinal"], n).drop("url")
 
 
-def keyword_probe(pages: DataFrame, keywords: DataFrame) -> DataFrame:
-    """Pages with each keyword that their text has, in any case; keywords (a short list) are carried as an array, so pages are not multiplied before the test."""
-    words = keywords.agg(F.sort_array(F.collect_set("keyword")).alias("_words"))
-    hits = T.let(F.lower("text"), lambda t: F.filter("_words", lambda w: F.contains(t, F.lower(w))))
-    return pages.crossJoin(F.broadcast(words)).withColumn("keyword", F.explode(hits)).drop("_words")
-
-
 def kwic(text: Column, keyword: Column, context: int = 40, most: int = 3) -> Column:
     """Up to ``most`` distinct snippets around the keyword's occurrences from left to right, ends marked by dots."""
     lowered, word = F.lower(text), F.lower(keyword)
