@@ -40,8 +40,8 @@ TOKENIZER = "word_bpe_49k.json"
 CAPACITY, END_ID = 4096, 2
 #: Most of a slot that an uncut rest may leave empty.
 WASTE = 1 / 32
-#: Word encodings a task remembers, and those of one more call.
-MEMO = 500_000
+#: Word encodings a Python worker remembers, and those of one more call: some 200 bytes each, 300 MB in all.
+MEMO = 1_500_000
 #: Latin letters up to U+024F become lower case one by one, but for the dotted capital I.
 NOT_LATIN = re.compile("[^\x00-\u012f\u0131-\u024f]")
 #: Tasks whose rests one task of the next level takes.
