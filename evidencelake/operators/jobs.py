@@ -9,10 +9,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import config as C
+from ..functions import querylang as L
 from ..functions import text as T
 from ..functions.urls import canonical_url
 from ..sources.tables import written
@@ -25,9 +26,34 @@ from . import selection as S
 from .extraction import read_pages
 
 
-def url_selection(serp: DataFrame, replies: DataFrame, seen: DataFrame, least: int, most: int, budget: tuple[int, int, int], round_: int = 1, spent: DataFrame | None = None) -> DataFrame:
-    """Crawl list of a round from merged results: the judge's picks (or the first results), topped up, resolved, without what was seen, under the budget less what was ``spent`` (research_id, spent) of it."""
-    picks = J.parse_url_picks(replies, serp, least, most)
+def search_results(queries: DataFrame, responses: DataFrame, sources: list[dict], search_mode: str = "web", most: int = C.RESULTS_PER_QUERY, engine_quota: int | None = None, domain_quota: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """Result set of a round, and its counts: each query is planned for each source, the rows that the source gave are merged by URL, put under the quotas and cut to ``most`` of a query.
+
+    queries: research_id, question, query_ordinal, query; responses: result rows (research_id, query_ordinal, source_ordinal,
+    position, url, ...); sources as of ``querylang.plan_queries``. Rows of sources that are not planned take no part. The result
+    has rank (the place in its query) and query, the counts are of all that took part.
+    """
+    plans = L.plan_queries(queries, L.query_profile(queries), sources, search_mode)
+    given = responses.join(plans.select("research_id", "query_ordinal", "source_ordinal"), ["research_id", "query_ordinal", "source_ordinal"], "left_semi")
+    merged = S.merge_serp(given)
+    kept = S.diversity_quota(merged, most, engine_quota, domain_quota).withColumn("rank", F.col("slot") + 1).drop("slot") if engine_quota or domain_quota else merged.filter(F.col("rank") <= most)
+    return kept.join(queries.select("research_id", "query_ordinal", "query"), ["research_id", "query_ordinal"]), S.serp_counts(given)
+
+
+def url_selection(
+    serp: DataFrame, replies: DataFrame | None, seen: DataFrame, least: int, most: int, budget: tuple[int, int, int], round_: int = 1, spent: DataFrame | None = None,
+    ask: Callable[[Column], Column] | None = None, asked: tuple[DataFrame, DataFrame] | None = None, judged: int = 0,
+) -> DataFrame:
+    """Crawl list of a round from merged results: the judge's picks (or the first results), topped up, resolved, without what was seen, under the budget less what was ``spent`` (research_id, spent) of it.
+
+    The judge sees the first ``judged`` results of each query (0: all). It is a table of replies, or ``ask``, a function of the
+    prompt, which is then made of ``asked`` (questions: research_id, question; queries: research_id, query_ordinal, query).
+    Topping up looks at all results.
+    """
+    shown = S.top_rows(serp, S.KEY, ["rank"], judged)
+    if ask is not None:
+        replies = J.judge(J.url_prompts(shown, *asked), ask)
+    picks = J.parse_url_picks(replies, shown, least, most)
     topped = S.top_up_picks(serp, picks, least, most).withColumn("pick_ordinal", F.row_number().over(Window.partitionBy("research_id", "query_ordinal").orderBy(F.desc("reason"), "result_index")))
     resolved = S.resolve_picks(serp, topped.withColumnRenamed("query_ordinal", "group_index"), most)
     left = S.exclude_seen(resolved, seen)

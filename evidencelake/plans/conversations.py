@@ -50,6 +50,18 @@ def f3_explicit_urls(spark, d):
     return u.withColumn("urls", F.array_join("urls", " "))
 
 
+def t4_url_overflow(spark, d):
+    """Messages with none to seven URLs, one of them in two spellings: five are given, all are counted."""
+    n = (F.col("turn") + F.col("conv_id")) % 8
+    urls = F.transform(F.sequence(F.lit(1).cast("long"), n), lambda k: F.concat(F.lit("(https://e.example/"), k.cast("string"), F.lit("?b=1), ")))
+    text = F.when(n > 0, F.concat(F.array_join(urls, ""), F.lit("https://E.example/1?utm_source=x&b=1."))).otherwise("none")
+    found = V.explicit_urls(table(spark, d, "conversations").select("conv_id", "turn", text.alias("text")))
+    return found.withColumn("urls", F.array_join("urls", " "))
+
+
+T4_SQL = """SELECT conv_id, turn, coalesce(array_to_string(list_transform(range(1, least(n, 5) + 1), lambda k: 'https://e.example/' || k || '?b=1'), ' '), '') AS urls, n > 5 AS overflow, n::INT AS total FROM (SELECT conv_id, turn, (turn + conv_id) % 8 AS n FROM conversations)"""
+
+
 def f6_keywords(spark, d):
     return table(spark, d, "messages").select("conv_id", "turn", F.array_join(F.array_sort(V.keywords(F.col("text"))), ",").alias("words"))
 
@@ -267,6 +279,7 @@ R4_SQL = f"SELECT DISTINCT research_id, query_ordinal, {canon('url')} AS url_key
 
 QUERIES = {
     "f3_explicit_urls": (f3_explicit_urls, f"SELECT conv_id, turn, CASE WHEN turn % 3 = 0 THEN 'https://example.com/a?x=' || conv_id ELSE '' END AS urls, FALSE AS overflow, (turn % 3 = 0)::INT AS total FROM ({MESSAGES})"),
+    "t4_url_overflow": (t4_url_overflow, T4_SQL),
     "f6_keywords": (f6_keywords, F6_SQL),
     "w13_history_window": (w13_history, W13_SQL),
     "w14_shrink_history": (w14_shrink, None),

@@ -7,17 +7,43 @@ from pyspark.sql import functions as F
 
 from ..operators import conversations as V
 from ..operators import jobs
+from ..operators import judging as J
 from ..sources.tables import SESSIONS, sessions, table
 from .chunks import CHUNKS, _chunks
 from .conversations import KEY, _capsules, _sources
-from .providers import _replies
-from .serp import _merged, _queries, _seen
+from .providers import S17_SQL, _replies, s17_url_prompts
+from .serp import W6_SQL, _merged, _queries, _seen
 
 
 def c2_url_selection(spark, d):
     return jobs.url_selection(_merged(spark, d), _replies(spark, d), _seen(spark, d), 4, 9, (6, 9, 11))
 
 
+def c1_search_results(spark, d):
+    """Two sources under quotas of one result an engine and two a domain, four a query."""
+    queries = _queries(spark, d).join(table(spark, d, "questions"), "research_id")
+    found, _ = jobs.search_results(queries, table(spark, d, "serp"), [{"api": "brave"}, {"api": "exa"}], most=4, engine_quota=1, domain_quota=2)
+    return found.select("research_id", "query_ordinal", "url_key", (F.col("rank") - 1).alias("slot"))
+
+
+def c2_judged_selection(spark, d):
+    """The crawl list where the judge is a function of the prompt, which shows it three results of a query."""
+    say = lambda prompt: F.concat(F.lit('I take {"selected": [{"group_index": 1, "result_indices": [2, '), (F.length(prompt) % 3).cast("string"), F.lit(", 7]}]}"))
+    asked = table(spark, d, "questions"), _queries(spark, d)
+    return jobs.url_selection(_merged(spark, d).withColumn("relevance_score", F.lit(0.5)), None, _seen(spark, d), 2, 3, (6, 9, 11), ask=say, asked=asked, judged=3)
+
+
+def x4_judge(spark, d):
+    """What a judge that is a function says to the prompts of S17, and what a table of replies has for them."""
+    prompts = s17_url_prompts(spark, d)
+    said = J.judge(prompts, lambda p: F.concat(F.lit("n="), F.length(p).cast("string")))
+    known = J.judge(prompts, replies=_replies(spark, d).filter("research_id % 2 = 0"))
+    return said.select("research_id", "reply").join(known.select("research_id", F.col("reply").alias("known")), "research_id")
+
+
+X4_SQL = f"""SELECT research_id, 'n=' || length(prompt) AS reply, CASE WHEN research_id % 2 = 0 THEN CASE WHEN research_id % 3 > 0 THEN 'Sure: {{"selected": [{{"group_index": 1, "result_indices": [2, 0, 99, -1, 1]}}, {{"group_index": 9, "result_indices": [0]}}]}} ok' ELSE 'no json' END END AS known FROM ({S17_SQL})"""
+
+
 def c5_select_evidence(spark, d):
     reply = F.concat(F.lit('{"chunk_ids": ["L1-S'), F.col("research_id") + sessions(spark, d), F.lit('-C001"], "verdict": "yes"}'))
     replies = table(spark, d, "questions").select("research_id", F.when(F.col("research_id") % 2 == 0, reply).alias("reply"))
@@ -71,7 +97,10 @@ def c9_followup(spark, d):
 
 
 QUERIES = {
+    "c1_search_results": (c1_search_results, W6_SQL),
+    "c2_judged_selection": (c2_judged_selection, None),
     "c2_url_selection": (c2_url_selection, None),
+    "x4_judge": (x4_judge, X4_SQL),
     "c5_select_evidence": (c5_select_evidence, C5_SQL),
     "c6_research_fast": (c6_research_fast, None),
     "c6_research_full": (c6_research_full, None),

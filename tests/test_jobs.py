@@ -92,3 +92,16 @@ def test_site_probe(spark):
     assert P.probe_stats(probe).collect()[0].asDict() == {"seed_id": 1, "pages_scanned": 2, "pages_failed": 1, "matches_found": 2}
     assert P.site_probe(pages, pages.filter("page_id = 1"), words, 2).count() == 2
     assert P.site_probe(pages.limit(0), pages, words).count() == 0
+
+
+def test_judge_as_a_function_of_the_prompt(spark):
+    rows = [(r, q, k, f"https://h{r}{q}{k}.org/", f"t{k}", "c", "brave", 0.5, None) for r in (1, 2) for q in (0, 1) for k in range(1, 6)]
+    serp = spark.createDataFrame(rows, "research_id long, query_ordinal int, rank int, url string, title string, content string, engine string, relevance_score double, published_date string").withColumn("url_key", F.col("url"))
+    questions = spark.createDataFrame([(1, "one"), (2, "two")], "research_id long, question string")
+    queries = serp.select("research_id", "query_ordinal").distinct().withColumn("query", F.lit("q"))
+    # in the prompt are three results of a query: index 4 is none of them; the second session's judge says nothing
+    say = lambda p: F.when(p.contains("one") & p.contains("[2]") & ~p.contains("[3]"), '{"selected": [{"group_index": 0, "result_indices": [2, 4]}, {"group_index": 1, "result_indices": [1]}]}')
+    seen = serp.limit(0).select("research_id", "url")
+    got = jobs.url_selection(serp, None, seen, 1, 2, (3, 4, 5), ask=say, asked=(questions, queries), judged=3)
+    urls = {r: {x["url"] for x in got.collect() if x["research_id"] == r} for r in (1, 2)}
+    assert urls == {1: {"https://h103.org/", "https://h112.org/"}, 2: {"https://h201.org/", "https://h211.org/"}}
