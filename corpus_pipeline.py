@@ -41,10 +41,11 @@ def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     # all other rows stay: what is joined is the copies alone
     copies = found.filter("not one_stays or n > 1").select(F.col("doc_id").alias("copy_id"), F.hex("digest").alias("copy_of"), "one_stays")
     body = F.upper(F.sha2(F.regexp_replace(F.coalesce("text", F.lit("")), SPACE, "").cast("binary"), 256))
-    met = _beside(docs).withColumn("body", body)
+    # what is shuffled holds each text once
+    met = _beside(docs).withColumns({"body": body, "n_chars": F.length("text")}).select("doc", "doc_id", "body", "n_chars")
     met = met.join(copies, met["doc_id"].eqNullSafe(copies["copy_id"]) & (met["body"] == copies["copy_of"]), "left")
     single = met.filter("one_stays is null").select("doc.*")
-    repeated = met.filter("one_stays").withColumn("at", F.row_number().over(Window.partitionBy("doc_id", "body").orderBy(F.length("text").desc())))
+    repeated = met.filter("one_stays").withColumn("at", F.row_number().over(Window.partitionBy("doc_id", "body").orderBy(F.desc("n_chars"))))
     return single.unionByName(repeated.filter("at = 1").select("doc.*"))
 
 

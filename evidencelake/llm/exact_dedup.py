@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents, materialize, utf8_parts
+from .common import documents, materialize, slices, utf8_parts
 
 #: A group of more rows than this is salted.
 SALT_ROWS = 256
@@ -29,7 +29,7 @@ SALT_ROWS = 256
 #: 4 MB. Any other group is then smaller than 1/MOST_HOT of the rows.
 MOST_HOT = 65_536
 #: Bytes of text that a task remembers for its local combine. Forgetting sends a text twice; no result changes.
-LOCAL_BYTES = 64 << 20
+LOCAL_BYTES = 32 << 20
 
 BLANKS = b"\x20\x09\x0a\x0b\x0c\x0d"
 
@@ -38,7 +38,7 @@ MERGED = "kind int, row long, doc_id long, n_chars long, digest binary, part lon
 
 
 def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
+    for b in slices(batches):
         found = [hashlib.sha256(t.translate(None, BLANKS)).digest() for t in utf8_parts(b.column("text"))]
         yield pa.record_batch({"digest": pa.array(found, pa.binary())})
 
@@ -47,7 +47,7 @@ def _combine_locally(hot):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
         row, held, seen = part << 40, 0, {}
-        for b in batches:
+        for b in slices(batches):
             out = {n: [] for n in ("row", "doc_id", "n_chars", "digest", "salt", "rep", "body")}
             for doc_id, n_chars, raw in zip(b.column("doc_id").to_pylist(), b.column("n_chars").to_pylist(), utf8_parts(b.column("text"))):
                 body = raw.translate(None, BLANKS)
@@ -107,7 +107,7 @@ def _merge_salts(hot):
             out.clear()
             return b
 
-        for b in batches:
+        for b in slices(batches):
             for row, doc_id, n_chars, digest, salt, rep, body in zip(*(b.column(n).to_pylist() for n in ("row", "doc_id", "n_chars", "digest", "salt", "rep", "body"))):
                 if (digest, salt) != key:
                     close()
@@ -136,7 +136,7 @@ def _merge_winners(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
     def close() -> None:
         out.extend((p, c["size"], c["best"][0], c["best"][1]) for c in classes for p in c["parts"])
 
-    for b in batches:
+    for b in slices(batches):
         for digest, part, size, row, doc_id, n_chars, body in zip(*(b.column(n).to_pylist() for n in ("digest", "part", "size", "keep_row", "keep_id", "keep_chars", "body"))):
             if digest != key:
                 close()
