@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,6 +16,7 @@ from ..functions.urls import canonical_url, citation_id, conversation_url_key
 from .selection import first_by, ordered, top_rows
 
 EVIDENCE = "array<struct<title:string,url:string,chunks:array<struct<chunk_id:string,text:string>>>>"
+HAN = re.compile(T.HAN)
 CAPSULE = f"struct<version:int,turn_id:string,standalone_question:string,queries:array<string>,evidence:{EVIDENCE}>"
 
 
@@ -55,7 +58,7 @@ def history_window(messages: DataFrame) -> DataFrame:
 
 
 def _est(text: str) -> int:
-    han = sum("㐀" <= c <= "鿿" for c in text)
+    han = 0 if text.isascii() else len(HAN.findall(text))
     return han + (len(text) - han + 3) // 4
 
 
@@ -90,20 +93,41 @@ def recent_conversations(conversations: DataFrame, n: int = 24) -> DataFrame:
     return conversations.orderBy(F.desc("updated_at"), "conv_id").limit(n)
 
 
+def distinct_chunks(chunks: Column) -> Column:
+    """Chunks without repeats, in order. Where ids repeat, chunks are told apart as strings, which Spark hashes; it would compare each struct with all before it."""
+    key = lambda chunks: F.transform(chunks, lambda c: F.concat(F.coalesce(F.length(c["chunk_id"]), F.lit(-1)), F.lit(":"), F.coalesce(c["chunk_id"], F.lit("")), F.coalesce(F.concat(F.lit("="), c["text"]), F.lit(""))))
+    ids = lambda chunks: F.array_distinct(F.transform(chunks, lambda c: c["chunk_id"]))
+
+    def chunk(k: Column) -> Column:
+        size = F.substring_index(k, ":", 1)
+        at, n = F.length(size) + 2, F.greatest(size.cast("int"), F.lit(0))
+        text = F.substr(k, at + n, F.length(k))
+        return F.struct(F.when(~size.startswith("-"), F.substr(k, at, n)).alias("chunk_id"), F.when(text != "", F.substr(text, F.lit(2), F.length(text))).alias("text"))
+
+    return T.let(chunks, lambda all_: F.when(F.size(ids(all_)) == F.size(all_), all_).otherwise(F.transform(F.array_distinct(key(all_)), chunk)))
+
+
 def clean_evidence(evidence: Column, turn_id: Column | None = None) -> Column:
     """Sources with a URL and chunks with a text; chunk ids carry the turn once, (id, text) pairs are distinct, titles fall back to the URL."""
 
-    def chunk(c: Column, i: Column) -> Column:
+    def chunk(c: Column, i: Column, turn: Column) -> Column:
         own = F.coalesce(F.nullif(c["chunk_id"], F.lit("")), F.concat(F.lit("C"), (i + 1).cast("string")))
-        named = own if turn_id is None else F.when((turn_id == "") | own.startswith(F.concat(turn_id, F.lit(":"))), own).otherwise(F.concat(turn_id, F.lit(":"), own))
+        named = own if turn_id is None else F.when((turn == "") | own.startswith(F.concat(turn, F.lit(":"))), own).otherwise(F.concat(turn, F.lit(":"), own))
         return F.struct(named.alias("chunk_id"), F.trim(F.coalesce(c["text"], F.lit(""))).alias("text"))
 
-    def source(s: Column) -> Column:
+    def source(s: Column, turn: Column) -> Column:
         url = F.trim(F.coalesce(s["url"], F.lit("")))
-        chunks = F.array_distinct(F.filter(F.transform(F.coalesce(s["chunks"], F.array().cast("array<struct<chunk_id:string,text:string>>")), chunk), lambda c: c["text"] != ""))
-        return F.struct(T.cut(F.coalesce(F.nullif(s["title"], F.lit("")), url), 800).alias("title"), url.alias("url"), chunks.alias("chunks"))
+        chunks = F.filter(F.transform(F.coalesce(s["chunks"], F.array().cast("array<struct<chunk_id:string,text:string>>")), lambda c, i: chunk(c, i, turn)), lambda c: c["text"] != "")
+        return F.struct(T.cut(F.coalesce(F.nullif(s["title"], F.lit("")), url), 800).alias("title"), url.alias("url"), distinct_chunks(chunks).alias("chunks"))
+
+    # bound once: what evidence and turn are made of would otherwise be computed for each chunk
+    known = F.struct(F.coalesce(evidence, F.array().cast(EVIDENCE)).alias("e"), (F.lit("") if turn_id is None else turn_id).alias("turn"))
+    return T.let(known, lambda k: F.filter(F.transform(k["e"], lambda s: source(s, k["turn"])), lambda s: (s["url"] != "") & (F.size(s["chunks"]) > 0)))
+
 
-    return F.filter(F.transform(F.coalesce(evidence, F.array().cast(EVIDENCE)), source), lambda s: (s["url"] != "") & (F.size(s["chunks"]) > 0))
+def _once(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """df with a column that is computed once a row: the task number, which is not a function of the row, keeps it a projection of its own."""
+    return df.withColumn("_o", F.struct(value.alias("v"), F.spark_partition_id().alias("task"))).withColumn(name, F.col("_o.v")).drop("_o")
 
 
 def pack_tokens(chunks: DataFrame, group: list[str], budget: int) -> DataFrame:
@@ -112,34 +136,38 @@ def pack_tokens(chunks: DataFrame, group: list[str], budget: int) -> DataFrame:
     A skipped row costs nothing, so any later row may still fit: all rows are looked at. They come in order of their
     group, and what is kept of a group is the tokens used and the slots filled, however many rows it has.
     """
-    order = ["chunk_rank", "source_rank"]
-    columns = [*chunks.columns, "slot", "tokens"]
+    given = chunks.columns
+    names = [*given, "slot", "tokens"]
 
-    def pack(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, used, slot = None, 0, 0
-        for frame in frames:
-            out = []
-            for x in frame.to_dict("records"):
-                if (key := tuple(x[c] for c in group)) != now:
+        for batch in batches:
+            kept, texts, slots, tokens, column = [], [], [], [], batch.column("text")
+            for i, key in enumerate(zip(*(batch.column(c).to_pylist() for c in group))):
+                if key != now:
                     now, used, slot = key, 0, 0
-                text, left = (x["text"] or "").strip(), budget - used
-                if left <= 0:
+                if (left := budget - used) <= 0:
                     continue
-                if _est(text) > left:
+                text = (column[i].as_py() or "").strip()
+                if (n := _est(text)) > left:
                     text = _cut(text, max(240, left * 3))
-                if text and _est(text) <= left:
-                    used += _est(text)
-                    out.append({**x, "text": text, "slot": slot, "tokens": _est(text)})
-                    slot += 1
-            yield pd.DataFrame(out, columns=columns)
+                    n = _est(text)
+                if text and n <= left:
+                    for made, x in ((kept, i), (texts, text), (slots, slot), (tokens, n)):
+                        made.append(x)
+                    used, slot = used + n, slot + 1
+            rows = batch.take(pa.array(kept, pa.int64()))
+            own = [pa.array(texts, column.type) if c == "text" else rows.column(c) for c in given]
+            yield pa.RecordBatch.from_arrays([*own, pa.array(slots, pa.int64()), pa.array(tokens, pa.int64())], names)
 
-    dealt = chunks.repartition(*group).sortWithinPartitions(*group, *order)
-    return dealt.mapInPandas(pack, ", ".join(f"{n} {t}" for n, t in chunks.dtypes) + ", slot long, tokens long")
+    dealt = chunks.repartition(*group).sortWithinPartitions(*group, "chunk_rank", "source_rank")
+    return dealt.mapInArrow(pack, ", ".join(f"{n} {t}" for n, t in chunks.dtypes) + ", slot long, tokens long")
 
 
 def pack_capsules(capsules: DataFrame, budget: int = C.CAPSULE_TOKENS) -> DataFrame:
     """Capsules (turn_id, evidence, ...) whose chunks, taken in turns over sources, fit the budget; sources and chunks stay in order, and sources without a chunk go."""
-    each = capsules.select("turn_id", F.posexplode(clean_evidence(F.col("evidence"), F.col("turn_id"))).alias("source_rank", "s"))
+    clean = _once(capsules.select("turn_id", "evidence"), "evidence", clean_evidence(F.col("evidence"), F.col("turn_id")))
+    each = clean.select("turn_id", F.posexplode("evidence").alias("source_rank", "s"))
     rows = each.select("turn_id", "source_rank", "s.title", "s.url", F.posexplode("s.chunks").alias("chunk_rank", "c")).select("turn_id", "source_rank", "title", "url", "chunk_rank", "c.chunk_id", "c.text")
     taken = pack_tokens(rows, ["turn_id"], budget)
     sources = taken.groupBy("turn_id", "source_rank").agg(F.first("title").alias("title"), F.first("url").alias("url"), ordered(F.struct("chunk_id", "text"), ["chunk_rank"]).alias("chunks"))
@@ -152,7 +180,7 @@ def seal_capsules(capsules: DataFrame, key: str) -> DataFrame:
     capsules = pack_capsules(capsules)
     body = F.struct(
         F.lit(C.CAPSULE_VERSION).alias("version"), "turn_id", T.cut(F.col("standalone_question"), 4000).alias("standalone_question"),
-        F.slice(F.transform(F.filter("queries", lambda q: F.trim(q) != ""), lambda q: T.cut(q, 600)), 1, 3).alias("queries"), clean_evidence(F.col("evidence"), F.col("turn_id")).alias("evidence"),
+        F.slice(F.transform(F.filter("queries", lambda q: F.trim(q) != ""), lambda q: T.cut(q, 600)), 1, 3).alias("queries"), "evidence",
     )
     return capsules.select("turn_id", F.base64(F.aes_encrypt(F.to_json(body), F.lit(key), F.lit("GCM"))).alias("token"))
 
@@ -161,9 +189,9 @@ def unseal_capsules(tokens: DataFrame, key: str) -> DataFrame:
     """Capsules of the first eight tokens (conv_id, at, token) of each conversation; blank, overlong, tampered, foreign and empty ones are left out."""
     first = top_rows(tokens, ["conv_id"], ["at"], 8).filter((F.trim(F.coalesce("token", F.lit(""))) != "") & (F.length("token") <= 180000))
     plain = F.try_aes_decrypt(F.expr("try_to_binary(token, 'base64')"), F.lit(key), F.lit("GCM")).cast("string")
-    opened = first.withColumn("c", F.from_json(plain, CAPSULE)).filter(F.col("c.version") == C.CAPSULE_VERSION)
-    cleaned = opened.select("conv_id", "at", "c.turn_id", "c.standalone_question", "c.queries", clean_evidence(F.col("c.evidence"), F.coalesce("c.turn_id", F.lit(""))).alias("evidence"))
-    return cleaned.filter(F.size("evidence") > 0)
+    opened = _once(first, "c", F.from_json(plain, CAPSULE)).filter(F.col("c.version") == C.CAPSULE_VERSION)
+    cleaned = _once(opened, "evidence", clean_evidence(F.col("c.evidence"), F.coalesce("c.turn_id", F.lit(""))))
+    return cleaned.select("conv_id", "at", "c.turn_id", "c.standalone_question", "c.queries", "evidence").filter(F.size("evidence") > 0)
 
 
 def research_ledger(capsules: DataFrame) -> DataFrame:
@@ -212,7 +240,7 @@ def merge_evidence(current: DataFrame, prior: DataFrame) -> DataFrame:
     both = current.withColumn("_p", F.lit(0)).unionByName(prior.withColumn("_p", F.lit(1)))
     keyed = both.withColumn("k", conversation_url_key(F.col("url"))).filter((F.col("k") != "") & (F.size("chunks") > 0))
     at = F.struct("_p", "source_order")
-    merged = keyed.groupBy("conv_id", "k").agg(F.min(at).alias("first"), F.min_by("title", at).alias("title"), F.min_by("url", at).alias("url"), F.array_distinct(F.flatten(ordered(F.col("chunks"), ["_p", "source_order"]))).alias("chunks"))
+    merged = keyed.groupBy("conv_id", "k").agg(F.min(at).alias("first"), F.min_by("title", at).alias("title"), F.min_by("url", at).alias("url"), distinct_chunks(F.flatten(ordered(F.col("chunks"), ["_p", "source_order"]))).alias("chunks"))
     numbered = merged.withColumn("source_index", F.row_number().over(Window.partitionBy("conv_id").orderBy("first"))).withColumn("citation_id", citation_id(F.col("url")))
     return numbered.withColumn("citation_marker", F.format_string("[citation](%d:%s)", "source_index", "citation_id")).drop("k", "first")
 

@@ -82,3 +82,15 @@ def test_shrink_history_by_plain_loop(spark):
             break
         texts[old[0]] = shorter
     assert [r["content"] for r in V.shrink_history(df, 1200).orderBy("at").collect()] == texts
+
+
+def test_tokens_are_opened_once_a_row(spark):
+    df = spark.createDataFrame([(1, 0, "x")], "conv_id long, at int, token string")
+    plan = V.unseal_capsules(df, KEY)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("aesDecrypt") == 1 and plan.lower().count("from_json") + plan.lower().count("jsontostructs") == 1
+
+
+def test_chunks_without_repeats(spark):
+    rows = [("a", "1"), ("a", "2"), ("a", "1"), (None, "1"), (None, None), ("", "1"), ("a", None), ("a", ""), (None, "1"), ("漢:", "x"), ("漢", ":x"), ("a", None)]
+    df = spark.createDataFrame([(rows,), (rows[:2],), ([("b", "1"), ("a", "1")],), ([],)], "c array<struct<chunk_id:string,text:string>>")
+    assert [[tuple(x) for x in r[0]] for r in df.select(V.distinct_chunks(F.col("c"))).collect()] == [list(dict.fromkeys(rows)), rows[:2], [("b", "1"), ("a", "1")], []]
