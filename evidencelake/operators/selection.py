@@ -235,26 +235,31 @@ def diversity_quota(results: DataFrame, limit: int, engine_quota: int | None, do
     return _streamed(keyed, KEY, ["rank"], lambda _: _Quota(limit, engine_quota, domain_quota), f"{kinds}, slot long").drop("_engine", "_domain")
 
 
+class _Spread:
+    """The sources of a research, a handful of rows, with the quotas that they have after all rounds."""
+
+    def __init__(self, first: dict):
+        self.left, self.rows = max(0, int(first["total"])), []
+
+    def see(self, x: dict) -> None:
+        self.rows.append(x)
+
+    def end(self) -> list[dict]:
+        while self.left > 0 and (open_ := [x for x in self.rows if x["per_query"] < x["cap"]]):
+            share, more = divmod(self.left, len(open_))
+            for i, x in enumerate(open_):
+                given = min(share + (i < more), x["cap"] - x["per_query"])
+                x["per_query"] += given
+                self.left -= given
+        return self.rows
+
+
 def redistribute_quota(sources: DataFrame, total: Column) -> DataFrame:
     """Quotas of each research's sources (ordinal, api, per_query) after spreading ``total`` evenly over those below their cap, rounds until spent."""
     cap = F.coalesce(F.create_map(*(F.lit(x) for p in C.PROVIDER_CAPS.items() for x in p))[F.col("api")], F.lit(100))
     rows = sources.select("research_id", "ordinal", "api", F.col("per_query").cast("long").alias("per_query"), cap.cast("long").alias("cap"), total.cast("long").alias("total"))
 
-    def spread(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values("ordinal").reset_index(drop=True)
-        left = max(0, int(g["total"].iloc[0]))
-        while left > 0:
-            open_ = g.index[g["per_query"] < g["cap"]]
-            if not len(open_):
-                break
-            share = pd.Series(left // len(open_), index=open_)
-            share.iloc[: left % len(open_)] += 1
-            given = pd.concat([share, g.loc[open_, "cap"] - g.loc[open_, "per_query"]], axis=1).min(axis=1)
-            g.loc[open_, "per_query"] += given
-            left -= int(given.sum())
-        return g.drop(columns="total")
-
-    return rows.groupBy("research_id").applyInPandas(spread, "research_id long, ordinal long, api string, per_query long, cap long")
+    return _streamed(rows, ["research_id"], ["ordinal"], _Spread, "research_id long, ordinal long, api string, per_query long, cap long")
 
 
 def site_queries(queries: DataFrame, n: int = C.MOST_SITE_QUERIES) -> DataFrame:
