@@ -47,10 +47,12 @@ def candidate_score(mode: str) -> Column:
 def attempts(pages: DataFrame) -> DataFrame:
     """The best candidate of each page and mode, cleaned: page_id, url, html_len, modes (general, strict or both), source, title, text, steps, metrics, quality, scope.
 
-    pages: page_id, url, html. What both modes do alike is done once, and a candidate that wins both is one row.
+    pages: page_id, url, html. What both modes do alike is done once, and a candidate that wins both is one row. The whole is one
+    pass over the pages: a page without a candidate goes along with an empty text, and has its own again before it is cleaned.
     """
-    found = candidates(pages)
-    trimmed = postprocess(found.filter("i >= 0"), "both")
+    none = F.col("i") < 0
+    found = candidates(pages).withColumn("whole", F.when(none, F.col("text"))).withColumn("text", F.when(none, "").otherwise(F.col("text")))
+    trimmed = postprocess(found, "both")
     scored = _measured(trimmed).withColumn("noise", noise_penalty(F.col("text"), F.col("title")))
     place = F.struct((-F.col("i")).alias("i"), "mode")
     for mode in ("general", "strict"):
@@ -59,8 +61,8 @@ def attempts(pages: DataFrame) -> DataFrame:
     modes = F.filter(F.array(*(F.when(F.col(m) & F.col("mode").isin("both", m), m) for m in ("general", "strict"))), lambda x: x.isNotNull())
     won = scored.withColumn("modes", modes).filter(F.size("modes") > 0)
     own = ["page_id", "url", "head", "html_len", "source", "title", "text", "steps", "modes"]
-    bare = found.filter("i < 0").withColumns({"steps": F.array().cast(won.schema["steps"].dataType), "modes": F.array(F.lit("general"), F.lit("strict"))})
-    both = won.select(*own).unionByName(bare.select(*own)).withColumn("before", F.length("text"))
+    whole = {"text": F.when(none, F.col("whole")).otherwise(F.col("text")), "steps": F.when(none, F.array().cast(won.schema["steps"].dataType)).otherwise(F.col("steps"))}
+    both = won.withColumns(whole).select(*own).withColumn("before", F.length("text"))
     cleaned = clean_content(cleanup.sanitize(both, "text"))
     step = F.struct(F.lit("pipeline").alias("step"), F.col("before"), F.length("text").alias("after"))
     done = _measured(cleaned.withColumn("steps", F.concat("steps", F.array(step))))

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from .. import config as C
 from ..functions import text as T
-from .pages import LEADING_UI, TRAILING
 
 SENTENCE = "[.!?。！？]"
 
@@ -30,7 +29,7 @@ def occurrences(text: Column, words: Column, reach: Column) -> Column:
 
 
 def _from_anchor(text: Column, words: Column, reach, score, more) -> Column:
-    """The text from the occurrence with the greatest positive score on; the first of equal ones. ``score`` goes by the place alone and is taken once for each, ``more`` adds to it by the word."""
+    """The text from the occurrence with the greatest positive score on; the first of equal ones. ``score`` goes by the place alone and is taken once for each, ``more`` (words, occurrences, one of them) adds to it by the word."""
 
     def cut(b: Column) -> Column:
         found = occurrences(b["t"], b["w"], reach(F.length(b["t"])))
@@ -38,7 +37,7 @@ def _from_anchor(text: Column, words: Column, reach, score, more) -> Column:
         def rate(o: Column) -> Column:
             at = F.array_distinct(F.filter(F.transform(o, lambda x: x["p"]), lambda p: p > 0))
             base = F.map_from_arrays(at, F.transform(at, lambda p: score(b["t"], F.struct(p.alias("p")))))
-            each = lambda m: F.transform(F.filter(o, lambda x: x["p"] > 0), lambda x: F.struct((F.element_at(m, x["p"]) + more(o, x)).cast("long").alias("s"), (-x["k"]).alias("k"), (-x["p"]).alias("p")))
+            each = lambda m: F.transform(F.filter(o, lambda x: x["p"] > 0), lambda x: F.struct((F.element_at(m, x["p"]) + more(b["w"], o, x)).cast("long").alias("s"), (-x["k"]).alias("k"), (-x["p"]).alias("p")))
             return T.let(base, each)
 
         rated = T.let(found, rate)
@@ -63,7 +62,7 @@ def title_anchor(text: Column, title: Column) -> Column:
     def score(t: Column, x: Column) -> Column:
         def rate(lines: Column) -> Column:
             tail = lambda n: F.slice(lines, F.greatest(F.size(lines) - n + 1, F.lit(1)), F.lit(n))
-            marks = T.let(F.array_join(tail(12), "\n"), lambda near: F.struct(T.count(near, C.LEADING_UI).alias("ui"), T.nav_hits(near).alias("nav"), T.count(near, r"(?:^|\n)\s*[-|>/]+\s*").alias("crumbs")))
+            marks = T.let(F.array_join(tail(12), "\n"), lambda near: F.struct(T.count(near, T.LEADING_SCAN).alias("ui"), T.nav_hits(near).alias("nav"), T.count(near, r"(?:^|\n)\s*[-|>/]+\s*").alias("crumbs")))
             short = F.size(F.filter(tail(8), lambda v: F.length(v) <= 24))
             head = F.coalesce(F.get(lines, F.lit(0)), F.lit("")).startswith("#")
 
@@ -75,7 +74,7 @@ def title_anchor(text: Column, title: Column) -> Column:
 
         return T.let(T.lines_of(F.substr(t, F.lit(1), x["p"])), rate)
 
-    def again(all_: Column, x: Column) -> Column:
+    def again(_: Column, all_: Column, x: Column) -> Column:
         return F.when(F.exists(all_, lambda y: (y["k"] == x["k"]) & (y["p"] > x["p"])), 180).otherwise(0)
 
     return _from_anchor(text, title_starts(title), lambda n: F.least(F.lit(2500), F.greatest(F.lit(600), F.floor(n * 0.35).cast("int"))), score, again)
@@ -83,26 +82,26 @@ def title_anchor(text: Column, title: Column) -> Column:
 
 def heading_anchor(text: Column) -> Column:
     """The text from its first heading on, if 80 characters or more stand before it and it starts within the first 2500."""
-    before = F.length(F.split(F.substring(text, 1, 2500), r"(?U)(?<!\w)(?=#{1,3}\s+\S)", 2)[0])
-    return F.when((before >= 80) & (before < F.least(F.length(text), F.lit(2500))), F.substr(text, before + 1, F.length(text))).otherwise(text)
+    before = F.length(F.split(F.substring(text, 1, 2500), r"(?U)(?=#{1,3}\s+\S)(?<!\w)", 2)[0])
+    return T.let(before, lambda n: F.when((n >= 80) & (n < F.least(F.length(text), F.lit(2500))), F.substr(text, n + 1, F.length(text))).otherwise(text))
 
 
 def shell_line(x: Column) -> Column:
     """Interface words, footnote marks, and short lines without a sentence."""
-    words = (F.regexp_count(x, F.lit(KANJI)) >= 2) | x.rlike("[A-Za-z]{2,}")
-    short = (F.length(x) <= 18) & ~x.rlike(MARKS) & ~x.rlike("https?://") & (x.rlike(f"(?i){T.NAV}") | (words & ~x.rlike(r"(?U)\d{2,}")))
-    return (x != "") & (x.rlike(C.FOOTNOTE_LINE) | x.rlike(f"(?i){C.SHELL_LINE}") | x.contains("另開新視窗") | x.isin("小", "中", "大") | short)
+    words = x.rlike(f"(?s){KANJI}.*{KANJI}") | x.rlike("[A-Za-z]{2,}")
+    short = (F.length(x) <= 18) & ~x.rlike(MARKS) & ~x.contains("http://") & ~x.contains("https://") & (x.rlike(f"(?i){T.NAV_SCAN}") | (words & ~x.rlike(r"(?U)\d{2,}")))
+    return (x != "") & (x.rlike(C.FOOTNOTE_LINE) | x.rlike(f"(?i){T.SHELL_SCAN}") | x.contains("另開新視窗") | x.isin("小", "中", "大") | short)
 
 
 def prose_line(x: Column) -> Column:
     han, words, stop = F.regexp_count(x, F.lit(KANJI)), F.regexp_count(x, F.lit("[A-Za-z]{3,}")), x.rlike("[。！？.!?；;：:]")
     told = ((han >= 16) & (stop | (F.regexp_count(x, F.lit(C.CONNECTIVE)) >= 4))) | ((words >= 10) & stop)
-    return (F.length(x) >= 32) & ~x.rlike(f"(?i){C.SHELL_LINE}") & ~x.rlike(r"(?U)^[#\[\](){}<>|/:：\-_=*.\s]+$") & F.when(x.rlike("https?://"), F.length(x) >= 80).otherwise(told)
+    return (F.length(x) >= 32) & ~x.rlike(f"(?i){T.SHELL_SCAN}") & ~x.rlike(r"(?U)^[#\[\](){}<>|/:：\-_=*.\s]+$") & F.when(x.contains("http://") | x.contains("https://"), F.length(x) >= 80).otherwise(told)
 
 
 def heading_line(x: Column) -> Column:
-    bare = T.stripped(F.regexp_replace(x, "^#+", ""))
-    return (bare != "") & (F.length(bare) <= 36) & ~bare.rlike("https?://") & ~bare.rlike(MARKS) & ((F.regexp_count(bare, F.lit(KANJI)) >= 2) | bare.rlike("[A-Za-z]{2,}"))
+    fits = lambda bare: (bare != "") & (F.length(bare) <= 36) & ~bare.rlike("https?://") & ~bare.rlike(MARKS) & (bare.rlike(f"(?s){KANJI}.*{KANJI}") | bare.rlike("[A-Za-z]{2,}"))
+    return T.let(T.stripped(F.regexp_replace(x, "^#+", "")), fits)
 
 
 def trim_shell(text: Column) -> Column:
@@ -116,8 +115,8 @@ def trim_shell(text: Column) -> Column:
             first = F.array_min(F.filter(F.transform(F.slice(b, 1, 180), lambda x, i: F.when(prose_line(x), i)), lambda i: i.isNotNull()))
 
             def start(p: Column) -> Column:
-                title = lambda n: F.coalesce((p >= n) & heading_line(F.get(b, F.greatest(p - n, F.lit(0)))), F.lit(False))
-                return p - F.when(title(1) & title(2) & title(3), 3).when(title(1) & title(2), 2).when(title(1), 1).otherwise(0)
+                titles = F.transform(F.array(F.lit(1), F.lit(2), F.lit(3)), lambda n: F.coalesce((p >= n) & heading_line(F.get(b, F.greatest(p - n, F.lit(0)))), F.lit(False)))
+                return T.let(titles, lambda t: p - F.when(t[0] & t[1] & t[2], 3).when(t[0] & t[1], 2).when(t[0], 1).otherwise(0))
 
             at = T.let(first, start)
             return T.let(at, lambda p: F.when((shells >= 6) & (p >= 8), F.slice(b, p + 1, F.greatest(F.size(b) - p, F.lit(0)))).otherwise(b))
@@ -133,7 +132,7 @@ def trim_sections(text: Column) -> Column:
 
     def kept(lines: Column) -> Column:
         least = F.greatest(F.lit(4), F.floor(F.size(lines) * 0.18).cast("int"))
-        cut = F.array_min(F.filter(F.transform(lines, lambda x, i: F.when((i >= least) & x.rlike(f"(?i){C.CUT_LINE}"), i)), lambda i: i.isNotNull()))
+        cut = F.array_min(F.filter(F.transform(lines, lambda x, i: F.when((i >= least) & x.rlike(f"(?i){T.CUT_SCAN}"), i)), lambda i: i.isNotNull()))
         return F.when(F.size(lines) < 12, T.stripped(text)).otherwise(T.let(F.coalesce(cut, F.size(lines)), lambda n: F.array_join(F.slice(lines, F.lit(1), n), "\n")))
 
     return T.let(T.lines_of(text), kept)
@@ -146,13 +145,12 @@ def title_parts(title: Column) -> Column:
 
 
 def _part_anchor(text: Column, title: Column) -> Column:
-    parts = title_parts(title)
-
     def score(t: Column, x: Column) -> Column:
         shells = T.let(T.lines_of(F.substr(t, F.lit(1), x["p"])), lambda v: F.size(F.filter(F.slice(v, F.greatest(F.size(v) - 17, F.lit(1)), F.lit(18)), shell_line)))
         return T.let(shells, lambda n: x["p"] + n * 140 + F.when(n >= 6, 180).otherwise(0))
 
-    return _from_anchor(text, parts, lambda n: F.least(F.lit(3200), F.greatest(F.lit(900), F.floor(n * 0.45).cast("int"))), score, lambda all_, x: F.when(F.length(F.get(parts, x["k"])) <= 8, 80).otherwise(0))
+    brief = lambda words, _, x: F.when(F.length(F.get(words, x["k"])) <= 8, 80).otherwise(0)
+    return _from_anchor(text, title_parts(title), lambda n: F.least(F.lit(3200), F.greatest(F.lit(900), F.floor(n * 0.45).cast("int"))), score, brief)
 
 
 def clean_content(pages: DataFrame) -> DataFrame:
@@ -190,7 +188,7 @@ def trim_leading(text: Column) -> Column:
     def kept(lines: Column) -> Column:
         prose = F.filter(F.transform(lines, lambda x, i: F.when((F.length(x) >= 80) | x.rlike(SENTENCE), i)), lambda i: i.isNotNull())
         first = F.coalesce(F.array_min(prose), F.lit(0))
-        noise = lambda x: ~x.startswith("#") & (x.rlike(f"(?i){LEADING_UI}") | x.rlike(r"^[-|>/\s]+"))
+        noise = lambda x: ~x.startswith("#") & (x.rlike(f"(?i){T.LEADING_SCAN}") | x.rlike(r"^[-|>/\s]+"))
         return T.let(F.struct(lines.alias("l"), first.alias("first")), lambda b: F.array_join(F.filter(b["l"], lambda x, i: (i >= b["first"]) | ~noise(x)), "\n"))
 
     return T.let(T.lines_of(text), kept)
@@ -202,7 +200,7 @@ def trim_trailing(text: Column) -> Column:
     def cut(lines: Column) -> Column:
         n = F.size(lines)
         start = F.greatest(F.lit(2), F.floor(n * 0.55).cast("int"), n - 20)
-        hits = F.filter(F.transform(lines, lambda x, i: F.when((i >= start) & x.rlike(f"(?i){TRAILING}"), i)), lambda i: i.isNotNull())
+        hits = F.filter(F.transform(lines, lambda x, i: F.when((i >= start) & x.rlike(f"(?i){T.TRAILING_SCAN}"), i)), lambda i: i.isNotNull())
         prose = lambda upto: F.array_max(F.filter(F.transform(lines, lambda x, i: F.when((i < upto) & ((F.length(x) > 120) | x.rlike(SENTENCE)), i)), lambda i: i.isNotNull()))
         at = T.let(F.array_min(hits), lambda h: F.greatest(F.coalesce(prose(h), F.lit(0)) + 1, F.lit(1)))
         return F.when((n >= 4) & (F.size(hits) > 0) & (at >= 2), F.array_join(F.slice(lines, F.lit(1), at), "\n")).otherwise(F.array_join(lines, "\n"))
