@@ -8,6 +8,7 @@ from evidencelake import config as C
 from evidencelake.functions import cleanup
 from evidencelake.functions import text as T
 from evidencelake.operators import extraction as E
+from evidencelake.operators import pages as P
 from pyspark.sql import functions as F
 
 
@@ -53,3 +54,14 @@ def test_links_go_step_by_step(spark):
     given = ["a [b](c) ![i](j)\r\n\r\n\r\n\r\nx \t y", " \u3000 lead\n \n tail \xa0", "[ ]( u ) [k](javascript:void(0)) javascript:void(1)", '; "t") __ Advertisement__ Advertisement advertisements', "", None, "a\u2003 b\n  \n\n \nc"]
     got = [r[0] for r in spark.createDataFrame([(t,) for t in given], "t string").select(T.strip_md_links(F.col("t"))).collect()]
     assert got == ["a b\n\nx y", "lead\n\ntail", "k)", "advertisements", "", "", "a b\n\nc"]
+
+
+def test_a_site_probe_reads_texts_once(spark, tmp_path):
+    path = str(tmp_path / "pages")
+    prose = "This is a sentence of the story that goes on for a while, with a comma and then an end. " * 8
+    rows = [(1, "http://h/1", f"<p>{prose}</p><a href='/2'>two</a>"), (2, "http://h/2", f"<p>{prose}</p>"), (3, "http://h/3", "<p>tiny</p>")]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(path)
+    pages, words = spark.read.parquet(path), spark.createDataFrame([(0, "story")], "ordinal int, keyword string")
+    probe = P.site_probe(pages, pages, words)
+    assert plan(probe).count("[_pages(") == 1  # for the links
+    assert sorted((r["seed_id"], r["page_id"], r["ok"], len(r["snippets"])) for r in probe.collect()) == [(1, 1, True, 2), (1, 2, True, 2), (2, 2, True, 2), (3, 3, False, 0)]
