@@ -62,7 +62,7 @@ def title_anchor(text: Column, title: Column) -> Column:
     def score(t: Column, x: Column) -> Column:
         def rate(lines: Column) -> Column:
             tail = lambda n: F.slice(lines, F.greatest(F.size(lines) - n + 1, F.lit(1)), F.lit(n))
-            marks = T.let(F.array_join(tail(12), "\n"), lambda near: F.struct(T.count(near, T.LEADING_SCAN).alias("ui"), T.nav_hits(near).alias("nav"), T.count(near, r"(?:^|\n)\s*[-|>/]+\s*").alias("crumbs")))
+            marks = T.let(F.array_join(tail(12), "\n"), lambda near: F.struct(T.count_marks(near, C.LEADING_UI).alias("ui"), T.nav_hits(near).alias("nav"), T.count(near, r"(?:^|\n)\s*[-|>/]+\s*").alias("crumbs")))
             short = F.size(F.filter(tail(8), lambda v: F.length(v) <= 24))
             head = F.coalesce(F.get(lines, F.lit(0)), F.lit("")).startswith("#")
 
@@ -198,12 +198,12 @@ def trim_trailing(text: Column) -> Column:
     """The text up to the first section word in its last part, and up to the last line of prose before that; at least two lines stay."""
 
     def cut(lines: Column) -> Column:
-        n = F.size(lines)
+        n, whole = F.size(lines), F.array_join(lines, "\n")
         start = F.greatest(F.lit(2), F.floor(n * 0.55).cast("int"), n - 20)
         hits = F.filter(F.transform(lines, lambda x, i: F.when((i >= start) & x.rlike(f"(?i){T.TRAILING_SCAN}"), i)), lambda i: i.isNotNull())
         prose = lambda upto: F.array_max(F.filter(F.transform(lines, lambda x, i: F.when((i < upto) & ((F.length(x) > 120) | x.rlike(SENTENCE)), i)), lambda i: i.isNotNull()))
         at = T.let(F.array_min(hits), lambda h: F.greatest(F.coalesce(prose(h), F.lit(0)) + 1, F.lit(1)))
-        return F.when((n >= 4) & (F.size(hits) > 0) & (at >= 2), F.array_join(F.slice(lines, F.lit(1), at), "\n")).otherwise(F.array_join(lines, "\n"))
+        return T.let(whole, lambda w: F.when((n >= 4) & T.may_match(w, C.TRAILING) & (F.size(hits) > 0) & (at >= 2), F.array_join(F.slice(lines, F.lit(1), at), "\n")).otherwise(w))
 
     return T.let(T.lines_of(text), cut)
 
@@ -257,7 +257,9 @@ def postprocess(pages: DataFrame, mode: str = "general") -> DataFrame:
     if mode != "general":
         out = _by_mode(out)
         out = out if mode == "both" else out.filter("mode <> 'general'").drop("mode")
-    spaced = lambda t: T.stripped(F.regexp_replace(F.regexp_replace(t, r"(?U)[^\S\n]+", " "), r"\n{3,}", "\n\n"))
+    single = lambda t: F.when(F.contains(t, F.lit("  ")) | t.rlike(T.ODD_BLANK), F.regexp_replace(t, r"(?U)[^\S\n]{2,}|[^\S\n ]", " ")).otherwise(t)
+    few = lambda t: F.when(F.contains(t, F.lit("\n\n\n")), F.regexp_replace(t, r"\n{3,}", "\n\n")).otherwise(t)
+    spaced = lambda t: T.stripped(T.let(T.let(t, single), few))
     for name, fix in (("leading", trim_leading), ("trailing", trim_trailing), ("title", lambda t: title_heading(t, title)), ("spacing", spaced)):
         out = _recorded(out, name, fix)
     return out.drop("_whole")
