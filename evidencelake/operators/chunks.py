@@ -148,7 +148,7 @@ def chunk_retention(pages: DataFrame, chunks: DataFrame) -> DataFrame:
     """How much of each page's text its chunks keep; passes at 20 %."""
     kept = chunks.groupBy("research_id", "source_ordinal").agg(F.sum(F.length("text")).alias("chunk_chars"), F.count("*").alias("n_chunks"))
     sizes = pages.select("research_id", "source_ordinal", F.length("text").alias("extracted_chars"), F.array_sort(F.transform(T.lines_of(F.col("text")), lambda x: F.length(x))).alias("sizes"))
-    median = F.try_element_at("sizes", F.floor((F.size("sizes") + 1) / 2).cast("int"))
+    median = F.get("sizes", F.floor((F.size("sizes") - 1) / 2).cast("int"))  # null where a text has no line
     out = sizes.join(kept, ["research_id", "source_ordinal"], "left").withColumn("median_line", median).drop("sizes")
     ratio = F.coalesce(F.col("chunk_chars"), F.lit(0)) / F.greatest(F.col("extracted_chars"), F.lit(1))
     return out.withColumns({"chunk_chars": F.coalesce("chunk_chars", F.lit(0)), "n_chunks": F.coalesce("n_chunks", F.lit(0)), "retention": ratio}).withColumn("passes", F.col("retention") >= 0.20)
